@@ -1,0 +1,10 @@
+"""Comparable queries of every operator."""
+
+from tallyveer.registry.core import ORACLES, QUERIES
+
+
+def load():
+    """All registered queries and their SQL."""
+    from tallyveer.registry import pipeline_queries  # noqa: F401
+
+    return dict(QUERIES), dict(ORACLES)
