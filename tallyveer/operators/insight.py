@@ -122,7 +122,8 @@ def bollinger(
         series.withColumns(
             {
                 "n": F.count(F.lit(1)).over(frame),
-                "mean": F.avg("value").over(frame),
+                # exact sum: a sliding mean must not depend on the order of additions
+                "mean": F.sum("amount").over(frame).cast("double") / float(rows),
                 "sd": F.stddev_pop("value").over(frame),
             }
         )

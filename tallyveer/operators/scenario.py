@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
-from tallyveer.operators.rollup import exact_sum
-from tallyveer.schema import MONEY
 
+# Factors add decimals, so scaled measures are summed with more of them.
+SCALED = "decimal(28,8)"
 REVENUE_FLOOR = 0.01
 ORDERS_FLOOR = 1.0
 
@@ -101,12 +101,13 @@ def compare_scenario(
     """
 
     def side(df: DataFrame, before: bool) -> DataFrame:
-        total = exact_sum(measure).alias("total")
-        zero = F.lit(0).cast(MONEY)
-        return df.groupBy(*by).agg(total).select(
+        total = F.coalesce(F.sum(F.col(measure).cast(SCALED)), F.lit(0)).cast("decimal(38,8)")
+        zero = F.lit(0).cast("decimal(38,8)")
+        sums = df.groupBy(*by).agg(total.alias("total"))
+        return sums.select(
             *by,
-            (F.col("total") if before else zero).cast("decimal(38,4)").alias("base"),
-            (zero if before else F.col("total")).cast("decimal(38,4)").alias("scenario"),
+            (F.col("total") if before else zero).alias("base"),
+            (zero if before else F.col("total")).alias("scenario"),
         )
 
     both = side(base, True).unionByName(side(changed, False))

@@ -5,6 +5,11 @@ from tallyveer.registry.core import ORACLES, QUERIES
 
 def load():
     """All registered queries and their SQL."""
-    from tallyveer.registry import pipeline_queries  # noqa: F401
+    from tallyveer.registry import (  # noqa: F401
+        data_queries,
+        pipeline_queries,
+        stream_queries,
+        view_queries,
+    )
 
     return dict(QUERIES), dict(ORACLES)

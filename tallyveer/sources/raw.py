@@ -94,13 +94,13 @@ def write_snapshot(df: DataFrame, path: str, ingest_date: dt.date) -> None:
 def write_processed(rolled: DataFrame, path: str) -> None:
     """Store the rolled-up fact by month, dates sorted inside each file.
 
-    Rows are spread by month and a hash of the other columns, so a month with
-    most of the rows is written by many tasks.
+    Rows are range-partitioned by date and further columns: a task holds few
+    months, so few files are written, and a date with most of the rows is split.
     """
     month = F.date_format("date", "yyyy-MM")
     (
         rolled.withColumn("month", month)
-        .repartition("month", "date", "region", "product")
+        .repartitionByRange("date", "region", "product")
         .sortWithinPartitions("month", "date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
