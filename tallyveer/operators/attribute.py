@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
 from tallyveer.functions import attach, half_even
 from tallyveer.operators.rollup import roll_up
-from tallyveer.schema import ROLLUP_DIMENSIONS
+from tallyveer.operators.series import FactSource, narrow
+from tallyveer.schema import FACT_COLUMNS, ROLLUP_DIMENSIONS
 
 NOT_APPLICABLE = "n/a"
 EVENT_ACTIVE = "event_active"
 
 
-def anchor_date(fact: DataFrame, cfg: AnalysisConfig) -> Column:
+def anchor_date(source: FactSource, cfg: AnalysisConfig) -> Column:
     """Last date of the analysis: given, else the fact's own maximum.
 
-    The maximum is a scalar subquery, so it reaches the scan as a value and
-    prunes date partitions.
+    The maximum is a scalar subquery over the date column alone, so it reaches
+    the scan as a value and prunes date partitions.
     """
     if cfg.as_of is not None:
         return F.lit(cfg.as_of)
-    return fact.agg(F.max("date")).scalar()
+    return narrow(source, ["date"]).agg(F.max("date")).scalar()
 
 
-def comparison_slice(fact: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+def comparison_slice(
+    source: FactSource, cfg: AnalysisConfig, columns: Sequence[str] = FACT_COLUMNS
+) -> DataFrame:
     """Facts of the two windows only, with ``is_current`` telling them apart."""
-    last = anchor_date(fact, cfg)
-    return fact.filter(
-        (F.col("date") > F.date_sub(last, 2 * cfg.lookback)) & (F.col("date") <= last)
-    ).withColumn("is_current", F.col("date") > F.date_sub(last, cfg.lookback))
+    last = anchor_date(source, cfg)
+    return (
+        narrow(source, columns)
+        .filter((F.col("date") > F.date_sub(last, 2 * cfg.lookback)) & (F.col("date") <= last))
+        .withColumn("is_current", F.col("date") > F.date_sub(last, cfg.lookback))
+    )
 
 
-def window_sums(fact: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+def window_sums(source: FactSource, cfg: AnalysisConfig) -> DataFrame:
     """Sums of both windows per group of every dimension, and per series.
 
     One grouping-sets aggregation over the rolled-up slice replaces a group-by
@@ -41,8 +48,9 @@ def window_sums(fact: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     series totals and carry the flag statistics.
     """
     keys, dims = list(cfg.series_keys), list(cfg.dimensions)
-    rollup_dims = list(dict.fromkeys([*ROLLUP_DIMENSIONS, *keys, *dims, "is_current"]))
-    rolled = roll_up(comparison_slice(fact, cfg), rollup_dims, ["revenue"])
+    rollup_dims = list(dict.fromkeys([*ROLLUP_DIMENSIONS, *keys, *dims]))
+    sliced = comparison_slice(source, cfg, [*rollup_dims, "revenue"])
+    rolled = roll_up(sliced, [*rollup_dims, "is_current"], ["revenue"])
     # a series key may also be a dimension: group by copies
     for d in dims:
         rolled = rolled.withColumn(f"_d_{d}", F.col(d))
@@ -271,9 +279,9 @@ def rank_drivers(findings: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
-def drivers(fact: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+def drivers(source: FactSource, cfg: AnalysisConfig) -> DataFrame:
     """Ranked drivers of the change, with a placeholder row where there are none."""
-    return drivers_from_sums(window_sums(fact, cfg), cfg)
+    return drivers_from_sums(window_sums(source, cfg), cfg)
 
 
 def drivers_from_sums(sums: DataFrame, cfg: AnalysisConfig) -> DataFrame:
@@ -293,10 +301,10 @@ def drivers_from_sums(sums: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
-def outer_join_contributions(fact: DataFrame, dimension: str, cfg: AnalysisConfig) -> DataFrame:
+def outer_join_contributions(source: FactSource, dimension: str, cfg: AnalysisConfig) -> DataFrame:
     """Both windows of one dimension side by side, groups of either window kept."""
     keys = list(dict.fromkeys([*cfg.series_keys, dimension]))
-    sliced = comparison_slice(fact, cfg)
+    sliced = comparison_slice(source, cfg, [*keys, "date", "revenue"])
 
     def side(condition: Column, name: str) -> DataFrame:
         return (

@@ -14,7 +14,7 @@ from tallyveer.operators.attribute import comparison_slice
 from tallyveer.operators.forecast import weekday_profile
 from tallyveer.operators.isolation import score_dates
 from tallyveer.operators.rollup import exact_sum
-from tallyveer.operators.series import eligible, series_window
+from tallyveer.operators.series import FactSource, eligible, series_window
 
 
 def profile_columns(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
@@ -270,10 +270,10 @@ def correlated_groups(fact: DataFrame, dimension: str, cfg: AnalysisConfig) -> D
     )
 
 
-def change_significance(fact: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+def change_significance(source: FactSource, cfg: AnalysisConfig) -> DataFrame:
     """Welch statistic of daily revenue between the two windows, per dimension group."""
     keys, dims = list(cfg.series_keys), list(cfg.dimensions)
-    sliced = comparison_slice(fact, cfg)
+    sliced = comparison_slice(source, cfg, [*keys, "date", *dims, "revenue"])
     daily = sliced.groupBy(*keys, "date", "is_current", *dims).agg(
         exact_sum("revenue").alias("revenue")
     )

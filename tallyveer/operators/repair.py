@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,10 +73,41 @@ def unmapped_aliases(columns: Sequence[str]) -> list[str]:
     return lost
 
 
+# What each group of pattern letters looks like in text.
+PATTERN_SHAPES = {
+    "yyyy": r"\d{4}",
+    "MMM": r"[A-Za-z]{3}",
+    "MM": r"\d{2}",
+    "dd": r"\d{2}",
+    "d": r"\d{1,2}",
+    "HH": r"\d{2}",
+    "mm": r"\d{2}",
+    "ss": r"\d{2}",
+}
+
+
+def shape_of(date_format: str) -> str:
+    """Regular expression of the texts a date format can match."""
+    pieces = re.findall(r"'[^']*'|[a-z]+|[A-Z]+|[^A-Za-z']", date_format)
+    shapes = [
+        PATTERN_SHAPES[p] if p[0].isalpha() else re.escape(p.strip("'")) for p in pieces
+    ]
+    return f"^{''.join(shapes)}$"
+
+
 def parse_date(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """First format that fits, else null; bare numbers are not dates."""
+    """First format that fits, else null; bare numbers are not dates.
+
+    A cheap shape test precedes each parse, because a failing parse is an
+    exception inside the engine.
+    """
     text = F.trim(value.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
+    return F.coalesce(
+        *[
+            F.when(text.rlike(shape_of(f)), F.try_to_timestamp(text, F.lit(f)).cast("date"))
+            for f in formats
+        ]
+    )
 
 
 def as_date(df: DataFrame, column: str) -> Column:
@@ -244,19 +276,17 @@ def repair_reduced(df: DataFrame) -> DataFrame:
     return repair(df).select(*REDUCED_DIMENSIONS, *REDUCED_MEASURES)
 
 
-def quality_columns(df: DataFrame) -> dict[str, Column]:
-    """Counters over a raw table, to be aggregated or observed in the same pass."""
-    full = set(df.columns)
-    counters = {"input_rows": F.count(F.lit(1))}
-    if "date" in full:
-        day = as_date(df, "date")
-        kept = day.isNotNull()
-        counters["dropped_rows"] = F.count_if(~kept)
-        counters["kept_rows"] = F.count_if(kept)
-        counters["first_date"] = F.min(day)
-        counters["last_date"] = F.max(day)
-    else:
-        kept = F.lit(True)
+def quality_columns(columns: Sequence[str]) -> dict[str, Column]:
+    """Counters over a raw table with its parsed date in ``_day``."""
+    full, day = set(columns), F.col("_day")
+    kept = day.isNotNull()
+    counters = {
+        "input_rows": F.count(F.lit(1)),
+        "dropped_rows": F.count_if(~kept),
+        "kept_rows": F.count_if(kept),
+        "first_date": F.min(day),
+        "last_date": F.max(day),
+    }
     for c in NUMERICS:
         if c in full:
             number = finite_or_null(F.col(c).try_cast("double"))
@@ -272,14 +302,24 @@ def quality_columns(df: DataFrame) -> dict[str, Column]:
     return counters
 
 
+def with_parsed_day(df: DataFrame) -> DataFrame:
+    """Parse the date once, for all counters to use."""
+    return df.withColumn("_day", as_date(df, "date") if "date" in df.columns else F.lit(None))
+
+
 def quality_report(df: DataFrame) -> DataFrame:
     """One row of data-quality counters; a value counts as coerced only if text was lost."""
-    return df.agg(*[expr.alias(name) for name, expr in quality_columns(df).items()])
+    counters = quality_columns(df.columns)
+    return with_parsed_day(df).agg(*[expr.alias(name) for name, expr in counters.items()])
 
 
 def observe_quality(df: DataFrame, observation) -> DataFrame:
     """Collect the same counters while another action runs over ``df``."""
-    return df.observe(observation, *[e.alias(n) for n, e in quality_columns(df).items()])
+    counters = quality_columns(df.columns)
+    observed = with_parsed_day(df).observe(
+        observation, *[expr.alias(name) for name, expr in counters.items()]
+    )
+    return observed.drop("_day")
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
 from tallyveer.operators.rollup import average_order_value, exact_sum, roll_up
-from tallyveer.schema import ROLLUP_DIMENSIONS
+from tallyveer.schema import MEASURES, ROLLUP_DIMENSIONS
 
 AMOUNT = "decimal(28,4)"
 
+# A fact table, or a function that returns the fact with the columns asked for.
+FactSource = DataFrame | Callable[[Sequence[str]], DataFrame]
 
-def daily_totals(fact: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+
+def narrow(source: FactSource, columns: Sequence[str]) -> DataFrame:
+    """The fact with at least ``columns``; a source that is a function may skip the rest."""
+    return source(list(dict.fromkeys(columns))) if callable(source) else source
+
+
+def daily_totals(source: FactSource, cfg: AnalysisConfig) -> DataFrame:
     """``(*keys, date, revenue, orders, avg_order_value)``, measures as exact decimals.
 
     The facts are summed per date before anything else; every later window runs
@@ -23,7 +31,7 @@ def daily_totals(fact: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     keys = list(cfg.series_keys)
     if cfg.aov == "sum_of_groups":
         dims = list(dict.fromkeys(list(ROLLUP_DIMENSIONS) + keys))
-        rolled = roll_up(fact, dims)
+        rolled = roll_up(narrow(source, [*dims, *MEASURES]), dims)
         wide = rolled.groupBy(*keys, "date").agg(
             F.sum("revenue").alias("revenue"),
             F.sum("orders").alias("orders"),
@@ -31,7 +39,8 @@ def daily_totals(fact: DataFrame, cfg: AnalysisConfig) -> DataFrame:
         )
     else:
         wide = (
-            fact.groupBy(*keys, "date")
+            narrow(source, [*keys, "date", "revenue", "orders"])
+            .groupBy(*keys, "date")
             .agg(exact_sum("revenue").alias("revenue"), exact_sum("orders").alias("orders"))
             .withColumn(
                 "avg_order_value", average_order_value(F.col("revenue"), F.col("orders"))
@@ -44,9 +53,9 @@ def daily_totals(fact: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
-def daily_series(fact: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+def daily_series(source: FactSource, cfg: AnalysisConfig) -> DataFrame:
     """All metrics in one pass: ``(*keys, metric, date, amount, value)``."""
-    return to_long(daily_totals(fact, cfg), cfg)
+    return to_long(daily_totals(source, cfg), cfg)
 
 
 def to_long(daily: DataFrame, cfg: AnalysisConfig) -> DataFrame:

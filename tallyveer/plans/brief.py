@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
@@ -15,7 +19,7 @@ from tallyveer.operators.explain import explanation
 from tallyveer.operators.forecast import forecast_rows, forecast_summary
 from tallyveer.operators.kpi import kpi_cards, kpi_daily
 from tallyveer.operators.recommend import playbook_table, recommendations
-from tallyveer.operators.series import daily_totals, short_series, to_long
+from tallyveer.operators.series import FactSource, daily_totals, short_series, to_long
 from tallyveer.session import work_folder
 
 VERSION = "1.0.0"
@@ -23,7 +27,7 @@ VERSION = "1.0.0"
 
 @dataclass(frozen=True)
 class Brief:
-    """Result tables of one analysis; every field is a lazy DataFrame."""
+    """Result tables of one analysis, stored or computed from small stored tables."""
 
     config: AnalysisConfig
     daily: DataFrame
@@ -40,11 +44,6 @@ class Brief:
     def document(self) -> DataFrame:
         return brief_document(self)
 
-    def release(self) -> None:
-        """Drop the cached small tables."""
-        for df in (self.scorecard, self.drivers, self.forecast_rows, self.recommendations):
-            df.unpersist()
-
 
 def _stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared work folder and read it back.
@@ -55,35 +54,54 @@ def _stored(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     folder = work_folder(spark, purpose)
     df.write.parquet(folder)
-    return spark.read.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _together(spark: SparkSession, *jobs: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Run independent jobs at the same time, so small ones do not queue behind each other."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [job.result() for job in running]
 
 
 def analyze(
-    fact: DataFrame,
+    source: FactSource,
     cfg: AnalysisConfig | None = None,
     playbook: DataFrame | None = None,
     check: bool = True,
 ) -> Brief:
-    """Run every stage on a canonical fact.
+    """Run every stage on a canonical fact, or on a function that provides one.
 
     The facts are read twice: once summed per date, once for the two latest
-    windows. Both results are small and stored; all later stages work on them.
+    windows. Both results and the tables made of them are small and stored;
+    nothing after the two passes goes back to the facts.
     """
     cfg = cfg or AnalysisConfig()
-    spark = fact.sparkSession
-    daily = _stored(daily_totals(fact, cfg), "daily")
+    totals = daily_totals(source, cfg)
+    spark = totals.sparkSession
+    daily = _stored(totals, "daily")
+    last, longest = _extent(daily, cfg)
     if check:
-        require_dates(daily, cfg)
-    sums = _stored(window_sums(fact, cfg), "windows")
+        require_dates(longest, cfg)
+    # the windows end at a known date, which prunes the second pass
+    dated = cfg if cfg.as_of or last is None else cfg.with_(as_of=last)
     series = to_long(daily, cfg)
-    card = scorecard(series, cfg).persist()
+    ranked, card, ahead = _together(
+        spark,
+        lambda: _stored(
+            drivers_from_sums(_stored(window_sums(source, dated), "windows"), cfg), "drivers"
+        ),
+        lambda: _stored(scorecard(series, cfg), "scorecard"),
+        lambda: _stored(forecast_rows(series, cfg), "forecast"),
+    )
+    rules = playbook if playbook is not None else playbook_table(spark)
     summary = detection_summary(card, cfg)
-    ranked = drivers_from_sums(sums, cfg).persist()
-    ahead = forecast_rows(series, cfg).persist()
     outlook = forecast_summary(ahead, cfg)
-    advice = recommendations(
-        ranked, card, summary, playbook if playbook is not None else playbook_table(spark), cfg
-    ).persist()
+    advice, words = _together(
+        spark,
+        lambda: _stored(recommendations(ranked, card, summary, rules, cfg), "advice"),
+        lambda: _stored(explanation(summary, ranked, outlook, cfg), "explanation"),
+    )
     return Brief(
         config=cfg,
         daily=daily,
@@ -93,16 +111,23 @@ def analyze(
         forecast_rows=ahead,
         forecast=outlook,
         recommendations=advice,
-        explanation=explanation(summary, ranked, outlook, cfg),
+        explanation=words,
         kpis=kpi_cards(daily, cfg),
         skipped_series=short_series(daily, cfg),
     )
 
 
-def require_dates(daily: DataFrame, cfg: AnalysisConfig) -> None:
+def _extent(daily: DataFrame, cfg: AnalysisConfig) -> tuple[dt.date | None, int]:
+    """Last date of all series and number of dates of the longest; one row comes back."""
+    per_series = daily.groupBy(*cfg.series_keys).agg(
+        F.count_distinct("date").alias("n"), F.max("date").alias("last")
+    )
+    row = per_series.agg(F.max("last"), F.max("n")).first()
+    return row[0], row[1] or 0
+
+
+def require_dates(longest: int, cfg: AnalysisConfig) -> None:
     """Refuse data without any series long enough to analyse."""
-    counts = daily.groupBy(*cfg.series_keys).agg(F.count_distinct("date").alias("n"))
-    longest = counts.agg(F.max("n")).first()[0] or 0
     if longest == 0:
         raise ValueError("the data holds no rows with a readable date")
     if longest < cfg.min_dates:

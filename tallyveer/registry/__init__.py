@@ -7,7 +7,7 @@ def load():
     """All registered queries and their SQL."""
     from tallyveer.registry import (  # noqa: F401
         data_queries,
-        pipeline_queries,
+        stage_queries,
         stream_queries,
         view_queries,
     )

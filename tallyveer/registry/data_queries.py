@@ -21,14 +21,14 @@ from tallyveer.schema import HOLIDAYS
 from tallyveer.session import work_folder
 from tallyveer.sources import catalog as cat
 from tallyveer.sources import raw as rw
-from tallyveer.sources.star import star_fact, table
+from tallyveer.sources.star import spread, star_fact, table
 
 FACTS = f"WITH {q.FACT}"
 
 
 def messy_lines(spark, folder) -> DataFrame:
     """Order lines as a user might upload them, every column as text."""
-    lines = table(spark, folder, "lineitem").join(
+    lines = spread(table(spark, folder, "lineitem"), "l_orderkey").join(
         table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     day, source = F.col("o_orderdate"), F.col("o_orderpriority")

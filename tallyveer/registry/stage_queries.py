@@ -20,7 +20,7 @@ from tallyveer.operators import views as vw
 from tallyveer.plans.brief import analyze, to_json_rows
 from tallyveer.registry import sql as q
 from tallyveer.registry.core import query
-from tallyveer.sources.star import event_fact, star_fact, table
+from tallyveer.sources.star import event_fact, star_fact, star_source, table
 
 CFG = AnalysisConfig()
 PARITY = CFG.with_(aov="sum_of_groups")
@@ -365,7 +365,7 @@ def _(spark, folder):
     "sum(revenue)::DOUBLE AS revenue FROM sliced GROUP BY is_current",
 )
 def _(spark, folder):
-    sliced = at.comparison_slice(star_fact(spark, folder, ("date", "revenue")), CFG)
+    sliced = at.comparison_slice(star_source(spark, folder), CFG, ("date", "revenue"))
     return sliced.groupBy("is_current").agg(
         F.count("*").alias("n"),
         F.count_distinct("date").alias("dates"),
@@ -382,7 +382,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     columns = ("date", "revenue", "incident_flag", "holiday_flag")
-    sliced = at.comparison_slice(star_fact(spark, folder, columns), CFG)
+    sliced = at.comparison_slice(star_source(spark, folder), CFG, columns)
     return sliced.groupBy("is_current").agg(
         F.sum(F.when(F.col("incident_flag") == 1, F.col("revenue"))).alias("incident"),
         F.sum(F.when(F.col("incident_flag") == 0, F.col("revenue"))).alias("calm"),
@@ -398,9 +398,7 @@ def _(spark, folder):
     "WHERE dimension = 'campaign'",
 )
 def _(spark, folder):
-    return at.outer_join_contributions(
-        star_fact(spark, folder, ("date", "campaign", "revenue")), "campaign", CFG
-    )
+    return at.outer_join_contributions(star_source(spark, folder), "campaign", CFG)
 
 
 @query(
@@ -409,7 +407,7 @@ def _(spark, folder):
     f"{q.rnd('delta', 4)} AS delta, {q.rnd('share', 6)} AS share FROM shares",
 )
 def _(spark, folder):
-    sums = at.window_sums(star_fact(spark, folder), CFG)
+    sums = at.window_sums(star_source(spark, folder), CFG)
     return at.contributions(sums, CFG).select(
         "dimension", "group_value", "cur_revenue", "prv_revenue",
         half_even(F.col("delta"), 4).alias("delta"),
@@ -423,7 +421,7 @@ def _(spark, folder):
     "FROM totals, exact_totals",
 )
 def _(spark, folder):
-    sums = at.window_sums(star_fact(spark, folder), CFG)
+    sums = at.window_sums(star_source(spark, folder), CFG)
     return at.series_totals(sums, CFG).select("total_cur", "total_prv", "total_delta")
 
 
@@ -434,7 +432,7 @@ FLAG_SQL = (
 
 @query("a8_a9_flag_signals", f"{DRIVERS} {FLAG_SQL.format(k='')}")
 def _(spark, folder):
-    sums = at.window_sums(star_fact(spark, folder), CFG)
+    sums = at.window_sums(star_source(spark, folder), CFG)
     return at.flag_signals(sums, CFG).select(
         "dimension", "group_value",
         half_even(F.col("delta"), 2).alias("delta"), half_even(F.col("share"), 4).alias("share"),
@@ -447,7 +445,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     cfg = CFG.with_(series_keys=("product",))
-    sums = at.window_sums(star_fact(spark, folder), cfg)
+    sums = at.window_sums(star_source(spark, folder), cfg)
     return at.flag_signals(sums, cfg).select(
         "product", "dimension", "group_value",
         half_even(F.col("delta"), 2).alias("delta"), half_even(F.col("share"), 4).alias("share"),
@@ -459,7 +457,7 @@ DRIVER_COLUMNS = "rank, dimension, group_value, delta, contribution_pct"
 
 @query("m14_drivers", f"{DRIVERS} SELECT {DRIVER_COLUMNS} FROM drivers")
 def _(spark, folder):
-    return at.drivers(star_fact(spark, folder), CFG).drop("driver")
+    return at.drivers(star_source(spark, folder), CFG).drop("driver")
 
 
 @query(
@@ -467,7 +465,7 @@ def _(spark, folder):
     f"{FACTS},\n{q.attribution(('region',))} SELECT region, {DRIVER_COLUMNS} FROM drivers",
 )
 def _(spark, folder):
-    return at.drivers(star_fact(spark, folder), BY_REGION).drop("driver")
+    return at.drivers(star_source(spark, folder), BY_REGION).drop("driver")
 
 
 @query(
@@ -475,7 +473,7 @@ def _(spark, folder):
     f"{FACTS},\n{q.attribution(min_share=50.0)} SELECT {DRIVER_COLUMNS} FROM drivers",
 )
 def _(spark, folder):
-    return at.drivers(star_fact(spark, folder), CFG.with_(min_share_pct=50.0)).drop("driver")
+    return at.drivers(star_source(spark, folder), CFG.with_(min_share_pct=50.0)).drop("driver")
 
 
 @query(
@@ -488,7 +486,7 @@ def _(spark, folder):
 def _(spark, folder):
     # no share reaches the cut-off, so every product falls back
     cfg = CFG.with_(series_keys=("product",), min_share_pct=1e15)
-    fallback = at.drivers(star_fact(spark, folder), cfg)
+    fallback = at.drivers(star_source(spark, folder), cfg)
     return fallback.filter(F.col("driver") != "Not enough history to compare two windows").drop(
         "driver"
     )
@@ -499,7 +497,7 @@ def _(spark, folder):
     f"{DRIVERS} SELECT dimension, count(*) AS n FROM drivers GROUP BY dimension",
 )
 def _(spark, folder):
-    return at.drivers(star_fact(spark, folder), CFG).groupBy("dimension").agg(
+    return at.drivers(star_source(spark, folder), CFG).groupBy("dimension").agg(
         F.count("*").alias("n")
     )
 
@@ -509,7 +507,7 @@ def _(spark, folder):
     f"{DRIVERS} SELECT {DRIVER_COLUMNS} FROM drivers WHERE rank <= 10",
 )
 def _(spark, folder):
-    return ex.top_drivers(at.drivers(star_fact(spark, folder), CFG), CFG, 10).drop("driver")
+    return ex.top_drivers(at.drivers(star_source(spark, folder), CFG), CFG, 10).drop("driver")
 
 
 @query(
@@ -518,7 +516,7 @@ def _(spark, folder):
     "GROUP BY dimension, group_value",
 )
 def _(spark, folder):
-    ranked = at.drivers(star_fact(spark, folder), CFG)
+    ranked = at.drivers(star_source(spark, folder), CFG)
     return ranked.groupBy("dimension", "group_value").agg(F.min("rank").alias("rank"))
 
 
@@ -528,13 +526,13 @@ def _(spark, folder):
     "QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY rank) = 1",
 )
 def _(spark, folder):
-    ranked = at.drivers(star_fact(spark, folder), CFG)
+    ranked = at.drivers(star_source(spark, folder), CFG)
     return rec.first_declining(ranked, CFG).drop("driver")
 
 
 @query("p20_driver_text")
 def _(spark, folder):
-    return at.drivers(star_fact(spark, folder), CFG).select("rank", "driver")
+    return at.drivers(star_source(spark, folder), CFG).select("rank", "driver")
 
 
 # --- forecast -------------------------------------------------------------------------
@@ -722,7 +720,7 @@ ordered AS (
                                ELSE 2 END, emit) AS position FROM recs)"""
 
 def stages(spark, folder):
-    return analyze(star_fact(spark, folder), CFG, check=False)
+    return analyze(star_source(spark, folder), CFG, check=False)
 
 
 @query(
@@ -789,7 +787,7 @@ confidence AS (
     f"{EVIDENCE} SELECT strong_drivers, enterprise_signal FROM evidence",
 )
 def _(spark, folder):
-    ranked = at.drivers(star_fact(spark, folder), CFG)
+    ranked = at.drivers(star_source(spark, folder), CFG)
     return ex.driver_evidence(ranked, CFG).select("strong_drivers", "enterprise_signal")
 
 
@@ -835,7 +833,7 @@ def _(spark, folder):
 
 @query("m23_brief_by_region")
 def _(spark, folder):
-    b = analyze(star_fact(spark, folder), BY_REGION, check=False)
+    b = analyze(star_source(spark, folder), BY_REGION, check=False)
     return b.explanation.select("region", "severity", "change_pct", "confidence", "narrative")
 
 
@@ -898,5 +896,5 @@ def _(spark, folder):
       sum(CAST(height AS DECIMAL(18,1)))::DOUBLE, 0, 0 FROM steps""",
 )
 def _(spark, folder):
-    return vw.waterfall(at.drivers(star_fact(spark, folder), CFG), CFG)
+    return vw.waterfall(at.drivers(star_source(spark, folder), CFG), CFG)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyveer.config import AnalysisConfig
 from tallyveer.registry import sql as q
 from tallyveer.registry.core import query
-from tallyveer.registry.pipeline_queries import CARD_COLUMNS, EVENT_CARD, plain_card
+from tallyveer.registry.stage_queries import CARD_COLUMNS, EVENT_CARD, plain_card
 from tallyveer.session import work_folder
 from tallyveer.streaming import events as ev
 from tallyveer.streaming import refresh as rf

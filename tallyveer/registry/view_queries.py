@@ -14,7 +14,7 @@ from tallyveer.operators.rollup import exact_sum
 from tallyveer.registry import sql as q
 from tallyveer.registry.core import query
 from tallyveer.schema import ATTRIBUTION_DIMENSIONS
-from tallyveer.sources.star import event_fact, star_fact
+from tallyveer.sources.star import event_fact, star_fact, star_source
 
 CFG = AnalysisConfig()
 BY_TYPE = CFG.with_(series_keys=("category",))
@@ -266,7 +266,7 @@ WELCH_PARTS = " UNION ALL ".join(
            ELSE 0 END AS welch_t FROM stats WHERE n1 > 1 AND n0 > 1""",
 )
 def _(spark, folder):
-    return ins.change_significance(star_fact(spark, folder), CFG)
+    return ins.change_significance(star_source(spark, folder), CFG)
 
 
 # --- scenarios ------------------------------------------------------------------------

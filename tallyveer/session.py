@@ -27,6 +27,10 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "tallyveer") ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        # small data: keep all cores busy after a shuffle
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # call-site capture costs more than the small queries themselves
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
