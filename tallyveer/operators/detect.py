@@ -80,15 +80,11 @@ def scorecard(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
 
 
 def recent_anomalies(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """Flagged dates that also lie in the recent window (semi-join of two date sets)."""
-    keys = [*cfg.series_keys, "metric"]
-    flagged = score_dates(eligible(series, cfg), cfg).filter("flagged").select(*keys, "date")
-    recent = (
-        number_rows(series, cfg.series_keys)
-        .filter(in_recent(F.col("rn"), cfg.lookback))
-        .select(*keys, "date")
+    """Flagged dates that also lie in the recent window."""
+    scored = number_rows(score_dates(eligible(series, cfg), cfg), cfg.series_keys)
+    return scored.filter(F.col("flagged") & in_recent(F.col("rn"), cfg.lookback)).select(
+        *cfg.series_keys, "metric", "date"
     )
-    return flagged.join(recent, [*keys, "date"], "left_semi")
 
 
 def detection_summary(card: DataFrame, cfg: AnalysisConfig) -> DataFrame:

@@ -64,30 +64,26 @@ def weighted_trend(points: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
+def _model_columns(cfg: AnalysisConfig) -> list[Column]:
+    """Aggregates that turn fitted points into one model row."""
+    recent = F.col("rn") <= cfg.lookback
+    recent_mean = F.sum(F.when(recent, F.col("amount"))).cast("double") / float(cfg.lookback)
+    return [
+        F.max("n").alias("n"),
+        F.max("date").alias("last_date"),
+        F.max("slope").alias("slope"),
+        F.max("intercept").alias("intercept"),
+        F.coalesce(F.stddev_pop("residual"), F.lit(0.0)).alias("resid_std"),
+        F.when(F.max("n") >= cfg.lookback, recent_mean)
+        .otherwise(F.max_by("value", "date"))
+        .alias("recent_avg"),
+    ]
+
+
 def trend_model(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """One row per series and metric: line, residual spread, recent mean."""
     fitted = weighted_trend(trend_points(series, cfg), cfg)
-    recent = F.col("rn") <= cfg.lookback
-    recent_sum = F.sum(F.when(recent, F.col("amount"))).cast("double")
-    return (
-        fitted.groupBy(*cfg.series_keys, "metric")
-        .agg(
-            F.max("n").alias("n"),
-            F.max("date").alias("last_date"),
-            F.max("slope").alias("slope"),
-            F.max("intercept").alias("intercept"),
-            F.coalesce(F.stddev_pop("residual"), F.lit(0.0)).alias("resid_std"),
-            (recent_sum / float(cfg.lookback)).alias("recent_mean"),
-            F.max_by("value", "date").alias("last_value"),
-        )
-        .withColumn(
-            "recent_avg",
-            F.when(F.col("n") >= cfg.lookback, F.col("recent_mean")).otherwise(
-                F.col("last_value")
-            ),
-        )
-        .drop("recent_mean", "last_value")
-    )
+    return fitted.groupBy(*cfg.series_keys, "metric").agg(*_model_columns(cfg))
 
 
 def weekday_profile(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
@@ -104,9 +100,7 @@ def weekday_profile(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
         .withColumn("seasonal", F.col("day_mean") - F.col("all_mean"))
         .withColumn("remainder", F.col("residual") - F.col("seasonal"))
     )
-    return centred.select(
-        *keys, "date", "value", "weekday", "trend", "seasonal", "remainder", "n"
-    )
+    return centred.drop("day_mean", "all_mean")
 
 
 def _horizon(model: DataFrame, cfg: AnalysisConfig) -> DataFrame:
@@ -153,32 +147,31 @@ def forecast_rows(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
 
 
 def _seasonal_rows(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """Trend plus weekday profile; the band is the 10-90 % range of the remainder."""
+    """Trend plus weekday profile; the band is the 10-90 % range of the remainder.
+
+    Line, profile and band come from one aggregation; the profile is a map of at
+    most seven weekdays.
+    """
     keys = [*cfg.series_keys, "metric"]
-    parts = weekday_profile(series, cfg)
-    profile = parts.groupBy(*keys, "weekday").agg(F.max("seasonal").alias("seasonal"))
-    spread = parts.groupBy(*keys).agg(
+    model = weekday_profile(series, cfg).groupBy(*keys).agg(
+        *_model_columns(cfg),
+        F.map_from_entries(F.collect_set(F.struct("weekday", "seasonal"))).alias("profile"),
         F.percentile("remainder", F.lit(LOW_QUANTILE)).alias("low"),
         F.percentile("remainder", F.lit(HIGH_QUANTILE)).alias("high"),
     )
-    ahead = _horizon(trend_model(series, cfg), cfg).withColumn(
-        "weekday", F.weekday("date") + 1
+    seasonal = F.coalesce(
+        F.try_element_at("profile", F.weekday("date") + F.lit(1)), F.lit(0.0)
     )
-    centre = F.col("centre") + F.coalesce(F.col("seasonal"), F.lit(0.0))
-    return (
-        ahead.join(profile, [*keys, "weekday"], "left")
-        .join(spread, keys, "left")
-        .withColumn("centre", centre)
-        .select(
-            *keys,
-            "step",
-            "date",
-            half_even(_floor(F.col("centre"), cfg, "centre"), 2).alias("yhat"),
-            half_even(_floor(F.col("centre") + F.col("low"), cfg, "lower"), 2).alias("lower"),
-            half_even(_floor(F.col("centre") + F.col("high"), cfg, "upper"), 2).alias("upper"),
-            F.when(F.col("n") < 2, "flat_fallback").otherwise("trend_weekday").alias("model"),
-            "recent_avg",
-        )
+    ahead = _horizon(model, cfg).withColumn("centre", F.col("centre") + seasonal)
+    return ahead.select(
+        *keys,
+        "step",
+        "date",
+        half_even(_floor(F.col("centre"), cfg, "centre"), 2).alias("yhat"),
+        half_even(_floor(F.col("centre") + F.col("low"), cfg, "lower"), 2).alias("lower"),
+        half_even(_floor(F.col("centre") + F.col("high"), cfg, "upper"), 2).alias("upper"),
+        F.when(F.col("n") < 2, "flat_fallback").otherwise("trend_weekday").alias("model"),
+        "recent_avg",
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,12 +76,16 @@ def quantiles(
 
 
 def calendar_gaps(daily: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """Days between the first and last date of a series that have no row."""
+    """Days between the first and last date of a series that have no row.
+
+    Each date is compared with the next one, so the table is read once.
+    """
     keys = list(cfg.series_keys)
     seen = daily.select(*keys, "date").distinct()
-    span = seen.groupBy(*keys).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    every = span.select(*keys, F.explode(F.sequence("lo", "hi")).alias("date"))
-    return every.join(seen, [*keys, "date"], "left_anti")
+    following = F.lead("date").over(Window.partitionBy(*keys).orderBy("date"))
+    gaps = seen.withColumn("next", following).filter(F.datediff("next", "date") > 1)
+    days = F.sequence(F.date_add("date", 1), F.date_sub("next", 1))
+    return gaps.select(*keys, F.explode(days).alias("date"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

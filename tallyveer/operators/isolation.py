@@ -39,12 +39,22 @@ def _mid_quantile(values: Column, n: Column, i: Column, points: int) -> Column:
     return lower + (upper - lower) * (position - low)
 
 
-def depth_grid(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """One row per series and metric: support points ``xs`` and their depths ``ds``."""
-    points = cfg.grid_points
+def collected(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """One row per series and metric with its dates as an array.
+
+    A series has one value per date, so the array is bounded by the calendar,
+    not by the facts; scores come out of it without reading the facts again.
+    """
     keys = [*cfg.series_keys, "metric"]
-    # one value per date: bounded by the calendar, not by the facts
-    values = series.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("vals"))
+    rest = [c for c in series.columns if c not in keys]
+    return series.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("points"))
+
+
+def depth_grid(values: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """Add support points ``xs``, their depths ``ds`` and the sample size ``m``."""
+    points = cfg.grid_points
+    keys = [*cfg.series_keys, "metric", "points"]
+    values = values.withColumn("vals", F.sort_array(F.col("points.value")))
     sample = values.select(
         *keys,
         F.when(F.size("vals") <= points, F.col("vals"))
@@ -102,10 +112,10 @@ def score_dates(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     ``decision`` is the score minus its ``contamination`` quantile; negative
     values are anomalies. Constant and single-row series are never flagged.
     """
-    keys = [*cfg.series_keys, "metric"]
-    grid = depth_grid(series, cfg)
+    columns = series.columns
     scored = (
-        series.join(grid, keys, "inner")
+        depth_grid(collected(series, cfg), cfg)
+        .select(*cfg.series_keys, "metric", "m", "xs", "ds", F.inline("points"))
         .withColumn("below", F.size(F.filter("xs", lambda x: x <= F.col("value"))))
         .withColumn("depth", _depth_of(F.col("value")))
         .withColumn("degenerate", F.size("xs") < 2)
@@ -126,7 +136,7 @@ def score_dates(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
             half_even(F.col("score") - cut, SCORE_PLACES)
         ),
     ).select(
-        *series.columns,
+        *columns,
         "score",
         "decision",
         (F.col("decision") < 0).alias("flagged"),

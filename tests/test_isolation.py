@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
 from tallyveer.operators.detect import scorecard
-from tallyveer.operators.isolation import depth_grid, score_dates, standardise
+from tallyveer.operators.isolation import collected, depth_grid, score_dates, standardise
 from tallyveer.operators.series import daily_series
 
 CFG = AnalysisConfig(metrics=("revenue",))
@@ -96,7 +96,7 @@ def test_long_series_uses_quantile_grid(spark):
 
 def test_grid_state_is_bounded(spark):
     series = daily_series(series_facts(spark, np.arange(900) * 1.5), CFG)
-    row = depth_grid(series, CFG).first()
+    row = depth_grid(collected(series, CFG), CFG).first()
     assert row["m"] == 256 and len(row["xs"]) <= 256
 
 

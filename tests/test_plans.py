@@ -91,3 +91,28 @@ def test_hot_group_is_combined_before_the_shuffle(spark):
     hot = sums.filter("dimension = 'campaign' AND group_value = 'hot'").first()
     assert float(hot["cur"] + hot["prv"]) == 100_000.0
     assert "partial_sum" in plan(sums)
+
+
+def scans_of_lines(df) -> int:
+    """Scans of the order lines in the plan that really ran, reused stages not counted."""
+    df.collect()
+    final = plan(df).split("+- == Initial Plan ==")[0]
+    return len(re.findall(r"FileScan parquet \[[^\]]*l_orderkey", final))
+
+
+def test_facts_are_read_once(spark, data):
+    slim = ("date", "revenue", "orders", "region")
+    seasonal = CFG.with_(model="trend_weekday")
+    for cfg in (CFG, KEYED):
+        series = se.daily_series(star_fact(spark, data, slim), cfg)
+        assert scans_of_lines(de.scorecard(series, cfg)) == 1
+        assert scans_of_lines(de.recent_anomalies(series, cfg)) == 1
+        assert scans_of_lines(ins.anomaly_calendar(series, cfg)) == 1
+    series = se.daily_series(star_fact(spark, data, slim), seasonal)
+    assert scans_of_lines(fc.forecast_rows(series, seasonal)) == 1
+    assert scans_of_lines(ins.calendar_gaps(star_fact(spark, data, slim), KEYED)) == 1
+
+
+def test_given_end_date_spares_the_anchor_pass(spark, data):
+    dated = CFG.with_(as_of=dt.date(2001, 8, 1))
+    assert scans_of_lines(at.window_sums(star_fact(spark, data), dated)) == 1
