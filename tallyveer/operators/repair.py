@@ -253,6 +253,18 @@ def missing_columns(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(c,) for c in sorted(absent)], "missing string")
 
 
+def unfilled_columns(df: DataFrame) -> DataFrame:
+    """Required columns without a single value: absent ones and those that are all null.
+
+    The values of all columns are counted in one pass; the columns that hold
+    some are then taken from the required ones.
+    """
+    full = add_missing_columns(df)
+    counts = full.agg(*[F.count(c).alias(c) for c in FACT_COLUMNS])
+    held = counts.unpivot([], list(FACT_COLUMNS), "column", "n")
+    return held.select("column").exceptAll(held.filter(F.col("n") > 0).select("column"))
+
+
 def to_number(value: Column) -> Column:
     """Number of a cell: text that is not a finite number counts as 0."""
     return F.coalesce(finite_or_null(value.try_cast("double")), F.lit(0.0))

@@ -134,6 +134,21 @@ def _(spark, folder):
     return rp.quality_report(rp.map_columns(messy_lines(spark, folder)))
 
 
+@query(
+    "p13_u2_unfilled_columns",
+    f"""WITH {MESSY} SELECT unnest(['date', 'region', 'product', 'category', 'channel', 'revenue',
+      'orders', 'impressions', 'campaign', 'inventory_status', 'discount_band', 'holiday_flag',
+      'incident_flag']) AS "column"
+    EXCEPT SELECT held FROM (SELECT 'date' AS held, count(date) AS n FROM messy
+      UNION ALL SELECT 'revenue', count(revenue_raw) FROM messy
+      UNION ALL SELECT 'orders', count(orders_raw) FROM messy
+      UNION ALL SELECT 'category', count(category_raw) FROM messy
+      UNION ALL SELECT 'channel', count(channel) FROM messy) WHERE n > 0""",
+)
+def _(spark, folder):
+    return rp.unfilled_columns(rp.map_columns(messy_lines(spark, folder)))
+
+
 @query(
     "p4_date_candidates",
     "SELECT 'order_text' AS \"column\", count(try_strptime(d, '%Y-%m-%d'))::DOUBLE / count(*) "

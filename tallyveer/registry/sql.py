@@ -334,3 +334,28 @@ outlook AS (
   FROM (SELECT {g}, {pct('avg_future', 'recent_avg')} AS pct FROM (
         SELECT {g}, sum(CAST(yhat AS DECIMAL(28,2)))::DOUBLE / {horizon}.0::DOUBLE AS avg_future,
                max(recent_avg) AS recent_avg FROM forecast GROUP BY {g})))"""
+
+
+def evidence(keys: tuple[str, ...] = ()) -> str:
+    """Confidence score on top of summary, drivers and outlook."""
+    k = key_list(keys)
+    group = f"GROUP BY {k[:-2]}" if keys else ""
+    join = f"JOIN {{}} USING ({k[:-2]})" if keys else "CROSS JOIN {}"
+    score = """least(0.95::DOUBLE, 0.5::DOUBLE
+      + CASE WHEN anomaly_detected THEN 0.08::DOUBLE ELSE 0::DOUBLE END
+      + CASE WHEN abs(change_pct) > 15 THEN 0.10::DOUBLE WHEN abs(change_pct) > 5
+             THEN 0.05::DOUBLE ELSE 0::DOUBLE END
+      + CASE WHEN anomalous_metrics >= 2 THEN 0.08::DOUBLE WHEN anomalous_metrics = 1
+             THEN 0.04::DOUBLE ELSE 0::DOUBLE END
+      + CASE WHEN strong_drivers >= 2 THEN 0.10::DOUBLE WHEN strong_drivers = 1
+             THEN 0.05::DOUBLE ELSE 0::DOUBLE END
+      + CASE WHEN forecast_pct_change * change_pct > 0 THEN 0.05::DOUBLE ELSE 0::DOUBLE END
+      + CASE WHEN enterprise_signal THEN 0.04::DOUBLE ELSE 0::DOUBLE END)"""
+    return f"""evidence AS (
+  SELECT {k}count(*) FILTER (abs(contribution_pct) >= 10) AS strong_drivers,
+         coalesce(bool_or(dimension IN ('inventory_status', 'discount_band', 'incident_flag')),
+                  false) AS enterprise_signal FROM drivers {group}),
+headline AS (SELECT {k}forecast_pct_change FROM outlook WHERE metric = 'revenue'),
+confidence AS (
+  SELECT {k}severity, change_pct, forecast_pct_change, {rnd(score, 2)} AS confidence
+  FROM summary {join.format('evidence')} {join.format('headline')})"""

@@ -763,23 +763,7 @@ def _(spark, folder):
     return rec.combined_impact(stages(spark, folder).recommendations, CFG)
 
 
-EVIDENCE = f"""{FULL},
-evidence AS (
-  SELECT count(*) FILTER (abs(contribution_pct) >= 10) AS strong_drivers,
-         coalesce(bool_or(dimension IN ('inventory_status', 'discount_band', 'incident_flag')),
-                  false) AS enterprise_signal FROM drivers),
-confidence AS (
-  SELECT {q.rnd('''least(0.95::DOUBLE, 0.5::DOUBLE
-      + CASE WHEN anomaly_detected THEN 0.08::DOUBLE ELSE 0::DOUBLE END
-      + CASE WHEN abs(change_pct) > 15 THEN 0.10::DOUBLE WHEN abs(change_pct) > 5
-             THEN 0.05::DOUBLE ELSE 0::DOUBLE END
-      + CASE WHEN anomalous_metrics >= 2 THEN 0.08::DOUBLE WHEN anomalous_metrics = 1
-             THEN 0.04::DOUBLE ELSE 0::DOUBLE END
-      + CASE WHEN strong_drivers >= 2 THEN 0.10::DOUBLE WHEN strong_drivers = 1
-             THEN 0.05::DOUBLE ELSE 0::DOUBLE END
-      + CASE WHEN forecast_pct_change * change_pct > 0 THEN 0.05::DOUBLE ELSE 0::DOUBLE END
-      + CASE WHEN enterprise_signal THEN 0.04::DOUBLE ELSE 0::DOUBLE END)''', 2)} AS confidence
-  FROM summary, evidence, (SELECT forecast_pct_change FROM outlook WHERE metric = 'revenue'))"""
+EVIDENCE = f"{FULL},\n{q.evidence()}"
 
 
 @query(
@@ -831,10 +815,20 @@ def _(spark, folder):
     return to_json_rows(stages(spark, folder).document().drop("timestamp"), CFG)
 
 
-@query("m23_brief_by_region")
+REGION = ("region",)
+
+
+@query(
+    "m23_brief_by_region",
+    f"{q.series_ctes(REGION)},\n{q.scored(REGION)},\n{q.card(REGION)},\n{q.summary(REGION)},\n"
+    f"{q.attribution(REGION)},\n{q.trend(REGION)},\n{q.evidence(REGION)} "
+    "SELECT region, severity, change_pct, forecast_pct_change, confidence FROM confidence",
+)
 def _(spark, folder):
     b = analyze(star_source(spark, folder), BY_REGION, check=False)
-    return b.explanation.select("region", "severity", "change_pct", "confidence", "narrative")
+    return b.explanation.select(
+        "region", "severity", "change_pct", "forecast_pct_change", "confidence"
+    )
 
 
 KPI_SQL = f"""{FACTS}, {q.daily()},

@@ -45,14 +45,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table that is stored in fewer splits than there are cores.
+    """On one machine, use all cores on a table stored in fewer splits than cores.
 
-    A table with a split per core, as any large one has, is left alone.
+    Clusters read tables of many files; there the scan is left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    context = df.sparkSession.sparkContext
+    if not context.master.startswith("local"):
         return df
-    return df.repartition(cores, key)
+    cores = context.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def star_fact(
