@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,6 +178,43 @@ def _seasonal_rows(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
+CUSTOM_FIELDS = "step int, yhat double, lower double, upper double"
+
+
+def custom_forecast(
+    series: DataFrame,
+    cfg: AnalysisConfig,
+    fit: Callable[[pd.DataFrame, int], pd.DataFrame],
+    label: str = "custom",
+) -> DataFrame:
+    """Forecast rows of a user's own model, one call per series and metric.
+
+    ``fit(points, horizon)`` gets the latest ``trend_rows`` dates (columns
+    ``date`` and ``value``, in order) and returns ``step, yhat, lower, upper``.
+    """
+    keys = [*cfg.series_keys, "metric"]
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", last_date date, " + CUSTOM_FIELDS
+
+    def one_series(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
+        ordered = points.sort_values("date")
+        ahead = fit(ordered[["date", "value"]].reset_index(drop=True), cfg.horizon)
+        fixed = {**dict(zip(keys, key)), "last_date": ordered["date"].iloc[-1]}
+        return ahead.assign(**fixed)[[*fixed, "step", "yhat", "lower", "upper"]]
+
+    tail = trailing(series, cfg, cfg.trend_rows).select(*keys, "date", "value")
+    rows = tail.groupBy(*keys).applyInPandas(one_series, schema)
+    recent = trend_model(series, cfg).select(*keys, "recent_avg")
+    return rows.join(recent, keys).select(
+        *keys,
+        "step",
+        F.date_add("last_date", F.col("step")).alias("date"),
+        *[half_even(F.col(c), 2).alias(c) for c in ("yhat", "lower", "upper")],
+        F.lit(label).alias("model"),
+        "recent_avg",
+    )
+
+
 def forecast_summary(rows: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """One row per series and metric: change against the recent mean, verdict, arrays."""
     pct = F.col("pct")

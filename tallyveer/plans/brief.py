@@ -21,8 +21,21 @@ from tallyveer.operators.kpi import kpi_cards, kpi_daily
 from tallyveer.operators.recommend import playbook_table, recommendations
 from tallyveer.operators.series import FactSource, daily_totals, short_series, to_long
 from tallyveer.session import work_folder
+from tallyveer.sources.raw import write_documents
 
 VERSION = "1.0.0"
+TABLES = (
+    "daily",
+    "scorecard",
+    "summary",
+    "drivers",
+    "forecast_rows",
+    "forecast",
+    "recommendations",
+    "explanation",
+    "kpis",
+    "skipped_series",
+)
 
 
 @dataclass(frozen=True)
@@ -117,6 +130,24 @@ def analyze(
     )
 
 
+def scorecard_only(source: FactSource, cfg: AnalysisConfig) -> DataFrame:
+    """The scorecards of all series without the other stages."""
+    return scorecard(to_long(daily_totals(source, cfg), cfg), cfg)
+
+
+def forecast_only(source: FactSource, cfg: AnalysisConfig) -> DataFrame:
+    """The forecast summaries of all series without the other stages."""
+    series = to_long(daily_totals(source, cfg), cfg)
+    return forecast_summary(forecast_rows(series, cfg), cfg)
+
+
+def write_brief(brief: Brief, target: str) -> None:
+    """Every table of a brief as Parquet, and the documents as JSON."""
+    for name in TABLES:
+        getattr(brief, name).write.mode("overwrite").parquet(f"{target}/{name}")
+    write_documents(brief.document(), f"{target}/documents")
+
+
 def _extent(daily: DataFrame, cfg: AnalysisConfig) -> tuple[dt.date | None, int]:
     """Last date of all series and number of dates of the longest; one row comes back."""
     per_series = daily.groupBy(*cfg.series_keys).agg(

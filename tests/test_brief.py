@@ -168,3 +168,19 @@ def test_finite_or_null(spark):
 def test_config_is_checked(bad):
     with pytest.raises(ValueError):
         AnalysisConfig(**bad)
+
+
+def test_command_line(spark, tmp_path):
+    from tallyveer.__main__ import main
+
+    source, target = tmp_path / "in.csv", str(tmp_path / "out")
+    lines = [f"{day(i)};{100 + i % 5};{1 + i % 3};{'north' if i % 2 else 'south'}" for i in range(60)]
+    source.write_text("Date;Sales;Units;City\n" + "\n".join(lines) + "\n")
+    main([str(source), target, "--series-keys", "region", "--horizon", "3"])
+    document = spark.read.json(f"{target}/documents")
+    assert {r["region"] for r in document.collect()} == {"north", "south"}
+    assert spark.read.parquet(f"{target}/forecast_rows").count() == 2 * 3 * 3
+    main([str(source), target + "2", "--only", "scorecard"])
+    assert spark.read.parquet(f"{target}2/scorecard").count() == 3
+    main([str(source), target + "3", "--only", "forecast"])
+    assert spark.read.parquet(f"{target}3/forecast").count() == 3

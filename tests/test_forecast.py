@@ -3,7 +3,7 @@ import pytest
 from conftest import series_facts
 
 from tallyveer.config import AnalysisConfig
-from tallyveer.operators.forecast import forecast_rows, forecast_summary, trend_model
+from tallyveer.operators.forecast import custom_forecast, forecast_rows, forecast_summary, trend_model
 from tallyveer.operators.series import daily_series
 
 CFG = AnalysisConfig(metrics=("revenue",))
@@ -80,3 +80,20 @@ def test_weekday_profile_repeats(spark):
     got = rows(spark, pattern * 10, cfg)
     best = max(got, key=lambda r: r["yhat"])
     assert best["date"].weekday() in (5, 6)
+
+
+def test_custom_model_per_series(spark):
+    import pandas as pd
+
+    def last_value(points, horizon):
+        level = points["value"].iloc[-1]
+        return pd.DataFrame(
+            {"step": range(1, horizon + 1), "yhat": level, "lower": level - 1, "upper": level + 1}
+        )
+
+    cfg = CFG.with_(horizon=3)
+    series = daily_series(series_facts(spark, [1.0, 5.0, 3.0]), cfg)
+    ahead = custom_forecast(series, cfg, last_value)
+    got = [(r["step"], str(r["date"]), r["yhat"]) for r in ahead.orderBy("step").collect()]
+    assert got == [(1, "2024-01-04", 3.0), (2, "2024-01-05", 3.0), (3, "2024-01-06", 3.0)]
+    assert forecast_summary(ahead, cfg).first()["verdict"] == "stable"
