@@ -11,9 +11,8 @@ from pyspark.sql import types as T
 
 from tallyveer.config import AnalysisConfig
 from tallyveer.operators.detect import scorecard
-from tallyveer.operators.rollup import exact_sum
+from tallyveer.operators.rollup import average_order_value, exact_sum
 from tallyveer.operators.series import AMOUNT, to_long
-from tallyveer.operators.rollup import average_order_value
 
 TOTALS = ("revenue", "orders")
 
@@ -54,6 +53,24 @@ def current_daily(spark: SparkSession, folder: str, cfg: AnalysisConfig) -> Data
     )
 
 
+def merge_totals(spark: SparkSession, folder: str, target: str, cfg: AnalysisConfig) -> None:
+    """Fold all stored micro-batches into one under ``target``, between two runs.
+
+    The merged rows carry the last batch id, later batches have higher ones. Call
+    it while the query is stopped and all its batches are committed.
+    """
+    stored = spark.read.parquet(folder)
+    last = stored.agg(F.max("batch_id")).scalar()
+    (
+        stored.groupBy(*cfg.series_keys, "date")
+        .agg(*[F.sum(c).cast(AMOUNT).alias(c) for c in TOTALS])
+        .withColumn("batch_id", last)
+        .write.mode("errorifexists")
+        .partitionBy("batch_id")
+        .parquet(target)
+    )
+
+
 def refresh_scorecard(spark: SparkSession, folder: str, cfg: AnalysisConfig) -> DataFrame:
     return scorecard(to_long(current_daily(spark, folder, cfg), cfg), cfg)
 

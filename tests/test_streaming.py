@@ -65,6 +65,18 @@ def test_replayed_batch_counts_once(spark, tmp_path):
     assert (float(row["revenue"]), float(row["orders"])) == (10.0, 2.0)
 
 
+def test_merged_totals_stay_the_same(spark, tmp_path):
+    folder, target = str(tmp_path / "daily"), str(tmp_path / "merged")
+    schema = "date date, category string, revenue double, orders double"
+    for batch_id, value in enumerate((5.0, 7.0, 11.0)):
+        batch = spark.createDataFrame([(dt.date(2024, 1, 1 + batch_id % 2), "a", value, 1.0)], schema)
+        rf.append_totals(batch, batch_id, folder, CFG)
+    rf.merge_totals(spark, folder, target, CFG)
+    assert {r["batch_id"] for r in spark.read.parquet(target).collect()} == {2}
+    before = rf.current_daily(spark, folder, CFG).orderBy("date").collect()
+    assert rf.current_daily(spark, target, CFG).orderBy("date").collect() == before
+
+
 def test_refreshed_card_equals_batch(spark, data, tmp_path):
     # several files, so several micro-batches
     source = str(tmp_path / "in")
