@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one Arrow batch: long texts must not meet in a batch by the thousand.
 BATCH_ROWS = 512
@@ -95,3 +98,35 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = pairs.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(roots)
+
+
+def per_batch(make: Callable[[], Callable[[list], Iterable[tuple]]], returns: str):
+    """Arrow-batched column function: ``make()`` once per task gives values -> a tuple of the struct ``returns`` each.
+
+    Keys and other columns stay in the JVM. Batches are bounded by ``BATCH_ROWS``; nothing is kept between them.
+    """
+    names = [f.name for f in T.StructType.fromDDL(returns).fields]
+
+    def run(batches):
+        many = make()
+        for values in batches:
+            yield pd.DataFrame.from_records(list(many(values.tolist())), columns=names)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, returns)
+
+
+def per_text(make: Callable[[], Callable[[str], tuple]], returns: str):
+    """As ``per_batch`` for one text at a time; a null text counts as empty."""
+
+    def lifted():
+        one = make()
+        return lambda texts: (one(t or "") for t in texts)
+
+    return per_batch(lifted, returns)
+
+
+def scored(docs: DataFrame, function, key: str, column: str) -> DataFrame:
+    """The key and the fields of ``function`` over ``column``."""
+    out = docs.select(field(key).alias("key"), function(field(column)).alias("found"))
+    return out.select(F.col("key").alias(key), "found.*")
