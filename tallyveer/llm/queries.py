@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyveer.llm import bpe, license_scan, quality, secret_scan
+from tallyveer.llm import bpe, license_scan, quality, secret_scan, toxicity
 from tallyveer.llm.common import prepare
 from tallyveer.llm.sql import SQL
 
@@ -48,4 +48,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 ORACLES = {name: text for name, text in SQL.items() if name in QUERIES}
