@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyveer.llm import bpe, license_scan, quality, secret_scan, toxicity
+from tallyveer.llm import bpe, license_scan, quality, secret_scan, simhash, toxicity
 from tallyveer.llm.common import prepare
 from tallyveer.llm.sql import SQL
 
@@ -37,6 +37,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op4_simhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("n_lines", "n_stop_words")
