@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyveer.llm import bpe, license_scan, quality, secret_scan, simhash, toxicity
+from tallyveer.llm import bpe, license_scan, packing, quality, secret_scan, simhash, toxicity
 from tallyveer.llm.common import prepare
 from tallyveer.llm.sql import SQL
 
@@ -53,6 +53,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
