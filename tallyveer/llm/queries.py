@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyveer.llm import bpe, license_scan, packing, quality, secret_scan, simhash, toxicity
+from tallyveer.llm import bpe, license_scan, packing, pii, quality, secret_scan, simhash, toxicity
 from tallyveer.llm.common import prepare
 from tallyveer.llm.sql import SQL
 
@@ -58,6 +58,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.train(docs))
+
+
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
