@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyveer.llm import bpe, license_scan, packing, pii, quality, secret_scan, simhash, toxicity
+from tallyveer.llm import bpe, embeddings, license_scan, packing, pii, quality, secret_scan, simhash, toxicity
 from tallyveer.llm.common import prepare
 from tallyveer.llm.sql import SQL
 
@@ -47,6 +47,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("n_lines", "n_stop_words")
 
 
+@query("op6_embedding_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

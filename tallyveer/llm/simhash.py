@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveer.llm.common import connected_components, field, per_text, stored
+from tallyveer.llm.common import connected_components, field, merged, per_text, stored
 
 SHINGLE = 4
 BITS = 4
@@ -148,20 +148,6 @@ class Groups:
     def __init__(self, prints: np.ndarray):
         self.prints, self.label = prints, np.arange(len(prints))
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Merge the groups of each pair of rows."""
-        while len(a):
-            x, y = self.label[a], self.label[b]
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            if not len(a):
-                return
-            low = np.arange(len(self.label))
-            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
-            while not np.array_equal(low, shorter := low[low]):
-                low = shorter
-            self.label = low[self.label]
-
     def compare(self, rows: np.ndarray, others: np.ndarray, bits: int) -> None:
         """Join each of ``rows`` with those of ``rows`` and ``others`` that are near."""
         every = np.concatenate([rows, others])
@@ -173,7 +159,7 @@ class Groups:
             near = np.bitwise_count(self.prints[part][:, None] ^ self.prints[every][None, :]) <= bits
             near &= self.label[part][:, None] != self.label[every][None, :]
             x, y = np.nonzero(near)
-            self.join(part[x], every[y])
+            self.label = merged(self.label, part[x], every[y])
 
     def search(self, values: np.ndarray, home: np.ndarray, guests: np.ndarray, bits: int, radius: int) -> None:
         """Part the shard further, pruning by the triangle inequality, and compare what remains together."""
