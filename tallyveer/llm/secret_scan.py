@@ -2,7 +2,8 @@
 
 Two character Markov models of the first order, one of random strings and one of ordinary identifiers, are trained from
 labelled samples: random are the values that the fixed shapes find in a bounded sample of documents and drawn strings of
-usual alphabets, ordinary are the other words of that sample and names composed of them. A candidate (an unbroken run of token characters) is a secret if
+usual alphabets, ordinary are the other words of that sample, names composed of them
+and lines drawn with one sign. A candidate (an unbroken run of token characters) is a secret if
 its log-likelihood ratio exceeds the log of the odds against a random string.
 
 Defined results: a null text counts as empty and has no spans; a span of the method that touches a span of a shape is not
@@ -112,7 +113,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     counts = np.zeros(2 * SIZE * SIZE, dtype=np.int64)
     for pair, n in rows.groupBy("pair").agg(F.sum("n")).collect():  # at most 2 * SIZE * SIZE rows
         counts[pair] = n
-    return MarkovPair(counts[: SIZE * SIZE] + transitions(drawn_strings()), counts[SIZE * SIZE :])
+    ordinary = counts[SIZE * SIZE :] + transitions(rules())
+    return MarkovPair(counts[: SIZE * SIZE] + transitions(drawn_strings()), ordinary)
+
+
+def rules(each: int = 20) -> list[str]:
+    """Labelled ordinary strings: lines drawn with one sign."""
+    return [c * n for c in SYMBOLS[62:] for n in (16, 32, 64)] * each
 
 
 def labelled(text: str) -> tuple[list[str], list[str]]:

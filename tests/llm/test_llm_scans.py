@@ -1,0 +1,226 @@
+"""Secrets, licences, quality rules and personal data against plain versions."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from tallyveer.llm import license_scan, pii, quality, secret_scan
+
+
+def digest(spans, kinds) -> str:
+    return hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(spans)).encode()).hexdigest()
+
+
+def plain_secrets(t: str) -> list[tuple[int, int, int]]:
+    shape = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    out = [(m.start(), 0, m.end()) for m in re.finditer(shape, t, re.I | re.A) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return out + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+
+
+def plain_personal(t: str) -> list[tuple[int, int, int]]:
+    shapes = (
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        r"[0-9]([\x20-]?[0-9])+",
+        r"\+[0-9][\x20().0-9-]+[0-9]",
+    )
+    out = []
+    for k, shape in enumerate(shapes):
+        for m in re.finditer(shape, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = (
+                True,
+                k == 1 and all(int(p) <= 255 for p in m[0].split(".")),
+                14 <= len(digits) <= 19 and pii.luhn(digits),
+                10 <= len(digits) <= 15,
+            )[k]
+            if good:
+                out.append((m.start(), k, m.end()))
+    return out
+
+
+def test_secret_shapes_match_plain_regexes():
+    rng = random.Random(1)
+    pieces = ["token", "API_KEY", "secret", "=", ":", " ", '"', "'", "abcdef", "AKIA", "ABCD1234EFGH5678", "0f" * 13, "é", ".", "ſecret"]
+    for _ in range(4000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        assert sorted(secret_scan.base_spans(t)) == sorted(plain_secrets(t)), t
+
+
+def test_a_failing_assignment_is_not_retried():
+    assert secret_scan.base_spans("password: token: abcdefgh") == []
+
+
+def test_secret_query_on_edges(edges, nothing):
+    model = secret_scan.train(edges)
+    rows = secret_scan.scan(edges, model).collect()
+    texts = edges.select("doc_id", "text").collect()
+    assert sorted((r.doc_id or 0, r.base_sha256) for r in rows) == sorted(
+        (r.doc_id or 0, digest(plain_secrets(r.text or ""), secret_scan.KINDS)) for r in texts
+    )
+    assert all(r.spans == "" for r in rows if r.doc_id in (1, 2, 3, 4, 7))
+    assert next(r for r in rows if r.doc_id == 8).spans == "assign:0:49,hex:9:49"
+    assert secret_scan.scan(nothing, secret_scan.train(nothing)).count() == 0
+
+
+def test_markov_models_tell_names_from_random_strings(sample):
+    model = secret_scan.train(sample)
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = ["".join(rng.choice(letters) for _ in range(28)) for _ in range(200)]
+    assert sum(len(secret_scan.find(f"see {w} there", model)) for w in drawn) >= 195
+    for name in ("getElementByIdAndName", "onehundredninetythreetimes", "application_settings_default", "=" * 40, "_" * 50):
+        assert secret_scan.find(f"see {name} there", model) == []
+
+
+def test_redaction_keeps_the_rest(edges):
+    model = secret_scan.train(edges)
+    out = secret_scan.redacted(edges, model)
+    assert out.columns == edges.columns
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[8].text.startswith('[SECRET]" mail') and rows[8].n_chars == len(rows[8].text)
+    assert rows[2].text is None and rows[7].text == "word " * 60_000
+    assert secret_scan.redact("abcdef", [(0, 0, 2), (2, 1, 3), (4, 2, 6)], "#") == "#d#"
+
+
+def plain_licence(t: str):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    phrases = {"mit": "the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+    places, labels = [], set()
+    for label, phrase in phrases.items():
+        p = phrase.split()
+        hits = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        places += hits
+        labels |= {label} if hits else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_licence_base_on_edges_and_table(edges, sample, nothing):
+    for docs in (edges, sample):
+        want = sorted((str(r.doc_id), *map(str, plain_licence(r.text or ""))) for r in docs.select("doc_id", "text").collect())
+        rows = license_scan.scan(docs).collect()
+        got = sorted(
+            tuple(map(str, (r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels))) for r in rows
+        )
+        assert got == want
+        assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in rows)
+    assert license_scan.scan(nothing).count() == 0
+
+
+def test_automaton_statistics_match_brute_force():
+    rng = random.Random(2)
+    for _ in range(200):
+        sequences = [[rng.randint(0, 2) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 4))]
+        text = [rng.randint(0, 3) for _ in range(25)]
+        automaton = license_scan.SuffixAutomaton(sequences)
+        runs = [run for _, run in automaton.statistics(text)]
+        for i, (state, run) in enumerate(automaton.statistics(text)):
+            best = max(
+                (n for n in range(1, i + 2) for s in sequences for j in range(len(s) - n + 1) if s[j : j + n] == text[i + 1 - n : i + 1]),
+                default=0,
+            )
+            assert run == runs[i] == best
+            if run:
+                part = text[i + 1 - run : i + 1]
+                ends = {(k, j + run - 1) for k, s in enumerate(sequences) for j in range(len(s) - run + 1) if s[j : j + run] == part}
+                assert ends <= set(automaton.ends[state])
+
+
+def test_templates_are_covered_in_pieces():
+    scan = license_scan.Scanner().scan
+    mit = next(t for label, t in license_scan.TEMPLATES if label == "mit" and t.startswith("Permission"))
+    words = mit.split()
+    whole = scan("intro " + mit + " outro")
+    cut = scan(" ".join(words[:20]) + " stray words here " + " ".join(words[20:]))
+    swapped = scan(" ".join(words[len(words) // 2 :]) + " and then " + " ".join(words[: len(words) // 2]))
+    assert whole[5] == cut[5] == "mit" and whole[6] == 1.0 and cut[6] > 0.9
+    assert swapped[6] < 0.6 and swapped[5] == ""
+    assert scan("The licence of the software is free of charge")[5] == ""
+
+
+def plain_quality(t: str):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = {g for g in grams if grams.count(g) > 1} if len(grams) < 2000 else {g for g in set(grams) if grams.count(g) > 1}
+    covered = {i + j for i, g in enumerate(grams) if g in twice for j in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", t)),
+        len(lines) - len(set(lines)),
+        len(covered),
+        len(words) < 50 or 100 * len(covered) > 50 * len(words),
+    )
+
+
+def test_quality_measures_match_plain(edges, sample, nothing):
+    for docs in (edges, sample):
+        rows = quality.judge(docs).collect()
+        got = sorted(
+            (str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows
+        )
+        assert got == sorted((str(r.doc_id), *plain_quality(r.text or "")) for r in docs.select("doc_id", "text").collect())
+        assert not any(r.kept and r.base_failed for r in rows)
+    kept = quality.keep_good(edges)
+    assert kept.columns == edges.columns
+    assert kept.count() == sum(r.kept for r in quality.judge(edges).collect())
+    assert quality.judge(nothing).count() == quality.keep_good(nothing).count() == 0
+
+
+def test_quality_verdict_agrees_with_labels(spark, data, sample):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    rows = quality.judge(sample).where("not base_failed").join(labels, "doc_id").collect()
+    assert np.mean([r.kept == bool(r.quality) for r in rows]) > 0.98
+
+
+def test_quality_stays_in_one_projection(sample):
+    plan = quality.judge(sample)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_personal_shapes_match_plain_regexes():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        t = "".join(rng.choice("1234567890a@.+- ()%") for _ in range(rng.randint(1, 40)))
+        assert sorted(pii.base_spans(t)) == sorted(plain_personal(t)), t
+    assert pii.base_spans("a" * 300_000) == [] and pii.base_spans("1" * 300_000) == []
+
+
+def test_personal_query_on_edges(edges, nothing):
+    selector = pii.train(edges)
+    rows = pii.scan(edges, selector).collect()
+    want = sorted(
+        (r.doc_id or 0, digest(plain_personal(r.text or ""), pii.KINDS)) for r in edges.select("doc_id", "text").collect()
+    )
+    assert sorted((r.doc_id or 0, r.base_sha256) for r in rows) == want
+    eight = next(r for r in rows if r.doc_id == 8)
+    assert (eight.n_email, eight.n_ip, eight.n_card, eight.n_phone) == (1, 0, 0, 1)
+    assert all(r.spans == "" for r in rows if r.doc_id in (1, 2, 3, 4, 6, 7))
+    assert pii.scan(nothing, pii.train(nothing)).count() == 0
+    out = {r.doc_id: r for r in pii.redacted(edges, selector).collect()}
+    assert "[EMAIL]" in out[8].text and out[8].text.endswith("[PHONE]") and out[2].text is None
+
+
+def test_trees_accept_written_formats_and_leave_numbers(sample):
+    selector = pii.train(sample)
+    kinds = lambda t: [k - len(pii.KINDS) for _, k, _ in selector.spans(t)[1] if k >= len(pii.KINDS)]
+    assert kinds("call me at (415) 555-2671 now") == [1]
+    assert kinds("write john.smith [at] example [dot] com") == [0]
+    assert kinds("ssn 123-45-6789.") == [2]
+    assert kinds("iban DE44 5001 0517 5407 3249 31") == [3]
+    for plain in ("on 2024-01-05 we", "version 10.11.12", "order 12345678", "price 1 234 567", "meet me [at] noon"):
+        assert kinds(plain) in ([], [0][: plain.count("[at]")])
+
+
+def test_boosted_trees_learn_an_interaction():
+    rng = np.random.default_rng(1)
+    x = rng.random((2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    trees = pii.BoostedTrees(rounds=40).fit(x[:1500], y[:1500])
+    assert ((trees.probability(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
