@@ -11,7 +11,7 @@ tasks are averaged by tokens. Scoring runs each document from its first to its l
 along, whatever its length.
 
 Counts of frequent words travel with the tasks: a word with at least one in ``HEAD_SHARE`` training tokens, of which there are at most
-``HEAD_SHARE``. All other words are joined with the table of counts; none of them is common, so no key is hot. Nothing
+``HEAD_SHARE`` (and the end token). All other words are joined with the table of counts; none of them is common, so no key is hot. Nothing
 else grows with the corpus outside Spark's own tables.
 
 Defined results: a null or blank text is its end token alone; a document without id is never held out; repeated rows are learnt from and scored
@@ -309,7 +309,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     learnt = docs.where(~held_out(field(key), FOLDS, HELD))
     counts = stored(count_words(learnt, text), "word-counts")
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.where(F.col("n") * HEAD_SHARE >= tokens).collect()  # at most HEAD_SHARE rows
+    common = (F.col("n") * HEAD_SHARE >= tokens) | (F.length("word") == 0)  # the end token always
+    frequent = counts.where(common).collect()  # at most HEAD_SHARE + 1 rows
     head = sorted(((-r.n, bytes(r.word)) for r in frequent))
     index = {w: i for i, (_, w) in enumerate(head)}
 

@@ -171,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 for w, n in words.items():
                     for r in runs_of(w):
                         runs[r] += n
-                yield pd.DataFrame({"toxic": c, "run": list(runs), "n": list(runs.values())})
+                if runs:
+                    yield pd.DataFrame({"toxic": c, "run": list(runs), "n": list(runs.values())})
 
     counted = sample.mapInPandas(count, "toxic int, run string, n long").groupBy("toxic", "run").agg(F.sum("n").alias("n"))
     counts = (Counter(), Counter())
