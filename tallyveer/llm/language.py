@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,9 @@ SUFFIX_GROUPS = 512
 CLASSES = 48
 STATE = 16
 #: Streams and steps of one truncated backpropagation.
-STREAMS, WINDOW = 256, 16
+STREAMS, WINDOW = 512, 16
+#: Tokens whose softmax is taken together in scoring.
+SOFTMAX_TOKENS = 1 << 14
 #: Documents and code points of the warm-up sample.
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 2000, 20_000
 WARM_PASSES = 6
@@ -85,17 +88,20 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
 
 
 class Network:
-    """Gated recurrent units over class inputs, with a softmax over classes."""
+    """Gated recurrent units over token inputs, with a softmax over classes.
 
-    names = ("inputs", "state", "output", "bias")
+    Gates (update and reset) and the new state have arrays of their own, so every operation runs over whole rows.
+    """
+
+    names = ("input_gates", "input_new", "state_gates", "state_new", "output", "bias")
 
     def __init__(self, n_inputs: int, seed: int = 5):
         rng = np.random.default_rng(seed)
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        self.inputs = small(n_inputs, 3 * STATE)
-        self.state = small(STATE, 3 * STATE)
-        self.output = small(STATE, CLASSES)
-        self.bias = np.zeros(CLASSES, dtype=np.float32)
+        self.n_inputs = n_inputs
+        self.input_gates, self.input_new = small(n_inputs, 2 * STATE), small(n_inputs, STATE)
+        self.state_gates, self.state_new = small(STATE, 2 * STATE), small(STATE, STATE)
+        self.output, self.bias = small(STATE, CLASSES), np.zeros(CLASSES, dtype=np.float32)
 
     def weights(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.names])
@@ -108,52 +114,80 @@ class Network:
             at += old.size
         return self
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Next state, and what its gradient needs."""
-        given, kept = self.inputs[x], h @ self.state
-        gates = np.tanh((given[:, : 2 * STATE] + kept[:, : 2 * STATE]) * np.float32(0.5))
-        gates = gates * np.float32(0.5) + np.float32(0.5)
-        z, r, inner = gates[:, :STATE], gates[:, STATE:], kept[:, 2 * STATE :]
-        new = np.tanh(given[:, 2 * STATE :] + r * inner)
-        return new + z * (h - new), z, r, inner, new
-
-    def log_classes(self, h: np.ndarray) -> np.ndarray:
-        logits = h @ self.output + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    def step(self, gates: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Next state from the inputs' parts (which are overwritten), and what its gradient needs."""
+        gates += h @ self.state_gates
+        gates *= 0.5
+        np.tanh(gates, out=gates)  # half of it plus one half is the logistic curve
+        gates *= 0.5
+        gates += 0.5
+        inner = h @ self.state_new
+        new += gates[:, STATE:] * inner
+        np.tanh(new, out=new)
+        after = h - new
+        after *= gates[:, :STATE]
+        after += new
+        return after, inner
+
+    def exponentials(self, states: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled probabilities of all classes, their sums, and the logits of the goals on the same scale.
+
+        States lie within one, so the weights bound the logits; only large weights need the row's maximum taken off.
+        """
+        logits = states @ self.output
+        logits += self.bias
+        if np.abs(self.bias).max() + np.abs(self.output).sum(axis=0).max() > 60:
+            logits -= logits.max(axis=1, keepdims=True)
+        right = logits[np.arange(len(goal)), goal]
+        np.exp(logits, out=logits)
+        return logits, logits.sum(axis=1), right
 
     def gradients(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[list, np.ndarray, float]:
         """Truncated backpropagation through one window (steps by streams); ``first`` marks starts of documents."""
-        steps, past = [], []
-        for t in range(len(x)):
-            h = np.where(first[t][:, None], np.float32(0), h)
-            past.append(h)
-            h, *rest = self.step(x[t], h)
-            steps.append((h, *rest))
-        states = np.stack([s[0] for s in steps]).reshape(-1, STATE)
-        logs, goal = self.log_classes(states), y.ravel()
-        at = np.arange(len(goal))
-        loss = -float(logs[at, goal].sum())
-        error = np.exp(logs)
-        error[at, goal] -= 1
-        error /= np.float32(len(goal))
-        into = (error @ self.output.T).reshape(len(x), -1, STATE)
-        d_state, pieces, dh = np.zeros_like(self.state), [], np.zeros_like(h)
-        for t in reversed(range(len(x))):
-            _, z, r, inner, new = steps[t]
-            dh = dh + into[t]
-            d_new = dh * (1 - z) * (1 - new * new)
-            d_gate = np.concatenate([dh * (past[t] - new) * z * (1 - z), d_new * inner * r * (1 - r)], axis=1)
-            d_kept = np.concatenate([d_gate, d_new * r], axis=1)
-            pieces.append(np.concatenate([d_gate, d_new], axis=1))
-            d_state += past[t].T @ d_kept
-            dh = np.where(first[t][:, None], np.float32(0), dh * z + d_kept @ self.state.T)
-        rows, ids = np.concatenate(pieces[::-1]), x.ravel()
+        steps, streams = x.shape
+        ids, goal, keep = x.ravel(), y.ravel(), (~first).astype(h.dtype)[:, :, None]
+        gates = self.input_gates[ids].reshape(steps, streams, -1)
+        new = self.input_new[ids].reshape(steps, streams, -1)
+        past, inner, after = np.empty_like(new), np.empty_like(new), np.empty_like(new)
+        for t in range(steps):
+            h = past[t] = h * keep[t]
+            h, inner[t] = self.step(gates[t], new[t], h)
+            after[t] = h
+        states = after.reshape(-1, STATE)
+        error, sums, right = self.exponentials(states, goal)
+        loss = float(np.log(sums).sum() - right.sum())
+        error /= sums[:, None]
+        error[np.arange(len(goal)), goal] -= 1
+        error /= len(goal)
+        into = (error @ self.output.T).reshape(new.shape)
+        # what each step's gradient is multiplied by does not depend on later steps
+        z, r = gates[:, :, :STATE], gates[:, :, STATE:]
+        by_new = (1 - z) * (1 - new * new)
+        by_update = (past - new) * (z * (1 - z))
+        by_reset = inner * (r * (1 - r))
+        d_gates, d_new, d_inner = np.empty_like(gates), np.empty_like(new), np.empty_like(new)
+        back_gates, back_new, dh = self.state_gates.T.copy(), self.state_new.T.copy(), np.zeros_like(h)
+        for t in reversed(range(steps)):
+            dh += into[t]
+            np.multiply(dh, by_new[t], out=d_new[t])
+            np.multiply(dh, by_update[t], out=d_gates[t, :, :STATE])
+            np.multiply(d_new[t], by_reset[t], out=d_gates[t, :, STATE:])
+            np.multiply(d_new[t], r[t], out=d_inner[t])
+            dh *= z[t]
+            dh += d_gates[t] @ back_gates
+            dh += d_inner[t] @ back_new
+            dh *= keep[t]
+        before = past.reshape(-1, STATE).T
+        d_gates, d_new = d_gates.reshape(len(ids), -1), d_new.reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
         start = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        d_inputs = np.zeros_like(self.inputs)
-        d_inputs[ids[order][start]] = np.add.reduceat(rows[order], start, axis=0)
-        return [d_inputs, d_state, states.T @ error, error.sum(axis=0)], h, loss
+        d_inputs = []
+        for rows, weights in ((d_gates, self.input_gates), (d_new, self.input_new)):
+            d = np.zeros_like(weights)
+            d[ids[order][start]] = np.add.reduceat(rows[order], start, axis=0)
+            d_inputs.append(d)
+        parts = [*d_inputs, before @ d_gates, before @ d_inner.reshape(len(ids), -1), states.T @ error, error.sum(axis=0)]
+        return parts, h, loss
 
     def fit(self, documents: list[tuple[np.ndarray, np.ndarray]], rate: float, moments: dict) -> float:
         """One pass over (inputs, classes) of documents laid out in parallel streams; mean loss of a token."""
@@ -164,7 +198,9 @@ class Network:
         streams = max(1, min(STREAMS, len(x) // WINDOW))
         length = -(-len(x) // streams)
         # the last stream is filled up from the beginning
-        x, y, first = (np.resize(v, streams * length).reshape(streams, length).T for v in (x, y, first))
+        x, y, first = (
+            np.ascontiguousarray(np.resize(v, streams * length).reshape(streams, length).T) for v in (x, y, first)
+        )
         h, total = np.zeros((streams, STATE), dtype=np.float32), 0.0
         for i in range(0, length, WINDOW):
             parts, h, loss = self.gradients(x[i : i + WINDOW], y[i : i + WINDOW], first[i : i + WINDOW], h)
@@ -178,34 +214,47 @@ class Network:
         scale = rate * math.sqrt(1 - 0.999**n) / (1 - 0.9**n)
         for name, g in zip(self.names, parts, strict=True):
             m, v = moments.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.001) * (g * g - v)
-            getattr(self, name)[...] -= np.float32(scale) * m / (np.sqrt(v) + np.float32(1e-8))
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            getattr(self, name)[...] -= scale * m / (np.sqrt(v) + 1e-8)
 
     def log_likelihoods(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Natural log-probability of each document's classes; states run through whole documents."""
+        if not documents:
+            return np.zeros(0)
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i][0]))
         lengths = np.array([len(documents[i][0]) for i in order])
-        longest = int(lengths[0]) if len(lengths) else 0
-        active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # documents longer than each step
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+        # documents longer than each step; they come first
+        active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").tolist()
         x = np.concatenate([documents[i][0] for i in order])
         y = np.concatenate([documents[i][1] for i in order])
-        total, h, t = np.zeros(len(order)), np.zeros((len(order), STATE), dtype=np.float32), 0
-        while t < longest:
-            upto, states, goals, owners = t, [], [], []
-            # windows bound the memory of the softmax, not the state
-            while upto < longest and sum(map(len, goals)) < 8 * STREAMS * WINDOW:
-                n = int(active[upto])
-                h = self.step(x[starts[:n] + upto], h[:n])[0]
-                states.append(h)
-                goals.append(y[starts[:n] + upto])
-                owners.append(np.arange(n))
-                upto += 1
-            goal = np.concatenate(goals)
-            logs = self.log_classes(np.concatenate(states))[np.arange(len(goal)), goal]
-            total += np.bincount(np.concatenate(owners), weights=logs, minlength=len(order))
-            t = upto
+        total, h = np.zeros(len(order)), np.zeros((len(order), STATE), dtype=np.float32)
+        states, goals = [], []
+
+        def settle() -> None:
+            """Windows bound the memory of the softmax, not the state."""
+            _, sums, right = self.exponentials(np.concatenate(states), np.concatenate(goals))
+            right -= np.log(sums)
+            at = 0
+            for g in goals:
+                total[: len(g)] += right[at : at + len(g)]
+                at += len(g)
+            states.clear()
+            goals.clear()
+
+        waiting = 0
+        for t, n in enumerate(active):
+            places = starts[:n] + t
+            ids = x[places]
+            h = self.step(self.input_gates[ids], self.input_new[ids], h[:n])[0]
+            states.append(h)
+            goals.append(y[places])
+            waiting += n
+            if waiting >= SOFTMAX_TOKENS:
+                settle()
+                waiting = 0
+        settle()
         out = np.zeros(len(order))
         out[order] = total
         return out
@@ -229,7 +278,7 @@ class Vocabulary:
         return INPUT_WORDS + CLASSES
 
     def __post_init__(self):
-        self.suffix: dict[bytes, int] = {}
+        self.suffix = Endings(self.group_class)
         self.log_count = np.log10(self.counts + 1.0)
         self.classes = np.array([self._class(w, i) for w, i in self.index.items()], dtype=np.int16)
 
@@ -241,24 +290,31 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Indices of frequent words (-1 for others), network inputs and classes; the end token is last."""
-        found = np.fromiter((self.index.get(w, -1) for w in (*words, END)), dtype=np.int64, count=len(words) + 1)
-        classes = np.where(found >= 0, self.classes[found] if len(self.classes) else 0, 0).astype(np.int64)
-        for i in np.flatnonzero(found < 0).tolist():
-            if i == len(words):
-                classes[i] = CLASSES - 1
-                continue
-            tail = words[i][-2:]
-            c = self.suffix.get(tail)
-            if c is None:
-                c = self.suffix[tail] = int(self.group_class[suffix_group(tail)])
-            classes[i] = c
-        own = (found >= 0) & (found < INPUT_WORDS)
-        inputs = np.empty(len(found), dtype=np.int64)
+        found = np.array(list(map(self.index.get, (*words, END), repeat(-1))), dtype=np.int64)
+        rare = np.flatnonzero(found < 0)
+        classes = self.classes[found] if len(self.classes) else np.zeros(len(found), dtype=np.int16)
+        if len(rare) and rare[-1] == len(words):
+            classes[-1], rare = CLASSES - 1, rare[:-1]
+        if len(rare):
+            endings = [words[i][-2:] for i in rare.tolist()]
+            classes[rare] = list(map(self.suffix.__getitem__, endings))
+        inputs = np.empty(len(found), dtype=np.int16)
         inputs[0] = self.start
-        inputs[1:] = np.where(own, found, INPUT_WORDS + classes)[:-1]
+        inputs[1:] = np.where(found < 0, INPUT_WORDS + classes, np.where(found < INPUT_WORDS, found, INPUT_WORDS + classes))[:-1]
         return found, inputs, classes
 
 
+class Endings(dict):
+    """Class of the words that end in these two bytes."""
+
+    def __init__(self, group_class: np.ndarray):
+        self.group_class = group_class
+
+    def __missing__(self, ending: bytes) -> int:
+        self[ending] = found = int(self.group_class[suffix_group(ending)])
+        return found
+
+
 def company(documents: list[list[bytes]], index: dict[bytes, int], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the chosen words (-1: too rare in the sample) and of the suffix groups, by their neighbours.
 
@@ -352,7 +408,7 @@ def averaged(docs: DataFrame, text: str, vocabulary: Vocabulary, network: Networ
     before = network.weights()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, moments, pool, waiting, done = Network(len(network.inputs)).load(before), {}, [], 0, 0
+        own, moments, pool, waiting, done = Network(network.n_inputs).load(before), {}, [], 0, 0
         for rows in batches:
             for t in rows["t"]:
                 pool.append(vocabulary.encode(words_of(t))[1:])
@@ -375,7 +431,7 @@ def averaged(docs: DataFrame, text: str, vocabulary: Vocabulary, network: Networ
     mean = np.zeros(len(before))
     for at, w, n in sums:
         mean[at] = w / n
-    return Network(len(network.inputs)).load(mean)
+    return Network(network.n_inputs).load(mean)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

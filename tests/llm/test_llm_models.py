@@ -87,14 +87,15 @@ def test_state_is_carried_through_whole_documents():
     rng = np.random.default_rng(3)
     net = language.Network(language.INPUT_WORDS + language.CLASSES + 1, seed=4)
     documents = [
-        (rng.integers(0, len(net.inputs), n), rng.integers(0, language.CLASSES, n)) for n in (1, 700, 3, 64, 20_000, 64)
+        (rng.integers(0, net.n_inputs, n), rng.integers(0, language.CLASSES, n)) for n in (1, 700, 3, 64, 20_000, 64)
     ]
     got = net.log_likelihoods(documents)
     for (x, y), value in zip(documents, got, strict=True):
         h, total = np.zeros((1, language.STATE), dtype=np.float32), 0.0
         for a, b in zip(x, y, strict=True):
-            h = net.step(np.array([a]), h)[0]
-            total += float(net.log_classes(h)[0, b])
+            h = net.step(net.input_gates[[a]], net.input_new[[a]], h)[0]
+            every, sums, _ = net.exponentials(h, np.array([b]))
+            total += float(np.log(every[0, b] / sums[0]))
         assert abs(total - value) < 1e-3 * max(1, abs(total))
 
 
