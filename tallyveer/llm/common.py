@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,15 @@ BLANKS = " \t\n\x0b\f\r"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that Python functions get."""
+    """Bound the Arrow batches that Python functions get, and name this checkout to the workers.
+
+    Executors that do not see the checkout need the package from ``--py-files`` as usual.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    here, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(":") if p]
+    if here not in paths:
+        known["PYTHONPATH"] = ":".join([*paths, here])
     return spark
 
 

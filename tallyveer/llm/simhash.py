@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ SAMPLE_PRINTS = 1 << 16
 #: Prints of a shard that a tree aims at, and those that a task takes at most.
 SHARD = 1024
 SHARD_CAP = 4 * SHARD
+#: Prints that go down a tree together.
+POOL = 1 << 15
 #: Cells of one comparison of prints in memory.
 CELLS = 1 << 20
 
@@ -189,6 +192,18 @@ class Groups:
         return pd.DataFrame({"a": signed[order][apart], "b": least[apart]})
 
 
+def pooled(batches: Iterator[pd.DataFrame], size: int = POOL) -> Iterator[np.ndarray]:
+    """Prints of several batches together."""
+    pool: list[np.ndarray] = []
+    for part in batches:
+        pool.append(part["print"].to_numpy(np.int64))
+        if sum(map(len, pool)) >= size:
+            yield np.concatenate(pool)
+            pool = []
+    if pool:
+        yield np.concatenate(pool)
+
+
 def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``print``) that connect all pairs within ``bits``."""
     radius, total = bits // BLOCKS, prints.count()
@@ -197,13 +212,13 @@ def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> Data
     size = max(16.0, shard * len(sample) / max(total, 1))
     trees, first = [], 0
     for b in range(BLOCKS):
-        leaves = iter(range(first, first + 2 * len(sample) + 1))
+        leaves = count(first)
         trees.append(grow(block_of(sample, b), size, leaves))
         first = next(leaves)
 
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            values = part["print"].to_numpy(np.int64).astype(np.uint64)
+        for signed in pooled(batches):
+            values = signed.astype(np.uint64)
             found = [
                 (leaf, len(rows))
                 for b, tree in enumerate(trees)
@@ -216,11 +231,11 @@ def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> Data
     chunks = {r.leaf: -(-r.n // SHARD_CAP) for r in counted.where(F.col("n") > SHARD_CAP).collect()}  # leaves only
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            signed = part["print"].to_numpy(np.int64)
+        for signed in pooled(batches):
             values = signed.astype(np.uint64)
             mixed = (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
             for b, tree in enumerate(trees):
+                out = []
                 for leaf, rows, home in visits(tree, block_of(values, b), radius):
                     n = chunks.get(leaf, 1)
                     own = (mixed[rows] % np.uint64(n)).astype(np.int64)
@@ -228,10 +243,12 @@ def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> Data
                         # of two chunks the later one's prints visit the earlier one
                         here = rows[own >= chunk] if home else rows
                         lives = own[own >= chunk] == chunk if home else np.zeros(len(rows), dtype=bool)
-                        if len(here):
-                            yield pd.DataFrame(
-                                {"tree": b, "leaf": leaf, "chunk": chunk, "print": signed[here], "home": lives}
-                            )
+                        place = np.broadcast_to(np.array([leaf, chunk]), (len(here), 2))
+                        out.append((place, here, lives))
+                places, rows, lives = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pd.DataFrame(
+                    {"tree": b, "leaf": places[:, 0], "chunk": places[:, 1], "print": signed[rows], "home": lives}
+                )
 
     def match(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         values = part["print"].to_numpy(np.int64).astype(np.uint64)
@@ -246,7 +263,9 @@ def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> Data
 
 def components(rows: DataFrame, bits: int = BITS) -> DataFrame:
     """``print, component`` for each distinct fingerprint in ``rows`` (column ``print``): the component's smallest print."""
-    prints = stored(rows.select("print").distinct(), "simhash-prints")
+    # prints are narrow rows, but each is worth many visits: as many tasks as a shuffle has
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = stored(rows.select("print").distinct().repartition(tasks, "print"), "simhash-prints")
     labels = connected_components(print_links(prints, bits))
     out = prints.join(labels.withColumnRenamed("node", "print"), "print", "left")
     return out.select("print", F.coalesce("label", "print").alias("component"))
