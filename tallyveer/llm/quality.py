@@ -163,6 +163,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
     prefix = "quality rule "
-    judged = measures(docs, text, prefix)
-    kept = judged.where(~base_failed(prefix) & compiled(rules, prefix))
-    return kept.select(*[field(c) for c in docs.columns])
+    own, verdict = [field(c) for c in docs.columns], f"{prefix}verdict"
+    # the row number keeps the verdict where it is: pushed into the filter, its parts would be evaluated once per rule
+    settled = (~base_failed(prefix) & compiled(rules, prefix)) & (F.monotonically_increasing_id() >= 0)
+    judged = measures(docs, text, prefix).select(*own, settled.alias(verdict))
+    return judged.where(field(verdict)).select(*own)
