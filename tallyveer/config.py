@@ -31,6 +31,7 @@ class AnalysisConfig:
 
     # detection
     contamination: float = 0.08
+    # points that represent a series in its isolation scores, at every length
     grid_points: int = 256
     score_critical: float = -0.15
     score_warning: float = -0.05

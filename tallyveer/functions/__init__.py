@@ -6,6 +6,7 @@ from tallyveer.functions.scalar import (
     finite_or_null,
     half_even,
     pct_change,
+    quoted,
     signed_pct,
     tree_path_length,
 )
@@ -16,6 +17,7 @@ __all__ = [
     "finite_or_null",
     "half_even",
     "pct_change",
+    "quoted",
     "signed_pct",
     "tree_path_length",
 ]

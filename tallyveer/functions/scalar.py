@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 EULER_GAMMA = 0.5772156649
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def half_even(value: Column, places: int) -> Column:
     """Round half to even the way array libraries do: scale, ``rint``, unscale."""
     if places == 0:

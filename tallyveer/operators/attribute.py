@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
 from tallyveer.functions import attach, half_even
-from tallyveer.operators.rollup import roll_up
+from tallyveer.operators.order import numbered
+from tallyveer.operators.rollup import exact_sum
 from tallyveer.operators.series import FactSource, narrow
-from tallyveer.schema import FACT_COLUMNS, ROLLUP_DIMENSIONS
+from tallyveer.schema import FACT_COLUMNS
 
 NOT_APPLICABLE = "n/a"
 EVENT_ACTIVE = "event_active"
@@ -43,19 +44,22 @@ def comparison_slice(
 def window_sums(source: FactSource, cfg: AnalysisConfig) -> DataFrame:
     """Sums of both windows per group of every dimension, and per series.
 
-    One grouping-sets aggregation over the rolled-up slice replaces a group-by
-    and an outer join per dimension. Rows with ``dimension`` null are the
-    series totals and carry the flag statistics.
+    The slice is first summed over the dimensions and flags, which combines on the map side to few rows per task; one
+    grouping-sets aggregation over those replaces a group-by and an outer join per dimension. Rows with ``dimension`` null are the
+    series totals and carry the flag statistics, which count the rows of the fact.
     """
     keys, dims = list(cfg.series_keys), list(cfg.dimensions)
-    rollup_dims = list(dict.fromkeys([*ROLLUP_DIMENSIONS, *keys, *dims]))
-    sliced = comparison_slice(source, cfg, [*rollup_dims, "revenue"])
-    rolled = roll_up(sliced, [*rollup_dims, "is_current"], ["revenue"])
+    flags = ["incident_flag", "holiday_flag"]
+    wanted = list(dict.fromkeys([*keys, *dims, *flags]))
+    sliced = comparison_slice(source, cfg, ["date", *wanted, "revenue"])
+    summed = sliced.groupBy(*wanted, "is_current").agg(
+        exact_sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("rows")
+    )
     # a series key may also be a dimension: group by copies
     for d in dims:
-        rolled = rolled.withColumn(f"_d_{d}", F.col(d))
+        summed = summed.withColumn(f"_d_{d}", F.col(d))
     copies = [f"_d_{d}" for d in dims]
-    revenue, current = F.col("revenue"), F.col("is_current")
+    revenue, rows, current = F.col("revenue"), F.col("rows"), F.col("is_current")
     incident = F.col("incident_flag") == 1
     calm = F.col("incident_flag") == 0
     holiday = F.col("holiday_flag") == 1
@@ -63,16 +67,19 @@ def window_sums(source: FactSource, cfg: AnalysisConfig) -> DataFrame:
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, revenue)), F.lit(0).cast("decimal(38,4)"))
 
-    sums = rolled.groupingSets(
+    def counted(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, rows)), F.lit(0))
+
+    sums = summed.groupingSets(
         [[*keys, c] for c in copies] + [[*keys]], *keys, *copies
     ).agg(
         *[F.grouping(c).alias(f"_g{c}") for c in copies],
         total(current).alias("cur"),
         total(~current).alias("prv"),
-        F.count_if(~current).alias("prv_rows"),
-        F.count_if(current & incident).alias("incident_rows"),
+        counted(~current).alias("prv_rows"),
+        counted(current & incident).alias("incident_rows"),
         total(current & incident).alias("incident_revenue"),
-        F.count_if(current & calm).alias("calm_rows"),
+        counted(current & calm).alias("calm_rows"),
         total(current & calm).alias("calm_revenue"),
         total(current & holiday).alias("holiday_cur"),
         total(~current & holiday).alias("holiday_prv"),
@@ -251,7 +258,7 @@ def flag_signals(sums: DataFrame, cfg: AnalysisConfig) -> DataFrame:
 def rank_drivers(findings: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """Apply the cut-off to the unrounded share, then rank by the rounded one.
 
-    Only drivers above the cut-off enter the ranking window. Equal shares are
+    The ranking is a range-partitioned sort, so many drivers above the cut-off do not meet in one task. Equal shares are
     ordered by dimension, then by group. Placeholder rows (null share) come
     last and survive only where they are alone.
     """
@@ -266,11 +273,11 @@ def rank_drivers(findings: DataFrame, cfg: AnalysisConfig) -> DataFrame:
         half_even(F.col("share"), 1).alias("contribution_pct"),
         "driver",
     )
-    order = Window.partitionBy(*keys).orderBy(
-        F.abs("contribution_pct").desc_nulls_last(), "dim_order", "group_value"
-    )
+    order = [
+        F.abs("contribution_pct").desc_nulls_last(), F.col("dim_order").asc(), F.col("group_value").asc()
+    ]
     return (
-        kept.withColumn("rank", F.row_number().over(order))
+        numbered(kept, keys, order, "rank")
         .filter(F.col("contribution_pct").isNotNull() | (F.col("rank") == 1))
         .withColumn(
             "contribution_pct",
@@ -301,20 +308,14 @@ def drivers_from_sums(sums: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
-def outer_join_contributions(source: FactSource, dimension: str, cfg: AnalysisConfig) -> DataFrame:
-    """Both windows of one dimension side by side, groups of either window kept."""
+def both_windows(source: FactSource, dimension: str, cfg: AnalysisConfig) -> DataFrame:
+    """Both windows of one dimension side by side, groups of either window kept, from one pass over the slice."""
     keys = list(dict.fromkeys([*cfg.series_keys, dimension]))
     sliced = comparison_slice(source, cfg, [*keys, "date", "revenue"])
 
-    def side(condition: Column, name: str) -> DataFrame:
-        return (
-            sliced.filter(condition)
-            .groupBy(*keys)
-            .agg(F.sum(F.col("revenue").cast("decimal(18,4)")).cast("double").alias(name))
-        )
+    def side(condition: Column, name: str) -> Column:
+        return exact_sum(F.when(condition, F.col("revenue"))).cast("double").alias(name)
 
-    return (
-        side(F.col("is_current"), "cur_revenue")
-        .join(side(~F.col("is_current"), "prv_revenue"), keys, "full_outer")
-        .na.fill(0.0, ["cur_revenue", "prv_revenue"])
+    return sliced.groupBy(*keys).agg(
+        side(F.col("is_current"), "cur_revenue"), side(~F.col("is_current"), "prv_revenue")
     )

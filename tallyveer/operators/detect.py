@@ -71,7 +71,7 @@ def scorecard(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
             signed_pct(F.col("change_raw")).alias("change"),
             half_even(F.col("change_raw"), 2).alias("change_pct"),
             "anomaly_count",
-            F.slice("dates", 1, 10).alias("anomaly_dates"),
+            F.col("dates").alias("anomaly_dates"),
             half_even(F.col("recent"), 2).alias("recent_value"),
             half_even(F.col("prior"), 2).alias("prior_value"),
             half_even(F.col("worst"), 4).alias("if_score_worst"),

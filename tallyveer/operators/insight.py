@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyveer.config import AnalysisConfig
-from tallyveer.functions import attach, half_even, pct_change
+from tallyveer.functions import attach, half_even, pct_change, quoted
 from tallyveer.operators.attribute import comparison_slice
 from tallyveer.operators.forecast import weekday_profile
 from tallyveer.operators.isolation import score_dates
@@ -26,7 +26,7 @@ def profile_columns(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     count_distinct = F.count_distinct if exact_distinct else F.approx_count_distinct
     records = []
     for field in df.schema.fields:
-        c = F.col(field.name)
+        c = quoted(field.name)
         numeric = isinstance(field.dataType, T.NumericType)
         number = c.cast("double") if numeric else F.lit(None).cast("double")
         records.append(
@@ -65,7 +65,7 @@ def quantiles(
     df: DataFrame, column: str, by: Sequence[str], levels: Sequence[float], accuracy: int = 10000
 ) -> DataFrame:
     """Approximate quantiles per group with mergeable, bounded state."""
-    values = F.percentile_approx(F.col(column).cast("double"), list(levels), accuracy)
+    values = F.percentile_approx(quoted(column).cast("double"), list(levels), accuracy)
     pairs = F.arrays_zip(F.array(*[F.lit(x) for x in levels]).alias("level"), F.col("values"))
     return (
         df.groupBy(*by)

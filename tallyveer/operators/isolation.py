@@ -8,16 +8,16 @@ falls into a gap with probability proportional to its length, so the gap
 The expected depth is the sum over all gaps, plus the mean path length of the
 ties of ``v``.
 
-Series longer than ``grid_points`` dates are represented by that many
-mid-quantile points, like the fixed-size subsample of a forest; dates between
-two points take the linear interpolation of their depths. The state per series
-is an array of at most ``grid_points`` values, and the work per date is linear
-in that bound.
+A series is represented by ``grid_points`` mid-quantile ranks: the dates whose rank by value is ``floor(n * (i + 1/2) / points)`` for
+some ``i``. That is one rule at every length: a series of fewer dates holds all its ranks, a longer one every n-th, like the
+fixed-size subsample of a forest. Dates between two such points take the linear interpolation of their depths. Ranks come from
+a window sort, so each date knows its place among the points without a search; the state per series is an array of at most
+``grid_points`` values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
@@ -31,46 +31,59 @@ def _at(array: str | Column, index: Column) -> Column:
     return F.get(F.col(array) if isinstance(array, str) else array, index)
 
 
-def _mid_quantile(values: Column, n: Column, i: Column, points: int) -> Column:
-    position = (n - 1).cast("double") * ((i + F.lit(0.5)) / float(points))
-    low = F.floor(position).cast("int")
-    lower = F.get(values, low)
-    upper = F.coalesce(F.get(values, low + 1), lower)
-    return lower + (upper - lower) * (position - low)
+def _ranks_below(count: Column, n: Column, points: int) -> Column:
+    """How many ranks ``floor(n * (i + 1/2) / points)``, i = 0, 1, ..., are below ``count``."""
+    return F.ceil((2.0 * points * count - n) / (2.0 * n)).cast("long")
+
+
+def ranked(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """Add ``point``, whether a date represents the series, and ``place``, the points up to its value."""
+    g = cfg.grid_points
+    whole = series_window(cfg.series_keys)
+    rising = whole.orderBy("value")
+    n, rank = F.count(F.lit(1)).over(whole), F.row_number().over(whole.orderBy("value", "date")) - 1
+    upto = F.count(F.lit(1)).over(rising.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    out = series.withColumns({"_n": n, "_rank": rank, "_upto": upto})
+    first = F.greatest(_ranks_below(F.col("_rank"), F.col("_n"), g), F.lit(0))
+    point = (first < g) & (F.floor(F.col("_n") * (2 * first + 1) / F.lit(2 * g)) == F.col("_rank"))
+    # the points are different ranks, so there are no more of them than dates
+    place = F.least(F.col("_upto"), F.greatest(_ranks_below(F.col("_upto"), F.col("_n"), g), F.lit(0)), F.lit(g))
+    return out.withColumns({"point": point, "place": place}).drop("_n", "_rank", "_upto")
 
 
 def collected(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """One row per series and metric with its dates as an array.
+    """One row per series and metric with its dates as an array and the sorted values of its points.
 
     A series has one value per date, so the array is bounded by the calendar,
     not by the facts; scores come out of it without reading the facts again.
     """
     keys = [*cfg.series_keys, "metric"]
     rest = [c for c in series.columns if c not in keys]
-    return series.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("points"))
+    return (
+        ranked(series, cfg)
+        .groupBy(*keys)
+        .agg(
+            F.collect_list(F.struct(*rest, "place")).alias("points"),
+            F.sort_array(F.collect_list(F.when(F.col("point"), F.col("value")))).alias("sample"),
+        )
+    )
 
 
 def depth_grid(values: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """Add support points ``xs``, their depths ``ds`` and the sample size ``m``."""
-    points = cfg.grid_points
+    """Add support points ``xs``, the points up to each (``upto``), their depths ``ds`` and the sample size ``m``."""
     keys = [*cfg.series_keys, "metric", "points"]
-    values = values.withColumn("vals", F.sort_array(F.col("points.value")))
-    sample = values.select(
-        *keys,
-        F.when(F.size("vals") <= points, F.col("vals"))
-        .otherwise(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(points - 1)),
-                lambda i: _mid_quantile(F.col("vals"), F.size("vals"), i, points),
-            )
-        )
-        .alias("sample"),
+    m = F.size("sample")
+    # positions where a run of equal values ends
+    ends = F.filter(
+        F.sequence(F.lit(0), m - 1),
+        lambda i: (i == m - 1) | (_at("sample", i) < _at("sample", F.least(i + 1, m - 1))),
     )
-    support = sample.select(
-        *keys, "sample", F.size("sample").alias("m"), F.array_distinct("sample").alias("xs")
-    ).withColumn(
-        "ties",
-        F.transform("xs", lambda x: F.size(F.filter("sample", lambda s: s == x))),
+    support = values.select(*keys, "sample", m.alias("m"), ends.alias("ends"))
+    support = support.select(
+        *keys,
+        "m",
+        F.transform("ends", lambda i: _at("sample", i)).alias("xs"),
+        F.transform("ends", lambda i: i + 1).alias("upto"),
     )
 
     def gap_sum(i: Column) -> Column:
@@ -83,13 +96,17 @@ def depth_grid(values: DataFrame, cfg: AnalysisConfig) -> DataFrame:
 
         return F.aggregate(gaps, F.lit(0.0), add)
 
+    def ties(i: Column) -> Column:
+        return _at("upto", i) - F.when(i > 0, _at("upto", F.greatest(i - 1, F.lit(0)))).otherwise(0)
+
     return support.select(
         *keys,
         "m",
         "xs",
+        "upto",
         F.transform(
             F.slice(F.sequence(F.lit(0), F.size("xs")), F.lit(1), F.size("xs")),
-            lambda i: gap_sum(i) + tree_path_length(_at("ties", i)),
+            lambda i: gap_sum(i) + tree_path_length(ties(i)),
         ).alias("ds"),
     )
 
@@ -115,8 +132,9 @@ def score_dates(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     columns = series.columns
     scored = (
         depth_grid(collected(series, cfg), cfg)
-        .select(*cfg.series_keys, "metric", "m", "xs", "ds", F.inline("points"))
-        .withColumn("below", F.size(F.filter("xs", lambda x: x <= F.col("value"))))
+        .select(*cfg.series_keys, "metric", "m", "xs", "upto", "ds", F.inline("points"))
+        # runs of equal points end exactly where a value's place does
+        .withColumn("below", F.array_position("upto", F.col("place").cast("int")).cast("int"))
         .withColumn("depth", _depth_of(F.col("value")))
         .withColumn("degenerate", F.size("xs") < 2)
         .withColumn(

@@ -53,8 +53,8 @@ PLAYBOOK = [
     ),
     (
         "incident_flag", None,
-        "Open an incident, inform affected customers and track the fix", None,
-        "1 hour", None, "On-call engineering", "of exposed revenue protected",
+        "Assign one owner to the disruption and publish its status until sales are normal", None,
+        "1 hour", None, "On-call engineering", "of the income at stake kept",
         0.60, 0.85, 0.90, 0.90,
     ),
 ]
@@ -140,12 +140,12 @@ def metric_advice(card: DataFrame, cfg: AnalysisConfig) -> DataFrame:
         F.lit("MEDIUM").alias("priority"),
         F.when(
             orders,
-            F.concat(F.lit("Order count moved "), F.col("change"),
-                     F.lit(": test a short sale or free delivery")),
+            F.concat(F.lit("Fewer or more purchases than usual ("), F.col("change"),
+                     F.lit("): compare traffic, basket starts and payments before changing prices")),
         )
         .otherwise(
-            F.concat(F.lit("Ticket size moved "), F.col("change"),
-                     F.lit(": offer bundles and review discounts")),
+            F.concat(F.lit("Spend per purchase is "), F.col("change"),
+                     F.lit(" off: find the products whose share fell and raise their visibility")),
         )
         .alias("action"),
         F.concat(low.cast("string"), F.lit("-"), high.cast("string"), F.lit("% recovery of the metric"))
@@ -175,8 +175,8 @@ def recommendations(
         F.lit(1_000_002).alias("emit_order"),
         F.lit(MONITOR).alias("source"),
         F.lit("LOW").alias("priority"),
-        F.lit("Keep reviewing the daily metrics and alert on moves above 5%").alias("action"),
-        F.lit("10% revenue impact caught early").alias("expected_impact"),
+        F.lit("No step is due; let the daily scorecard run and look again when it flags a day").alias("action"),
+        F.lit("a loss of 10% would be seen within a day").alias("expected_impact"),
         F.lit(10).alias("impact_low"),
         F.lit(10).alias("impact_high"),
         F.lit("always on").alias("timeline"),

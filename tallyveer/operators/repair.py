@@ -3,111 +3,111 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveer.functions import finite_or_null
+from tallyveer.functions import finite_or_null, quoted
+from tallyveer.operators.order import numbered
 from tallyveer.schema import (
     CATEGORICALS,
     FACT_COLUMNS,
     FACT_SCHEMA,
+    MALFORMED,
+    MONEY,
     NUMERICS,
     REDUCED_DIMENSIONS,
     REDUCED_MEASURES,
     UNKNOWN,
     alias_lookup,
 )
-from tallyveer.session import work_folder
-
-# Tried in order for every row; month comes before day in slashed dates.
-DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd",
-    "dd.MM.yyyy",
-    "MMM d yyyy",
-    "d MMM yyyy",
-)
-
 
 def normalise_name(name: str) -> str:
     return name.strip().lower().replace(" ", "_").replace("-", "_")
 
 
-def map_columns(df: DataFrame) -> DataFrame:
-    """Rename known spellings to canonical names.
+def canonical_names(columns: Sequence[str]) -> list[str]:
+    """Name of each column after mapping, different from one another whatever their case.
 
-    The first column of a canonical name wins; later ones keep their own name.
+    A column spelled like the canonical name takes it before any alias, then the first alias does. Others keep their own
+    name, with a running number where it would collide.
     """
-    lookup = alias_lookup()
-    taken = {c for c in df.columns if c in FACT_COLUMNS}
+    lookup, given = alias_lookup(), {}
+    normal = [normalise_name(c) for c in columns]
+    for exact in (True, False):
+        for i, name in enumerate(normal):
+            target = name if name in FACT_COLUMNS else lookup.get(name)
+            if target and (name == target or not exact) and target not in given:
+                given[target] = i
+    place = {i: target for target, i in given.items()}
+    taken = set(given)
     names = []
-    for column in df.columns:
-        target = lookup.get(normalise_name(column))
-        if column in taken or target is None or target in taken:
-            names.append(column)
-            continue
-        taken.add(target)
-        names.append(target)
-    return df.toDF(*names)
+    for i, column in enumerate(columns):
+        name, n = place.get(i), 0
+        if name is None:
+            name = column
+            while name.lower() in taken:
+                n += 1
+                name = f"{column}_{n}"
+            taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def map_columns(df: DataFrame) -> DataFrame:
+    """Rename known spellings to canonical names; columns that lose a name keep their own."""
+    return df.toDF(*canonical_names(df.columns))
 
 
 def unmapped_aliases(columns: Sequence[str]) -> list[str]:
-    """Columns that lost their canonical name to an earlier column."""
+    """Columns that lost their canonical name to another column."""
     lookup = alias_lookup()
-    taken = {c for c in columns if c in FACT_COLUMNS}
-    lost = []
-    for column in columns:
-        target = lookup.get(normalise_name(column))
-        if column in taken or target is None:
-            continue
-        if target in taken:
-            lost.append(column)
-        taken.add(target)
-    return lost
-
-
-# What each group of pattern letters looks like in text.
-PATTERN_SHAPES = {
-    "yyyy": r"\d{4}",
-    "MMM": r"[A-Za-z]{3}",
-    "MM": r"\d{2}",
-    "dd": r"\d{2}",
-    "d": r"\d{1,2}",
-    "HH": r"\d{2}",
-    "mm": r"\d{2}",
-    "ss": r"\d{2}",
-}
-
-
-def shape_of(date_format: str) -> str:
-    """Regular expression of the texts a date format can match."""
-    pieces = re.findall(r"'[^']*'|[a-z]+|[A-Z]+|[^A-Za-z']", date_format)
-    shapes = [
-        PATTERN_SHAPES[p] if p[0].isalpha() else re.escape(p.strip("'")) for p in pieces
+    return [
+        column
+        for column, name in zip(columns, canonical_names(columns), strict=True)
+        if (lookup.get(normalise_name(column)) or normalise_name(column)) in FACT_COLUMNS and name not in FACT_COLUMNS
     ]
-    return f"^{''.join(shapes)}$"
 
 
-def parse_date(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """First format that fits, else null; bare numbers are not dates.
+#: Months as dates are written.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?\s*(?:[AaPp][Mm])?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?$"
 
-    A cheap shape test precedes each parse, because a failing parse is an
-    exception inside the engine.
+#: Shapes of dates and where year, month and day stand in them; a month's name is ``m`` and its number by then. Month comes
+#: before day unless dots part them; the other order is taken only where the first number cannot be a month.
+DATE_SHAPES = (
+    (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){TIME}", "$1-$2-$3"),
+    (rf"^(0?[1-9]|1[0-2])[-/](\d{{1,2}})[-/](\d{{4}}){TIME}", "$3-$1-$2"),
+    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}){TIME}", "$3-$2-$1"),
+    (rf"^(\d{{1,2}})[-/ ]m(\d\d)[-/ ,]+(\d{{4}}){TIME}", "$3-$2-$1"),
+    (rf"^m(\d\d)[-/ ](\d{{1,2}})[-/ ,]+(\d{{4}}){TIME}", "$3-$1-$2"),
+    (r"^((?:19|20)\d{2})(\d{2})(\d{2})$", "$1-$2-$3"),
+)
+#: Two-digit years up to 68 belong to this century.
+SHORT_YEARS = (
+    (r"^(\d{1,2}[-/.]\d{1,2}[-/.])([0-5]\d|6[0-8])(?!\d)", "$120$2"),
+    (r"^(\d{1,2}[-/.]\d{1,2}[-/.])(69|[7-9]\d)(?!\d)", "$119$2"),
+)
+
+
+def parse_date(value: Column) -> Column:
+    """The date a text shows, as written (a zone does not move it); null for anything else.
+
+    Numbers are not dates, but for eight digits that spell one. Each shape is rewritten to a marked ISO date; one cast, which
+    yields null for days that do not exist, reads what is marked.
     """
     text = F.trim(value.cast("string"))
-    return F.coalesce(
-        *[
-            F.when(text.rlike(shape_of(f)), F.try_to_timestamp(text, F.lit(f)).cast("date"))
-            for f in formats
-        ]
-    )
+    numbers = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name, f"m{i:02d}")])
+    month = F.try_element_at(numbers, F.lower(F.regexp_extract(text, "([A-Za-z]{3})", 1)))
+    named = F.regexp_replace(text, F.lit(r"^(\d{1,2}[-/ ])?[A-Za-z]{3}[a-z]*\.?"), F.concat(F.lit("$1"), month))
+    text = F.coalesce(named, text)
+    for shape, full in SHORT_YEARS:
+        text = F.regexp_replace(text, shape, full)
+    for shape, iso in DATE_SHAPES:
+        text = F.regexp_replace(text, shape, f"@{iso}")
+    return F.when(text.startswith("@"), F.substr(text, F.lit(2)).try_cast("date"))
 
 
 def as_date(df: DataFrame, column: str) -> Column:
@@ -119,28 +119,40 @@ def as_date(df: DataFrame, column: str) -> Column:
     return parse_date(F.col(column))
 
 
-def date_candidates(df: DataFrame, sample: int = 5) -> DataFrame:
-    """Share of parseable values among the first non-null ``sample`` of each text column.
+def text_columns(df: DataFrame) -> list[str]:
+    """Columns of text that belong to the data."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != MALFORMED]
 
-    One row per column. Only ``sample`` values per task leave the scan.
-    """
-    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    samples = None
-    for position, name in enumerate(names):
-        part = (
-            df.select(F.col(name).alias("value"))
-            .filter(F.col("value").isNotNull())
-            .limit(sample)
-            .select(F.lit(position).alias("position"), F.lit(name).alias("column"), "value")
-        )
-        samples = part if samples is None else samples.unionByName(part)
-    if samples is None:
+
+def looks_like_date(name: str) -> Column:
+    """A date that is more than a number: digits alone do not make a column one of dates."""
+    return parse_date(quoted(name)).isNotNull() & ~F.trim(quoted(name)).rlike("^[0-9]+$")
+
+
+def date_candidates(df: DataFrame) -> DataFrame:
+    """Share of values that are dates, over all rows, for each text column: one pass, one row per column."""
+    names = text_columns(df)
+    if not names:
         raise ValueError("no text column to look for dates in")
-    parsed = parse_date(F.col("value")).isNotNull().cast("double")
-    return samples.groupBy("position", "column").agg(F.avg(parsed).alias("parse_rate"))
+    rates = df.agg(
+        *[
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(name).alias("column"),
+                F.try_divide(
+                    F.count_if(looks_like_date(name)).cast("double"), F.count(quoted(name))
+                ).alias("parse_rate"),
+            ).alias(f"c{i}")
+            for i, name in enumerate(names)
+        ]
+    )
+    return rates.select(F.inline(F.array(*[f"c{i}" for i in range(len(names))])))
+
 
+DATE_RATE = 0.6
 
-def find_date_column(df: DataFrame, threshold: float = 0.6) -> DataFrame:
+
+def find_date_column(df: DataFrame, threshold: float = DATE_RATE) -> DataFrame:
     """Rename the first column that looks like dates to ``date``."""
     if "date" in df.columns:
         return df
@@ -151,9 +163,8 @@ def find_date_column(df: DataFrame, threshold: float = 0.6) -> DataFrame:
     ]
     if typed:
         return df.withColumnRenamed(typed[0], "date")
-    if not any(isinstance(f.dataType, T.StringType) for f in df.schema.fields):
+    if not text_columns(df):
         return df
-    # one value per column comes back
     found = (
         date_candidates(df)
         .filter(F.col("parse_rate") >= threshold)
@@ -168,35 +179,13 @@ def assign_sequential_dates(
 ) -> DataFrame:
     """Give undated rows consecutive days ending at ``anchor``, in ``order_by`` order.
 
-    Rows are range-partitioned and numbered inside their partition; the offset
-    of a partition comes from one count per partition, so no task sees more
-    than its own share. ``order_by`` must identify rows.
+    ``order_by`` must identify rows.
     """
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id())
-    # both uses below must see the same ranges: fix them in a table
-    folder = work_folder(spark, "sequence")
-    ranged.write.parquet(folder)
-    stored = spark.read.parquet(folder)
-    counts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("size"))
-    offsets = counts.select(
-        "_part",
-        F.coalesce(
-            F.sum("size").over(
-                Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("offset"),
-    )
-    total = stored.agg(F.count(F.lit(1))).scalar() if rows is None else F.lit(rows)
-    numbered = stored.join(offsets, "_part").withColumn(
-        "_n",
-        F.col("offset")
-        + F.row_number().over(Window.partitionBy("_part").orderBy(*order_by)),
-    )
+    total = df.agg(F.count(F.lit(1))).scalar() if rows is None else F.lit(rows)
+    placed = numbered(df, [], [quoted(c) for c in order_by], "_n")
     back = (total - F.col("_n")).cast("int")
-    return numbered.withColumn("date", F.date_sub(F.lit(anchor), back)).select(
-        "date", *[c for c in df.columns if c != "date"]
+    return placed.withColumn("date", F.date_sub(F.lit(anchor), back)).select(
+        "date", *[quoted(c) for c in df.columns if c != "date"]
     )
 
 
@@ -204,15 +193,15 @@ def numeric_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Mean of each column in one pass; one row comes back."""
     if not columns:
         return {}
-    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
-    return {c: (row[c] if row[c] is not None else float("-inf")) for c in columns}
+    row = df.agg(*[F.avg(quoted(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return {c: (row[i] if row[i] is not None else float("-inf")) for i, c in enumerate(columns)}
 
 
-def ensure_measures(df: DataFrame) -> DataFrame:
+def ensure_measures(df: DataFrame, means: dict[str, float | None] | None = None) -> DataFrame:
     """Promote numeric columns to missing ``revenue`` and ``orders``.
 
-    The column with the highest mean becomes revenue, the first one left
-    becomes orders; without any, every row counts 1.
+    The column with the highest mean (known ones may be given) becomes revenue, the first one left becomes orders; without
+    any, every row counts 1.
     """
     reserved = set(NUMERICS)
     free = [
@@ -222,8 +211,8 @@ def ensure_measures(df: DataFrame) -> DataFrame:
     ]
     if "revenue" not in df.columns:
         if free:
-            means = numeric_means(df, free)
-            best = max(free, key=means.__getitem__)
+            known = numeric_means(df, free) if means is None else means
+            best = max(free, key=lambda c: float("-inf") if known[c] is None else known[c])
             free.remove(best)
             df = df.withColumnRenamed(best, "revenue")
         else:
@@ -265,9 +254,16 @@ def unfilled_columns(df: DataFrame) -> DataFrame:
     return held.select("column").exceptAll(held.filter(F.col("n") > 0).select("column"))
 
 
-def to_number(value: Column) -> Column:
-    """Number of a cell: text that is not a finite number counts as 0."""
-    return F.coalesce(finite_or_null(value.try_cast("double")), F.lit(0.0))
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def number_in(df: DataFrame, name: str) -> Column:
+    """Number of a cell, null unless it is one: finite, written as a number, and within the exact sums' range."""
+    value = quoted(name)
+    if isinstance(df.schema[name].dataType, T.StringType):
+        value = F.when(F.trim(value).rlike(NUMBER), F.trim(value))
+    number = finite_or_null(value.try_cast("double"))
+    return F.when(number.try_cast(MONEY).isNotNull(), number)
 
 
 def repair(df: DataFrame) -> DataFrame:
@@ -276,7 +272,7 @@ def repair(df: DataFrame) -> DataFrame:
     return (
         full.withColumn("date", as_date(full, "date"))
         .filter(F.col("date").isNotNull())
-        .withColumns({c: to_number(F.col(c)) for c in NUMERICS})
+        .withColumns({c: F.coalesce(number_in(full, c), F.lit(0.0)) for c in NUMERICS})
         .withColumns({c: F.col(c).cast("string") for c in CATEGORICALS})
         .na.fill(UNKNOWN, list(CATEGORICALS))
         .select(*FACT_COLUMNS)
@@ -288,9 +284,9 @@ def repair_reduced(df: DataFrame) -> DataFrame:
     return repair(df).select(*REDUCED_DIMENSIONS, *REDUCED_MEASURES)
 
 
-def quality_columns(columns: Sequence[str]) -> dict[str, Column]:
+def quality_columns(df: DataFrame) -> dict[str, Column]:
     """Counters over a raw table with its parsed date in ``_day``."""
-    full, day = set(columns), F.col("_day")
+    full, day = set(df.columns), F.col("_day")
     kept = day.isNotNull()
     counters = {
         "input_rows": F.count(F.lit(1)),
@@ -299,17 +295,18 @@ def quality_columns(columns: Sequence[str]) -> dict[str, Column]:
         "first_date": F.min(day),
         "last_date": F.max(day),
     }
+    if MALFORMED in full:
+        counters["malformed_rows"] = F.count(quoted(MALFORMED))
     for c in NUMERICS:
         if c in full:
-            number = finite_or_null(F.col(c).try_cast("double"))
-            counters[f"coerced_{c}"] = F.count_if(kept & F.col(c).isNotNull() & number.isNull())
-            counters[f"null_{c}"] = F.count_if(kept & F.col(c).isNull())
+            counters[f"coerced_{c}"] = F.count_if(kept & quoted(c).isNotNull() & number_in(df, c).isNull())
+            counters[f"null_{c}"] = F.count_if(kept & quoted(c).isNull())
     for c in CATEGORICALS:
         if c in full:
-            counters[f"filled_{c}"] = F.count_if(kept & F.col(c).isNull())
+            counters[f"filled_{c}"] = F.count_if(kept & quoted(c).isNull())
     if "revenue" in full:
         counters["total_revenue"] = F.sum(
-            F.when(kept, to_number(F.col("revenue"))).cast("decimal(18,4)")
+            F.when(kept, F.coalesce(number_in(df, "revenue"), F.lit(0.0))).cast(MONEY)
         )
     return counters
 
@@ -321,13 +318,13 @@ def with_parsed_day(df: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame) -> DataFrame:
     """One row of data-quality counters; a value counts as coerced only if text was lost."""
-    counters = quality_columns(df.columns)
+    counters = quality_columns(df)
     return with_parsed_day(df).agg(*[expr.alias(name) for name, expr in counters.items()])
 
 
 def observe_quality(df: DataFrame, observation) -> DataFrame:
     """Collect the same counters while another action runs over ``df``."""
-    counters = quality_columns(df.columns)
+    counters = quality_columns(df)
     observed = with_parsed_day(df).observe(
         observation, *[expr.alias(name) for name, expr in counters.items()]
     )

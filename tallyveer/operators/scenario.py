@@ -12,13 +12,6 @@ from tallyveer.config import AnalysisConfig
 
 # Factors add decimals, so scaled measures are summed with more of them.
 SCALED = "decimal(28,8)"
-REVENUE_FLOOR = 0.01
-ORDERS_FLOOR = 1.0
-
-# Revenue factors and the share left when stock runs out.
-DISCOUNT_FACTORS = {"none": 1.0, "low": 0.92, "medium": 0.82, "high": 0.70}
-OUT_OF_STOCK_FACTOR = 0.30
-WEEKEND_FACTOR = 1.25
 
 
 @dataclass(frozen=True)
@@ -47,50 +40,6 @@ def apply_scenario(fact: DataFrame, shocks: Sequence[Shock]) -> DataFrame:
     return fact
 
 
-def apply_floors(
-    fact: DataFrame, revenue: float = REVENUE_FLOOR, orders: float = ORDERS_FLOOR
-) -> DataFrame:
-    """Lower bounds on revenue and orders."""
-    return fact.withColumns(
-        {
-            "revenue": F.greatest(F.col("revenue").cast("double"), F.lit(revenue)),
-            "orders": F.greatest(F.col("orders").cast("double"), F.lit(orders)),
-        }
-    )
-
-
-def discount_factor(band: Column) -> Column:
-    """Revenue factor of a discount band; unknown bands count as high."""
-    factor = F.lit(DISCOUNT_FACTORS["high"])
-    for name in ("medium", "low", "none"):
-        factor = F.when(band == name, DISCOUNT_FACTORS[name]).otherwise(factor)
-    return factor
-
-
-def stock_factor(status: Column) -> Column:
-    return F.when(status == "out_of_stock", OUT_OF_STOCK_FACTOR).otherwise(1.0)
-
-
-def weekend_factor(date: Column) -> Column:
-    return F.when(F.weekday(date) >= 5, WEEKEND_FACTOR).otherwise(1.0)
-
-
-def price_effects(fact: DataFrame, out_of_stock: str = "out_of_stock") -> DataFrame:
-    """Revenue and orders after weekend boost, discount and out-of-stock haircut."""
-    status = F.when(F.col("inventory_status") == out_of_stock, "out_of_stock").otherwise("other")
-    stock = stock_factor(status)
-    boost = weekend_factor(F.col("date"))
-    return fact.withColumns(
-        {
-            "revenue": F.col("revenue").cast("double")
-            * boost
-            * discount_factor(F.col("discount_band"))
-            * stock,
-            "orders": F.col("orders").cast("double") * boost * stock,
-        }
-    )
-
-
 def compare_scenario(
     base: DataFrame, changed: DataFrame, by: Sequence[str], measure: str = "revenue"
 ) -> DataFrame:

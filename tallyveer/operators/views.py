@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
 from tallyveer.functions import attach, clamp, half_even
+from tallyveer.operators.order import PART, before_ranges, in_ranges
 from tallyveer.operators.series import number_rows, series_window, trailing
 
 ALERT_FACTOR = 0.85
@@ -194,16 +195,21 @@ def waterfall(drivers: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """
     keys = list(cfg.series_keys)
     size = F.abs("contribution_pct")
-    order = Window.partitionBy(*keys).orderBy("rank")
-    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     exact = size.cast("decimal(18,1)")
-    steps = drivers.select(
+    drivers = in_ranges(drivers, keys, [F.col("rank")])
+    before = before_ranges(drivers, keys, {"_sum": F.sum(exact)})
+    # the last height of each range is what the first step of the next one starts from
+    ends = drivers.groupBy(PART, *keys).agg(F.max_by(size, "rank").alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end", 1, 100.0).over(Window.partitionBy(*keys).orderBy(PART)))
+    order = Window.partitionBy(PART, *keys).orderBy("rank")
+    running = F.sum(exact).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    steps = drivers.join(before, [PART, *keys]).join(ends, [PART, *keys]).select(
         *keys,
         F.col("rank").alias("step"),
         F.concat_ws(":", "dimension", "group_value").alias("label"),
         size.alias("height"),
-        half_even(100.0 - F.sum(exact).over(w).cast("double"), 1).alias("base"),
-        half_even(F.lag(size, 1, 100.0).over(order) - size, 1).alias("chart_base"),
+        half_even(100.0 - (F.col("_sum") + running).cast("double"), 1).alias("base"),
+        half_even(F.coalesce(F.lag(size).over(order), F.col("_end")) - size, 1).alias("chart_base"),
     )
     totals = drivers.groupBy(*keys).agg(
         F.sum(exact).cast("double").alias("height"), F.max("rank").alias("last")

@@ -20,7 +20,7 @@ from tallyveer.operators.forecast import forecast_rows, forecast_summary
 from tallyveer.operators.kpi import kpi_cards, kpi_daily
 from tallyveer.operators.recommend import playbook_table, recommendations
 from tallyveer.operators.series import FactSource, daily_totals, short_series, to_long
-from tallyveer.session import work_folder
+from tallyveer.session import stored
 from tallyveer.sources.raw import write_documents
 
 VERSION = "1.0.0"
@@ -58,18 +58,6 @@ class Brief:
         return brief_document(self)
 
 
-def _stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared work folder and read it back.
-
-    Cuts the lineage to the facts: losing an executor later costs a re-read of
-    this small table, not another pass over the facts.
-    """
-    spark = df.sparkSession
-    folder = work_folder(spark, purpose)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def _together(spark: SparkSession, *jobs: Callable[[], DataFrame]) -> list[DataFrame]:
     """Run independent jobs at the same time, so small ones do not queue behind each other."""
     with ThreadPoolExecutor(len(jobs)) as pool:
@@ -92,7 +80,7 @@ def analyze(
     cfg = cfg or AnalysisConfig()
     totals = daily_totals(source, cfg)
     spark = totals.sparkSession
-    daily = _stored(totals, "daily")
+    daily = stored(totals, "daily")
     last, longest = _extent(daily, cfg)
     if check:
         require_dates(longest, cfg)
@@ -101,19 +89,19 @@ def analyze(
     series = to_long(daily, cfg)
     ranked, card, ahead = _together(
         spark,
-        lambda: _stored(
-            drivers_from_sums(_stored(window_sums(source, dated), "windows"), cfg), "drivers"
+        lambda: stored(
+            drivers_from_sums(stored(window_sums(source, dated), "windows"), cfg), "drivers"
         ),
-        lambda: _stored(scorecard(series, cfg), "scorecard"),
-        lambda: _stored(forecast_rows(series, cfg), "forecast"),
+        lambda: stored(scorecard(series, cfg), "scorecard"),
+        lambda: stored(forecast_rows(series, cfg), "forecast"),
     )
     rules = playbook if playbook is not None else playbook_table(spark)
     summary = detection_summary(card, cfg)
     outlook = forecast_summary(ahead, cfg)
     advice, words = _together(
         spark,
-        lambda: _stored(recommendations(ranked, card, summary, rules, cfg), "advice"),
-        lambda: _stored(explanation(summary, ranked, outlook, cfg), "explanation"),
+        lambda: stored(recommendations(ranked, card, summary, rules, cfg), "advice"),
+        lambda: stored(explanation(summary, ranked, outlook, cfg), "explanation"),
     )
     return Brief(
         config=cfg,

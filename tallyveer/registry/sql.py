@@ -7,7 +7,7 @@ of both says something.
 
 from __future__ import annotations
 
-from tallyveer.schema import ATTRIBUTION_DIMENSIONS, HOLIDAYS
+from tallyveer.schema import ATTRIBUTION_DIMENSIONS
 
 LOOKBACK = 14
 METRICS = ("revenue", "orders", "avg_order_value")
@@ -37,7 +37,7 @@ def path_length(n: str) -> str:
     )
 
 
-HOLIDAY_CODES = ", ".join(str(m * 100 + d) for m, d in HOLIDAYS)
+HOLIDAY_CODES = "101, 115, 219, 527, 704, 902, 1128, 1129, 1224, 1225"
 
 FACT = f"""fact AS (
   SELECT CAST(o.o_orderdate AS DATE) AS date,
@@ -117,19 +117,15 @@ def series_ctes(
     return f"WITH {fact},\n{middle}{daily(keys, parity)},\n{long(keys)}"
 
 
-LEVELS = ", ".join(repr((i + 0.5) / 256) for i in range(256))
-
-
 def scored(keys: tuple[str, ...] = (), contamination: float = 0.08) -> str:
     """Isolation scores through a join of points and gaps."""
     k = key_list(keys)
     using = f"({k}metric)"
     g = f"{k}metric"
     return f"""sample AS (
-  SELECT {g}, value FROM long WHERE n <= 256 AND n >= 10
-  UNION ALL
-  SELECT {g}, unnest(quantile_cont(value, [{LEVELS}])) AS value
-  FROM long WHERE n > 256 GROUP BY {g}),
+  SELECT {g}, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY value, date) - 1 AS place FROM long WHERE n >= 10)
+  WHERE list_contains(list_transform(range(256), lambda i: (n * (2 * i + 1)) // 512), place)),
 points AS (SELECT {g}, value AS x, count(*) AS ties FROM sample GROUP BY {g}, value),
 sizes AS (SELECT {g}, count(*) AS m, count(DISTINCT value) AS k FROM sample GROUP BY {g}),
 gaps AS (
@@ -188,7 +184,7 @@ card AS (
               WHEN worst < -0.15::DOUBLE OR change < -20 THEN 'CRITICAL'
               WHEN worst < -0.05::DOUBLE OR change < -10 THEN 'WARNING' ELSE 'NORMAL' END AS severity,
          {rnd('change', 2)} AS change_pct, anomaly_count,
-         coalesce(array_to_string(dates[1:10], ','), '') AS anomaly_dates,
+         coalesce(array_to_string(dates, ','), '') AS anomaly_dates,
          {rnd('recent', 2)} AS recent_value, {rnd('prior', 2)} AS prior_value,
          {rnd('worst', 4)} AS if_score_worst
   FROM changes)"""
@@ -242,8 +238,8 @@ def attribution(
     return f"""{sliced()},
 window_rows AS (
   SELECT date, region, product, category, channel, campaign, inventory_status, discount_band,
-         holiday_flag, incident_flag, is_current, sum(revenue) AS revenue
-  FROM sliced GROUP BY ALL),
+         holiday_flag, incident_flag, is_current, revenue
+  FROM sliced),
 totals AS (
   SELECT *, total_cur - total_prv AS total_delta FROM (
   SELECT {k}coalesce(sum(revenue) FILTER (is_current), 0)::DOUBLE AS total_cur,
@@ -280,7 +276,7 @@ findings AS (
   SELECT {k}dimension, dim_order, group_value, delta, share FROM shares
   UNION ALL SELECT {k}dimension, dim_order, group_value, delta, share FROM flags),
 kept AS (
-  SELECT {k}dimension, dim_order, group_value, {rnd('delta', 2)} AS delta,
+  SELECT {k}dimension, dim_order, group_value, {rnd('delta', 2)} AS delta, delta AS exact,
          {rnd('share', 1)} AS contribution_pct
   FROM findings WHERE abs(share) >= {min_share}),
 drivers AS (
@@ -359,3 +355,36 @@ headline AS (SELECT {k}forecast_pct_change FROM outlook WHERE metric = 'revenue'
 confidence AS (
   SELECT {k}severity, change_pct, forecast_pct_change, {rnd(score, 2)} AS confidence
   FROM summary {join.format('evidence')} {join.format('headline')})"""
+
+
+# Sentences, spelled out once more: driver texts on top of drivers, the rest on top of evidence.
+_SIZE = "format('{:,}', CAST(round_even(abs(exact), 0) AS BIGINT))"
+_MOVED = "CASE WHEN exact < 0 THEN 'fell' ELSE 'rose' END"
+DRIVER_TEXTS = f"""texts AS (
+  SELECT rank, contribution_pct, CASE dimension
+    WHEN 'incident_flag' THEN 'Incident rows earned ' || {_SIZE} || ' less than calm rows would have'
+    WHEN 'holiday_flag' THEN 'Holiday revenue ' || {_MOVED} || ' by ' || {_SIZE}
+    ELSE CASE dimension WHEN 'campaign' THEN 'Campaign' WHEN 'region' THEN 'Region' WHEN 'category' THEN 'Category'
+      WHEN 'channel' THEN 'Channel' WHEN 'inventory_status' THEN 'Inventory Status' ELSE 'Discount Band' END
+      || ' ' || group_value || ' ' || {_MOVED} || ' by ' || {_SIZE} END AS driver
+  FROM drivers)"""
+TEXTS = f"""{DRIVER_TEXTS},
+moves AS (SELECT printf('%+.1f%%', {rnd('change', 1)}) AS change FROM changes WHERE metric = 'revenue'),
+outlook_text AS (
+  SELECT 'Revenue ' || CASE verdict WHEN 'stable' THEN 'should hold steady over the coming 7 days'
+    WHEN 'decline' THEN 'is projected to fall ' || size || ' over the coming 7 days'
+    ELSE 'is projected to rise ' || size || ' over the coming 7 days' END AS prediction
+  FROM (SELECT *, printf('%.1f%%', {rnd('abs(pct)', 1)}) AS size FROM (
+    SELECT verdict, {pct('avg_future', 'recent_avg')} AS pct FROM outlook o JOIN (
+      SELECT metric, sum(CAST(yhat AS DECIMAL(28,2)))::DOUBLE / 7e0 AS avg_future, max(recent_avg) AS recent_avg
+      FROM forecast GROUP BY metric) USING (metric) WHERE metric = 'revenue'))),
+odd AS (SELECT list_sort(list(label) FILTER (anomaly_detected)) AS labels FROM card),
+first_three AS (SELECT array_to_string(list(driver ORDER BY rank), '; ') AS sentences FROM texts WHERE rank <= 3),
+told AS (
+  SELECT severity, change, confidence, strong_drivers, enterprise_signal, prediction, t.driver AS top_driver,
+    t.contribution_pct AS top_share,
+    '[' || severity || '] Revenue moved ' || change || ' against the 14 days before. '
+    || CASE WHEN len(labels) > 0 THEN 'Unusual days were found in ' || array_to_string(labels, ', ') || '. ' ELSE '' END
+    || 'Main drivers: ' || sentences || '. Outlook: ' || prediction || '.' AS narrative
+  FROM confidence CROSS JOIN moves CROSS JOIN evidence CROSS JOIN outlook_text CROSS JOIN odd CROSS JOIN first_three
+    CROSS JOIN (SELECT * FROM texts WHERE rank = 1) t)"""

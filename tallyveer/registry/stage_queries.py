@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
@@ -198,12 +200,12 @@ def _(spark, folder):
 
 @query(
     "p16_short_series",
-    f"{FACTS} SELECT product, region, campaign, count(DISTINCT date) AS n_dates FROM fact "
-    "GROUP BY product, region, campaign HAVING count(DISTINCT date) < 10",
+    f"{FACTS} SELECT product, category, campaign, count(DISTINCT date) AS n_dates FROM fact "
+    "GROUP BY product, category, campaign HAVING count(DISTINCT date) < 10",
 )
 def _(spark, folder):
-    cfg = CFG.with_(series_keys=("product", "region", "campaign"))
-    columns = ("date", "product", "region", "campaign", "revenue", "orders")
+    cfg = CFG.with_(series_keys=("product", "category", "campaign"))
+    columns = ("date", "product", "category", "campaign", "revenue", "orders")
     return se.short_series(se.daily_totals(star_fact(spark, folder, columns), cfg), cfg)
 
 
@@ -398,7 +400,7 @@ def _(spark, folder):
     "WHERE dimension = 'campaign'",
 )
 def _(spark, folder):
-    return at.outer_join_contributions(star_source(spark, folder), "campaign", CFG)
+    return at.both_windows(star_source(spark, folder), "campaign", CFG)
 
 
 @query(
@@ -430,10 +432,17 @@ FLAG_SQL = (
 ).format(k="{k}", delta=q.rnd("delta", 2), share=q.rnd("share", 4))
 
 
-@query("a8_a9_flag_signals", f"{DRIVERS} {FLAG_SQL.format(k='')}")
+# windows that hold the holidays around a new year
+NEW_YEAR = DRIVERS.replace(
+    "WHERE o.o_orderdate IS NOT NULL", "WHERE CAST(o.o_orderdate AS DATE) <= DATE '2001-01-07'"
+).replace("(SELECT max(date) FROM fact)", "DATE '2001-01-07'")
+
+
+@query("a8_a9_flag_signals", f"{NEW_YEAR} {FLAG_SQL.format(k='')}")
 def _(spark, folder):
-    sums = at.window_sums(star_source(spark, folder), CFG)
-    return at.flag_signals(sums, CFG).select(
+    cfg = CFG.with_(as_of=dt.date(2001, 1, 7))
+    sums = at.window_sums(star_source(spark, folder), cfg)
+    return at.flag_signals(sums, cfg).select(
         "dimension", "group_value",
         half_even(F.col("delta"), 2).alias("delta"), half_even(F.col("share"), 4).alias("share"),
     )
@@ -478,18 +487,18 @@ def _(spark, folder):
 
 @query(
     "u4_fallback_rows",
-    f"{FACTS},\n{q.attribution(('product',))} SELECT product, 1 AS rank, 'n/a' AS dimension, "
-    f"'n/a' AS group_value, {q.rnd('exact_delta', 2)} AS delta, "
-    "CASE WHEN exact_delta <> 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS contribution_pct "
-    "FROM exact_totals JOIN totals USING (product) WHERE prv_rows > 0",
+    f"{FACTS},\n{q.attribution(('product',))} SELECT product, 1 AS rank, 'n/a' AS dimension, 'n/a' AS group_value, "
+    f"CASE WHEN prv_rows > 0 THEN {q.rnd('exact_delta', 2)} ELSE 0 END AS delta, "
+    "CASE WHEN exact_delta <> 0 AND prv_rows > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS contribution_pct, "
+    "CASE WHEN prv_rows = 0 THEN 'Not enough history to compare two windows' "
+    "WHEN exact_delta = 0 THEN 'Revenue did not change between the windows' "
+    "ELSE 'No group stands out; watch the metrics together' END AS driver "
+    "FROM exact_totals JOIN totals USING (product)",
 )
 def _(spark, folder):
     # no share reaches the cut-off, so every product falls back
     cfg = CFG.with_(series_keys=("product",), min_share_pct=1e15)
-    fallback = at.drivers(star_source(spark, folder), cfg)
-    return fallback.filter(F.col("driver") != "Not enough history to compare two windows").drop(
-        "driver"
-    )
+    return at.drivers(star_source(spark, folder), cfg)
 
 
 @query(
@@ -530,7 +539,7 @@ def _(spark, folder):
     return rec.first_declining(ranked, CFG).drop("driver")
 
 
-@query("p20_driver_text")
+@query("p20_driver_text", f"{DRIVERS},\n{q.DRIVER_TEXTS} SELECT rank, driver FROM texts")
 def _(spark, folder):
     return at.drivers(star_source(spark, folder), CFG).select("rank", "driver")
 
@@ -676,17 +685,10 @@ def _(spark, folder):
 # --- advice, confidence, brief --------------------------------------------------------
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    body = ", ".join(
-        "(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in rows
-    )
-    return f"(VALUES {body}) AS book({names})"
-
-
-BOOK = _values(
-    [(r[0], r[8], r[9], r[10], r[11]) for r in rec.PLAYBOOK],
-    "dimension, low_factor, high_factor, confidence_high, confidence_other",
-)
+BOOK = """(VALUES ('campaign', 0.55, 0.85, 0.88, 0.75), ('region', 0.55, 0.85, 0.78, 0.65),
+  ('category', 0.55, 0.85, 0.72, 0.72), ('channel', 0.55, 0.85, 0.80, 0.80),
+  ('inventory_status', 0.70, 0.90, 0.82, 0.82), ('incident_flag', 0.60, 0.85, 0.90, 0.90))
+  AS book(dimension, low_factor, high_factor, confidence_high, confidence_other)"""
 ADVICE = f"""{FULL},
 declining AS (
   SELECT * FROM drivers WHERE delta < 0
@@ -780,15 +782,24 @@ def _(spark, folder):
     return stages(spark, folder).explanation.select("confidence")
 
 
-@query("m20_m21_explanation")
+@query(
+    "m20_m21_explanation",
+    f"""{EVIDENCE}, {q.TEXTS}
+    SELECT severity, change, confidence, strong_drivers, enterprise_signal, top_driver, prediction, narrative,
+    false AS llm_powered FROM told""",
+)
 def _(spark, folder):
-    return stages(spark, folder).explanation
+    return stages(spark, folder).explanation.select(
+        "severity", "change", "confidence", "strong_drivers", "enterprise_signal", "top_driver", "prediction",
+        "narrative", "llm_powered",
+    )
 
 
-INTENT_CASE = "CASE " + " ".join(
-    f"WHEN regexp_matches(lower(text), '{'|'.join(words.split())}') THEN '{name}'"
-    for name, words in ex.INTENTS
-) + " ELSE 'overview' END"
+INTENT_CASE = """CASE WHEN regexp_matches(lower(text), 'why|cause|reason|driver') THEN 'cause'
+    WHEN regexp_matches(lower(text), 'forecast|next|future|predict') THEN 'forecast'
+    WHEN regexp_matches(lower(text), 'recommend|do|action|fix|improve') THEN 'action'
+    WHEN regexp_matches(lower(text), 'risk|danger|worst|concern') THEN 'risk'
+    WHEN regexp_matches(lower(text), 'segment|region|category|channel') THEN 'segment' ELSE 'overview' END"""
 
 
 @query(
@@ -796,23 +807,74 @@ INTENT_CASE = "CASE " + " ".join(
     f"SELECT conv_id, turn, {INTENT_CASE} AS intent FROM conversations WHERE role = 'user'",
 )
 def _(spark, folder):
-    b = stages(spark, folder)
     questions = table(spark, folder, "conversations").filter(F.col("role") == "user")
-    answers = ex.answer_questions(questions, b.explanation, b.recommendations)
-    return answers.filter(F.col("answer").isNotNull()).select("conv_id", "turn", "intent")
+    return questions.select("conv_id", "turn", ex.question_intent(F.col("text")).alias("intent"))
 
 
-@query("m22_answers")
+@query(
+    "m22_answers",
+    f"""{ADVICE}, {q.evidence()}, {q.TEXTS},
+    asked AS (SELECT conv_id, turn, {INTENT_CASE} AS intent FROM conversations WHERE role = 'user'),
+    shown AS (SELECT *, printf('%+.1f%%', top_share) AS share FROM told)
+    SELECT conv_id, turn, intent, CASE intent
+      WHEN 'cause' THEN 'The move of ' || change || ' comes mostly from: ' || top_driver || ' (' || share || ' of the change).'
+      WHEN 'forecast' THEN prediction || '; the band is a rule of thumb.'
+      WHEN 'action' THEN 'Start with: advice on ' || source
+      WHEN 'risk' THEN 'Severity is ' || severity || ' after a move of ' || change || '.'
+      WHEN 'segment' THEN 'Most affected: ' || top_driver || ' (' || share || ').'
+      ELSE 'Severity ' || severity || ', revenue ' || change || '. ' || top_driver || ' (' || share || '). advice on ' || source
+      END AS answer
+    FROM asked CROSS JOIN shown CROSS JOIN (SELECT source FROM ordered WHERE position = 1)""",
+)
 def _(spark, folder):
     b = stages(spark, folder)
     questions = table(spark, folder, "conversations").filter(F.col("role") == "user")
-    answers = ex.answer_questions(questions, b.explanation, b.recommendations)
-    return answers.select("conv_id", "turn", "answer")
+    # the wording of advice is its own; the comparison names its source
+    short = b.recommendations.withColumn("action", F.concat(F.lit("advice on "), F.col("source")))
+    answers = ex.answer_questions(questions, b.explanation, short)
+    return answers.select(
+        "conv_id", "turn", "intent",
+        F.when(F.col("intent") == "action", F.rtrim(F.col("answer"), F.lit("."))).otherwise(F.col("answer")).alias("answer"),
+    )
 
 
-@query("m23_s14_brief_json")
-def _(spark, folder):
-    return to_json_rows(stages(spark, folder).document().drop("timestamp"), CFG)
+@query(
+    "m23_s14_brief_json",
+    f"""{EVIDENCE}, {q.TEXTS}
+    SELECT severity, change, confidence, narrative, prediction,
+    (SELECT count(*) FROM drivers) AS causes, (SELECT driver FROM texts WHERE rank = 1) AS first_cause,
+    (SELECT count(*) FROM daily) AS days, (SELECT {q.rnd('sum(revenue)::DOUBLE', 0)} FROM daily) AS revenue,
+    (SELECT {q.iso('max(date)')} FROM forecast WHERE metric = 'revenue') AS last_forecast,
+    (SELECT {q.rnd('sum(yhat)', 1)} FROM forecast WHERE metric = 'orders') AS orders_ahead,
+    (SELECT anomaly_count FROM card WHERE metric = 'avg_order_value') AS odd_ticket_days, '1.0.0' AS version FROM told""",
+)
+def _(spark, folder):
+    rows = to_json_rows(stages(spark, folder).document().drop("timestamp"), CFG)
+    # read back what was written
+    parsed = rows.select(
+        F.from_json(
+            "document",
+            "severity string, change string, confidence double, explanation string, prediction string, "
+            "root_cause array<struct<rank: int, driver: string>>, dates array<string>, revenue array<double>, "
+            "forecast_dates array<string>, per_metric_forecast map<string, struct<forecast_values: array<double>>>, "
+            "per_metric map<string, struct<anomaly_count: bigint>>, pipeline_version string",
+        ).alias("d")
+    ).select("d.*")
+
+    def total(c):
+        return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+
+    return parsed.select(
+        "severity", "change", "confidence", F.col("explanation").alias("narrative"), "prediction",
+        F.size("root_cause").alias("causes"),
+        F.col("root_cause")[0]["driver"].alias("first_cause"),
+        F.size("dates").alias("days"),
+        half_even(total(F.col("revenue")), 0).alias("revenue"),
+        F.array_max("forecast_dates").alias("last_forecast"),
+        half_even(total(F.col("per_metric_forecast")["orders"]["forecast_values"]), 1).alias("orders_ahead"),
+        F.col("per_metric")["avg_order_value"]["anomaly_count"].alias("odd_ticket_days"),
+        F.col("pipeline_version").alias("version"),
+    )
 
 
 REGION = ("region",)

@@ -9,6 +9,7 @@ from tallyveer.registry import sql as q
 from tallyveer.registry.core import query
 from tallyveer.registry.stage_queries import CARD_COLUMNS, EVENT_CARD, plain_card
 from tallyveer.session import work_folder
+from tallyveer.sources.star import table
 from tallyveer.streaming import events as ev
 from tallyveer.streaming import refresh as rf
 
@@ -37,7 +38,7 @@ def _(spark, folder):
 
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 TOTALS = "count(*) AS events, sum(CAST(value AS DECIMAL(18,4)))::DOUBLE AS value"
-# append mode only emits windows the watermark has passed
+# what the second stream of the alerts gets: windows the watermark has passed
 CLOSED = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 
 
@@ -45,11 +46,11 @@ CLOSED = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
     "t2_tumbling_totals",
     f"""SELECT {STAMP.format('day')} AS window_start,
     {STAMP.format('day + INTERVAL 1 DAY')} AS window_end, event_type, {TOTALS}
-    FROM (SELECT *, date_trunc('day', ts)::TIMESTAMP AS day FROM events)
-    WHERE day + INTERVAL 1 DAY <= {CLOSED} GROUP BY day, event_type""",
+    FROM (SELECT *, date_trunc('day', ts)::TIMESTAMP AS day FROM events) GROUP BY day, event_type""",
 )
 def _(spark, folder):
-    return finished(ev.tumbling_totals(event_stream(spark, folder)), "tumbling")
+    closed = finished(ev.tumbling_totals(event_stream(spark, folder)), "tumbling")
+    return ev.with_open_windows(closed, table(spark, folder, "events"), ev.tumbling_totals, longest="1 day")
 
 
 @query(
@@ -58,10 +59,11 @@ def _(spark, folder):
     {STAMP.format('start + INTERVAL 14 DAY')} AS window_end, {TOTALS}
     FROM (SELECT value, date_trunc('day', ts)::TIMESTAMP - to_days(CAST(k AS INTEGER)) AS start
           FROM events, range(0, 14) AS steps(k))
-    WHERE start + INTERVAL 14 DAY <= {CLOSED} GROUP BY start""",
+    GROUP BY start""",
 )
 def _(spark, folder):
-    return finished(ev.sliding_totals(event_stream(spark, folder)), "sliding")
+    closed = finished(ev.sliding_totals(event_stream(spark, folder)), "sliding")
+    return ev.with_open_windows(closed, table(spark, folder, "events"), ev.sliding_totals, longest="14 days")
 
 
 @query(
@@ -77,10 +79,11 @@ def _(spark, folder):
       SELECT user_id, min(ts) AS s, max(ts) + INTERVAL 30 MINUTE AS e, {TOTALS}
       FROM numbered GROUP BY user_id, session)
     SELECT {STAMP.format('s')} AS window_start, {STAMP.format('e')} AS window_end, user_id,
-           events, value FROM sessions WHERE e <= {CLOSED}""",
+           events, value FROM sessions""",
 )
 def _(spark, folder):
-    return finished(ev.user_sessions(event_stream(spark, folder)), "sessions")
+    closed = finished(ev.user_sessions(event_stream(spark, folder)), "sessions")
+    return ev.with_open_windows(closed, table(spark, folder, "events"), ev.user_sessions)
 
 
 @query(

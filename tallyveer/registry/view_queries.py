@@ -331,40 +331,3 @@ def _(spark, folder):
     return diff.withColumns(
         {c: half_even(F.col(c), 2) for c in ("base", "scenario", "difference")}
     )
-
-
-@query(
-    "p24_price_effects",
-    f"""{FACTS} SELECT discount_band, inventory_status,
-    {q.rnd('''sum(CAST(revenue::DOUBLE * boost * factor * stock AS DECIMAL(28,8)))::DOUBLE''', 2)} AS revenue,
-    {q.rnd('''sum(CAST(orders * boost * stock AS DECIMAL(28,8)))::DOUBLE''', 2)} AS orders
-    FROM (SELECT *, CASE WHEN isodow(date) >= 6 THEN 1.25::DOUBLE ELSE 1e0 END AS boost,
-      CASE discount_band WHEN 'none' THEN 1e0 WHEN 'low' THEN 0.92::DOUBLE
-        WHEN 'medium' THEN 0.82::DOUBLE ELSE 0.70::DOUBLE END AS factor,
-      CASE WHEN inventory_status = 'O' THEN 0.30::DOUBLE ELSE 1e0 END AS stock FROM fact)
-    GROUP BY ALL""",
-)
-def _(spark, folder):
-    columns = ("date", "discount_band", "inventory_status", "revenue", "orders")
-    changed = sc.price_effects(star_fact(spark, folder, columns), out_of_stock="O")
-    exact = {c: F.sum(F.col(c).cast("decimal(28,8)")).cast("double") for c in ("revenue", "orders")}
-    return changed.groupBy("discount_band", "inventory_status").agg(
-        *[half_even(e, 2).alias(c) for c, e in exact.items()]
-    )
-
-
-@query(
-    "p25_floors",
-    """SELECT event_type AS category, count(*) AS n,
-    sum(CAST(greatest(value - 20, 0.01::DOUBLE) AS DECIMAL(18,4)))::DOUBLE AS revenue,
-    count(*)::DOUBLE AS orders FROM events GROUP BY event_type""",
-)
-def _(spark, folder):
-    fact = event_fact(spark, folder).withColumns(
-        {"revenue": F.col("revenue") - 20, "orders": F.lit(0.0)}
-    )
-    return sc.apply_floors(fact).groupBy("category").agg(
-        F.count("*").alias("n"),
-        exact_sum("revenue").alias("revenue"),
-        F.sum("orders").alias("orders"),
-    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on. Shuffle parallelism is left to the cluster:
 # AQE coalesces from whatever initial number the session carries.
@@ -40,16 +41,33 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "tallyveer") ->
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for ``purpose`` under the cluster's shared checkpoint folder.
+    """A fresh folder for ``purpose`` under the folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder of its own.
+    Every executor must reach that folder. Where the setting is missing, a session on this machine alone gets a folder of its own, as in
+    tests; a cluster's session is refused.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyveer-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the work folder and read it back.
+
+    Cuts the lineage: losing an executor later costs a re-read of this table, not another pass over what it came from.
+    """
+    spark = df.sparkSession
+    folder = work_folder(spark, purpose)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,13 +1,13 @@
-"""Catalog tables, SQL, file listings, retention and purge."""
+"""Catalog tables, SQL, retention and purge."""
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_ROWS = 10_000
 RETENTION_DAYS = {"raw": 30, "processed": 7}
 
 
@@ -39,18 +39,22 @@ def register_table(
         spark.sql(f"MSCK REPAIR TABLE {_quoted(name)}")
 
 
-def query(spark: SparkSession, sql: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
-    """Typed result of a SQL text, capped like the remote query it stands for."""
-    result = spark.sql(sql)
-    return result if max_rows is None else result.limit(max_rows)
+def query(spark: SparkSession, sql: str) -> DataFrame:
+    """Typed result of a SQL text, whole."""
+    return spark.sql(sql)
 
 
-def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Path, size and time of files under a folder; contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", "length", "modificationTime")
+def first_rows(result: DataFrame, rows: int, order_by: Sequence[str]) -> DataFrame:
+    """The first ``rows`` rows in a stated order; ``cut`` tells whether there are more.
+
+    One row beyond the limit is asked for, so the answer costs no count.
+    """
+    if not order_by:
+        raise ValueError("a capped result needs an order, else its rows are arbitrary")
+    head = result.orderBy(*order_by).limit(rows + 1)
+    place = Window.orderBy(*order_by)  # at most rows + 1 rows
+    numbered = head.withColumns({"_at": F.row_number().over(place), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    return numbered.where(F.col("_at") <= rows).select(*result.columns, (F.col("_n") > rows).alias("cut"))
 
 
 def retained(df: DataFrame, days: int, as_of: dt.date, column: str = "ingest_date") -> DataFrame:

@@ -1,4 +1,9 @@
-"""Delimited files: encoding, separator and header are found out, then Spark reads."""
+"""Delimited files: encoding, separator and header of each file are found out, then Spark reads.
+
+A folder may mix files. One pass over all lines tells, per file, its first line, whether every line is valid UTF-8 and how well
+each separator fits; files of the same kind are then read together and joined by column name. The driver holds one
+short row per file, as Spark's own file listing does.
+"""
 
 from __future__ import annotations
 
@@ -6,97 +11,166 @@ import csv
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyveer.functions import quoted
+from tallyveer.schema import MALFORMED
+
 SEPARATORS = (",", ";", "\t", "|")
 EXTENSIONS = (".csv", ".txt", ".tsv")
-HEAD_LINES = 50
-BYTE_ORDER_MARKS = {b"\xff\xfe": "UTF-16LE", b"\xfe\xff": "UTF-16BE"}
+#: Byte order marks of encodings whose lines Spark's text reader cannot part.
+MARKS = {b"\xff\xfe": "UTF-16LE", b"\xfe\xff": "UTF-16BE"}
 
 
 @dataclass(frozen=True)
 class FileFormat:
+    """How one file is written; ``agreement`` is the share of its lines as wide as its header."""
+
     encoding: str
     separator: str
     header: tuple[str, ...]
+    agreement: float = 1.0
+    path: str = ""
 
 
-def head_bytes(spark: SparkSession, path: str, lines: int = HEAD_LINES) -> list[bytes]:
-    """The first lines as raw bytes, undecoded."""
-    rows = spark.read.text(path).limit(lines).select(F.col("value").cast("binary")).collect()
-    return [bytes(r[0]) for r in rows]
+def separators_in(line: Column, separator: str) -> Column:
+    """Separators outside quotes."""
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit("")))
 
 
-def find_encoding(spark: SparkSession, path: str, head: Sequence[bytes]) -> str:
-    """UTF-16 by its mark; UTF-8 if every line of the data is valid; else ISO-8859-1.
+def profile_lines(lines: DataFrame) -> DataFrame:
+    """Per ``file``: its first line, whether all lines are UTF-8, and the lines that fit each separator.
 
-    Validity is checked over all lines by the executors; one row comes back.
-    ISO-8859-1 accepts any byte and so also stands for cp1252.
+    ``lines`` has columns file, place and line (binary). One shuffle of distinct widths; no file is gathered.
     """
-    if head and head[0][:2] in BYTE_ORDER_MARKS:
-        return BYTE_ORDER_MARKS[head[0][:2]]
-    valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
-    return "UTF-8" if valid in (True, None) else "ISO-8859-1"
-
-
-def find_separator(lines: Sequence[str], candidates: Sequence[str] = SEPARATORS) -> str:
-    """Separator that splits most lines into the header's number of fields, widest first."""
-
-    def rating(separator: str) -> tuple[float, int]:
-        widths = Counter(len(row) for row in csv.reader(lines, delimiter=separator))
-        header = len(next(csv.reader(lines[:1], delimiter=separator)))
-        if header < 2:
-            return (0.0, 0)
-        return (widths[header] / sum(widths.values()), header)
-
-    return max(candidates, key=rating)
+    text = F.decode("line", "ISO-8859-1")  # any byte is a character; separators are ASCII
+    widths = [separators_in(text, s).alias(f"w{i}") for i, s in enumerate(SEPARATORS)]
+    shapes = (
+        lines.where(F.length(F.translate(text, "\r", "")) > 0)
+        .select("file", "place", "line", *widths)
+        .groupBy("file", *[f"w{i}" for i in range(len(SEPARATORS))])
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.struct("place", "line")).alias("first"),
+            F.bool_and(F.is_valid_utf8(F.col("line").cast("string"))).alias("valid"),
+        )
+    )
+    head = F.min(F.struct(F.col("first.place"), F.col("first.line"), *[F.col(f"w{i}") for i in range(len(SEPARATORS))]))
+    shapes = shapes.withColumn("head", head.over(Window.partitionBy("file")))
+    return shapes.groupBy("file").agg(
+        F.any_value("head").alias("head"),
+        F.bool_and("valid").alias("valid"),
+        F.sum("n").alias("lines"),
+        *[F.sum(F.when(F.col(f"w{i}") == F.col(f"head.w{i}"), F.col("n"))).alias(f"fit{i}") for i in range(len(SEPARATORS))],
+    )
 
 
 def unique_names(names: Sequence[str]) -> list[str]:
-    """Repeated names get a running number: ``c, c_1, c_2``."""
+    """Repeated names get a running number: ``c, c_1, c_2``; case does not tell names apart."""
     seen: Counter[str] = Counter()
-    unique = []
+    unique, taken = [], {n.lower() for n in names}
     for name in names:
-        unique.append(f"{name}_{seen[name]}" if seen[name] else name)
-        seen[name] += 1
+        n, new = seen[name.lower()], name
+        while n and (new := f"{name}_{n}").lower() in taken:
+            n += 1
+        unique.append(new)
+        taken.add(new.lower())
+        seen[name.lower()] = n + 1
     return unique
 
 
-def inspect(spark: SparkSession, path: str) -> FileFormat:
-    head = head_bytes(spark, path)
-    if not head:
-        raise ValueError(f"{path} holds no data")
-    encoding = find_encoding(spark, path, head)
-    if encoding.startswith("UTF-16"):
-        text = spark.read.option("encoding", encoding).option("lineSep", "\n").csv(
-            path, schema="line string", sep="\u0001", quote=""
-        )
-        lines = [r[0] or "" for r in text.limit(HEAD_LINES).collect()]
+def header_fields(line: str, separator: str) -> list[str]:
+    return next(csv.reader([line.lstrip("﻿").rstrip("\r")], delimiter=separator), [])
+
+
+def text_lines(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
+    """Columns file, place and line; places order the lines of a file."""
+    if encoding:
+        reader = spark.read.option("encoding", encoding).option("lineSep", "\n")
+        df = reader.csv(path, schema="value string", sep="\u0001", quote="")
+        line = F.encode(F.coalesce("value", F.lit("")), "UTF-8")
     else:
-        lines = [raw.decode(encoding, errors="replace") for raw in head]
-    lines = [line.lstrip("﻿").rstrip("\r") for line in lines]
-    lines = [line for line in lines if line]
-    separator = find_separator(lines)
-    header = next(csv.reader(lines[:1], delimiter=separator))
-    return FileFormat(encoding, separator, tuple(unique_names(header)))
-
-
-def read_delimited(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """All columns as strings, under the file's own (de-duplicated) names."""
-    found = inspect(spark, path)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in found.header])
+        df, line = spark.read.text(path), F.col("value").cast("binary")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), line.alias("line"))
+
+
+def _format(row, encoding: str) -> FileFormat:
+    """Separator that fits most lines, the widest of equals, and the header under it."""
+    line = bytes(row["head"]["line"]).decode("UTF-8" if encoding.startswith("UTF-16") else encoding, errors="replace")
+    rated = []
+    for i, separator in enumerate(SEPARATORS):
+        fields, wide = header_fields(line, separator), row["head"][f"w{i}"] > 0
+        rated.append((row[f"fit{i}"] / row["lines"] if wide else 0.0, len(fields) if wide else 0, -i, separator, fields))
+    share, width, _, separator, fields = max(rated, key=lambda r: r[:3])
+    if not width:  # one column: no separator occurs in the header
+        share = row["fit0"] / row["lines"]
+    return FileFormat(encoding, separator, tuple(unique_names(fields)), share, unquote(row["file"]))
+
+
+def inspect_files(spark: SparkSession, path: str) -> list[FileFormat]:
+    """The format of each file under ``path``; UTF-16 by its mark, UTF-8 if every line is valid, else ISO-8859-1.
+
+    ISO-8859-1 accepts any byte and so also stands for cp1252.
+    """
+    rows = profile_lines(text_lines(spark, path)).collect()
+    found, marked = [], {}
+    for row in rows:
+        mark = MARKS.get(bytes(row["head"]["line"])[:2])
+        if mark:
+            marked.setdefault(mark, []).append(unquote(row["file"]))
+        else:
+            found.append(_format(row, "UTF-8" if row["valid"] else "ISO-8859-1"))
+    for encoding, files in marked.items():
+        found += [_format(row, encoding) for row in profile_lines(text_lines(spark, files, encoding)).collect()]
+    if not found:
+        raise ValueError(f"{path} holds no data")
+    return sorted(found, key=lambda f: f.path)
+
+
+def inspect(spark: SparkSession, path: str) -> FileFormat:
+    """The format of a single file, or of the first file of a folder."""
+    return inspect_files(spark, path)[0]
+
+
+def read_delimited(spark: SparkSession, path: str, multi_line: bool = False, least_agreement: float = 0.5) -> DataFrame:
+    """All columns as strings, under the files' own (de-duplicated) names, joined by name.
+
+    Rows with too few or too many fields keep what fits and their whole text in ``_malformed``. A file in which fewer than
+    ``least_agreement`` of the lines are as wide as its header is refused: it is not a table with that separator.
+    """
+    kinds: dict[tuple, list[str]] = {}
+    for f in inspect_files(spark, path):
+        if f.agreement < least_agreement and not multi_line:
+            raise ValueError(f"{f.path}: only {f.agreement:.0%} of the lines have the header's {len(f.header)} fields")
+        kinds.setdefault((f.encoding, f.separator, f.header), []).append(f.path)
+    parts = [_read(spark, files, *kind, multi_line) for kind, files in kinds.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select(*[quoted(c) for c in out.columns if c != MALFORMED], MALFORMED)
+
+
+def _read(
+    spark: SparkSession, files: list[str], encoding: str, separator: str, header: tuple[str, ...], multi_line: bool
+) -> DataFrame:
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in (*header, MALFORMED)])
     reader = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("sep", found.separator)
-        .option("encoding", found.encoding)
+        .option("sep", separator)
+        .option("encoding", encoding)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        .option("columnPruning", False)  # else a row is only as wide as the columns asked for
         .option("multiLine", multi_line)
         .option("escape", '"')
     )
-    if found.encoding.startswith("UTF-16"):
+    if encoding.startswith("UTF-16"):
         reader = reader.option("lineSep", "\n")
-    return reader.csv(path)
+    return reader.csv(files)

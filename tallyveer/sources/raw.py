@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyveer.functions import quoted
 from tallyveer.operators.repair import (
+    DATE_RATE,
+    assign_sequential_dates,
     ensure_measures,
     find_date_column,
+    looks_like_date,
     map_columns,
+    number_in,
     repair,
     require_rows,
+    text_columns,
 )
+from tallyveer.operators.rollup import roll_up
+from tallyveer.session import stored
 from tallyveer.sources.delimited import EXTENSIONS, read_delimited
 
 CACHED_MARKERS = ("inventory_status", "impressions")
@@ -32,43 +42,88 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return read_delimited(spark, path)
 
 
-def numeric_text(df: DataFrame) -> DataFrame:
-    """Cast text columns whose every value is a number, so measures can be promoted.
+def profiled(df: DataFrame, dates: bool, numbers: bool) -> Row:
+    """One row over the whole table: rows, and what each column could be, as far as asked.
 
-    Checked over the whole table in one pass; one row comes back.
+    ``d<i>`` is the share of dates in text column ``i``, ``n<i>`` whether all its values are numbers and ``m<i>`` the mean of a
+    column's numbers.
+    """
+    measures = [F.count(F.lit(1)).alias("rows")]
+    for i, f in enumerate(df.schema.fields):
+        c = quoted(f.name)
+        if f.name in text_columns(df):
+            number = number_in(df, f.name)
+            if dates:
+                share = F.try_divide(F.count_if(looks_like_date(f.name)).cast("double"), F.count(c))
+                measures.append(F.coalesce(share, F.lit(0.0)).alias(f"d{i}"))
+            if numbers:
+                measures.append(((F.count(c) > 0) & (F.count(c) == F.count(number))).alias(f"n{i}"))
+                measures.append(F.avg(number).alias(f"m{i}"))
+        elif numbers and isinstance(f.dataType, T.NumericType):
+            measures.append(F.avg(c.cast("double")).alias(f"m{i}"))
+    return df.agg(*measures).first()
+
+
+def shaped(df: DataFrame) -> DataFrame:
+    """A mapped table with a ``date`` column, where one can be found, and two measures.
+
+    Reads the table once, and only where a column has to be found: the first text column with enough dates becomes the date, the
+    numeric column with the highest mean the revenue, the first one left the orders.
+    """
+    typed = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    undated = "date" not in df.columns and not any(isinstance(f.dataType, typed) for f in df.schema.fields)
+    unmeasured = "revenue" not in df.columns or "orders" not in df.columns
+    if not (undated or unmeasured):
+        return find_date_column(df)
+    row = profiled(df, undated, unmeasured)
+    if not row["rows"]:
+        raise ValueError("the file holds no data rows")
+    names = df.columns
+    date = next((c for i, c in enumerate(names) if undated and (row.asDict().get(f"d{i}") or 0) >= DATE_RATE), None)
+    if unmeasured:
+        numeric = {c for i, c in enumerate(names) if c != date and row.asDict().get(f"n{i}")}
+        means = {c: row.asDict().get(f"m{i}") for i, c in enumerate(names)}
+        df = df.select(*[number_in(df, c).alias(c) if c in numeric else quoted(c) for c in names])
+        df = ensure_measures(df, means)
+    return df.withColumnRenamed(date, "date") if date else find_date_column(df) if not undated else df
+
+
+def load_raw(
+    spark: SparkSession, source: str, anchor: dt.date | None = None, order_by: Sequence[str] = ()
+) -> DataFrame:
+    """A user's file with canonical names, a date column and two measures.
+
+    A table without dates gets consecutive days that end at ``anchor``, its rows ordered by ``order_by`` (all columns if not
+    given); without an anchor it is refused. Text that has to be profiled is parsed once into the work folder.
     """
-    text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    if not text:
-        return df
-    checks = df.agg(
-        *[
-            (
-                (F.count(F.col(f"`{c}`")) > 0)
-                & (F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()) == 0)
-            ).alias(f"n{i}")
-            for i, c in enumerate(text)
-        ]
-    ).first()
-    numbers = {c for i, c in enumerate(text) if checks[f"n{i}"]}
-    return df.select(
-        *[F.col(f"`{c}`").cast("double").alias(c) if c in numbers else F.col(f"`{c}`") for c in df.columns]
-    )
-
-
-def load_raw(spark: SparkSession, source: str) -> DataFrame:
-    """A user's file with canonical names, a date column and two measures."""
     df = map_columns(read_any(spark, source))
-    require_rows(df, "the file holds no data rows")
-    df = find_date_column(df)
-    if "revenue" not in df.columns or "orders" not in df.columns:
-        df = ensure_measures(numeric_text(df))
+    if not {"date", "revenue", "orders"} <= set(df.columns) and source.lower().rstrip("/").endswith(EXTENSIONS):
+        df = stored(df, "raw-text")
+    before, df = df.columns, shaped(df)
+    if "date" not in df.columns:
+        if anchor is None:
+            raise ValueError("the file has no date column: give the date of its last row as anchor")
+        renamed = dict(zip(before, df.columns, strict=False))  # new columns come last
+        df = assign_sequential_dates(df, [renamed[c] for c in order_by] or df.columns, anchor)
     return df
 
 
-def load_fact(spark: SparkSession, source: str) -> DataFrame:
-    """Canonical fact of a user's file."""
-    fact = repair(load_raw(spark, source))
-    return require_rows(fact, "no row has a date that can be read")
+def load_fact(
+    spark: SparkSession, source: str, anchor: dt.date | None = None, order_by: Sequence[str] = ()
+) -> DataFrame:
+    """Canonical fact of a user's file; refused where no row has a readable date."""
+    return require_rows(repair(load_raw(spark, source, anchor, order_by)), "no row has a date that can be read")
+
+
+def load_processed(
+    spark: SparkSession, source: str, path: str, anchor: dt.date | None = None, order_by: Sequence[str] = ()
+) -> DataFrame:
+    """Roll a user's file up once, store it by month, and give the stored fact.
+
+    The text is read twice: for the formats of its files, and to be parsed.
+    """
+    write_processed(roll_up(repair(load_raw(spark, source, anchor, order_by))), path)
+    return require_rows(read_processed(spark, path), "no row has a date that can be read")
 
 
 def load_snapshot(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,7 +73,12 @@ def sliding_totals(
 
 
 def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -> DataFrame:
-    """Sessions per user, closed after ``gap`` without an event."""
+    """Sessions per user, closed after ``gap`` without an event.
+
+    Events of a user are merged into sessions before they are shuffled, so a user with a large part of the events reaches the state as
+    few rows.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     timed = event_time(events, delay)
     grouped = timed.groupBy(F.session_window("ts", gap).alias("window"), "user_id")
     return _bounds(_totals(grouped))
@@ -98,3 +105,28 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
     )
     run.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def closed_until(events: DataFrame, delay: str = "1 day") -> Column:
+    """Time up to which a finished run over ``events`` has delivered its windows: the watermark after the last event."""
+    return events.agg(F.max(F.col("ts").cast("timestamp")) - F.expr(f"INTERVAL {delay}")).scalar()
+
+
+def with_open_windows(
+    closed: DataFrame,
+    events: DataFrame,
+    build: Callable[[DataFrame], DataFrame],
+    delay: str = "1 day",
+    longest: str | None = None,
+) -> DataFrame:
+    """Stored windows and those still open, from one batch pass over the events that can lie in an open one.
+
+    ``build`` is the function that made the stream, such as ``tumbling_totals``; ``longest`` is the length of its windows, and tells
+    how far back open windows reach (sessions have none: a long one may reach anywhere). Together the rows are what ``build`` gives
+    for all events as a batch, as long as no event came too late.
+    """
+    border = closed_until(events, delay)
+    if longest:
+        events = events.filter(F.col("ts").cast("timestamp") > border - F.expr(f"INTERVAL {longest}"))
+    still_open = build(events).filter(F.col("window_end") > border)
+    return closed.unionByName(still_open)

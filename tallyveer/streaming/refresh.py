@@ -13,6 +13,7 @@ from tallyveer.config import AnalysisConfig
 from tallyveer.operators.detect import scorecard
 from tallyveer.operators.rollup import average_order_value, exact_sum
 from tallyveer.operators.series import AMOUNT, to_long
+from tallyveer.session import stored
 
 TOTALS = ("revenue", "orders")
 
@@ -24,28 +25,44 @@ def batch_totals(facts: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
-def append_totals(batch: DataFrame, batch_id: int, folder: str, cfg: AnalysisConfig) -> None:
-    """Store the sums of a micro-batch under its id.
+def daily_schema(batch: DataFrame, cfg: AnalysisConfig) -> T.StructType:
+    kinds = {f.name: f.dataType for f in batch.schema.fields}
+    fields = [T.StructField(k, kinds[k]) for k in cfg.series_keys]
+    amount = T.DecimalType(28, 4)
+    fields += [T.StructField(c, amount) for c in TOTALS] + [T.StructField("last_batch", T.LongType())]
+    return T.StructType([*fields, T.StructField("date", T.DateType())])
 
-    A replayed batch overwrites its own partition, so a retry after a failure
-    does not count facts twice.
+
+def merge_batch(batch: DataFrame, batch_id: int, folder: str, cfg: AnalysisConfig) -> None:
+    """Add the sums of a micro-batch to the table of daily totals, which is partitioned by date.
+
+    Only the dates of the batch are read and replaced, so the cost of a batch does not grow with the batches before it. Each date knows the
+    last batch it holds; a replayed batch leaves the dates that hold it already as they are. Facts without a date are left out.
     """
-    (
-        batch_totals(batch, cfg)
-        .withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(folder)
+    spark, schema = batch.sparkSession, daily_schema(batch, cfg)
+    sums = stored(batch_totals(batch.where("date IS NOT NULL"), cfg), "batch")
+    dates = [r.date for r in sums.select("date").distinct().collect()]  # bounded by the calendar
+    if not dates:
+        return
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("date").parquet(folder)
+    old = spark.read.schema(schema).parquet(folder).where(F.col("date").isin(dates))
+    held = old.where(F.col("last_batch") >= batch_id)
+    new = sums.join(held.select("date").distinct(), "date", "left_anti").withColumn("last_batch", F.lit(batch_id).cast("long"))
+    earlier = old.where(F.col("last_batch") < batch_id)
+    merged = earlier.unionByName(new).groupBy(*cfg.series_keys, "date").agg(
+        *[F.sum(c).cast(AMOUNT).alias(c) for c in TOTALS]
     )
+    merged = merged.withColumn("last_batch", F.lit(batch_id).cast("long"))
+    # the table is both read and written: fix the result first
+    result = stored(merged.select(*schema.names), "merged")
+    result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(folder)
 
 
 def current_daily(spark: SparkSession, folder: str, cfg: AnalysisConfig) -> DataFrame:
-    """Daily totals over all stored micro-batches; corrections to old dates add up."""
+    """Daily totals over all merged micro-batches."""
     return (
         spark.read.parquet(folder)
-        .groupBy(*cfg.series_keys, "date")
-        .agg(*[F.sum(c).cast(AMOUNT).alias(c) for c in TOTALS])
+        .select(*cfg.series_keys, "date", *TOTALS)
         .withColumn(
             "avg_order_value",
             average_order_value(F.col("revenue"), F.col("orders")).cast(AMOUNT),
@@ -53,24 +70,6 @@ def current_daily(spark: SparkSession, folder: str, cfg: AnalysisConfig) -> Data
     )
 
 
-def merge_totals(spark: SparkSession, folder: str, target: str, cfg: AnalysisConfig) -> None:
-    """Fold all stored micro-batches into one under ``target``, between two runs.
-
-    The merged rows carry the last batch id, later batches have higher ones. Call
-    it while the query is stopped and all its batches are committed.
-    """
-    stored = spark.read.parquet(folder)
-    last = stored.agg(F.max("batch_id")).scalar()
-    (
-        stored.groupBy(*cfg.series_keys, "date")
-        .agg(*[F.sum(c).cast(AMOUNT).alias(c) for c in TOTALS])
-        .withColumn("batch_id", last)
-        .write.mode("errorifexists")
-        .partitionBy("batch_id")
-        .parquet(target)
-    )
-
-
 def refresh_scorecard(spark: SparkSession, folder: str, cfg: AnalysisConfig) -> DataFrame:
     return scorecard(to_long(current_daily(spark, folder, cfg), cfg), cfg)
 
@@ -83,7 +82,7 @@ def follow(facts: DataFrame, folder: str, cfg: AnalysisConfig, write_cards: bool
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        append_totals(batch, batch_id, f"{folder}/daily", cfg)
+        merge_batch(batch, batch_id, f"{folder}/daily", cfg)
         if write_cards:
             cards = refresh_scorecard(batch.sparkSession, f"{folder}/daily", cfg)
             cards.write.mode("overwrite").parquet(f"{folder}/cards/batch_id={batch_id}")

@@ -80,18 +80,48 @@ def test_scores_match_closed_form_with_ties(spark):
     assert flagged[40]
 
 
-def test_long_series_uses_quantile_grid(spark):
+def expected(values, points=256):
+    """Scores by the documented rule, with plain loops."""
+    values = np.asarray(values, float)
+    order, n = np.argsort(values, kind="stable"), len(values)
+    sample = values[order][sorted({n * (2 * i + 1) // (2 * points) for i in range(points)})]
+    support, first = np.unique(sample, return_index=True)
+    return -(2.0 ** (-np.interp(values, support, closed_form(sample)[first]) / path_length(len(sample))))
+
+
+@pytest.mark.parametrize("n", [10, 60, 255, 256, 257, 700, 1000])
+def test_one_rule_at_every_length(spark, n):
     rng = np.random.default_rng(11)
-    values = np.round(rng.gamma(5, 100, 700), 2)
-    values[300] = 9000
-    levels = (np.arange(256) + 0.5) / 256
-    grid = np.quantile(values, levels)
-    points, first = np.unique(grid, return_index=True)
-    depth = closed_form(grid)[first]
-    want = -(2.0 ** (-np.interp(values, points, depth) / path_length(256)))
+    values = np.round(rng.gamma(5, 100, n), 1 if n > 300 else 2)
+    values[n // 2] = 9000
     got, flagged = scores(spark, values)
-    assert np.allclose(got, want, atol=1e-8)
-    assert flagged[300] and abs(sum(flagged) - 56) <= 1
+    assert np.allclose(got, expected(values), atol=1e-8)
+    assert flagged[n // 2] and abs(sum(flagged) - 0.08 * n) <= 1.5
+
+
+def test_one_more_date_moves_no_other_flag(spark):
+    rng = np.random.default_rng(23)
+    values = np.round(rng.normal(1000, 80, 258), 2)
+    flags = [scores(spark, values[:n])[1] for n in (255, 256, 257, 258)]
+    for a, b in zip(flags, flags[1:]):
+        assert sum(x != y for x, y in zip(a, b)) <= 1  # the cut itself moves with the number of dates
+
+
+def test_score_of_a_forest_is_met(spark):
+    """Flags agree with simulated forests about as well as two forests do with each other."""
+    rng = np.random.default_rng(5)
+    for n in (60, 256, 257):
+        values = np.round(rng.normal(100, 15, n) + (rng.random(n) < 0.05) * rng.normal(0, 80, n), 2)
+        sums = np.zeros(n)
+        for _ in range(60):
+            part = rng.choice(n, min(n, 256), replace=False)
+            at = simulated(values[part], 1, rng)
+            order = np.argsort(values[part])
+            sums += np.interp(values, values[part][order], at[order])
+        cut = np.quantile(-sums, 0.92)
+        _, flagged = scores(spark, values)
+        both = sum(f and (-s >= cut) for f, s in zip(flagged, sums))
+        assert both / (sum(flagged) + (-sums >= cut).sum() - both) > 0.6
 
 
 def test_grid_state_is_bounded(spark):

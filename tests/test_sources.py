@@ -6,7 +6,7 @@ import pytest
 from tallyveer.operators import repair as rp
 from tallyveer.sources import catalog as cat
 from tallyveer.sources import raw as rw
-from tallyveer.sources.delimited import find_separator, inspect, read_delimited, unique_names
+from tallyveer.sources.delimited import inspect, inspect_files, read_delimited, unique_names
 
 
 def written(tmp_path, text: str, encoding="utf-8", name="data.csv") -> str:
@@ -26,7 +26,7 @@ def test_separator_and_encoding(spark, tmp_path, separator, encoding, found):
     what = inspect(spark, path)
     assert (what.encoding, what.separator) == (found, separator)
     rows = read_delimited(spark, path).orderBy("Date").collect()
-    assert [tuple(r) for r in rows] == [tuple(lines[1]), tuple(lines[2])]
+    assert [tuple(r) for r in rows] == [(*lines[1], None), (*lines[2], None)]
 
 
 def test_encoding_looks_at_every_line(spark, tmp_path):
@@ -36,14 +36,100 @@ def test_encoding_looks_at_every_line(spark, tmp_path):
     assert inspect(spark, str(path)).encoding == "ISO-8859-1"
 
 
-def test_separator_with_quotes():
-    assert find_separator(["a;b;c", '1;"x;y";2,5', '2;"p";3,5']) == ";"
+def test_separator_with_quotes(spark, tmp_path):
+    found = inspect(spark, written(tmp_path, 'a;b;c\n1;"x;y";2,5\n2;"p";3,5\n'))
+    assert found.separator == ";" and found.agreement == 1.0
+
+
+def test_separator_is_checked_on_every_line(spark, tmp_path):
+    # the first hundred lines would pass for commas
+    text = "a,1;b\n" + "1,2;3\n" * 100 + "x;y\n" * 400
+    assert inspect(spark, written(tmp_path, text)).separator == ";"
+    with pytest.raises(ValueError, match="lines have the header's"):
+        read_delimited(spark, written(tmp_path, "a,b\n" + "no separator\n" * 9, name="prose.csv"))
+
+
+def test_folder_of_mixed_files(spark, tmp_path):
+    folder = tmp_path / "many files.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("date,revenue,orders\n2024-01-01,10,1\n".encode())
+    (folder / "b.csv").write_bytes("orders;revenue;region;date\n1;10;Süd;2024-01-02\n".encode("latin-1"))
+    (folder / "c.csv").write_bytes("date,revenue,orders\n2024-01-03,10,1\n".encode())
+    (folder / "d e.csv").write_bytes("date\trevenue\n2024-01-04\t7\n".encode("utf-16"))
+    assert [f.encoding for f in inspect_files(spark, str(folder))] == ["UTF-8", "ISO-8859-1", "UTF-8", "UTF-16LE"]
+    rows = {r["date"]: (r["revenue"], r["orders"], r["region"]) for r in read_delimited(spark, str(folder)).collect()}
+    assert rows == {
+        "2024-01-01": ("10", "1", None), "2024-01-02": ("10", "1", "Süd"), "2024-01-03": ("10", "1", None),
+        "2024-01-04": ("7", None, None),
+    }
+
+
+def test_malformed_rows_are_kept_and_counted(spark, tmp_path):
+    path = written(tmp_path, "date,revenue,orders\n2024-01-01,1,1\n2024-01-02,2\n2024-01-03,3,1,9\n2024-01-04,4,1\n")
+    raw = rp.map_columns(read_delimited(spark, path))
+    assert rp.quality_report(raw).first()["malformed_rows"] == 2
+    assert sum(r["_malformed"] is not None for r in raw.collect()) == 2
+    fact = rw.load_fact(spark, path).orderBy("date").collect()
+    assert [r["revenue"] for r in fact] == [1.0, 2.0, 3.0, 4.0] and "_malformed" not in fact[0]
+
+
+@pytest.mark.parametrize("header", ["State,Region", "Region,State", "Sales,Revenue", "REGION,region", "x.y,a`b"])
+def test_names_that_collide_or_need_quotes(spark, tmp_path, header):
+    path = written(tmp_path, f"{header},Day,note\n1,2,2024-01-01,5\n3,4,2024-01-02,6\n")
+    raw = rw.load_raw(spark, path)
+    assert len({c.lower() for c in raw.columns}) == len(raw.columns)
+    assert rw.load_fact(spark, path).count() == 2
+    assert rp.unfilled_columns(raw).count() > 0
+    assert rp.date_candidates(read_delimited(spark, path)).count() == 4
+
+
+def test_numbers_as_written(spark):
+    cells = ["12", " 1.5 ", "-2e2", ".5", "5.", "12d", "12f", "1e20", "inf", "NaN", "0x1F", "1,5", "", None]
+    df = spark.createDataFrame([("2024-01-01", c) for c in cells], ["date", "revenue"])
+    got = [r[0] for r in df.select(rp.number_in(df, "revenue")).collect()]
+    assert got == [12.0, 1.5, -200.0, 0.5, 5.0] + [None] * 9
+    row = rp.quality_report(df).first()
+    assert row["coerced_revenue"] == 8 and row["null_revenue"] == 1
+
+
+def test_date_column_behind_junk(spark):
+    values = ["junk"] * 6 + [f"2024-01-{d:02d}" for d in range(1, 29)]
+    df = spark.createDataFrame([(v, "1700000000") for v in values], ["when", "stamp"]).coalesce(1)
+    assert rp.find_date_column(df).columns == ["date", "stamp"]
+
+
+def test_undated_file_needs_an_anchor(spark, tmp_path):
+    path = written(tmp_path, "region,revenue,orders\n" + "".join(f"r{i:03d},{i},1\n" for i in range(50)))
+    with pytest.raises(ValueError, match="anchor"):
+        rw.load_fact(spark, path)
+    fact = rw.load_fact(spark, path, dt.date(2024, 3, 1), ["region"]).collect()
+    assert {r["region"]: r["date"] for r in fact} == {
+        f"r{i:03d}": dt.date(2024, 3, 1) - dt.timedelta(days=49 - i) for i in range(50)
+    }
+
+
+def test_stored_fact_reads_the_text_twice(spark, tmp_path):
+    path = written(tmp_path, "date,sales,orders\n" + "".join(f"2024-01-{d:02d},{d},1\n" for d in range(1, 29)))
+    stored = rw.load_processed(spark, path, str(tmp_path / "processed"))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan.lower() and "csv" not in plan.lower()
+    assert stored.count() == 28 and stored.agg({"revenue": "sum"}).first()[0] == sum(range(1, 29))
+
+
+def test_capped_results_say_so(spark):
+    df = spark.range(10_001).withColumnRenamed("id", "k")
+    assert cat.query(spark, "SELECT * FROM range(10001)").count() == 10_001
+    top = cat.first_rows(df, 10_000, ["k"]).collect()
+    assert len(top) == 10_000 and all(r["cut"] for r in top) and top[-1]["k"] == 9_999
+    assert not any(r["cut"] for r in cat.first_rows(df, 10_001, ["k"]).collect())
+    with pytest.raises(ValueError, match="order"):
+        cat.first_rows(df, 5, [])
 
 
 def test_duplicate_headers(spark, tmp_path):
     assert unique_names(["rev", "rev", "x", "rev"]) == ["rev", "rev_1", "x", "rev_2"]
     df = read_delimited(spark, written(tmp_path, "rev,rev,x\n1,2,3\n"))
-    assert df.columns == ["rev", "rev_1", "x"] and tuple(df.first()) == ("1", "2", "3")
+    assert df.columns == ["rev", "rev_1", "x", "_malformed"] and tuple(df.first()) == ("1", "2", "3", None)
 
 
 def test_quoted_separator_in_value(spark, tmp_path):
@@ -62,7 +148,9 @@ def test_first_alias_wins(spark):
 def test_mixed_date_formats(spark):
     texts = [
         "2024-03-05", "2024-03-05 10:11:12", "03/05/2024", "2024/03/05", "05.03.2024",
-        "Mar 5 2024", "5 Mar 2024", " 2024-03-05 ",
+        "Mar 5 2024", "5 Mar 2024", " 2024-03-05 ", "3/5/2024", "2024-3-5", "2024-03-05T10:00:00Z",
+        "2024-03-05 10:00:00.123", "2024-03-05T10:00:00+00:00", "03/05/2024 10:00", "05-Mar-2024", "03/05/24", "20240305",
+        "March 5, 2024", "5.3.2024", "2024-03-05 10:00 PM", "03-05-2024", "5.3.24",
     ]
     df = spark.createDataFrame([(t,) for t in texts], ["d"])
     parsed = {r[0] for r in df.select(rp.parse_date(df["d"])).collect()}
@@ -70,7 +158,7 @@ def test_mixed_date_formats(spark):
 
 
 def test_numbers_and_junk_are_not_dates(spark):
-    df = spark.createDataFrame([("20",), ("1700000000",), ("soon",), ("2024-13-01",), (None,)], ["d"])
+    df = spark.createDataFrame([("20",), ("1700000000",), ("soon",), ("2024-13-01",), ("2024-02-30",), ("31/31/2024",), ("12:30",), ("5 Foo 2024",), ("20241301",), ("",), (None,)], ["d"])
     assert {r[0] for r in df.select(rp.parse_date(df["d"])).collect()} == {None}
 
 
@@ -195,10 +283,3 @@ def test_retention_and_purge(spark, tmp_path):
     assert {r[0] for r in spark.table(runs).select("run_id").collect()} == {"r2"}
     assert cat.without_run(df, "r1").count() == 5
     spark.sql(f"DROP TABLE {runs}")
-
-
-def test_query_cap_and_listing(spark, tmp_path):
-    assert cat.query(spark, "SELECT * FROM range(50)", max_rows=7).count() == 7
-    spark.range(3).write.parquet(str(tmp_path / "t"))
-    files = cat.list_files(spark, str(tmp_path / "t"), "*.parquet")
-    assert files.columns == ["path", "length", "modificationTime"] and files.count() >= 1

@@ -54,27 +54,47 @@ def test_redelivery_is_removed(spark, tmp_path):
     assert ev.run_to_table(stream(), out).count() == 2
 
 
+DAILY = "date date, category string, revenue double, orders double"
+
+
 def test_replayed_batch_counts_once(spark, tmp_path):
     folder = str(tmp_path / "daily")
-    batch = spark.createDataFrame(
-        [(dt.date(2024, 1, 1), "a", 5.0, 1.0)], "date date, category string, revenue double, orders double"
-    )
+    batch = spark.createDataFrame([(dt.date(2024, 1, 1), "a", 5.0, 1.0)], DAILY)
     for batch_id in (0, 1, 1):
-        rf.append_totals(batch, batch_id, folder, CFG)
+        rf.merge_batch(batch, batch_id, folder, CFG)
     row = rf.current_daily(spark, folder, CFG).first()
     assert (float(row["revenue"]), float(row["orders"])) == (10.0, 2.0)
 
 
-def test_merged_totals_stay_the_same(spark, tmp_path):
-    folder, target = str(tmp_path / "daily"), str(tmp_path / "merged")
-    schema = "date date, category string, revenue double, orders double"
-    for batch_id, value in enumerate((5.0, 7.0, 11.0)):
-        batch = spark.createDataFrame([(dt.date(2024, 1, 1 + batch_id % 2), "a", value, 1.0)], schema)
-        rf.append_totals(batch, batch_id, folder, CFG)
-    rf.merge_totals(spark, folder, target, CFG)
-    assert {r["batch_id"] for r in spark.read.parquet(target).collect()} == {2}
-    before = rf.current_daily(spark, folder, CFG).orderBy("date").collect()
-    assert rf.current_daily(spark, target, CFG).orderBy("date").collect() == before
+def test_batches_touch_only_their_dates(spark, tmp_path):
+    folder = tmp_path / "daily"
+    for batch_id, (day, value) in enumerate([(1, 5.0), (2, 7.0), (1, 11.0), (3, 1.0)]):
+        rows = [(dt.date(2024, 1, day), c, value, 1.0) for c in "ab"] + [(None, "a", 9.0, 1.0)]
+        rf.merge_batch(spark.createDataFrame(rows, DAILY), batch_id, str(folder), CFG)
+        if batch_id == 1:
+            files = {f.name for f in (folder / "date=2024-01-02").iterdir()}
+    assert {f.name for f in (folder / "date=2024-01-02").iterdir()} == files
+    rows = rf.current_daily(spark, str(folder), CFG).where("category = 'a'").collect()
+    assert {r["date"].day: float(r["revenue"]) for r in rows} == {1: 16.0, 2: 7.0, 3: 1.0}
+
+
+def test_stored_and_open_windows_are_the_batch_result(spark, tmp_path):
+    # one user holds a third of the events
+    rows = [
+        (i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=17 * i), 1 if i % 3 == 0 else i % 40, "view", float(i % 7), None)
+        for i in range(2000)
+    ]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, ev.EVENT_SCHEMA).repartition(4).write.parquet(source)
+    events = spark.read.parquet(source)
+    for name, build, longest in (
+        ("day", ev.tumbling_totals, "1 day"), ("slide", ev.sliding_totals, "14 days"), ("user", ev.user_sessions, None)
+    ):
+        closed = ev.run_to_table(build(ev.stream_files(spark, source)), str(tmp_path / name))
+        both = ev.with_open_windows(closed, events, build, longest=longest).collect()
+        want = build(events).collect()
+        assert closed.count() < len(want)
+        assert sorted(map(str, both)) == sorted(map(str, want))
 
 
 def test_refreshed_card_equals_batch(spark, data, tmp_path):
