@@ -42,6 +42,8 @@ class AnalysisConfig:
     min_share_pct: float = 5.0
     min_incident_loss: float = 100.0
     min_holiday_delta: float = 1.0
+    # drivers a series' document lists, best first; the table of drivers holds all
+    document_drivers: int = 100
 
     # forecast
     horizon: int = 7

@@ -237,37 +237,45 @@ def decompose(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
 def correlated_groups(fact: DataFrame, dimension: str, cfg: AnalysisConfig) -> DataFrame:
     """Correlation of each group's daily revenue with the rest of the total.
 
-    Dates without rows of a group count as 0. The sums come from one pass over
-    (group, date); groups are compared with the total, not with each other.
+    Dates without rows of a group count as 0. The sums come from one pass over (group, date); groups are compared with the total, not with
+    each other. Values are centred, in exact decimals, before they are squared.
     """
     keys = list(cfg.series_keys)
     by_day = fact.groupBy(*keys, "date", F.col(dimension).alias("group_value")).agg(
         exact_sum("revenue").alias("own")
     )
     totals = by_day.groupBy(*keys, "date").agg(F.sum("own").alias("total"))
-    days = totals.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("total").cast("double")).alias("st"),
-        F.sum(F.col("total").cast("double") * F.col("total").cast("double")).alias("stt"),
+    days = totals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("total").alias("mean"))
+    moves = attach(totals, days, keys).select(
+        *keys, "date", "n", (F.col("total") - F.col("mean")).cast("double").alias("move")
     )
-    own, total = F.col("own").cast("double"), F.col("total").cast("double")
-    sums = (
-        by_day.join(totals, [*keys, "date"])
-        .groupBy(*keys, "group_value")
-        .agg(
-            F.sum(own).alias("so"),
-            F.sum(own * own).alias("soo"),
-            F.sum(own * total).alias("sot"),
-        )
+    spread = moves.groupBy(*keys).agg(F.sum(F.col("move") * F.col("move")).alias("stt"))
+    usual = (F.sum("own").over(Window.partitionBy(*keys, "group_value")) / F.col("n")).alias("usual")
+    own = by_day.join(moves, [*keys, "date"]).select("*", usual)
+    own = own.withColumn("off", (F.col("own") - F.col("usual")).cast("double"))
+    off, move = F.col("off"), F.col("move")
+    rest = move - off
+    sums = own.groupBy(*keys, "group_value").agg(
+        F.max("n").alias("n"),
+        F.count(F.lit(1)).alias("present"),
+        F.max("usual").cast("double").alias("usual"),
+        F.sum(off * off).alias("soo"),
+        F.sum(off * rest).alias("sor"),
+        F.sum(rest * rest).alias("srr"),
+        F.sum(move).alias("st"),
+        F.sum(move * move).alias("stt_present"),
     )
-    n = F.col("n").cast("double")
-    # rest = total - own
-    sr = F.col("st") - F.col("so")
-    srr = F.col("stt") - 2.0 * F.col("sot") + F.col("soo")
-    sor = F.col("sot") - F.col("soo")
-    cov = n * sor - F.col("so") * sr
-    var = (n * F.col("soo") - F.col("so") * F.col("so")) * (n * srr - sr * sr)
-    return attach(sums, days, keys).select(
+    # dates without rows: the group is its usual value below, the rest that much above
+    absent = (F.col("n") - F.col("present")).cast("double")
+    usual, lacking = F.col("usual"), absent > 0
+    far = absent * usual * usual
+    cov = F.col("sor") + F.when(lacking, usual * F.col("st") - far).otherwise(0.0)
+    var_own = F.col("soo") + F.when(lacking, far).otherwise(0.0)
+    var_rest = F.col("srr") + F.when(
+        lacking, F.col("stt") - F.col("stt_present") - 2.0 * usual * F.col("st") + far
+    ).otherwise(0.0)
+    var = var_own * var_rest
+    return attach(sums, spread, keys).select(
         *keys,
         "group_value",
         F.when(var > 0, cov / F.sqrt(var)).otherwise(0.0).alias("correlation"),

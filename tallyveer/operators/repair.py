@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveer.functions import finite_or_null, quoted
+from tallyveer.functions import quoted
 from tallyveer.operators.order import numbered
 from tallyveer.schema import (
     CATEGORICALS,
@@ -76,38 +76,49 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?\s*(?:[AaPp][Mm])?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?$"
 
 #: Shapes of dates and where year, month and day stand in them; a month's name is ``m`` and its number by then. Month comes
-#: before day unless dots part them; the other order is taken only where the first number cannot be a month.
+#: before day unless dots part them; the other order is taken only where the first number cannot be a month. Two-digit years up to
+#: 68 belong to this century.
 DATE_SHAPES = (
     (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){TIME}", "$1-$2-$3"),
     (rf"^(0?[1-9]|1[0-2])[-/](\d{{1,2}})[-/](\d{{4}}){TIME}", "$3-$1-$2"),
     (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}){TIME}", "$3-$2-$1"),
-    (rf"^(\d{{1,2}})[-/ ]m(\d\d)[-/ ,]+(\d{{4}}){TIME}", "$3-$2-$1"),
-    (rf"^m(\d\d)[-/ ](\d{{1,2}})[-/ ,]+(\d{{4}}){TIME}", "$3-$1-$2"),
     (r"^((?:19|20)\d{2})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (rf"^(0?[1-9]|1[0-2])[-/](\d{{1,2}})[-/]([0-5]\d|6[0-8]){TIME}", "20$3-$1-$2"),
+    (rf"^(0?[1-9]|1[0-2])[-/](\d{{1,2}})[-/](69|[7-9]\d){TIME}", "19$3-$1-$2"),
+    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.]([0-5]\d|6[0-8]){TIME}", "20$3-$2-$1"),
+    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](69|[7-9]\d){TIME}", "19$3-$2-$1"),
 )
-#: Two-digit years up to 68 belong to this century.
-SHORT_YEARS = (
-    (r"^(\d{1,2}[-/.]\d{1,2}[-/.])([0-5]\d|6[0-8])(?!\d)", "$120$2"),
-    (r"^(\d{1,2}[-/.]\d{1,2}[-/.])(69|[7-9]\d)(?!\d)", "$119$2"),
+NAMED_SHAPES = (
+    (rf"^(\d{{1,2}})[-/ ]m(\d\d)[-/ ,]+(\d{{4}}){TIME}", "$3-$2-$1"),
+    (rf"^m(\d\d)[-/ ](\d{{1,2}})[-/ ,]+(\d{{4}}){TIME}", "$3-$1-$2"),
 )
 
 
+def _rewritten(text: Column, shapes: Sequence[tuple[str, str]]) -> Column:
+    """The ISO form of the first shape that fits."""
+    found = F.lit(None).cast("string")
+    for shape, iso in reversed(shapes):
+        found = F.when(text.rlike(shape), F.regexp_replace(text, shape, iso)).otherwise(found)
+    return found
+
+
 def parse_date(value: Column) -> Column:
     """The date a text shows, as written (a zone does not move it); null for anything else.
 
-    Numbers are not dates, but for eight digits that spell one. Each shape is rewritten to a marked ISO date; one cast, which
-    yields null for days that do not exist, reads what is marked.
+    Numbers are not dates, but for eight digits that spell one. The shape that fits is rewritten to ISO, and one cast, which yields null
+    for days that do not exist, reads it. The reading is a lambda over one value, so its many branches do not swell the
+    generated code of the stage beyond what the JVM compiles.
     """
-    text = F.trim(value.cast("string"))
+    return F.get(F.transform(F.array(F.trim(value.cast("string"))), _read_date), 0)
+
+
+def _read_date(text: Column) -> Column:
     numbers = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name, f"m{i:02d}")])
     month = F.try_element_at(numbers, F.lower(F.regexp_extract(text, "([A-Za-z]{3})", 1)))
     named = F.regexp_replace(text, F.lit(r"^(\d{1,2}[-/ ])?[A-Za-z]{3}[a-z]*\.?"), F.concat(F.lit("$1"), month))
-    text = F.coalesce(named, text)
-    for shape, full in SHORT_YEARS:
-        text = F.regexp_replace(text, shape, full)
-    for shape, iso in DATE_SHAPES:
-        text = F.regexp_replace(text, shape, f"@{iso}")
-    return F.when(text.startswith("@"), F.substr(text, F.lit(2)).try_cast("date"))
+    spelled = text.rlike(r"^(\d{1,2}[-/ ])?[A-Za-z]{3}")
+    iso = F.when(spelled, _rewritten(named, NAMED_SHAPES)).otherwise(_rewritten(text, DATE_SHAPES))
+    return iso.try_cast("date")
 
 
 def as_date(df: DataFrame, column: str) -> Column:
@@ -257,20 +268,28 @@ def unfilled_columns(df: DataFrame) -> DataFrame:
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+#: Numbers from here on do not fit the exact sums.
+TOO_LARGE = 1e14
+
+
 def number_in(df: DataFrame, name: str) -> Column:
     """Number of a cell, null unless it is one: finite, written as a number, and within the exact sums' range."""
     value = quoted(name)
     if isinstance(df.schema[name].dataType, T.StringType):
-        value = F.when(F.trim(value).rlike(NUMBER), F.trim(value))
-    number = finite_or_null(value.try_cast("double"))
-    return F.when(number.try_cast(MONEY).isNotNull(), number)
+        value = F.regexp_extract(F.trim(value), NUMBER, 0)
+    number = value.try_cast("double")
+    return F.when(F.abs(number) < TOO_LARGE, number)  # not so for NaN
 
 
 def repair(df: DataFrame) -> DataFrame:
     """Canonical fact: dates parsed, numbers coerced, gaps filled, other columns dropped."""
     full = add_missing_columns(df)
+    date = as_date(full, "date")
+    if isinstance(full.schema["date"].dataType, T.StringType):
+        # the row number keeps the parsing below the filter, where it would be done again
+        date = F.when(F.monotonically_increasing_id() >= 0, date)
     return (
-        full.withColumn("date", as_date(full, "date"))
+        full.withColumn("date", date)
         .filter(F.col("date").isNotNull())
         .withColumns({c: F.coalesce(number_in(full, c), F.lit(0.0)) for c in NUMERICS})
         .withColumns({c: F.col(c).cast("string") for c in CATEGORICALS})

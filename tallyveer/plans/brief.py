@@ -20,7 +20,7 @@ from tallyveer.operators.forecast import forecast_rows, forecast_summary
 from tallyveer.operators.kpi import kpi_cards, kpi_daily
 from tallyveer.operators.recommend import playbook_table, recommendations
 from tallyveer.operators.series import FactSource, daily_totals, short_series, to_long
-from tallyveer.session import stored
+from tallyveer.session import remove_folder, stored
 from tallyveer.sources.raw import write_documents
 
 VERSION = "1.0.0"
@@ -53,6 +53,12 @@ class Brief:
     explanation: DataFrame
     kpis: DataFrame
     skipped_series: DataFrame
+    folders: tuple[str, ...] = ()
+
+    def discard(self) -> None:
+        """Remove the stored tables; the brief cannot be read afterwards."""
+        for folder in self.folders:
+            remove_folder(self.daily.sparkSession, folder)
 
     def document(self) -> DataFrame:
         return brief_document(self)
@@ -80,7 +86,12 @@ def analyze(
     cfg = cfg or AnalysisConfig()
     totals = daily_totals(source, cfg)
     spark = totals.sparkSession
-    daily = stored(totals, "daily")
+    folders: list[str] = []
+
+    def fixed(df: DataFrame, purpose: str) -> DataFrame:
+        return stored(df, purpose, folders)
+
+    daily = fixed(totals, "daily")
     last, longest = _extent(daily, cfg)
     if check:
         require_dates(longest, cfg)
@@ -89,19 +100,19 @@ def analyze(
     series = to_long(daily, cfg)
     ranked, card, ahead = _together(
         spark,
-        lambda: stored(
-            drivers_from_sums(stored(window_sums(source, dated), "windows"), cfg), "drivers"
+        lambda: fixed(
+            drivers_from_sums(fixed(window_sums(source, dated), "windows"), cfg), "drivers"
         ),
-        lambda: stored(scorecard(series, cfg), "scorecard"),
-        lambda: stored(forecast_rows(series, cfg), "forecast"),
+        lambda: fixed(scorecard(series, cfg), "scorecard"),
+        lambda: fixed(forecast_rows(series, cfg), "forecast"),
     )
     rules = playbook if playbook is not None else playbook_table(spark)
     summary = detection_summary(card, cfg)
     outlook = forecast_summary(ahead, cfg)
     advice, words = _together(
         spark,
-        lambda: stored(recommendations(ranked, card, summary, rules, cfg), "advice"),
-        lambda: stored(explanation(summary, ranked, outlook, cfg), "explanation"),
+        lambda: fixed(recommendations(ranked, card, summary, rules, cfg), "advice"),
+        lambda: fixed(explanation(summary, ranked, outlook, cfg), "explanation"),
     )
     return Brief(
         config=cfg,
@@ -115,6 +126,7 @@ def analyze(
         explanation=words,
         kpis=kpi_cards(daily, cfg),
         skipped_series=short_series(daily, cfg),
+        folders=tuple(folders),
     )
 
 
@@ -205,7 +217,7 @@ def brief_document(brief: Brief) -> DataFrame:
             "label", "anomaly_detected", "severity", "change", "change_pct", "anomaly_count",
             "anomaly_dates", "recent_value", "prior_value", "if_score_worst")]).alias("per_metric")
     )
-    causes = brief.drivers.groupBy(*keys).agg(
+    causes = brief.drivers.filter(F.col("rank") <= cfg.document_drivers).groupBy(*keys).agg(
         ordered(*[F.col(c) for c in ("rank", "driver", "dimension", "group_value", "delta",
                                      "contribution_pct")]).alias("root_cause")
     )

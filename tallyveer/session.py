@@ -56,14 +56,17 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, keep: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the work folder and read it back.
 
-    Cuts the lineage: losing an executor later costs a re-read of this table, not another pass over what it came from.
+    Cuts the lineage: losing an executor later costs a re-read of this table, not another pass over what it came from. The folder's name is
+    added to ``keep``, for whoever removes it once its readers are done.
     """
     spark = df.sparkSession
     folder = work_folder(spark, purpose)
     df.write.parquet(folder)
+    if keep is not None:
+        keep.append(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

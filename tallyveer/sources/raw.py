@@ -149,13 +149,13 @@ def write_snapshot(df: DataFrame, path: str, ingest_date: dt.date) -> None:
 def write_processed(rolled: DataFrame, path: str) -> None:
     """Store the rolled-up fact by month, dates sorted inside each file.
 
-    Rows are range-partitioned by date and further columns: a task holds few
-    months, so few files are written, and a date with most of the rows is split.
+    Rows are rebalanced by month: a task holds few months, so few files are written, and a month with most of the rows is split. The input
+    is computed once.
     """
     month = F.date_format("date", "yyyy-MM")
     (
         rolled.withColumn("month", month)
-        .repartitionByRange("date", "region", "product")
+        .hint("rebalance", "month")
         .sortWithinPartitions("month", "date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

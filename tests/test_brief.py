@@ -180,7 +180,22 @@ def test_command_line(spark, tmp_path):
     document = spark.read.json(f"{target}/documents")
     assert {r["region"] for r in document.collect()} == {"north", "south"}
     assert spark.read.parquet(f"{target}/forecast_rows").count() == 2 * 3 * 3
+    assert sorted(p.name for p in (tmp_path / "out" / "processed").glob("month=*"))[0] == "month=2024-01"
+    main([str(source), target + "1", "--dimensions", "region", "--min-share-pct", "50", "--change-critical", "-99"])
+    assert {r["dimension"] for r in spark.read.parquet(f"{target}1/drivers").collect()} <= {"region", "n/a"}
     main([str(source), target + "2", "--only", "scorecard"])
     assert spark.read.parquet(f"{target}2/scorecard").count() == 3
     main([str(source), target + "3", "--only", "forecast"])
     assert spark.read.parquet(f"{target}3/forecast").count() == 3
+
+
+def test_discarded_brief_leaves_no_tables(spark, data, tmp_path):
+    from pathlib import Path
+
+    from tallyveer.sources.star import star_source
+
+    brief = analyze(star_source(spark, data), AnalysisConfig(), check=False)
+    paths = [Path(f.removeprefix("file:")) for f in brief.folders]
+    assert len(paths) >= 6 and all(p.exists() for p in paths)
+    brief.discard()
+    assert not any(p.exists() for p in paths)
