@@ -79,6 +79,11 @@ def scorecard(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
+def first_anomaly_dates(card: DataFrame, k: int) -> DataFrame:
+    """Scorecards with at most the first ``k`` of their anomaly dates, for short reports."""
+    return card.withColumn("anomaly_dates", F.slice("anomaly_dates", 1, k))
+
+
 def recent_anomalies(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """Flagged dates that also lie in the recent window."""
     scored = number_rows(score_dates(eligible(series, cfg), cfg), cfg.series_keys)

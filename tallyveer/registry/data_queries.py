@@ -414,6 +414,26 @@ def _(spark, folder):
     )
 
 
+@query(
+    "p3_duplicate_headers",
+    """SELECT o_orderstatus AS region, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,4)))::DOUBLE AS revenue,
+    sum(o_custkey) AS second, sum(o_orderkey) AS third FROM orders GROUP BY 1""",
+)
+def _(spark, folder):
+    path = f"{work_folder(spark, 'twice')}.csv"
+    orders = table(spark, folder, "orders")
+    head = orders.select(F.lit("Sales,Region,Sales,SALES").alias("value")).limit(1)
+    cells = [F.col(c).cast("string") for c in ("o_totalprice", "o_orderstatus", "o_custkey", "o_orderkey")]
+    head.unionAll(orders.select(F.concat_ws(",", *cells).alias("value"))).coalesce(1).write.text(path)
+    raw = rp.map_columns(rw.read_any(spark, path))
+    return raw.groupBy("region").agg(
+        F.count("*").alias("n"),
+        ru.exact_sum(F.col("revenue").cast("double")).alias("revenue"),
+        F.sum(F.col("Sales_1").cast("bigint")).alias("second"),
+        F.sum(F.col("SALES_2").cast("bigint")).alias("third"),
+    )
+
+
 @query(
     "s4_p5_undated_file",
     f"""SELECT {q.iso("DATE '2001-08-01' - CAST(count(*) OVER () - row_number() OVER (ORDER BY c_custkey) AS INTEGER)")} AS date,
@@ -482,8 +502,9 @@ def _dropped_after(result: DataFrame, name: str) -> DataFrame:
 def _(spark, folder):
     path = work_folder(spark, "events")
     table(spark, folder, "events").write.parquet(path)
-    name = f"tallyveer_db.events_{path.rsplit('-', 1)[1]}"
-    cat.create_database(spark, "tallyveer_db", work_folder(spark, "db"))
+    base = f"tallyveer_{path.rsplit('-', 1)[1]}"
+    name = f"{base}.events"
+    cat.create_database(spark, base, work_folder(spark, "db"))
     cat.register_table(
         spark, name, path,
         "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
@@ -494,7 +515,9 @@ def _(spark, folder):
         "SELECT event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,4))) AS value "
         f"FROM {name} GROUP BY event_type",
     )
-    return _dropped_after(result, name)
+    kept = _dropped_after(result, name)
+    spark.sql(f"DROP DATABASE {base}")
+    return kept
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
@@ -336,10 +337,10 @@ def _(spark, folder):
 
 @query(
     "o4_first_anomaly_dates",
-    f"{CARD} SELECT metric, anomaly_dates FROM card",
+    f"{CARD} SELECT metric, array_to_string(string_split(anomaly_dates, ',')[1:2], ',') AS anomaly_dates FROM card",
 )
 def _(spark, folder):
-    card = de.scorecard(slim_series(spark, folder), CFG)
+    card = de.first_anomaly_dates(de.scorecard(slim_series(spark, folder), CFG), 2)
     return plain_card(card).select("metric", "anomaly_dates")
 
 
@@ -616,6 +617,22 @@ def _(spark, folder):
     return fc.forecast_rows(se.daily_series(last, BY_TYPE), BY_TYPE).drop("recent_avg")
 
 
+@query(
+    "m11_custom_forecaster",
+    f"{TREND}, tails AS (SELECT metric, max(date) AS last_date, quantile_cont(value, 0.5::DOUBLE) AS middle, "
+    "min(value) AS low, max(value) AS high FROM weighted GROUP BY metric) "
+    f"SELECT metric, step, strftime(last_date + CAST(step AS INTEGER), '%Y-%m-%d') AS date, {q.rnd('middle', 2)} AS yhat, "
+    f"{q.rnd('low', 2)} AS lower, {q.rnd('high', 2)} AS upper FROM tails, range(1, 8) AS steps(step)",
+)
+def _(spark, folder):
+    def middle(points, horizon):
+        value = points["value"].astype(float)
+        spread = {"yhat": value.median(), "lower": value.min(), "upper": value.max()}
+        return pd.DataFrame({"step": range(1, horizon + 1)}).assign(**spread)
+
+    return fc.custom_forecast(slim_series(spark, folder), CFG, middle).drop("model", "recent_avg")
+
+
 @query(
     "m9_forecast_events",
     f"{q.series_ctes(('category',), q.EVENT_FACT)},\n{q.trend(('category',))} "

@@ -2,7 +2,7 @@ import pytest
 from conftest import day, facts, series_facts
 
 from tallyveer.config import AnalysisConfig
-from tallyveer.operators.detect import detection_summary, scorecard, severity
+from tallyveer.operators.detect import detection_summary, first_anomaly_dates, scorecard, severity
 from tallyveer.operators.kpi import kpi_cards
 from tallyveer.operators.series import (
     daily_series,
@@ -109,3 +109,12 @@ def test_kpi_aov_is_mean_of_daily_ratios(spark):
     assert cards["revenue"]["val"] == f"${sum(10 * (i + 1) for i in range(14, 28)):,}"
     # a change beyond +50 % is clamped
     assert cards["health"]["raw"] == 100.0
+
+
+def test_all_anomaly_dates_are_listed(spark):
+    cfg = AnalysisConfig(metrics=("revenue",), lookback=30, contamination=0.5)
+    values = [100.0 + (i * 37) % 11 for i in range(60)]
+    card = scorecard(daily_series(series_facts(spark, values), cfg), cfg)
+    dates = card.first()["anomaly_dates"]
+    assert len(dates) > 10 and dates == sorted(dates)
+    assert first_anomaly_dates(card, 4).first()["anomaly_dates"] == dates[:4]
