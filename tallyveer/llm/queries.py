@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyveer.llm import bpe, embeddings, language, license_scan, packing, pii, quality, secret_scan, simhash, toxicity
@@ -61,6 +60,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # vocabulary files, installed beside the libraries
+
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
