@@ -40,4 +40,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-SQL = {"op5_quality_rules": OP5}
+#: Every pair is compared here, which only the small scales allow.
+OP6 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND list_count(embedding) = len(embedding)
+        AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) >= 0.9::DOUBLE * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))
+), reach(node, other) AS (
+    SELECT a, b FROM links
+    UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (
+    SELECT node, least(node, min(other)) AS component_id FROM reach GROUP BY node
+)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,
+       coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN least ON node = e.vec_id
+"""
+
+SQL = {"op5_quality_rules": OP5, "op6_embedding_near_dedup": OP6}
