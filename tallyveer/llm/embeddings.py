@@ -112,13 +112,17 @@ def link_lists(groups: DataFrame, size: int, cosine: float, shared: int) -> Data
     entries = described.withColumn("pivot", F.explode("prefix"))
     parts = F.coalesce(F.try_element_at(many, F.col("pivot")), F.lit(1)) if many is not None else F.lit(1)
     entries = entries.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    # of two chunks the later one's entries visit the earlier one
-    entries = entries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("own"))))
-    entries = entries.withColumn("home", F.col("chunk") == F.col("own"))
+    entries = entries.withColumn("parts", parts)
+    # chunk c meets itself in (c, c), a later chunk in (c, j) and an earlier one in (i, c): a task holds two chunks at most
+    own, tasks = F.col("own"), F.sequence(F.lit(0), F.col("parts") - 1)
+    meets = F.transform(tasks, lambda t: F.struct(F.least(own, t).alias("i"), F.greatest(own, t).alias("j")))
+    entries = entries.withColumn("task", F.explode(meets)).select("*", "task.i", "task.j")
+    entries = entries.withColumn("home", F.col("i") == F.col("own")).drop("task", "parts", "own")
 
     def match(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["home", "node"], ascending=[False, True], ignore_index=True)
         home, nodes = int(part["home"].sum()), part["node"].to_numpy()
+        within = key[1] == key[2]
         weight = part["weight"].to_numpy()
         rows = units(part["vector"].tolist(), size)
         words = masks(np.array(part["prefix"].tolist()), n_pivots)
@@ -128,7 +132,7 @@ def link_lists(groups: DataFrame, size: int, cosine: float, shared: int) -> Data
             near = rows[i : min(i + step, home)] @ rows.T >= cosine
             x, y = np.nonzero(near)
             x += i
-            once = (y >= home) | (y > x)
+            once = (y > x) if within else (y >= home)
             x, y = x[once], y[once]
             for j in range(0, len(x), CELLS // 16):
                 a, b = x[j : j + CELLS // 16], y[j : j + CELLS // 16]
@@ -142,7 +146,7 @@ def link_lists(groups: DataFrame, size: int, cosine: float, shared: int) -> Data
         np.minimum.at(least, label, nodes)
         return pd.DataFrame({"node": nodes[found], "degree": degree[found], "partner": least[label][found]})
 
-    return entries.groupBy("pivot", "chunk").applyInPandas(match, "node long, degree long, partner long")
+    return entries.groupBy("pivot", "i", "j").applyInPandas(match, "node long, degree long, partner long")
 
 
 def near_duplicates(

@@ -8,7 +8,7 @@ whatever the number of prints, as a block of 16 bits has 17 values within one bi
 memory, and whole fingerprints decide.
 
 Equal fingerprints are one print from the start, so copies never meet as pairs. A shard gives each print's smallest known
-partner instead of pairs. Shards over ``SHARD_CAP`` prints are dealt out as pairs of chunks. Trees come from a bounded sample of
+partner instead of pairs. Shards over ``SHARD_CAP`` prints are dealt out as pairs of chunks, so a task holds two chunks whatever the shard. Trees come from a bounded sample of
 prints; wrong guesses there cost balance, never links.
 
 Defined results: a text without words (null too) has fingerprint zero and is linked like any other; repeated rows share their
@@ -151,33 +151,35 @@ class Groups:
     def __init__(self, prints: np.ndarray):
         self.prints, self.label = prints, np.arange(len(prints))
 
-    def compare(self, rows: np.ndarray, others: np.ndarray, bits: int) -> None:
-        """Join each of ``rows`` with those of ``rows`` and ``others`` that are near."""
-        every = np.concatenate([rows, others])
+    def compare(self, rows: np.ndarray, others: np.ndarray, bits: int, within: bool) -> None:
+        """Join each of ``rows`` with those of ``others`` that are near, and ``within`` with one another."""
+        every = np.concatenate([rows, others]) if within else others
         step = max(1, CELLS // max(len(every), 1))
-        for i in range(0, len(rows), step):
-            if (self.label[every] == self.label[every[0]]).all():
-                return  # one group already: no comparison can add to it
+        for i in range(0, len(rows) if len(every) else 0, step):
             part = rows[i : i + step]
+            if (self.label[every] == self.label[part[0]]).all() and (self.label[part] == self.label[part[0]]).all():
+                continue  # one group already: no comparison can add to it
             near = np.bitwise_count(self.prints[part][:, None] ^ self.prints[every][None, :]) <= bits
             near &= self.label[part][:, None] != self.label[every][None, :]
             x, y = np.nonzero(near)
             self.label = merged(self.label, part[x], every[y])
 
-    def search(self, values: np.ndarray, home: np.ndarray, guests: np.ndarray, bits: int, radius: int) -> None:
+    def search(
+        self, values: np.ndarray, home: np.ndarray, guests: np.ndarray, bits: int, radius: int, within: bool = True
+    ) -> None:
         """Part the shard further, pruning by the triangle inequality, and compare what remains together."""
         todo = [(home, guests)]
         while todo:
             rows, others = todo.pop()
-            if not len(rows):
+            if not len(rows) or not (within or len(others)):
                 continue
             small = len(rows) * (len(rows) + len(others)) <= CELLS // 64
             choice = None if small else border_of(values[rows])
             if choice is None:
-                self.compare(rows, others, bits)
+                self.compare(rows, others, bits, within)
                 continue
             d, e = distances(values[rows], choice[0]), distances(values[others], choice[0])
-            crossing = rows[(d <= choice[1]) & (d + radius > choice[1])]
+            crossing = rows[(d <= choice[1]) & (d + radius > choice[1])] if within else rows[:0]
             todo.append((rows[d <= choice[1]], others[e - radius <= choice[1]]))
             todo.append((rows[d > choice[1]], np.concatenate([others[e + radius > choice[1]], crossing])))
 
@@ -204,6 +206,20 @@ def pooled(batches: Iterator[pd.DataFrame], size: int = POOL) -> Iterator[np.nda
         yield np.concatenate(pool)
 
 
+def meetings(chunks: int, home: bool) -> Iterator[tuple[int, int, bool]]:
+    """Tasks (i, j) of a shard in chunks, and as what a print goes there: living in chunk i, or a guest from chunk j.
+
+    Those that live in chunk i meet one another in (i, i), those of a later chunk j in (i, j), and the visitors of every chunk j in
+    (i, j). So a task holds two chunks, whatever the shard's size.
+    """
+    for i in range(chunks):
+        for j in range(chunks):
+            if home:
+                yield i, j, True
+            if not home or j > i:
+                yield i, j, False
+
+
 def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``print``) that connect all pairs within ``bits``."""
     radius, total = bits // BLOCKS, prints.count()
@@ -239,26 +255,24 @@ def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> Data
                 for leaf, rows, home in visits(tree, block_of(values, b), radius):
                     n = chunks.get(leaf, 1)
                     own = (mixed[rows] % np.uint64(n)).astype(np.int64)
-                    for chunk in range(n):
-                        # of two chunks the later one's prints visit the earlier one
-                        here = rows[own >= chunk] if home else rows
-                        lives = own[own >= chunk] == chunk if home else np.zeros(len(rows), dtype=bool)
-                        place = np.broadcast_to(np.array([leaf, chunk]), (len(here), 2))
-                        out.append((place, here, lives))
+                    for i, j, lives in meetings(n, home):
+                        here = rows[own == (i if lives else j)]
+                        place = np.broadcast_to(np.array([leaf, i, j]), (len(here), 3))
+                        out.append((place, here, np.full(len(here), lives)))
                 places, rows, lives = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pd.DataFrame(
-                    {"tree": b, "leaf": places[:, 0], "chunk": places[:, 1], "print": signed[rows], "home": lives}
-                )
+                columns = dict(zip(("leaf", "i", "j"), places.T, strict=True))
+                yield pd.DataFrame({"tree": b, **columns, "print": signed[rows], "home": lives})
 
     def match(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         values = part["print"].to_numpy(np.int64).astype(np.uint64)
         home = part["home"].to_numpy(bool)
         groups = Groups(values)
-        groups.search(block_of(values, int(key[0])), np.flatnonzero(home), np.flatnonzero(~home), bits, radius)
+        blocks = block_of(values, int(key[0]))
+        groups.search(blocks, np.flatnonzero(home), np.flatnonzero(~home), bits, radius, within=key[2] == key[3])
         return groups.links()
 
-    dealt = prints.mapInPandas(deal, "tree int, leaf long, chunk int, print long, home boolean")
-    return dealt.groupBy("tree", "leaf", "chunk").applyInPandas(match, "a long, b long")
+    dealt = prints.mapInPandas(deal, "tree int, leaf long, i int, j int, print long, home boolean")
+    return dealt.groupBy("tree", "leaf", "i", "j").applyInPandas(match, "a long, b long")
 
 
 def components(rows: DataFrame, bits: int = BITS) -> DataFrame:
