@@ -1,12 +1,15 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Reference vectors (pivots) come from a bounded sample and lie well apart. A vector is described by its ``NEAREST`` pivots in
-order of cosine, and enters the inverted list of each of them. Within a list, two vectors are candidates if they share
-``SHARED`` pivots or more; the list of their smallest shared pivot alone verifies the cosine, in double precision, so each link
-is found once. Equal vectors are one entry with a weight. A list over ``LIST_CAP`` entries is dealt out as pairs of chunks, so a
+Reference vectors (pivots) come from a bounded sample and lie well apart, seen from the origin or, so that vectors in a narrow cone
+are told apart too, from the sample's mean. A vector is described by its ``NEAREST`` pivots in order of cosine, and enters the inverted list of each of
+them. Within a list, two vectors are candidates if they share ``SHARED`` pivots or more (all, if there are fewer); the list of
+their smallest shared pivot alone verifies the cosine, in double precision, so each link is found once. Equal vectors are one entry with a weight. A list over ``LIST_CAP`` entries is dealt out as pairs of chunks, so a
 pivot that many vectors share does not meet in one task; a list reports sums and one partner per entry, never its pairs.
 
-The index is fitted on at most ``SAMPLE_VECTORS`` vectors; every vector is indexed. Recall against brute force is measured in
+The index is fitted on at most ``SAMPLE_VECTORS`` vectors; every vector is indexed. Origin or mean, and ``SHARED`` pivots or
+one, are chosen on the sample: of those that find all links of a share of ``WHOLE`` of its vectors, the one whose lists compare the
+fewest pairs. If none does, or none compares fewer pairs than there are, one list holds all vectors; so it is where most vectors
+are near-copies of most others and the links themselves are a large part of all pairs. Recall against brute force is measured in
 the tests and stated in the README.
 
 Defined results: vectors that are null, empty or zero, or hold a null or non-finite component, link with nothing; shorter vectors count
@@ -29,9 +32,11 @@ COSINE = 0.9
 PIVOTS = 1024
 NEAREST = 16
 SHARED = 2
-#: Pivots are at most this similar to each other.
+#: Pivots at most this similar to each other are taken first.
 PIVOT_COSINE = 0.5
 SAMPLE_VECTORS = 16_384
+#: Share of the sample's vectors whose links must all be found, and vectors that are asked.
+WHOLE, PROBES = 0.999, 2048
 LIST_CAP = 2048
 #: Cells of one comparison in memory.
 CELLS = 1 << 20
@@ -52,17 +57,58 @@ def units(vectors: list, size: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def spread_pivots(sample: np.ndarray, pivots: int = PIVOTS, cosine: float = PIVOT_COSINE) -> np.ndarray:
-    """The first vectors of the sample that keep their distance from those taken before."""
-    taken = np.zeros((pivots, sample.shape[1]))
-    n = 0
-    for row in sample:
-        if n == pivots:
+def directions(rows: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Rows of length one as seen from the mean; a row that is the mean has no direction."""
+    away = rows - mean
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    return away / np.where(length > 0, length, 1)
+
+
+def spread_pivots(sample: np.ndarray, fill: bool, pivots: int = PIVOTS, cosine: float = PIVOT_COSINE) -> np.ndarray:
+    """The first vectors of the sample that keep their distance from those taken before; to fill up, the farthest of the others."""
+    taken, closest = [], np.full(len(sample), -2.0)
+    while len(taken) < min(pivots, len(sample)):
+        apart = closest <= cosine
+        i = int(apart.argmax() if apart.any() else closest.argmin())
+        if not apart[i] and (not fill or closest[i] >= 1 - 1e-9):  # copies of pivots are of no use
             break
-        if n == 0 or (taken[:n] @ row).max() <= cosine:
-            taken[n] = row
-            n += 1
-    return taken[:n]
+        taken.append(i)
+        np.maximum(closest, sample @ sample[i], out=closest)
+        closest[i] = 2
+    return sample[taken]
+
+
+def whole(sample: np.ndarray, prefix: np.ndarray, pivots: int, cosine: float, needed: list[int]) -> list[float]:
+    """Share of the sample's vectors with links that share enough pivots with all their partners."""
+    words, good, asked = masks(prefix, pivots), np.zeros(len(needed)), 0
+    step, last = max(1, CELLS // len(sample)), min(PROBES, len(sample))
+    for i in range(0, last, step):
+        near = sample[i : min(i + step, last)] @ sample.T >= cosine
+        near[np.arange(len(near)), i + np.arange(len(near))] = False
+        x, y = np.nonzero(near)
+        least = np.full(len(near), prefix.shape[1])
+        for j in range(0, len(x), CELLS // 16):
+            a, b = x[j : j + CELLS // 16], y[j : j + CELLS // 16]
+            np.minimum.at(least, a, np.bitwise_count(words[i + a] & words[b]).sum(axis=1))
+        linked = near.any(axis=1)
+        asked += int(linked.sum())
+        good += [(least[linked] >= k).sum() for k in needed]
+    return (good / asked if asked else good + 1).tolist()
+
+
+def fitted(sample: np.ndarray, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The point that vectors are seen from, pivots, and how many of them candidates share."""
+    origin, best = np.zeros(sample.shape[1]), (1.0, None)
+    for fill, mean in ((False, origin), (True, sample.mean(axis=0))) if len(sample) else ():
+        seen = directions(sample, mean)
+        pivots = spread_pivots(seen, fill)
+        prefix = prefixes(seen, pivots)
+        cost = float((np.bincount(prefix.ravel()) / len(sample)) @ (np.bincount(prefix.ravel()) / len(sample)))
+        needed = sorted({min(shared, prefix.shape[1]), 1}, reverse=True)
+        for least, share in zip(needed, whole(sample, prefix, len(pivots), cosine, needed), strict=True):
+            if share >= WHOLE and cost < best[0]:
+                best = cost, (mean, pivots, least)
+    return best[1] or (origin, sample[:1], 1)  # one list of all vectors
 
 
 def prefixes(rows: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
@@ -94,12 +140,12 @@ def link_lists(groups: DataFrame, size: int, cosine: float, shared: int) -> Data
     ``groups`` has columns node, weight and vector, the vectors all usable and different.
     """
     chosen = groups.orderBy(F.xxhash64("node"), "node").limit(SAMPLE_VECTORS).select("vector").collect()
-    pivots = spread_pivots(units([r[0] for r in chosen], size)) if chosen else np.zeros((0, size))
+    mean, pivots, shared = fitted(units([r[0] for r in chosen], size) if chosen else np.zeros((0, size)), cosine, shared)
     n_pivots = len(pivots)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = prefixes(units(part["vector"].tolist(), size), pivots)
+            rows = prefixes(directions(units(part["vector"].tolist(), size), mean), pivots)
             yield part.assign(prefix=rows.astype(np.int32).tolist())
 
     schema = "node long, weight long, vector array<double>, prefix array<int>"

@@ -201,3 +201,40 @@ def test_table_vectors_match_brute_force(spark, data):
     assert got_vectors(df) == plain_vectors([(r.vec_id, r.embedding) for r in df.collect()])
     kept = embeddings.near_duplicates(df).where(F.col("kept") != (F.col("vec_id") == F.col("component_id")))
     assert kept.count() == 0
+
+
+def cone(n: int, width: float, seed: int = 12) -> list[tuple]:
+    """Vectors around one axis, half of them near-copies of the others."""
+    rng = np.random.default_rng(seed)
+    axis = rng.standard_normal(64)
+    rows = axis / np.linalg.norm(axis) + rng.standard_normal((n // 2, 64)) / 8 * width
+    away = rng.standard_normal(rows.shape) / 8 * width * rng.uniform(0.05, 0.5, (len(rows), 1))
+    return [(i, np.float32(v).tolist()) for i, v in enumerate(np.concatenate([rows, rows + away]))]
+
+
+@pytest.mark.parametrize(("width", "cap"), [(0.6, 2048), (0.5, 2048), (0.33, 2048), (0.33, 100), (0.1, 2048)])
+def test_vectors_in_a_cone(spark, monkeypatch, width, cap):
+    monkeypatch.setattr(embeddings, "LIST_CAP", cap)
+    table = cone(600, width)
+    df = spark.createDataFrame(table, "vec_id long, embedding array<float>")
+    want = plain_vectors([(i, np.array(v)) for i, v in table])
+    got = got_vectors(df)
+    found, there = sum(n for _, n, _ in got), sum(n for _, n, _ in want)
+    assert there >= 600 and 0.99 * there <= found <= there
+    assert np.mean([g == w for g, w in zip(got, want, strict=True)]) > 0.98
+
+
+def test_a_table_of_two_or_three_near_copies(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.95, 0.31225]), (3, [0.96, 0.28])]
+    for n in (2, 3):
+        df = spark.createDataFrame(rows[:n], "vec_id long, embedding array<double>")
+        assert got_vectors(df) == plain_vectors([(i, np.array(v)) for i, v in rows[:n]]) == [(str(i + 1), n - 1, "1") for i in range(n)]
+
+
+def test_one_missed_link_is_counted():
+    rng = np.random.default_rng(13)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    sample = np.concatenate([np.tile(axes[0], (400, 1)), np.repeat(axes[1:21], 2, axis=0)])
+    prefix = np.zeros((440, 16), dtype=int) + np.arange(16)
+    prefix[400:] += 16 * np.arange(40)[:, None]  # no two of the small groups share a pivot
+    assert embeddings.whole(sample, prefix, 1024, 0.9, [2]) == [pytest.approx(400 / 440)]
