@@ -2,8 +2,8 @@
 
 Word counts cover all training documents. The output softmax is factored: a small recurrent network predicts the class of the next
 token from everything before it, and within a class a token has its smoothed share of the corpus counts,
-``(c + 1) / (N_class + V_class + 1)``, one slot being left for what was never seen. Frequent words get their classes from the company they keep,
-all others by their last two bytes, so every token has a class and a probability.
+``(c + 1) / (N_class + V_class + 1)``, one slot being left for what was never seen. Frequent words get their classes from the company they keep
+in all training documents, all others by their last two bytes, so every token has a class and a probability.
 
 The network (numpy, truncated backpropagation) is warmed up on a bounded sample and then trained by every training document
 once: each task starts from the same weights, carries the state of its streams from window to window, and the weights of all
@@ -52,6 +52,8 @@ WARM_PASSES = 6
 WARM_RATE, RATE = 0.01, 0.002
 #: Distinct words that a counting task holds, and tokens that a scoring task takes together.
 HELD_WORDS, POOL_TOKENS = 400_000, 1 << 21
+#: Frequent words that describe their neighbours, units that are described (chosen words and suffix groups), neighbour counts that place one.
+CONTEXTS, UNITS, LEAST_SEEN = 128, CHOSEN_WORDS + SUFFIX_GROUPS, 5
 END = b""  # no word is empty
 
 
@@ -315,23 +317,60 @@ class Endings(dict):
         return found
 
 
-def company(documents: list[list[bytes]], index: dict[bytes, int], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the chosen words (-1: too rare in the sample) and of the suffix groups, by their neighbours.
+class Units(dict):
+    """Number of each word's unit: its own if it is chosen, else that of its suffix group; at most ``HELD_WORDS`` are kept."""
 
-    Units (words and groups) are described by the frequent words next to them and parted by spherical k-means.
+    def __init__(self, chosen: dict[bytes, int]):
+        super().__init__(chosen)
+        self.chosen = chosen
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+            self.update(self.chosen)
+        self[word] = found = CHOSEN_WORDS + suffix_group(word)
+        return found
+
+
+def neighbours(docs: DataFrame, text: str, index: dict[bytes, int]) -> np.ndarray:
+    """How often each frequent word stands before and after each unit, in all documents.
+
+    A task holds one table of ``UNITS`` rows and hands on its cells that are not zero.
     """
-    contexts, units = 128, CHOSEN_WORDS + SUFFIX_GROUPS
-    table = np.zeros((units, 2 * contexts), dtype=np.float32)
-    for words in documents:
-        ids = np.array(
-            [i if 0 <= (i := index.get(w, -1)) < CHOSEN_WORDS else CHOSEN_WORDS + suffix_group(w) for w in words], dtype=np.int64
-        )
-        for a, b, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], contexts)):
-            near = b < contexts
-            np.add.at(table, (a[near], b[near] + shift), 1)
+    chosen = {w: i for w, i in index.items() if i < CHOSEN_WORDS and w != END}
+    width = 2 * CONTEXTS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        units, table, pool = Units(chosen), np.zeros((UNITS + 1) * width, dtype=np.int64), []
+        for rows in batches:
+            for t in rows["t"]:
+                pool += map(units.__getitem__, words_of(t))
+                pool.append(UNITS)  # no word is next to those of another document
+                if len(pool) >= POOL_TOKENS // 4:
+                    add(table, pool)
+                    pool = []
+        add(table, pool)
+        cells = np.flatnonzero(table[: UNITS * width])
+        yield pd.DataFrame({"cell": cells.astype(np.int32), "n": table[cells]})
+
+    def add(table: np.ndarray, pool: list[int]) -> None:
+        ids = np.array(pool, dtype=np.int32)
+        for a, b, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], CONTEXTS)):
+            near = np.flatnonzero(b < CONTEXTS)
+            table += np.bincount(a[near] * width + b[near] + shift, minlength=len(table))
+
+    counted = docs.select(field(text).alias("t")).mapInPandas(run, "cell int, n long")
+    found = counted.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most UNITS * width rows
+    table = np.zeros(UNITS * width)
+    table[found["cell"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
+    return table.reshape(UNITS, width)
+
+
+def classes_of(table: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the chosen words (-1: too rare) and of the suffix groups, by their neighbours: spherical k-means."""
     seen = table.sum(axis=1)
-    known = np.flatnonzero(seen >= 5)
-    labels = np.full(units, -1)
+    known = np.flatnonzero(seen >= LEAST_SEEN)
+    labels = np.full(UNITS, -1)
     k = min(CLASSES - 1, len(known))
     if k:
         rows = np.sqrt(table[known] / seen[known, None])
@@ -375,7 +414,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     texts = chosen.where(F.length("t") <= SAMPLE_CHARACTERS).select("t").limit(SAMPLE_DOCUMENTS).collect()
     sample = sorted(r.t for r in texts)
     sample = [words_of(t) for t in sample]
-    chosen_class, group_class = company(sample, index)
+    chosen_class, group_class = classes_of(neighbours(learnt, text, index))
     vocabulary = Vocabulary(index, np.array([-n for n, _ in head], dtype=np.float64), chosen_class, group_class)
     vocabulary.log_total = class_totals(counts, vocabulary)
 

@@ -56,6 +56,37 @@ def test_no_documents_and_no_training_documents(nothing, make_docs):
     assert row.held_out and row.train_tokens == row.n_known == 0 and row.base_score == 0.0 and row.score < 0
 
 
+def test_neighbours_of_all_training_documents_are_counted(make_docs, monkeypatch):
+    """Also of documents that the warm-up sample leaves out, and of long ones."""
+    monkeypatch.setattr(language, "SAMPLE_DOCUMENTS", 2)
+    monkeypatch.setattr(language, "SAMPLE_CHARACTERS", 40)
+    rng = random.Random(3)
+    vocabulary = [f"w{i:02d}" for i in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, k=n)) for n in (5, 9, 3000, 1, 0, 400, 70, 12)] + [None, "w01 w02 rarely w01"]
+    docs = make_docs(list(enumerate(texts))).repartition(3)
+    index = {w.encode(): i for i, w in enumerate(vocabulary)} | {language.END: 60}
+    want = np.zeros((language.UNITS, 2 * language.CONTEXTS))
+    unit = lambda w: index.get(w, language.CHOSEN_WORDS + language.suffix_group(w))
+    for words in map(language.words_of, texts):
+        for a, b in zip(words, words[1:], strict=False):
+            if a in index:
+                want[unit(b), index[a]] += 1
+            if b in index:
+                want[unit(a), language.CONTEXTS + index[b]] += 1
+    monkeypatch.setattr(language, "POOL_TOKENS", 400)
+    assert (language.neighbours(docs, "text", index) == want).all()
+
+
+def test_classes_do_not_rest_on_the_sample(make_docs, monkeypatch):
+    """Words of long documents alone get classes by their company."""
+    monkeypatch.setattr(language, "SAMPLE_CHARACTERS", 100)
+    rng = random.Random(5)
+    long = [" ".join(f"the {rng.choice(['cat', 'dog'])} of {rng.choice(['red', 'tin'])}" for _ in range(200)) for _ in range(6)]
+    model = language.train(make_docs([(i, t) for i, t in enumerate([*long, "ab"])]))
+    at = {w: c for w, c in zip(model.vocabulary.index, model.vocabulary.chosen_class, strict=False)}
+    assert all(at[w] >= 0 for w in (b"the", b"of", b"cat", b"dog", b"red", b"tin"))
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(2)
     net = language.Network(7, seed=1)
