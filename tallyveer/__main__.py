@@ -30,6 +30,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--as-of", type=dt.date.fromisoformat)
     parser.add_argument("--aov", choices=("ratio", "sum_of_groups"), default=defaults.aov)
     parser.add_argument("--model", choices=("linear_trend", "trend_weekday"), default=defaults.model)
+    parser.add_argument("--document-drivers", type=int, help="drivers a document lists; all if not given")
     for name in NUMBERS:
         value = getattr(defaults, name)
         parser.add_argument(f"--{name.replace('_', '-')}", type=type(value), default=value)
@@ -52,6 +53,7 @@ def settings(args: argparse.Namespace) -> AnalysisConfig:
         as_of=args.as_of,
         aov=args.aov,
         model=args.model,
+        document_drivers=args.document_drivers,
         **{name: getattr(args, name) for name in NUMBERS},
     )
 

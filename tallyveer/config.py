@@ -42,8 +42,9 @@ class AnalysisConfig:
     min_share_pct: float = 5.0
     min_incident_loss: float = 100.0
     min_holiday_delta: float = 1.0
-    # drivers a series' document lists, best first; the table of drivers holds all
-    document_drivers: int = 100
+    # drivers a series' document lists, best first; None lists all. With a number
+    # the document also tells how many there are and whether it leaves some out
+    document_drivers: int | None = None
 
     # forecast
     horizon: int = 7
@@ -65,6 +66,8 @@ class AnalysisConfig:
             raise ValueError(f"unknown forecast model {self.model!r}")
         if self.lookback < 1 or self.horizon < 1 or self.trend_rows < 2:
             raise ValueError("lookback and horizon need at least 1 row, trend_rows at least 2")
+        if self.document_drivers is not None and self.document_drivers < 0:
+            raise ValueError("document_drivers must be None (all) or at least 0")
         if not 0.0 < self.contamination <= 0.5:
             raise ValueError("contamination must lie in (0, 0.5]")
         unknown = set(self.metrics) - set(METRIC_LABELS)

@@ -217,10 +217,18 @@ def brief_document(brief: Brief) -> DataFrame:
             "label", "anomaly_detected", "severity", "change", "change_pct", "anomaly_count",
             "anomaly_dates", "recent_value", "prior_value", "if_score_worst")]).alias("per_metric")
     )
-    causes = brief.drivers.filter(F.col("rank") <= cfg.document_drivers).groupBy(*keys).agg(
-        ordered(*[F.col(c) for c in ("rank", "driver", "dimension", "group_value", "delta",
-                                     "contribution_pct")]).alias("root_cause")
-    )
+    cause = F.struct("rank", "driver", "dimension", "group_value", "delta", "contribution_pct")
+    top = cfg.document_drivers
+    if top is None:
+        causes = brief.drivers.groupBy(*keys).agg(
+            F.sort_array(F.collect_list(cause)).alias("root_cause")
+        )
+    else:
+        causes = brief.drivers.groupBy(*keys).agg(
+            F.sort_array(F.collect_list(F.when(F.col("rank") <= top, cause))).alias("root_cause"),
+            F.count(F.lit(1)).alias("root_cause_total"),
+            F.coalesce(F.max("rank") > top, F.lit(False)).alias("root_cause_cut"),
+        )
     ahead = brief.forecast_rows.filter(F.col("metric") == "revenue").groupBy(*keys).agg(
         F.sort_array(F.collect_list(iso("date"))).alias("forecast_dates")
     )

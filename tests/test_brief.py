@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 from conftest import day, facts, series_facts
@@ -41,6 +42,30 @@ def test_document(brief):
     assert 0.4 <= document["confidence"] <= 0.95
 
 
+def test_document_lists_every_driver_unless_told(spark):
+    # 75 groups fall and 75 rise by nearly as much, so each passes the cut
+    rows = [
+        {"date": day(i), "revenue": 100.0 + (i >= 14) * (9 if g % 2 else -9) + (g == 0 and i >= 14), "orders": 1.0, "campaign": f"c{g:03d}"}
+        for i in range(28)
+        for g in range(150)
+    ]
+    cfg = CFG.with_(dimensions=("campaign",))
+    brief = analyze(facts(spark, rows), cfg)
+    n = brief.drivers.count()
+    assert n == 150
+
+    def document(**more):
+        told = replace(brief, config=cfg.with_(**more))
+        return json.loads(to_json_rows(told.document(), cfg).first()["document"])
+
+    whole = document()
+    assert [d["rank"] for d in whole["root_cause"]] == list(range(1, n + 1)) and "root_cause_cut" not in whole
+    for top, cut in ((3, True), (n, False)):
+        part = document(document_drivers=top)
+        assert part["root_cause"] == whole["root_cause"][:top]
+        assert (part["root_cause_total"], part["root_cause_cut"]) == (n, cut)
+
+
 def test_recommendations_are_ordered(brief):
     rows = brief.recommendations.orderBy("position").collect()
     order = [rec.PRIORITIES.index(r["priority"]) for r in rows]
