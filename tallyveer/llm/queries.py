@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
-
-from tallyveer.llm import bpe, embeddings, language, license_scan, packing, pii, quality, secret_scan, simhash, toxicity
-from tallyveer.llm.common import prepare
+from pyspark.sql import functions as F
+
+from tallyveer.llm import (
+    bpe,
+    divergence,
+    embeddings,
+    language,
+    license_scan,
+    manifest,
+    packing,
+    pii,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    toxicity,
+)
+from tallyveer.llm.common import field, held_out, prepare
 from tallyveer.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +99,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op11_sharding")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op12_divergence_audit")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(held_out(field("doc_id"), 3, 0), F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    seen = {"text": tampered.otherwise(field("text"))}
+    return manifest.verified(manifest.prove(manifest.leaves(docs, seen=seen)))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

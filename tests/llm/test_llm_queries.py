@@ -21,6 +21,8 @@ COLUMNS = {
     "op8_": "doc_id n_tokens bucket",
     "op9_": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op10_": "doc_id held_out score predicted",
+    "op11_": "doc_id size text_crc32 law shard slot grown_shard",
+    "op13_": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
