@@ -40,7 +40,7 @@ SHARD_BYTES = 4 << 20
 #: Keys of eight bytes by which pointers are compared before the rest of their words is.
 DEPTH = 8
 #: Cells (terms by sources) of a block, about.
-BLOCK_CELLS = 1 << 20
+BLOCK_CELLS = 1 << 16
 #: The scale of shares is the product of these two: shares are divided in two steps, within 64 bits up to 2.8e14 occurrences.
 STEPS = (31_250, 32_000)
 
