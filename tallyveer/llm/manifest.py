@@ -193,6 +193,7 @@ def prove(rows: DataFrame, arity: int = ARITY) -> DataFrame:
     ``idx`` is the leaf's place in its group; ``steps`` holds, from the leaf's level to the root, the digests of its
     siblings before and after it, each concatenated.
     """
+    rows = stored(rows, "manifest-digests")  # the ranges are drawn from a first look at them; texts are read once
     placed = in_order(rows, ["grp"], ["id", "leaf"], "manifest-leaves")
     groups = in_order(placed.where("idx = 0").select("grp", F.col("n").alias("size")), [], ["grp"], "manifest-groups")
     groups = stored(
