@@ -13,52 +13,53 @@ PRIORITIES = ("HIGH", "MEDIUM", "LOW")
 MONITOR = "monitor"
 
 PLAYBOOK_SCHEMA = """
-    dimension string, special_group string, action string, special_action string,
-    timeline string, special_timeline string, owner string, impact string,
+    dimension string, special_group string, action string, special_action string, owner string,
     low_factor double, high_factor double, confidence_high double, confidence_other double
 """
 
-# One row per dimension with a rule. ``{group}`` is replaced by the driver's group.
+# One row per dimension with a rule. An action says what the figures of the driver leave open and where the fact can answer it;
+# ``{group}``, ``{loss}`` and ``{share}`` are the driver's own. The factors and confidences.
 PLAYBOOK = [
     (
         "campaign", None,
-        "Bring {group} back to its former spend and test fresh creative this week", None,
-        "1-2 days", None, "Marketing lead", "of lost revenue back within a week",
-        0.55, 0.85, 0.88, 0.75,
+        "{group} is down by {loss}, {share}% of the change: lay its daily revenue over that of the other campaigns and name the "
+        "day they part", None,
+        "campaign", 0.55, 0.85, 0.88, 0.75,
     ),
     (
         "region", None,
-        "Run local offers in {group} and move part of the national budget there", None,
-        "3-5 days", None, "Regional sales lead", "of lost revenue back within two weeks",
-        0.55, 0.85, 0.78, 0.65,
+        "{group} is short of {loss}, {share}% of the change: rank its products by what they lost and see which of them lost "
+        "elsewhere too", None,
+        "region", 0.55, 0.85, 0.78, 0.65,
     ),
     (
         "category", None,
-        "Check prices and delivery times in {group}, then win back lapsed buyers", None,
-        "1-2 weeks", None, "Category manager", "of lost revenue back within three weeks",
-        0.55, 0.85, 0.72, 0.72,
+        "{loss} is missing in {group}, {share}% of the change: tell from its orders and revenue per order whether fewer "
+        "people bought or each spent less", None,
+        "category", 0.55, 0.85, 0.72, 0.72,
     ),
     (
         "channel", None,
-        "Walk the {group} funnel for slow pages, drop-off and failed payments", None,
-        "1 day", None, "Digital product lead", "of lost revenue back within five days of a fix",
-        0.55, 0.85, 0.80, 0.80,
+        "{group} took {loss} less, {share}% of the change: compare its impressions with its orders, window against window", None,
+        "channel", 0.55, 0.85, 0.80, 0.80,
     ),
     (
         "inventory_status", "out_of_stock",
-        "Review stock marked {group} every day and reorder what runs out first",
-        "Order replacement stock now and offer substitutes until it arrives",
-        "2-3 days", "today", "Supply chain lead", "of further loss avoided",
-        0.70, 0.90, 0.82, 0.82,
+        "Goods marked {group} sold for {loss} less, {share}% of the change: count the products that came into this state and since "
+        "when",
+        "Goods that are gone sold for {loss} less, {share}% of the change: list them by what they made in the window before",
+        "stock", 0.70, 0.90, 0.82, 0.82,
     ),
     (
         "incident_flag", None,
-        "Assign one owner to the disruption and publish its status until sales are normal", None,
-        "1 hour", None, "On-call engineering", "of the income at stake kept",
-        0.60, 0.85, 0.90, 0.90,
+        "Rows under an incident cost {loss}, {share}% of the change: run the analysis once more without them and keep what remains", None,
+        "incidents", 0.60, 0.85, 0.90, 0.90,
     ),
 ]
 
+#: When to look, by priority.
+DUE = {"HIGH": "today", "MEDIUM": "this week", "LOW": "with the next brief"}
+
 
 def playbook_table(spark: SparkSession) -> DataFrame:
     """The built-in playbook; pass any table of the same schema instead."""
@@ -77,6 +78,20 @@ def priority_rank(name: Column) -> Column:
     return F.when(name == "HIGH", 0).when(name == "MEDIUM", 1).otherwise(2)
 
 
+def due(name: Column) -> Column:
+    out = F.lit(DUE["LOW"])
+    for level in ("MEDIUM", "HIGH"):
+        out = F.when(name == level, DUE[level]).otherwise(out)
+    return out
+
+
+def filled_in(template: Column, **values: Column) -> Column:
+    """Placeholders in braces replaced by values, taken as they are."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template
+
+
 def first_declining(drivers: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """The highest-ranked declining driver of every dimension."""
     w = Window.partitionBy(*cfg.series_keys, "dimension").orderBy("rank")
@@ -109,16 +124,16 @@ def driver_advice(
         F.col("rank").alias("emit_order"),
         F.col("dimension").alias("source"),
         "priority",
-        F.regexp_replace(
+        filled_in(
             F.when(special, F.col("special_action")).otherwise(F.col("action")),
-            F.lit("\\{group\\}"),
-            F.regexp_replace("group_value", r"([\\$])", r"\\$1"),
+            loss=F.format_number(F.abs("delta"), 0),
+            share=F.format_number(share, 0),
+            group=F.col("group_value"),
         ).alias("action"),
-        F.concat(low.cast("string"), F.lit("-"), high.cast("string"), F.lit("% "), F.col("impact"))
-        .alias("expected_impact"),
+        F.concat(low.cast("string"), F.lit("-"), high.cast("string"), F.lit("% of the loss")).alias("expected_impact"),
         low.alias("impact_low"),
         high.alias("impact_high"),
-        F.when(special, F.col("special_timeline")).otherwise(F.col("timeline")).alias("timeline"),
+        due(F.col("priority")).alias("timeline"),
         "owner",
         F.when(F.col("priority") == "HIGH", F.col("confidence_high"))
         .otherwise(F.col("confidence_other"))
@@ -140,20 +155,19 @@ def metric_advice(card: DataFrame, cfg: AnalysisConfig) -> DataFrame:
         F.lit("MEDIUM").alias("priority"),
         F.when(
             orders,
-            F.concat(F.lit("Fewer or more purchases than usual ("), F.col("change"),
-                     F.lit("): compare traffic, basket starts and payments before changing prices")),
+            F.concat(F.lit("The number of orders is out of line ("), F.col("change"),
+                     F.lit("): see whether the flagged days share a weekday, a region or a gap in the records")),
         )
         .otherwise(
-            F.concat(F.lit("Spend per purchase is "), F.col("change"),
-                     F.lit(" off: find the products whose share fell and raise their visibility")),
+            F.concat(F.lit("Revenue per order moved "), F.col("change"),
+                     F.lit(": split it by category and tell a change of mix from a change of price")),
         )
         .alias("action"),
-        F.concat(low.cast("string"), F.lit("-"), high.cast("string"), F.lit("% recovery of the metric"))
-        .alias("expected_impact"),
+        F.concat(low.cast("string"), F.lit("-"), high.cast("string"), F.lit("% of the metric")).alias("expected_impact"),
         low.alias("impact_low"),
         high.alias("impact_high"),
-        F.when(orders, "2-3 days").otherwise("1 week").alias("timeline"),
-        F.when(orders, "E-commerce lead").otherwise("Pricing lead").alias("owner"),
+        due(F.lit("MEDIUM")).alias("timeline"),
+        F.when(orders, "orders").otherwise("prices").alias("owner"),
         F.when(orders, 0.70).otherwise(0.68).alias("confidence"),
     )
 
@@ -175,12 +189,12 @@ def recommendations(
         F.lit(1_000_002).alias("emit_order"),
         F.lit(MONITOR).alias("source"),
         F.lit("LOW").alias("priority"),
-        F.lit("No step is due; let the daily scorecard run and look again when it flags a day").alias("action"),
-        F.lit("a loss of 10% would be seen within a day").alias("expected_impact"),
+        F.lit("Nothing to look into").alias("action"),
+        F.lit("10% is the size of move this rating leaves open").alias("expected_impact"),
         F.lit(10).alias("impact_low"),
         F.lit(10).alias("impact_high"),
-        F.lit("always on").alias("timeline"),
-        F.lit("Analytics lead").alias("owner"),
+        due(F.lit("LOW")).alias("timeline"),
+        F.lit("reporting").alias("owner"),
         F.lit(0.95).alias("confidence"),
         (F.col("severity") == "NORMAL").alias("calm"),
     )

@@ -358,6 +358,7 @@ confidence AS (
 
 
 # Sentences, spelled out once more: driver texts on top of drivers, the rest on top of evidence.
+_THOUSANDS = "format('{{:,}}', CAST(round_even({0}, 0) AS BIGINT))"
 _SIZE = "format('{:,}', CAST(round_even(abs(exact), 0) AS BIGINT))"
 _MOVED = "CASE WHEN exact < 0 THEN 'fell' ELSE 'rose' END"
 DRIVER_TEXTS = f"""texts AS (
@@ -379,12 +380,13 @@ outlook_text AS (
       SELECT metric, sum(CAST(yhat AS DECIMAL(28,2)))::DOUBLE / 7e0 AS avg_future, max(recent_avg) AS recent_avg
       FROM forecast GROUP BY metric) USING (metric) WHERE metric = 'revenue'))),
 odd AS (SELECT list_sort(list(label) FILTER (anomaly_detected)) AS labels FROM card),
-first_three AS (SELECT array_to_string(list(driver ORDER BY rank), '; ') AS sentences FROM texts WHERE rank <= 3),
 told AS (
   SELECT severity, change, confidence, strong_drivers, enterprise_signal, prediction, t.driver AS top_driver,
     t.contribution_pct AS top_share,
-    '[' || severity || '] Revenue moved ' || change || ' against the 14 days before. '
-    || CASE WHEN len(labels) > 0 THEN 'Unusual days were found in ' || array_to_string(labels, ', ') || '. ' ELSE '' END
-    || 'Main drivers: ' || sentences || '. Outlook: ' || prediction || '.' AS narrative
-  FROM confidence CROSS JOIN moves CROSS JOIN evidence CROSS JOIN outlook_text CROSS JOIN odd CROSS JOIN first_three
-    CROSS JOIN (SELECT * FROM texts WHERE rank = 1) t)"""
+    {_THOUSANDS.format('s.recent_revenue')} || ' came in over the latest 14 days and ' || {_THOUSANDS.format('s.prior_revenue')}
+    || ' over the 14 before, a change of ' || change || ' that rates as ' || lower(severity) || '. '
+    || t.driver || ', the strongest of ' || strong_drivers || ' that weigh a tenth or more. '
+    || CASE WHEN len(labels) > 0 THEN array_to_string(labels, ' and ') || ' had' ELSE 'No metric had' END
+    || ' days out of the ordinary. ' || prediction || '.' AS narrative
+  FROM confidence CROSS JOIN moves CROSS JOIN evidence CROSS JOIN outlook_text CROSS JOIN odd
+    CROSS JOIN (SELECT recent_revenue, prior_revenue FROM summary) s CROSS JOIN (SELECT * FROM texts WHERE rank = 1) t)"""

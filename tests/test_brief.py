@@ -130,7 +130,8 @@ def test_playbook_rules(spark):
     assert "B$2" in found["campaign"]["action"]
     assert (found["campaign"]["impact_low"], found["campaign"]["impact_high"]) == (27, 42)
     assert found["campaign"]["confidence"] == 0.88
-    assert found["inventory_status"]["timeline"] == "today"
+    assert found["inventory_status"]["timeline"] == "this week"
+    assert found["campaign"]["action"].startswith("B$2 is down by 10, 50% of the change")
     assert found["inventory_status"]["priority"] == "MEDIUM"
 
 
