@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,17 +24,24 @@ from tallyveer.schema import (
     alias_lookup,
 )
 
+#: Spellings per canonical column.
+Aliases = Mapping[str, Sequence[str]] | None
+
+
 def normalise_name(name: str) -> str:
     return name.strip().lower().replace(" ", "_").replace("-", "_")
 
 
-def canonical_names(columns: Sequence[str]) -> list[str]:
+def canonical_names(columns: Sequence[str], aliases: Aliases = None) -> list[str]:
     """Name of each column after mapping, different from one another whatever their case.
 
+    ``aliases`` are a user's own spellings per canonical column, beside the known ones and before them.
+
     A column spelled like the canonical name takes it before any alias, then the first alias does. Others keep their own
     name, with a running number where it would collide.
     """
-    lookup, given = alias_lookup(), {}
+    own = {c: [normalise_name(n) for n in names] for c, names in (aliases or {}).items()}
+    lookup, given = alias_lookup(own), {}
     normal = [normalise_name(c) for c in columns]
     for exact in (True, False):
         for i, name in enumerate(normal):
@@ -56,9 +63,9 @@ def canonical_names(columns: Sequence[str]) -> list[str]:
     return names
 
 
-def map_columns(df: DataFrame) -> DataFrame:
+def map_columns(df: DataFrame, aliases: Aliases = None) -> DataFrame:
     """Rename known spellings to canonical names; columns that lose a name keep their own."""
-    return df.toDF(*canonical_names(df.columns))
+    return df.toDF(*canonical_names(df.columns, aliases))
 
 
 def unmapped_aliases(columns: Sequence[str]) -> list[str]:
@@ -73,61 +80,112 @@ def unmapped_aliases(columns: Sequence[str]) -> list[str]:
 
 #: Months as dates are written.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?\s*(?:[AaPp][Mm])?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?$"
-
-#: Shapes of dates and where year, month and day stand in them; a month's name is ``m`` and its number by then. Month comes
-#: before day unless dots part them; the other order is taken only where the first number cannot be a month. Two-digit years up to
-#: 68 belong to this century.
-DATE_SHAPES = (
-    (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){TIME}", "$1-$2-$3"),
-    (rf"^(0?[1-9]|1[0-2])[-/](\d{{1,2}})[-/](\d{{4}}){TIME}", "$3-$1-$2"),
-    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}){TIME}", "$3-$2-$1"),
-    (r"^((?:19|20)\d{2})(\d{2})(\d{2})$", "$1-$2-$3"),
-    (rf"^(0?[1-9]|1[0-2])[-/](\d{{1,2}})[-/]([0-5]\d|6[0-8]){TIME}", "20$3-$1-$2"),
-    (rf"^(0?[1-9]|1[0-2])[-/](\d{{1,2}})[-/](69|[7-9]\d){TIME}", "19$3-$1-$2"),
-    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.]([0-5]\d|6[0-8]){TIME}", "20$3-$2-$1"),
-    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](69|[7-9]\d){TIME}", "19$3-$2-$1"),
-)
-NAMED_SHAPES = (
-    (rf"^(\d{{1,2}})[-/ ]m(\d\d)[-/ ,]+(\d{{4}}){TIME}", "$3-$2-$1"),
-    (rf"^m(\d\d)[-/ ](\d{{1,2}})[-/ ,]+(\d{{4}}){TIME}", "$3-$1-$2"),
+TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?\s*(?:[AaPp][Mm])?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?"
+NAME = r"([A-Za-z]{3})[a-z]*\.?"
+
+#: All shapes of dates in one pattern, and the groups of each: year first; eight digits; two numbers before a year of four or two
+#: digits, with what parts them; day and month's name; month's name and day.
+DATE = (
+    rf"^(?:(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){TIME}|((?:19|20)\d{{2}})(\d{{2}})(\d{{2}})"
+    rf"|(\d{{1,2}})([-/.])(\d{{1,2}})([-/.])(\d{{4}}|\d{{2}}){TIME}"
+    rf"|(\d{{1,2}})[-/ ]{NAME}[-/ ,]+(\d{{4}}){TIME}|{NAME}[-/ ](\d{{1,2}})[-/ ,]+(\d{{4}}){TIME})$"
 )
+GROUPS = 17
+#: Parts the groups of a matched date; texts that hold it are no dates.
+BREAK = "\x01"
+
+#: How a column writes numbers parted by slashes or dashes, month before day (``m/d``) or day before month (``d/m``).
+MONTH_FIRST, DAY_FIRST = "month_first", "day_first"
+#: The order of a column whose dates can all be read both ways, or in which as many can only be read the one way as the other.
+DEFAULT_ORDER = MONTH_FIRST
+
+
+def date_fields(value: Column) -> Column:
+    """The groups of :data:`DATE` in a text, ``1`` to ``GROUPS``, empty where they have no part; fewer for anything else.
+
+    One pattern is applied once to each value, whatever its shape.
+    """
+    groups = "".join(f"{BREAK}${i}" for i in range(1, GROUPS + 1))
+    return F.split(F.regexp_replace(F.trim(value.cast("string")), DATE, groups), BREAK, GROUPS + 1)
+
+
+def _one_way(f: Column) -> tuple[Column, Column]:
+    """Whether two numbers of a date can only be day and month, or only month and day."""
+    a, b = f[7].try_cast("int"), f[9].try_cast("int")
+    free = (F.size(f) == GROUPS + 1) & (f[7] != "") & (f[8] != ".") & (f[10] != ".")
+    return (
+        free & (a > 12) & (a <= 31) & b.between(1, 12),
+        free & (b > 12) & (b <= 31) & a.between(1, 12),
+    )
+
+
+def _read_date(f: Column, day_first: Column) -> Column:
+    """The date of the groups ``f``. Dots and the only possible reading come before the column's order."""
+    numbers = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name, str(i))])
+    only_day, only_month = _one_way(f)
+    dotted = (f[8] == ".") | (f[10] == ".")
+    first_is_day = dotted | only_day | (day_first & ~only_month)
+    year = F.when(F.length(f[11]) == 4, f[11]).otherwise(F.concat(F.when(f[11] <= "68", "20").otherwise("19"), f[11]))
 
+    def iso(y: Column, m: Column, d: Column) -> Column:
+        return F.concat(y, F.lit("-"), m, F.lit("-"), d)
 
-def _rewritten(text: Column, shapes: Sequence[tuple[str, str]]) -> Column:
-    """The ISO form of the first shape that fits."""
-    found = F.lit(None).cast("string")
-    for shape, iso in reversed(shapes):
-        found = F.when(text.rlike(shape), F.regexp_replace(text, shape, iso)).otherwise(found)
-    return found
+    def month(name: Column) -> Column:
+        return F.try_element_at(numbers, F.lower(name))
+
+    shape = (
+        F.when(f[1] != "", iso(f[1], f[2], f[3]))
+        .when(f[7] != "", iso(year, F.when(first_is_day, f[9]).otherwise(f[7]), F.when(first_is_day, f[7]).otherwise(f[9])))
+        .when(f[4] != "", iso(f[4], f[5], f[6]))
+        .when(f[12] != "", iso(f[14], month(f[13]), f[12]))
+        .otherwise(iso(f[17], month(f[15]), f[16]))
+    )
+    return F.when(F.size(f) == GROUPS + 1, shape).try_cast("date")
 
 
-def parse_date(value: Column) -> Column:
+def parse_date(value: Column, order: str | Column = DEFAULT_ORDER) -> Column:
     """The date a text shows, as written (a zone does not move it); null for anything else.
 
-    Numbers are not dates, but for eight digits that spell one. The shape that fits is rewritten to ISO, and one cast, which yields null
-    for days that do not exist, reads it. The reading is a lambda over one value, so its many branches do not swell the
-    generated code of the stage beyond what the JVM compiles.
+    ``order`` tells how two numbers parted by slashes or dashes are read where both readings are dates: see
+    :func:`date_order` for the order of a column. Parted by dots, the day comes first. Two-digit years up to 68 belong to this century.
+    Numbers are not dates, but for eight digits that spell one. The reading is a lambda over the groups of one value, so its
+    branches do not swell the generated code of the stage beyond what the JVM compiles.
     """
-    return F.get(F.transform(F.array(F.trim(value.cast("string"))), _read_date), 0)
+    day_first = F.lit(order) == DAY_FIRST if isinstance(order, str) else order == DAY_FIRST
+    parts = F.array(F.struct(date_fields(value).alias("f"), day_first.alias("day_first")))
+    return F.get(F.transform(parts, lambda x: _read_date(x["f"], x["day_first"])), 0)
+
+
+def order_votes(value: Column) -> tuple[Column, Column]:
+    """Aggregates: values that can only be read day first, and only month first."""
+    ways = F.transform(F.array(date_fields(value)), lambda f: F.struct(*[w.alias(n) for w, n in zip(_one_way(f), "dm", strict=True)]))
+    way = F.get(ways, 0)
+    return F.count_if(way["d"]), F.count_if(way["m"])
 
 
-def _read_date(text: Column) -> Column:
-    numbers = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name, f"m{i:02d}")])
-    month = F.try_element_at(numbers, F.lower(F.regexp_extract(text, "([A-Za-z]{3})", 1)))
-    named = F.regexp_replace(text, F.lit(r"^(\d{1,2}[-/ ])?[A-Za-z]{3}[a-z]*\.?"), F.concat(F.lit("$1"), month))
-    spelled = text.rlike(r"^(\d{1,2}[-/ ])?[A-Za-z]{3}")
-    iso = F.when(spelled, _rewritten(named, NAMED_SHAPES)).otherwise(_rewritten(text, DATE_SHAPES))
-    return iso.try_cast("date")
+def order_of(day: Column, month: Column) -> Column:
+    """The order of a column with so many values of one reading only: that of more of them, else the default."""
+    return F.when(day > month, DAY_FIRST).when(day < month, MONTH_FIRST).otherwise(DEFAULT_ORDER)
 
 
-def as_date(df: DataFrame, column: str) -> Column:
+def date_order(df: DataFrame, column: str) -> Column:
+    """How a column of text writes its dates, as one value for the whole column: a pass over that column."""
+    day, month = order_votes(quoted(column))
+    votes = df.agg(day.alias("day"), month.alias("month"))
+    return votes.select(order_of(F.col("day"), F.col("month")).alias("order")).scalar()
+
+
+def with_date(df: DataFrame, column: str, into: str, order: str | None = None) -> DataFrame:
+    """``df`` with the date of ``column`` in ``into``; text is read in one ``order``, the column's own if none is given."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.DateType):
-        return F.col(column)
+        return df.withColumn(into, quoted(column))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.col(column).cast("date")
-    return parse_date(F.col(column))
+        return df.withColumn(into, quoted(column).cast("date"))
+    if not isinstance(kind, T.StringType) or order:
+        return df.withColumn(into, parse_date(quoted(column), order or DEFAULT_ORDER))
+    known = df.withColumn("_order", date_order(df, column))
+    return known.withColumn(into, parse_date(quoted(column), F.col("_order"))).drop("_order")
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -265,31 +323,35 @@ def unfilled_columns(df: DataFrame) -> DataFrame:
     return held.select("column").exceptAll(held.filter(F.col("n") > 0).select("column"))
 
 
-NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-
-
 #: Numbers from here on do not fit the exact sums.
 TOO_LARGE = 1e14
 
 
 def number_in(df: DataFrame, name: str) -> Column:
-    """Number of a cell, null unless it is one: finite, written as a number, and within the exact sums' range."""
-    value = quoted(name)
+    """Number of a cell, null unless it is one: finite, written as a number, and within the exact sums' range.
+
+    The cast also takes what programs write, such as ``12d``, ``0x1p3`` and ``Infinity``: no user's cell means a number by these.
+    """
+    value, written = quoted(name), F.lit(True)
     if isinstance(df.schema[name].dataType, T.StringType):
-        value = F.regexp_extract(F.trim(value), NUMBER, 0)
+        value = F.trim(value)
+        written = ~F.lower(F.right(value, F.lit(1))).isin("d", "f") & ~F.contains(F.lower(value), F.lit("x"))
     number = value.try_cast("double")
-    return F.when(F.abs(number) < TOO_LARGE, number)  # not so for NaN
+    return F.when((F.abs(number) < TOO_LARGE) & written, number)  # not so for NaN
 
 
-def repair(df: DataFrame) -> DataFrame:
-    """Canonical fact: dates parsed, numbers coerced, gaps filled, other columns dropped."""
+def repair(df: DataFrame, order: str | None = None) -> DataFrame:
+    """Canonical fact: dates parsed, numbers coerced, gaps filled, other columns dropped.
+
+    A column of text dates is read in one order, ``order`` or the one its values show.
+    """
     full = add_missing_columns(df)
-    date = as_date(full, "date")
-    if isinstance(full.schema["date"].dataType, T.StringType):
-        # the row number keeps the parsing below the filter, where it would be done again
-        date = F.when(F.monotonically_increasing_id() >= 0, date)
+    text = isinstance(full.schema["date"].dataType, T.StringType)
+    dated = with_date(full, "date", "_day", order)
+    # the row number keeps the parsing below the filter, where it would be done again
+    day = F.when(F.monotonically_increasing_id() >= 0, F.col("_day")) if text else F.col("_day")
     return (
-        full.withColumn("date", date)
+        dated.withColumn("date", day)
         .filter(F.col("date").isNotNull())
         .withColumns({c: F.coalesce(number_in(full, c), F.lit(0.0)) for c in NUMERICS})
         .withColumns({c: F.col(c).cast("string") for c in CATEGORICALS})
@@ -314,6 +376,10 @@ def quality_columns(df: DataFrame) -> dict[str, Column]:
         "first_date": F.min(day),
         "last_date": F.max(day),
     }
+    if "date" in full and isinstance(df.schema["date"].dataType, T.StringType):
+        only_day, only_month = order_votes(quoted("date"))
+        counters["day_first_dates"], counters["month_first_dates"] = only_day, only_month
+        counters["contradicted_dates"] = F.least(only_day, only_month)
     if MALFORMED in full:
         counters["malformed_rows"] = F.count(quoted(MALFORMED))
     for c in NUMERICS:
@@ -332,7 +398,9 @@ def quality_columns(df: DataFrame) -> dict[str, Column]:
 
 def with_parsed_day(df: DataFrame) -> DataFrame:
     """Parse the date once, for all counters to use."""
-    return df.withColumn("_day", as_date(df, "date") if "date" in df.columns else F.lit(None))
+    if "date" in df.columns:
+        return with_date(df, "date", "_day")
+    return df.withColumn("_day", F.lit(None).cast("date"))
 
 
 def quality_report(df: DataFrame) -> DataFrame:
@@ -357,6 +425,11 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
     return df
 
 
+def flag_holidays(fact: DataFrame, holidays: Sequence[tuple[int, int]]) -> DataFrame:
+    """A fact whose source has no holidays of its own gets the days of a user's calendar."""
+    return fact.withColumn("holiday_flag", holiday_flag(F.col("date"), holidays))
+
+
 def holiday_flag(date: Column, holidays: Sequence[tuple[int, int]]) -> Column:
     """1.0 on the given (month, day) pairs."""
     code = F.month(date) * 100 + F.dayofmonth(date)

@@ -181,6 +181,55 @@ def _(spark, folder):
     )
 
 
+def dates_in_orders(spark, folder) -> DataFrame:
+    """Orders with their date in columns that write day before month, month before day, undecided, and both."""
+    day = F.col("o_orderdate")
+    contrary = F.col("o_orderkey") % 7 == 0
+    return table(spark, folder, "orders").select(
+        F.date_format(day, "dd/MM/yyyy").alias("day_first"),
+        F.date_format(day, "MM-dd-yy").alias("month_first"),
+        F.when(F.dayofmonth(day) <= 12, F.date_format(day, "d/M/yyyy HH:mm")).alias("undecided"),
+        F.when(contrary, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy")).alias("both"),
+    )
+
+
+_TURNED = "CASE WHEN low THEN make_date(year(day), dayofmonth(day), month(day)) END"
+
+
+@query(
+    "p8_date_order_by_column",
+    f"""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey % 7 = 0 AS contrary, dayofmonth(o_orderdate) <= 12 AS low FROM orders),
+    r AS (
+      SELECT 'day_first' AS "column", day AS read, NOT low AS d, false AS m FROM o
+      UNION ALL SELECT 'month_first', day, false, NOT low FROM o
+      UNION ALL SELECT 'undecided', {_TURNED}, false, false FROM o
+      UNION ALL SELECT 'both', CASE WHEN contrary AND low THEN {_TURNED} ELSE day END, NOT low AND NOT contrary, NOT low AND contrary FROM o)
+    SELECT "column", count(read) AS parsed, sum(datediff('day', DATE '1990-01-01', read))::BIGINT AS days,
+      count(*) FILTER (d) AS day_first_dates, count(*) FILTER (m) AS month_first_dates,
+      least(count(*) FILTER (d), count(*) FILTER (m)) AS contradicted_dates FROM r GROUP BY 1""",
+)
+def _(spark, folder):
+    written = dates_in_orders(spark, folder)
+    parts = []
+    for name in written.columns:
+        one = written.select(F.col(name).alias("date"))
+        counters = rp.quality_columns(one)
+        names = ("day_first_dates", "month_first_dates", "contradicted_dates")
+        days = F.sum(F.datediff("_day", F.lit("1990-01-01").cast("date")))
+        parts.append(
+            rp.with_parsed_day(one).agg(
+                F.lit(name).alias("column"),
+                counters["kept_rows"].alias("parsed"),
+                days.alias("days"),
+                *[counters[c].alias(c) for c in names],
+            )
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query(
     "p9_number_shapes",
     "SELECT l_linenumber % 7 AS kind, count(*) AS n, sum(CASE l_linenumber % 7 WHEN 0 THEN CAST(l_extendedprice AS DECIMAL(18,4)) "
@@ -205,7 +254,8 @@ def _(spark, folder):
     f"""WITH {MESSY} SELECT count(*) AS input_rows, count(*) FILTER (date IS NULL) AS dropped_rows,
     count(date) AS kept_rows, {q.iso('min(date)')} AS first_date, {q.iso('max(date)')} AS last_date,
     count(*) FILTER (date IS NOT NULL AND l_returnflag = 'R') AS coerced_revenue,
-    0 AS null_revenue, 0 AS coerced_orders,
+    0 AS null_revenue, 0 AS coerced_orders, 0 AS day_first_dates, 0 AS contradicted_dates,
+    count(*) FILTER (channel = '2-HIGH' AND dayofmonth(date) > 12) AS month_first_dates,
     count(*) FILTER (date IS NOT NULL AND orders_raw IS NULL) AS null_orders,
     count(*) FILTER (date IS NOT NULL AND category_raw IS NULL) AS filled_category,
     0 AS filled_channel,

@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 from tallyveer.functions import quoted
 from tallyveer.operators.repair import (
     DATE_RATE,
+    Aliases,
     assign_sequential_dates,
     ensure_measures,
     find_date_column,
+    flag_holidays,
     looks_like_date,
     map_columns,
     number_in,
@@ -89,15 +91,22 @@ def shaped(df: DataFrame) -> DataFrame:
 
 
 def load_raw(
-    spark: SparkSession, source: str, anchor: dt.date | None = None, order_by: Sequence[str] = ()
+    spark: SparkSession,
+    source: str,
+    anchor: dt.date | None = None,
+    order_by: Sequence[str] = (),
+    aliases: Aliases = None,
+    date_order: str | None = None,
 ) -> DataFrame:
     """A user's file with canonical names, a date column and two measures.
 
-    A table without dates gets consecutive days that end at ``anchor``, its rows ordered by ``order_by`` (all columns if not
-    given); without an anchor it is refused. Text that has to be profiled is parsed once into the work folder.
+    ``aliases`` are further spellings per canonical column. A table without dates gets consecutive days that end at ``anchor``, its
+    rows ordered by ``order_by`` (all columns if not given); without an anchor it is refused. Text in which columns have to be found, or
+    the order of the dates, is parsed once into the work folder.
     """
-    df = map_columns(read_any(spark, source))
-    if not {"date", "revenue", "orders"} <= set(df.columns) and source.lower().rstrip("/").endswith(EXTENSIONS):
+    df = map_columns(read_any(spark, source), aliases)
+    clear = {"date", "revenue", "orders"} <= set(df.columns) and date_order is not None
+    if not clear and source.lower().rstrip("/").endswith(EXTENSIONS):
         df = stored(df, "raw-text")
     before, df = df.columns, shaped(df)
     if "date" not in df.columns:
@@ -108,21 +117,36 @@ def load_raw(
     return df
 
 
-def load_fact(
-    spark: SparkSession, source: str, anchor: dt.date | None = None, order_by: Sequence[str] = ()
+def load_repaired(
+    spark: SparkSession,
+    source: str,
+    anchor: dt.date | None = None,
+    order_by: Sequence[str] = (),
+    aliases: Aliases = None,
+    holidays: Sequence[tuple[int, int]] | None = None,
+    date_order: str | None = None,
 ) -> DataFrame:
-    """Canonical fact of a user's file; refused where no row has a readable date."""
-    return require_rows(repair(load_raw(spark, source, anchor, order_by)), "no row has a date that can be read")
+    """Canonical fact of a user's file, without a look at whether it has rows.
 
+    ``holidays`` are (month, day) pairs for a file that does not flag its own; ``date_order`` (``day_first`` or ``month_first``) settles how
+    dates are read, which otherwise the column's values do.
+    """
+    raw = load_raw(spark, source, anchor, order_by, aliases, date_order)
+    fact = repair(raw, date_order)
+    return flag_holidays(fact, holidays) if holidays is not None and "holiday_flag" not in raw.columns else fact
 
-def load_processed(
-    spark: SparkSession, source: str, path: str, anchor: dt.date | None = None, order_by: Sequence[str] = ()
-) -> DataFrame:
-    """Roll a user's file up once, store it by month, and give the stored fact.
+
+def load_fact(spark: SparkSession, source: str, *args, **options) -> DataFrame:
+    """Canonical fact of a user's file, options as of :func:`load_repaired`; refused where no row has a readable date."""
+    return require_rows(load_repaired(spark, source, *args, **options), "no row has a date that can be read")
+
+
+def load_processed(spark: SparkSession, source: str, path: str, *args, **options) -> DataFrame:
+    """Roll a user's file up once, store it by month, and give the stored fact; options as of :func:`load_repaired`.
 
     The text is read twice: for the formats of its files, and to be parsed.
     """
-    write_processed(roll_up(repair(load_raw(spark, source, anchor, order_by))), path)
+    write_processed(roll_up(load_repaired(spark, source, *args, **options)), path)
     return require_rows(read_processed(spark, path), "no row has a date that can be read")
 
 

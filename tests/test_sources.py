@@ -283,3 +283,32 @@ def test_retention_and_purge(spark, tmp_path):
     assert {r[0] for r in spark.table(runs).select("run_id").collect()} == {"r2"}
     assert cat.without_run(df, "r1").count() == 5
     spark.sql(f"DROP TABLE {runs}")
+
+
+def test_a_column_of_dates_is_read_in_one_order(spark, tmp_path):
+    text = "date,revenue,orders\n" + "".join(f"{d},1,1\n" for d in ("13/02/2024", "05/02/2024", "28/02/2024", "01/03/2024"))
+    (tmp_path / "days.csv").write_text(text)
+    days = [r["date"].isoformat() for r in rw.load_fact(spark, str(tmp_path / "days.csv")).orderBy("date").collect()]
+    assert days == ["2024-02-05", "2024-02-13", "2024-02-28", "2024-03-01"]
+    (tmp_path / "open.csv").write_text("date,revenue,orders\n05/02/2024,1,1\n1-3-24,2,2\n")
+    for order, want in ((None, ["2024-01-03", "2024-05-02"]), (rp.DAY_FIRST, ["2024-02-05", "2024-03-01"])):
+        fact = rw.load_fact(spark, str(tmp_path / "open.csv"), date_order=order)
+        assert sorted(r["date"].isoformat() for r in fact.collect()) == want
+
+
+def test_contradicting_dates_are_counted(spark):
+    df = spark.createDataFrame([(d,) for d in ("13/02/2024", "14/02/2024", "02/15/2024", "03/04/2024", "1.2.2024", "x")], ["date"])
+    row = rp.quality_report(df).first()
+    assert (row["day_first_dates"], row["month_first_dates"], row["contradicted_dates"]) == (2, 1, 1)
+    days = {r["date"]: str(r["_day"]) for r in rp.with_parsed_day(df).collect()}
+    assert days["03/04/2024"] == "2024-04-03" and days["02/15/2024"] == "2024-02-15" and days["1.2.2024"] == "2024-02-01"
+
+
+def test_own_aliases_and_holidays(spark, tmp_path):
+    (tmp_path / "own.csv").write_text("Tag;Umsatz;Menge;Sales\n2024-05-01;5;1;9\n2024-05-02;7;2;9\n")
+    own = {"date": ["tag"], "revenue": ["Umsatz"], "orders": ["menge"]}
+    fact = rw.load_fact(spark, str(tmp_path / "own.csv"), aliases=own, holidays=[(5, 1)])
+    rows = sorted((str(r["date"]), r["revenue"], r["orders"], r["holiday_flag"]) for r in fact.collect())
+    assert rows == [("2024-05-01", 5.0, 1.0, 1.0), ("2024-05-02", 7.0, 2.0, 0.0)]
+    with pytest.raises(ValueError, match="no column"):
+        rp.canonical_names(["a"], {"income_tax": ["a"]})
