@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyveer.functions import finite_or_null, half_even
@@ -26,6 +26,12 @@ from tallyveer.sources.star import star_fact, table
 FACTS = f"WITH {q.FACT}"
 
 
+def under_header(header: str, line: Column) -> Column:
+    """The lines of text files, each file under its own header: tasks write their files side by side."""
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of its task
+    return F.explode(F.when(first, F.array(F.lit(header), line)).otherwise(F.array(line))).alias("value")
+
+
 def messy_lines(spark, folder) -> DataFrame:
     """Order lines as a user might upload them, every column as text."""
     lines = table(spark, folder, "lineitem").join(
@@ -451,10 +457,8 @@ def _(spark, folder):
     options = {"header": True, "sep": ";", "encoding": "ISO-8859-1"}
     even.select("Units", "Channel", "Order Date", "Sales").write.options(**options).csv(path)
     extra = F.when(F.col("o_orderkey") % 10 == 1, F.concat("Channel", F.lit(",left over"))).otherwise(F.col("Channel"))
-    head = odd.select(F.lit("Order Date,Sales,Channel").alias("value")).limit(1)
-    lines = odd.select(F.concat_ws(",", "Order Date", "Sales", extra).alias("value"))
-    # one text file with its own header line
-    head.unionAll(lines).coalesce(1).write.mode("append").text(path)
+    line = F.concat_ws(",", "Order Date", "Sales", extra)
+    odd.select(under_header("Order Date,Sales,Channel", line)).write.mode("append").text(path)
     raw = rp.map_columns(rw.read_any(spark, path))
     return raw.groupBy("channel").agg(
         F.count("*").alias("n"),
@@ -464,6 +468,45 @@ def _(spark, folder):
     )
 
 
+@query(
+    "s1_line_breaks_in_quotes",
+    """SELECT o_orderpriority AS channel, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,4)))::DOUBLE AS revenue,
+    sum(length(o_orderpriority || chr(10) || 'key "' || o_orderkey || '",' || repeat(chr(10), CAST(o_orderkey % 3 AS INTEGER))))::BIGINT AS signs,
+    count(*) FILTER (o_orderkey % 3 = 2) AS blank_ends FROM orders GROUP BY 1""",
+)
+def _(spark, folder):
+    path = f"{work_folder(spark, 'breaks')}.csv"
+    more = F.repeat(F.lit("\n"), (F.col("o_orderkey") % 3).cast("int"))
+    note = F.concat("o_orderpriority", F.lit('\nkey "'), F.col("o_orderkey").cast("string"), F.lit('",'), more)
+    orders = table(spark, folder, "orders").select(note.alias("Note"), F.col("o_totalprice").alias("Sales"), "o_orderpriority")
+    orders.withColumnRenamed("o_orderpriority", "Channel").write.options(
+        header=True, escape='"', ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    raw = rp.map_columns(rw.read_any(spark, path))
+    return raw.groupBy("channel").agg(
+        F.count("*").alias("n"),
+        ru.exact_sum(F.col("revenue").cast("double")).alias("revenue"),
+        F.sum(F.length("Note")).alias("signs"),
+        F.count_if(F.endswith("Note", F.lit("\n\n"))).alias("blank_ends"),
+    )
+
+
+@query(
+    "s2_utf16_without_mark",
+    """SELECT o_orderpriority || '漢é' AS channel, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,4)))::DOUBLE AS revenue
+    FROM orders GROUP BY 1""",
+)
+def _(spark, folder):
+    path = work_folder(spark, "wide")
+    orders = table(spark, folder, "orders").select(
+        F.concat("o_orderpriority", F.lit("漢é")).alias("Channel"), F.col("o_totalprice").alias("Sales"), "o_orderkey"
+    )
+    for i, encoding in enumerate(("UTF-16LE", "UTF-16BE", "UTF-8")):
+        orders.where(F.col("o_orderkey") % 3 == i).write.options(header=True, encoding=encoding).csv(f"{path}/{encoding}.csv")
+    raw = rp.map_columns(rw.read_any(spark, f"{path}/*.csv"))
+    return raw.groupBy("channel").agg(F.count("*").alias("n"), ru.exact_sum(F.col("revenue").cast("double")).alias("revenue"))
+
+
 @query(
     "p3_duplicate_headers",
     """SELECT o_orderstatus AS region, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,4)))::DOUBLE AS revenue,
@@ -472,9 +515,8 @@ def _(spark, folder):
 def _(spark, folder):
     path = f"{work_folder(spark, 'twice')}.csv"
     orders = table(spark, folder, "orders")
-    head = orders.select(F.lit("Sales,Region,Sales,SALES").alias("value")).limit(1)
     cells = [F.col(c).cast("string") for c in ("o_totalprice", "o_orderstatus", "o_custkey", "o_orderkey")]
-    head.unionAll(orders.select(F.concat_ws(",", *cells).alias("value"))).coalesce(1).write.text(path)
+    orders.select(under_header("Sales,Region,Sales,SALES", F.concat_ws(",", *cells))).write.text(path)
     raw = rp.map_columns(rw.read_any(spark, path))
     return raw.groupBy("region").agg(
         F.count("*").alias("n"),

@@ -1,12 +1,13 @@
 import datetime as dt
 import uuid
+from collections import Counter
 
 import pytest
 
 from tallyveer.operators import repair as rp
 from tallyveer.sources import catalog as cat
 from tallyveer.sources import raw as rw
-from tallyveer.sources.delimited import inspect, inspect_files, read_delimited, unique_names
+from tallyveer.sources.delimited import inspect, inspect_files, read_delimited, text_lines, unique_names
 
 
 def written(tmp_path, text: str, encoding="utf-8", name="data.csv") -> str:
@@ -312,3 +313,58 @@ def test_own_aliases_and_holidays(spark, tmp_path):
     assert rows == [("2024-05-01", 5.0, 1.0, 1.0), ("2024-05-02", 7.0, 2.0, 0.0)]
     with pytest.raises(ValueError, match="no column"):
         rp.canonical_names(["a"], {"income_tax": ["a"]})
+
+
+BREAKS = [
+    ("1", 'said "no"', "plain"), ("2", "two\nlines", "x,y"), ("3", "\n\nblank before", ""), ("4", 'a "q"\n,"b"\n', "7"),
+    ("5", "long\n" * 300, "end"), ("6", "", "\n"),
+]
+
+
+@pytest.mark.parametrize(("encoding", "end"), [("utf-8", "\n"), ("utf-8", "\r\n"), ("latin-1", "\n"), ("utf-16-le", "\n")])
+def test_line_breaks_in_quotes_in_many_splits(spark, tmp_path, encoding, end):
+    rows = [(str(i), *BREAKS[i % 6][1:]) for i in range(900)] + [("900", "süß", "é")]
+    body = end.join(",".join('"' + v.replace('"', '""') + '"' for v in r) for r in [("id", "note\nof it", "more"), *rows]) + end
+    path = tmp_path / "breaks.csv"
+    path.write_bytes(body.encode(encoding))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        (what,) = inspect_files(spark, str(path))
+        assert what.breaks and what.agreement == 1.0 and what.header == ("id", "note\nof it", "more")
+        got = read_delimited(spark, str(path))
+        assert text_lines(spark, str(path)).rdd.getNumPartitions() > 20
+        found = sorted((tuple(r) for r in got.collect()), key=lambda r: int(r[0]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert found == [tuple(v or None for v in r) + (None,) for r in rows]
+    if encoding != "utf-16-le":  # Spark's own reading of a whole file in one task
+        own = spark.read.csv(str(path), header=True, multiLine=True, escape='"', encoding=what.encoding)
+        assert sorted(map(tuple, own.collect()), key=lambda r: int(r[0])) == [r[:3] for r in found]
+
+
+def test_a_stray_quote_does_not_join_lines(spark, tmp_path):
+    text = "item,size\n" + "".join(f"pipe {i},{i}\" long\n" for i in range(9)) + "rest,1\n"
+    path = written(tmp_path, text)
+    assert not inspect(spark, path).breaks and read_delimited(spark, path).count() == 10
+    assert read_delimited(spark, written(tmp_path, 'a,b\n1,"x\n2,y"\n', name="n.csv")).collect()[0]["b"] == "x\n2,y"
+    assert read_delimited(spark, written(tmp_path, 'a,b\n1,"x\n2,y"\n', name="n.csv"), multi_line=False).count() == 2
+
+
+def test_broken_records_with_breaks_are_kept(spark, tmp_path):
+    df = read_delimited(spark, written(tmp_path, 'a,b\n1,"x\ny"\n2\n3,"p\nq",9\n4,z\n5,z\n6,z\n'))
+    rows = {r["a"]: r for r in df.collect()}
+    assert rows["1"]["b"] == "x\ny" and rows["1"]["_malformed"] is None
+    assert rows["2"]["_malformed"] == "2" and rows["3"]["_malformed"] == '3,"p\nq",9' and len(rows) == 6
+
+
+@pytest.mark.parametrize("words", [("Umsatz", "Süd"), ("営業", "東京")])
+def test_utf16_without_a_mark(spark, tmp_path, words):
+    folder = tmp_path / "wide.csv"
+    folder.mkdir()
+    lines = [f"date,{words[0]},orders"] + [f"2024-01-{i:02d},{words[1]}{i},{i}" for i in range(1, 29)]
+    for name in ("utf-16-le", "utf-16-be", "utf-8", "utf-16"):
+        (folder / f"{name}.csv").write_bytes(("\n".join(lines) + "\n").encode(name))
+    assert [f.encoding for f in inspect_files(spark, str(folder))] == ["UTF-16BE", "UTF-16LE", "UTF-16LE", "UTF-8"]
+    rows = Counter(tuple(r) for r in read_delimited(spark, str(folder)).collect())
+    assert rows == {(f"2024-01-{i:02d}", f"{words[1]}{i}", str(i), None): 4 for i in range(1, 29)}
