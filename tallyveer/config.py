@@ -54,16 +54,22 @@ class AnalysisConfig:
     band_relative: float = 0.05
     # "all" floors centre and both bounds at zero, "lower" only the lower bound
     clip: str = "all"
-    # "linear_trend" or "trend_weekday"
+    # "linear_trend", "trend_weekday" or "piecewise_weekly"
     model: str = "linear_trend"
+    # piecewise_weekly: knots of the trend, and how strongly changes and weekly waves are shrunk
+    change_points: int = 8
+    change_penalty: float = 0.05
+    wave_penalty: float = 0.01
 
     def __post_init__(self) -> None:
         if self.aov not in ("ratio", "sum_of_groups"):
             raise ValueError(f"aov must be 'ratio' or 'sum_of_groups', not {self.aov!r}")
         if self.clip not in ("all", "lower"):
             raise ValueError(f"clip must be 'all' or 'lower', not {self.clip!r}")
-        if self.model not in ("linear_trend", "trend_weekday"):
+        if self.model not in ("linear_trend", "trend_weekday", "piecewise_weekly"):
             raise ValueError(f"unknown forecast model {self.model!r}")
+        if self.change_points < 1 or min(self.change_penalty, self.wave_penalty) <= 0:
+            raise ValueError("change_points must be at least 1, penalties above 0")
         if self.lookback < 1 or self.horizon < 1 or self.trend_rows < 2:
             raise ValueError("lookback and horizon need at least 1 row, trend_rows at least 2")
         if self.document_drivers is not None and self.document_drivers < 0:

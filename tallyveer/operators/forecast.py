@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
 from tallyveer.functions import half_even, pct_change
+from tallyveer.operators.changepoint import piecewise_rows
 from tallyveer.operators.detect import metric_label
 from tallyveer.operators.series import series_window, trailing
 
@@ -128,6 +129,8 @@ def forecast_rows(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """``(*keys, metric, step, date, yhat, lower, upper, model)`` for every horizon step."""
     if cfg.model == "trend_weekday":
         return _seasonal_rows(series, cfg)
+    if cfg.model == "piecewise_weekly":
+        return piecewise_rows(series, cfg)
     flat = F.col("n") < 2
     margin = F.when(flat, 0.0).otherwise(
         F.col("resid_std") * cfg.band_sigma + F.abs("centre") * cfg.band_relative

@@ -390,3 +390,47 @@ told AS (
     || ' days out of the ordinary. ' || prediction || '.' AS narrative
   FROM confidence CROSS JOIN moves CROSS JOIN evidence CROSS JOIN outlook_text CROSS JOIN odd
     CROSS JOIN (SELECT recent_revenue, prior_revenue FROM summary) s CROSS JOIN (SELECT * FROM texts WHERE rank = 1) t)"""
+
+
+def piecewise(knots: int = 8, change: float = 0.05, wave: float = 0.01, rows: int = 60) -> str:
+    """Ridge regression on hinges and weekly waves on top of the series: sums, and elimination over nested lists."""
+    places = [0.8 * j / knots for j in range(1, knots + 1)]
+    size = 2 + knots + 6
+
+    def terms(u: str, day: str) -> str:
+        hinges = [f"greatest(0, {u} - {c!r}::DOUBLE)" for c in places]
+        waves = [f"{f}(({day})::DOUBLE * {2 * k} * pi() / 7)" for k in (1, 2, 3) for f in ("cos", "sin")]
+        return "[" + ", ".join(["1::DOUBLE", u, *hinges, *waves]) + "]"
+
+    ridge = [1e-9, 1e-9, *[change] * knots, *[wave] * 6]
+    matrix = ", ".join(
+        "["
+        + ", ".join(f"sum(t[{i + 1}] * t[{j + 1}])" + (f" + {ridge[i]!r}::DOUBLE" if i == j else "") for j in range(size))
+        + f", sum(t[{i + 1}] * y)]"
+        for i in range(size)
+    )
+    value = "scale * list_sum(list_transform(list_zip(beta, {}), lambda p: p[1] * p[2]))"
+    return f"""spans AS (
+  SELECT metric, count(*) AS n, min(date) AS first_date, max(date) AS last_date, max(abs(value)) AS scale,
+         greatest(1, datediff('day', min(date), max(date)))::DOUBLE AS days,
+         sum(amount) FILTER (rn <= {LOOKBACK})::DOUBLE / {LOOKBACK} AS recent
+  FROM long WHERE rn <= {rows} GROUP BY metric),
+timed AS (
+  SELECT metric, date, value, scale, value / scale AS y, {terms("(datediff('day', first_date, date)::DOUBLE / days)", 'isodow(date) - 1')} AS t
+  FROM long JOIN spans USING (metric) WHERE rn <= {rows}),
+systems AS (SELECT metric, [{matrix}] AS m FROM timed GROUP BY metric),
+solutions AS (
+  SELECT metric, list_transform(list_reduce(
+    list_prepend({{m: m, k: 0::BIGINT}}, list_transform(range(1, {size + 1}), lambda k: {{m: CAST([] AS DOUBLE[][]), k: k}})),
+    lambda a, s: {{m: list_transform(a.m, lambda r, i: list_transform(r, lambda v, j:
+        CASE WHEN i = s.k THEN v / r[s.k] ELSE v - r[s.k] * (a.m[s.k][j] / a.m[s.k][s.k]) END)), k: s.k}}).m,
+    lambda r: r[-1]) AS beta
+  FROM systems),
+rests AS (
+  SELECT metric, quantile_cont(rest, 0.1::DOUBLE) AS low, quantile_cont(rest, 0.9::DOUBLE) AS high
+  FROM (SELECT metric, value - {value.format('t')} AS rest FROM timed JOIN solutions USING (metric)) GROUP BY metric),
+bent AS (
+  SELECT metric, step, CAST(last_date + CAST(step AS INTEGER) AS DATE) AS date, recent, low, high,
+         {value.format(terms("(datediff('day', first_date, last_date + CAST(step AS INTEGER))::DOUBLE / days)",
+                             'isodow(last_date + CAST(step AS INTEGER)) - 1'))} AS centre
+  FROM spans JOIN solutions USING (metric) JOIN rests USING (metric) CROSS JOIN (SELECT unnest(range(1, 8)) AS step))"""

@@ -11,12 +11,14 @@ from tallyveer.config import AnalysisConfig
 from tallyveer.functions import half_even
 from tallyveer.operators import attribute as at
 from tallyveer.operators import detect as de
+from tallyveer.operators import changepoint as cp
 from tallyveer.operators import explain as ex
 from tallyveer.operators import forecast as fc
 from tallyveer.operators import isolation as iso_
 from tallyveer.operators import insight as ins
 from tallyveer.operators import kpi as kp
 from tallyveer.operators import recommend as rec
+from tallyveer.operators import robust
 from tallyveer.operators import rollup as ru
 from tallyveer.operators import series as se
 from tallyveer.operators import views as vw
@@ -699,6 +701,49 @@ def _(spark, folder):
     )
 
 
+PIECEWISE = f"{SERIES},\n{q.piecewise()}"
+
+
+@query(
+    "m11_change_points",
+    f"""{PIECEWISE} SELECT metric, step, {q.iso('date')} AS date, {q.rnd(q.rnd('greatest(0, centre)', 2) + ' / recent', 5)} AS yhat,
+    {q.rnd(q.rnd('greatest(0, centre + low)', 2) + ' / recent', 5)} AS lower,
+    {q.rnd(q.rnd('greatest(0, centre + high)', 2) + ' / recent', 5)} AS upper FROM bent""",
+)
+def _(spark, folder):
+    rows = fc.forecast_rows(slim_series(spark, folder), CFG.with_(model="piecewise_weekly"))
+    # against the recent level, so that digits mean the same for every metric
+    shares = [half_even(F.col(c) / F.col("recent_avg"), 5).alias(c) for c in ("yhat", "lower", "upper")]
+    return rows.select("metric", "step", "date", *shares)
+
+
+@query(
+    "m11_trend_breaks",
+    f"""{PIECEWISE}, bends AS (
+      SELECT metric, knot, CAST(first_date + CAST(round(0.1::DOUBLE * knot * days) AS INTEGER) AS DATE) AS date,
+        {q.rnd('beta[2 + knot] * scale / days / recent', 6)} AS change,
+        {q.rnd('(beta[2] + list_sum(beta[3:2 + knot])) * scale / days / recent', 6)} AS slope_after,
+        row_number() OVER (PARTITION BY metric ORDER BY abs(beta[2 + knot]) DESC) AS rank
+      FROM spans JOIN solutions USING (metric) CROSS JOIN (SELECT unnest(range(1, 9)) AS knot))
+    SELECT metric, knot, {q.iso('date')} AS date, change, slope_after, rank FROM bends""",
+)
+def _(spark, folder):
+    series = slim_series(spark, folder)
+    recent = fc.trend_model(series, CFG).select("metric", "recent_avg")
+    level = F.col("recent_avg")
+    return cp.trend_breaks(series, CFG).join(recent, "metric").select(
+        "metric", "knot", "date", half_even(F.col("change") / level, 6).alias("change"),
+        half_even(F.col("slope_after") / level, 6).alias("slope_after"), "rank",
+    )
+
+
+@query("x8_robust_decomposition")
+def _(spark, folder):
+    parts = robust.robust_decompose(slim_series(spark, folder), CFG)
+    places = {"trend": 2, "seasonal": 2, "remainder": 2, "weight": 6}
+    return parts.select("metric", "date", "value", *[half_even(F.col(c), n).alias(c) for c, n in places.items()])
+
+
 # --- advice, confidence, brief --------------------------------------------------------
 
 
