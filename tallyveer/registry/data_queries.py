@@ -15,6 +15,7 @@ from tallyveer.functions import finite_or_null, half_even
 from tallyveer.operators import insight as ins
 from tallyveer.operators import repair as rp
 from tallyveer.operators import rollup as ru
+from tallyveer.operators import sketch as sk
 from tallyveer.registry import sql as q
 from tallyveer.registry.core import query
 from tallyveer.schema import HOLIDAYS
@@ -752,6 +753,53 @@ def _(spark, folder):
     return ranks.select("l_returnflag", "level", near.alias("near"))
 
 
+@query(
+    "x1_outliers",
+    """WITH q AS (SELECT event_type, quantile_cont(value, 0.25::DOUBLE) AS q1, quantile_cont(value, 0.75::DOUBLE) AS q3 FROM events GROUP BY 1),
+    f AS (SELECT event_type, q1 - (q3 - q1) * 0.25::DOUBLE AS low, q3 + (q3 - q1) * 0.25::DOUBLE AS high FROM q)
+    SELECT event_type, 'value' AS "column", count(*) FILTER (value < low) AS below, count(*) FILTER (value > high) AS above,
+      count(*) FILTER (value < low OR value > high) / count(value)::DOUBLE AS share, low AS low_fence, high AS high_fence
+    FROM events JOIN f USING (event_type) GROUP BY ALL""",
+)
+def _(spark, folder):
+    events, by = table(spark, folder, "events"), ["event_type"]
+    return sk.outliers(events, sk.exact_fences(events, ["value"], by, 0.25), ["value"], by)
+
+
+SKETCHED = ("l_orderkey", "l_extendedprice", "l_quantity", "l_returnflag")
+
+
+@query(
+    "x1_merged_sketches",
+    "SELECT t.\"column\", count(*) AS \"rows\", count(*) - count(v) AS nulls, min(n) AS smallest, max(n) AS largest, true AS distinct_near, "
+    "CASE WHEN count(n) > 0 THEN true END AS quartiles_near, CASE WHEN count(n) > 0 THEN true END AS outliers_near FROM lineitem, LATERAL (VALUES "
+    + ", ".join(
+        f"('{c}', CAST({c} AS VARCHAR), {'NULL' if c == 'l_returnflag' else c}::DOUBLE)" for c in SKETCHED
+    )
+    + ") AS t(\"column\", v, n) GROUP BY 1",
+)
+def _(spark, folder):
+    lines, path = table(spark, folder, "lineitem").select(*SKETCHED), work_folder(spark, "sketches")
+    # a run per flag, as if they had come on different days
+    for flag in ("A", "N", "R"):
+        sk.add_run(lines.where(F.col("l_returnflag") == flag), path, flag, SKETCHED)
+    found = sk.profile(sk.read_runs(spark, path), 0.25)
+    exact = ins.profile_columns(lines, exact_distinct=True).select("column", F.col("distinct_values").alias("true_values"))
+    sure = sk.exact_fences(lines, SKETCHED, reach=0.25)
+    counted = sk.outliers(lines, found, SKETCHED).select("column", F.col("share").alias("share"))
+    true = sk.outliers(lines, sure, SKETCHED).select("column", F.col("share").alias("true_share"))
+    levels = sure.select("column", *[F.col(c).alias(f"true_{c}") for c in ("q1", "median", "q3")])
+    both = found.join(exact, "column").join(levels, "column").join(counted, "column").join(true, "column")
+    spread = F.col("largest") - F.col("smallest")
+    near = [F.abs(F.col(c) - F.col(f"true_{c}")) <= 0.03 * spread for c in ("q1", "median", "q3")]
+    return both.select(
+        "column", "rows", "nulls", "smallest", "largest",
+        (F.abs(F.col("distinct_values") - F.col("true_values")) <= 0.08 * F.col("true_values")).alias("distinct_near"),
+        (near[0] & near[1] & near[2]).alias("quartiles_near"),
+        F.when(F.col("q1").isNotNull(), F.abs(F.col("share") - F.col("true_share")) <= 0.05).alias("outliers_near"),
+    )
+
+
 @query(
     "x2_duplicates",
     "SELECT count(*) AS duplicated_rows, coalesce(sum(copies - 1), 0)::BIGINT AS surplus_rows FROM "
