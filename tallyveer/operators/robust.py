@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tallyveer.config import AnalysisConfig
+from tallyveer.session import share_package
 
 WEEK = 7
 #: Values of a weekday that are smoothed together, and dates for the trend and the low-pass.
@@ -107,5 +108,6 @@ def robust_decompose(series: DataFrame, cfg: AnalysisConfig) -> DataFrame:
             trend, season, weight = decomposed(day, value)
         return points.assign(trend=trend, seasonal=season, remainder=value - trend - season, weight=weight)
 
+    share_package(series.sparkSession)
     points = series.select(*keys, "date", "value")
     return points.groupBy(*keys).applyInPandas(one_series, schema)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +43,30 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "tallyveer") ->
     return spark
 
 
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for a while; the caller's own come back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def share_package(spark: SparkSession) -> None:
+    """Name this checkout to Python workers, for functions that run there.
+
+    Executors that do not see it need the package from ``--py-files`` as usual.
+    """
+    here, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(":") if p]
+    if here not in paths:
+        known["PYTHONPATH"] = ":".join([*paths, here])
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for ``purpose`` under the folder that ``spark.checkpoint.dir`` names.
 

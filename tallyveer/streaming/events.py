@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyveer.session import settings
+
 EVENT_SCHEMA = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -67,18 +69,27 @@ def tumbling_totals(events: DataFrame, size: str = "1 day", delay: str = "1 day"
 def sliding_totals(
     events: DataFrame, size: str = "14 days", step: str = "1 day", delay: str = "1 day"
 ) -> DataFrame:
-    """Totals of overlapping windows, one ending every ``step``."""
+    """Totals of overlapping windows, one ending every ``step``, of which ``size`` must be a multiple.
+
+    Events are summed into panes of one ``step`` first, and the windows add up panes: what is copied into every window it belongs to is
+    a pane, not an event.
+    """
     timed = event_time(events, delay)
-    return _bounds(_totals(timed.groupBy(F.window("ts", size, step))))
+    panes = timed.groupBy(F.window("ts", step).alias("pane")).agg(
+        F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(18,4)")).alias("value")
+    )
+    windows = panes.groupBy(F.window(F.window_time("pane"), size, step)).agg(
+        F.sum("events").alias("events"), F.sum("value").cast("double").alias("value")
+    )
+    return _bounds(windows)
 
 
 def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -> DataFrame:
     """Sessions per user, closed after ``gap`` without an event.
 
-    Events of a user are merged into sessions before they are shuffled, so a user with a large part of the events reaches the state as
-    few rows.
+    :func:`run_to_table` merges events of a user into sessions before they are shuffled, so a user with a large part of the events reaches
+    the state as few rows.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     timed = event_time(events, delay)
     grouped = timed.groupBy(F.session_window("ts", gap).alias("window"), "user_id")
     return _bounds(_totals(grouped))
@@ -89,21 +100,30 @@ def without_redelivery(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return event_time(events, delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+#: Settings under which streams run: sessions are merged before the shuffle, and state lies in an embedded store beside the
+#: heap, which states with timers need.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Process everything available, store it and return the stored rows.
 
     Progress is checkpointed next to the output, so a restarted run continues
     where the last one stopped.
     """
-    run = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    with settings(stream.sparkSession, STREAM_SETTINGS):
+        run = (
+            stream.writeStream.format("parquet")
+            .outputMode(mode)
+            .option("path", f"{folder}/rows")
+            .option("checkpointLocation", f"{folder}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 

@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyveer.config import AnalysisConfig
 from tallyveer.operators.detect import scorecard
 from tallyveer.operators.rollup import average_order_value, exact_sum
 from tallyveer.operators.series import AMOUNT, to_long
-from tallyveer.session import stored
+from tallyveer.session import remove_folder, share_package, stored
 
 TOTALS = ("revenue", "orders")
 
@@ -40,9 +41,12 @@ def merge_batch(batch: DataFrame, batch_id: int, folder: str, cfg: AnalysisConfi
     last batch it holds; a replayed batch leaves the dates that hold it already as they are. Facts without a date are left out.
     """
     spark, schema = batch.sparkSession, daily_schema(batch, cfg)
-    sums = stored(batch_totals(batch.where("date IS NOT NULL"), cfg), "batch")
+    made: list[str] = []
+    sums = stored(batch_totals(batch.where("date IS NOT NULL"), cfg), "batch", made)
     dates = [r.date for r in sums.select("date").distinct().collect()]  # bounded by the calendar
     if not dates:
+        for path in made:
+            remove_folder(spark, path)
         return
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy("date").parquet(folder)
     old = spark.read.schema(schema).parquet(folder).where(F.col("date").isin(dates))
@@ -54,8 +58,10 @@ def merge_batch(batch: DataFrame, batch_id: int, folder: str, cfg: AnalysisConfi
     )
     merged = merged.withColumn("last_batch", F.lit(batch_id).cast("long"))
     # the table is both read and written: fix the result first
-    result = stored(merged.select(*schema.names), "merged")
+    result = stored(merged.select(*schema.names), "merged", made)
     result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(folder)
+    for path in made:
+        remove_folder(spark, path)
 
 
 def current_daily(spark: SparkSession, folder: str, cfg: AnalysisConfig) -> DataFrame:
@@ -95,13 +101,6 @@ def follow(facts: DataFrame, folder: str, cfg: AnalysisConfig, write_cards: bool
     )
 
 
-RING_STATE = T.StructType(
-    [
-        T.StructField("days", T.ArrayType(T.LongType())),
-        T.StructField("totals", T.ArrayType(T.DoubleType())),
-        T.StructField("severity", T.StringType()),
-    ]
-)
 ALERT_SCHEMA = T.StructType(
     [
         T.StructField("series", T.StringType()),
@@ -121,41 +120,82 @@ def ring_change(totals: list[float], lookback: int) -> float:
     return (recent - prior) / prior * 100.0 if prior else 0.0
 
 
-def severity_alerts(
-    daily: DataFrame, cfg: AnalysisConfig, series: str = "event_type", value: str = "value"
-) -> DataFrame:
-    """Alert when the severity of a series changes, from a stream of daily totals.
+class RingOfTotals(StatefulProcessor):
+    """The latest two windows of daily totals of a series, and the severity they had.
 
-    ``daily`` holds closed daily windows (``window_start``, series, value). Each
-    series keeps the latest two windows of daily totals as state, nothing more.
+    A timer in event time stands ``idle`` days after the last total. When the watermark reaches it, the series leaves the state
+    store; should it come back, it starts anew.
     """
-    lookback, critical, warning = cfg.lookback, cfg.change_critical, cfg.change_warning
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        days, totals, level = state.get if state.exists else ([], [], "NORMAL")
-        ring = dict(zip(days, totals))
+    def __init__(self, cfg: AnalysisConfig, idle: int) -> None:
+        self.lookback, self.critical, self.warning = cfg.lookback, cfg.change_critical, cfg.change_warning
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ring = handle.getMapState("ring", "day long", "total double")
+        self.level = handle.getValueState("level", "severity string")
+
+    def due(self, day: int) -> int:
+        return (day + self.idle) * 86_400_000
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ring = {k[0]: v[0] for k, v in self.ring.iterator()}
+        level = self.level.get()[0] if self.level.exists() else "NORMAL"
+        held, last = set(ring), max(ring, default=None)
         alerts = []
-        for rows in batches:
-            for day, total in sorted(zip(rows["day"], rows["total"])):
-                ring[int(day)] = ring.get(int(day), 0.0) + float(total)
-                kept = sorted(ring)[-2 * lookback :]
-                ring = {d: ring[d] for d in kept}
-                change = ring_change([ring[d] for d in kept], lookback)
-                now = (
-                    "CRITICAL" if change < critical else "WARNING" if change < warning else "NORMAL"
-                )
-                if now != level:
-                    date = (pd.Timestamp("1970-01-01") + pd.Timedelta(days=int(day))).date()
-                    alerts.append((key[0], date, level, now, round(change, 2)))
-                    level = now
-        state.update((list(ring), list(ring.values()), level))
+        new = sorted((int(d), float(t)) for part in rows for d, t in zip(part["day"], part["total"], strict=True))
+        for day, total in new:
+            ring[day] = ring.get(day, 0.0) + total
+            kept = sorted(ring)[-2 * self.lookback :]
+            ring = {d: ring[d] for d in kept}
+            change = ring_change([ring[d] for d in kept], self.lookback)
+            now = "CRITICAL" if change < self.critical else "WARNING" if change < self.warning else "NORMAL"
+            if now != level:
+                date = (pd.Timestamp("1970-01-01") + pd.Timedelta(days=day)).date()
+                alerts.append((key[0], date, level, now, round(change, 2)))
+                level = now
+        for day in held - set(ring):
+            self.ring.removeKey((day,))
+        for day, _ in new:
+            if day in ring:
+                self.ring.updateValue((day,), (ring[day],))
+        self.level.update((level,))
+        if last is not None:
+            self.handle.deleteTimer(self.due(last))
+        self.handle.registerTimer(self.due(max(ring)))
         yield pd.DataFrame(alerts, columns=ALERT_SCHEMA.names)
 
-    points = daily.select(
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ring.clear()
+        self.level.clear()
+        yield pd.DataFrame([], columns=ALERT_SCHEMA.names)
+
+    def close(self) -> None:
+        pass
+
+
+def severity_alerts(
+    daily: DataFrame,
+    cfg: AnalysisConfig,
+    series: str = "event_type",
+    value: str = "value",
+    late_days: int = 7,
+    idle_days: int = 90,
+) -> DataFrame:
+    """Alert when the severity of a series changes, from a stream of daily totals.
+
+    ``daily`` holds closed daily windows (``window_start``, series, value). Each series keeps the latest two windows of daily totals as
+    state, nothing more. Totals more than ``late_days`` behind the latest of all are dropped, and a series without totals for
+    ``idle_days`` is forgotten. Run it with :func:`tallyveer.streaming.events.run_to_table`, whose state store has timers.
+    """
+    share_package(daily.sparkSession)
+    points = daily.withWatermark("window_start", f"{late_days} days").select(
+        "window_start",
         F.col(series).alias("series"),
         F.unix_date(F.col("window_start").cast("date")).cast("bigint").alias("day"),
         F.col(value).cast("double").alias("total"),
     )
-    return points.groupBy("series").applyInPandasWithState(
-        step, ALERT_SCHEMA, RING_STATE, "append", "NoTimeout"
+    return points.groupBy("series").transformWithStateInPandas(
+        RingOfTotals(cfg, idle_days), ALERT_SCHEMA, outputMode="Append", timeMode="EventTime"
     )

@@ -140,3 +140,57 @@ def test_alerts_survive_batches(spark, tmp_path):
     out = ev.run_to_table(rf.severity_alerts(daily, cfg), str(tmp_path / "out"))
     steps = [(r["before"], r["after"]) for r in out.orderBy("date").collect()]
     assert steps == [("NORMAL", "WARNING"), ("WARNING", "CRITICAL")]
+
+
+def test_windows_add_up_panes_not_events(spark, data):
+    plan = ev.sliding_totals(table(spark, data, "events"))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Expand", 1)
+    assert "Aggregate" in above and "Aggregate" in below and "Expand" not in below
+
+
+def test_sliding_windows_from_a_stream(spark, tmp_path):
+    source, start = str(tmp_path / "in"), dt.datetime(2024, 1, 1)
+    for part in range(3):
+        rows = [event(i, start + dt.timedelta(hours=5 * i), value=float(i)) for i in range(part * 60, part * 60 + 60)]
+        write_events(spark, source, rows)
+    batch = {tuple(r) for r in ev.sliding_totals(spark.read.parquet(source), "4 days").collect()}
+    stream = ev.stream_files(spark, source, files_per_trigger=1)
+    closed = ev.run_to_table(ev.sliding_totals(stream, "4 days"), str(tmp_path / "out"))
+    assert {tuple(r) for r in closed.collect()} < batch and closed.count() > 25
+    whole = ev.with_open_windows(closed, spark.read.parquet(source), lambda e: ev.sliding_totals(e, "4 days"), longest="4 days")
+    assert whole.count() == len(batch) and {tuple(r) for r in whole.collect()} == batch
+
+
+def test_an_idle_series_leaves_the_state(spark, tmp_path):
+    schema = "window_start timestamp, event_type string, value double"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    cfg = AnalysisConfig(lookback=2, change_warning=-5.0, change_critical=-40.0)
+
+    def run(rows):
+        full = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=d), kind, v) for d, kind, v in rows]
+        spark.createDataFrame(full, schema).coalesce(1).write.mode("append").parquet(source)
+        daily = ev.stream_files(spark, source, spark.createDataFrame([], schema).schema)
+        table = ev.run_to_table(rf.severity_alerts(daily, cfg, late_days=1, idle_days=5), out)
+        state = spark.read.format("statestore").option("stateVarName", "level").load(f"{out}/progress")
+        return {(r.series, r.before, r.after) for r in table.collect()}, {r.key.series for r in state.collect()}
+
+    fall = [100.0, 100.0, 50.0, 50.0]
+    alerts, held = run([(d, kind, v) for kind in ("a", "b") for d, v in enumerate(fall)])
+    assert alerts == {("a", "NORMAL", "CRITICAL"), ("b", "NORMAL", "CRITICAL")}
+    assert held == {"a", "b"}
+    _, held = run([(d, "a", 50.0) for d in range(4, 8)])
+    assert held == {"a", "b"}
+    # b has been silent for its five days; a goes on, over restarts, from what it was
+    alerts, held = run([(d, "a", 50.0) for d in range(8, 16)])
+    recovered = {("a", "CRITICAL", "WARNING"), ("a", "WARNING", "NORMAL")}
+    assert held == {"a"} and alerts == {("a", "NORMAL", "CRITICAL"), ("b", "NORMAL", "CRITICAL")} | recovered
+    _, held = run([(16, "b", 10.0)])
+    assert held == {"a", "b"}
+
+
+def test_settings_come_back(spark, tmp_path):
+    name = next(iter(ev.STREAM_SETTINGS))
+    before = spark.conf.get(name, None)
+    write_events(spark, str(tmp_path / "in"), [event(1, dt.datetime(2024, 1, 1))])
+    ev.run_to_table(ev.user_sessions(ev.stream_files(spark, str(tmp_path / "in"))), str(tmp_path / "out"))
+    assert spark.conf.get(name, None) == before
