@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tallyveer.config import AnalysisConfig
 from tallyveer.functions import half_even
+from tallyveer.operators import combination as cm
 from tallyveer.operators import insight as ins
 from tallyveer.operators import scenario as sc
 from tallyveer.operators import series as se
@@ -246,6 +249,51 @@ def _(spark, folder):
     return found.withColumn("correlation", half_even(F.col("correlation"), 6))
 
 
+LATTICE_DIMS = ("region", "channel", "category", "campaign")
+LATTICE_SETS = [p for k in (1, 2, 3) for p in combinations(LATTICE_DIMS, k)]
+LATTICE_GROUPS = " UNION ALL ".join(
+    f"SELECT {len(p)} AS depth, '{','.join(p)}' AS dimensions, concat_ws(',', {', '.join(p)}) AS \"group\", "
+    f"sum(CASE WHEN is_current THEN revenue ELSE -revenue END) AS change FROM sliced GROUP BY ALL"
+    for p in LATTICE_SETS
+)
+#: Child and parent, each as its dimensions and the text of its group.
+LATTICE_STEPS = " UNION ALL ".join(
+    f"SELECT DISTINCT '{','.join(p)}' AS dimensions, concat_ws(',', {', '.join(p)}) AS \"group\", "
+    f"'{','.join(c)}' AS parent, concat_ws(',', {', '.join(c)}) AS parent_group FROM sliced"
+    for p in LATTICE_SETS
+    if len(p) > 1
+    for c in combinations(p, len(p) - 1)
+)
+
+
+@query(
+    "x9_combination_drivers",
+    f"""{FACTS}, {q.sliced()}, g AS ({LATTICE_GROUPS}), steps AS ({LATTICE_STEPS}),
+    whole AS (SELECT sum(CASE WHEN is_current THEN revenue ELSE -revenue END) AS total FROM sliced),
+    sized AS (SELECT g.*, total, change::DOUBLE / total::DOUBLE * 1e2 AS share FROM g CROSS JOIN whole),
+    r AS (SELECT c.*, s.parent, s.parent_group,
+        coalesce(CASE WHEN c.change::DOUBLE / p.change::DOUBLE > 1 THEN p.change::DOUBLE / c.change::DOUBLE
+                      WHEN p.change <> 0 THEN c.change::DOUBLE / p.change::DOUBLE END, 0) AS part
+      FROM sized c JOIN steps s USING (dimensions, "group")
+      JOIN g p ON p.dimensions = s.parent AND p."group" = s.parent_group),
+    parts AS (SELECT dimensions, "group", min(part) AS part FROM r GROUP BY ALL),
+    carried AS (SELECT DISTINCT parent, parent_group FROM r WHERE part >= 0.8 AND abs(share) >= 5),
+    listed AS (
+      SELECT depth, s.dimensions, s."group", change, share, total, coalesce(part, 1) AS part,
+        coalesce(part, 1) >= 0.8 AND c.parent IS NULL AS cause
+      FROM sized s LEFT JOIN parts p USING (dimensions, "group")
+      LEFT JOIN carried c ON c.parent = s.dimensions AND c.parent_group = s."group" WHERE abs(share) >= 5)
+    SELECT depth, dimensions, "group", {q.rnd('change', 2)} AS delta, {q.rnd('share', 6)} AS share, {q.rnd('part', 6)} AS part, cause FROM listed
+    UNION ALL SELECT depth, dimensions, '(others)', {q.rnd('max(total) - sum(change)', 2)},
+      {q.rnd('(max(total) - sum(change))::DOUBLE / max(total)::DOUBLE * 1e2', 6)}, NULL, false FROM listed GROUP BY depth, dimensions""",
+)
+def _(spark, folder):
+    fact = star_fact(spark, folder, ("date", "revenue", *LATTICE_DIMS))
+    found = cm.combination_drivers(fact, CFG, LATTICE_DIMS, 3)
+    places = {"delta": 2, "share": 6, "part": 6}
+    return found.withColumns({c: half_even(F.col(c), n) for c, n in places.items()})
+
+
 WELCH_PARTS = " UNION ALL ".join(
     f"SELECT '{d}' AS dimension, {d} AS group_value, date, is_current, "
     f"sum(revenue)::DOUBLE AS value FROM sliced GROUP BY {d}, date, is_current"
