@@ -15,6 +15,7 @@ from tallyveer.functions import finite_or_null, half_even
 from tallyveer.operators import insight as ins
 from tallyveer.operators import repair as rp
 from tallyveer.operators import rollup as ru
+from tallyveer.operators import similar as sm
 from tallyveer.operators import sketch as sk
 from tallyveer.registry import sql as q
 from tallyveer.registry.core import query
@@ -800,6 +801,49 @@ def _(spark, folder):
     )
 
 
+@query(
+    "x2_near_duplicate_rows",
+    """WITH RECURSIVE base AS (
+      SELECT c_custkey AS id, substr(md5('n' || c_custkey), 1, 14) AS name, substr(md5('s' || c_custkey), 1, 12) AS street, c_acctbal AS balance
+      FROM customer),
+    people AS (
+      SELECT * FROM base
+      UNION ALL SELECT id + 10000000, CASE WHEN id % 3 = 0 THEN name[1:5] || 'x' || name[7:] ELSE name END,
+        CASE WHEN id % 3 = 1 THEN street || 'y' ELSE street END, CASE WHEN id % 3 = 2 THEN balance * 1.01::DOUBLE ELSE balance END
+      FROM base WHERE id % 5 = 0
+      UNION ALL SELECT id + 20000000, name, street, balance FROM base WHERE id % 7 = 0),
+    near AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, (
+        1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::DOUBLE
+        + 1 - levenshtein(a.street, b.street) / greatest(length(a.street), length(b.street))::DOUBLE
+        + CASE WHEN greatest(abs(a.balance), abs(b.balance)) = 0 THEN 1
+               ELSE greatest(0, 1 - abs(a.balance - b.balance) / greatest(abs(a.balance), abs(b.balance))) END) / 3 AS likeness
+      FROM people a JOIN people b ON a.id <> b.id AND length(a.name) + length(b.name) > 0
+        AND abs(a.balance - b.balance) <= 0.45::DOUBLE * greatest(abs(a.balance), abs(b.balance)))
+      WHERE likeness >= 0.85),
+    reach(id, other) AS (SELECT a, b FROM near UNION SELECT r.id, n.b FROM reach r JOIN near n ON r.other = n.a)
+    SELECT p.id, least(p.id, coalesce((SELECT min(other) FROM reach r WHERE r.id = p.id), p.id)) AS class,
+      1 + (SELECT count(*) FROM near n WHERE n.a = p.id AND likeness = 1) AS copies FROM people p""",
+)
+def _(spark, folder):
+    key = F.col("c_custkey")
+    base = table(spark, folder, "customer").select(
+        key.alias("id"),
+        F.substring(F.md5(F.concat(F.lit("n"), key.cast("string"))), 1, 14).alias("name"),
+        F.substring(F.md5(F.concat(F.lit("s"), key.cast("string"))), 1, 12).alias("street"),
+        F.col("c_acctbal").alias("balance"),
+    )
+    name = F.concat(F.substring("name", 1, 5), F.lit("x"), F.substring("name", 7, 20))
+    edited = base.where("id % 5 = 0").select(
+        (F.col("id") + 10_000_000).alias("id"),
+        F.when(F.col("id") % 3 == 0, name).otherwise(F.col("name")).alias("name"),
+        F.when(F.col("id") % 3 == 1, F.concat("street", F.lit("y"))).otherwise(F.col("street")).alias("street"),
+        F.when(F.col("id") % 3 == 2, F.col("balance") * 1.01).otherwise(F.col("balance")).alias("balance"),
+    )
+    again = base.where("id % 7 = 0").withColumn("id", F.col("id") + 20_000_000)
+    people = stored(base.union(edited).union(again), "people")
+    return sm.near_duplicate_rows(people, "id", ["name", "street"], ["balance"]).drop("links")
+
+
 @query(
     "x2_duplicates",
     "SELECT count(*) AS duplicated_rows, coalesce(sum(copies - 1), 0)::BIGINT AS surplus_rows FROM "
