@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -75,6 +76,41 @@ def sample_order(key: Column) -> Column:
     return F.xxhash64(key)
 
 
+class Taken:
+    """Stretches of a text that are taken: asking for an overlap costs a search, whatever their number."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlaps(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)  # the last stretch that begins before b ends latest of them
+        return i > 0 and self.ends[i - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        """Take a stretch that overlaps none."""
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+    def free(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """What is left of a stretch."""
+        i = bisect_right(self.ends, a)
+        while a < b:
+            if i == len(self.starts) or self.starts[i] >= b:
+                yield a, b
+                return
+            if a < self.starts[i]:
+                yield a, self.starts[i]
+            a, i = max(a, self.ends[i]), i + 1
+
+
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after the groups of each pair of rows (a, b) are one; a group is named by its smallest row."""
     while len(a):

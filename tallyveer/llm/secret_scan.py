@@ -6,8 +6,8 @@ usual alphabets, ordinary are the other words of that sample, names composed of
 and lines drawn with one sign. A candidate (an unbroken run of token characters) is a secret if
 its log-likelihood ratio exceeds the log of the odds against a random string.
 
-Defined results: a null text counts as empty and has no spans; a span of the method that touches a span of a shape is not
-added; equal starts are ordered by kind; repeated rows are scanned alike; a corpus without labelled words still trains on
+Defined results: a null text counts as empty and has no spans; what the shapes take of a candidate is cut out of it, and every
+rest of ``LEAST_LENGTH`` characters or more is scored by itself; equal starts are ordered by kind; repeated rows are scanned alike; a corpus without labelled words still trains on
 the drawn strings, with an even model of ordinary names. Spans are code points, end exclusive.
 """
 
@@ -24,14 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveer.llm.common import field, per_text, sample_order, scored
+from tallyveer.llm.common import Taken, field, per_text, sample_order, scored
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run that fails holds no longer match further on
 HEX = re.compile(r"[0-9a-f]{24,}")
 IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters that a span of the method has at least.
+LEAST_LENGTH = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
 
 #: Symbols of the models: token characters, then the border of a string.
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
@@ -151,12 +153,12 @@ def find(text: str, model: MarkovPair, threshold: float = math.log(ODDS_AGAINST)
     """All spans of a text as (start, kind, end), by start and kind."""
     if max(map(len, text.split()), default=0) < 16 and "=" not in text and ":" not in text:
         return []  # every shape but an assignment is a run of 16 characters or more
-    base = base_spans(text)
-    spans = list(base)
+    spans = base_spans(text)
+    known = Taken((a, b) for a, _, b in spans)
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not any(a < e and s < b for s, _, e in base) and model.ratio(m.group()) > threshold:
-            spans.append((a, 3, b))
+        for a, b in known.free(*m.span()):
+            if b - a >= LEAST_LENGTH and model.ratio(text[a:b]) > threshold:
+                spans.append((a, 3, b))
     return sorted(spans)
 
 
