@@ -5,6 +5,9 @@ token from everything before it, and within a class a token has its smoothed sha
 ``(c + 1) / (N_class + V_class + 1)``, one slot being left for what was never seen. Frequent words get their classes from the company they keep
 in all training documents, all others by their last two bytes, so every token has a class and a probability.
 
+Texts are split twice: once to count words, once to be encoded. The encoding (numbers of frequent words, suffix groups of all others, and
+the others themselves for their counts) is a stored table, from which the network learns and scores.
+
 The network (numpy, truncated backpropagation) is warmed up on a bounded sample and then trained by every training document
 once: each task starts from the same weights, carries the state of its streams from window to window, and the weights of all
 tasks are averaged by tokens. Scoring runs each document from its first to its last token with its state carried
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyveer.llm.common import field, held_out, sample_order, stored
+from tallyveer.llm.common import field, held_out, stored
 
 FOLDS, HELD = 7, 2
 #: A word is frequent from one in this many training tokens on.
@@ -46,8 +49,8 @@ STATE = 16
 STREAMS, WINDOW = 512, 16
 #: Tokens whose softmax is taken together in scoring.
 SOFTMAX_TOKENS = 1 << 14
-#: Documents and code points of the warm-up sample.
-SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 2000, 20_000
+#: Documents of the warm-up sample, and tokens of the window that each of them gives.
+SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 2000, 4096
 WARM_PASSES = 6
 WARM_RATE, RATE = 0.01, 0.002
 #: Distinct words that a counting task holds, and tokens that a scoring task takes together.
@@ -55,6 +58,8 @@ HELD_WORDS, POOL_TOKENS = 400_000, 1 << 21
 #: Frequent words that describe their neighbours, units that are described (chosen words and suffix groups), neighbour counts that place one.
 CONTEXTS, UNITS, LEAST_SEEN = 128, CHOSEN_WORDS + SUFFIX_GROUPS, 5
 END = b""  # no word is empty
+#: Number of an end token that no training document has.
+UNKNOWN_END = -1 - SUFFIX_GROUPS
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -280,7 +285,6 @@ class Vocabulary:
         return INPUT_WORDS + CLASSES
 
     def __post_init__(self):
-        self.suffix = Endings(self.group_class)
         self.log_count = np.log10(self.counts + 1.0)
         self.classes = np.array([self._class(w, i) for w, i in self.index.items()], dtype=np.int16)
 
@@ -290,80 +294,98 @@ class Vocabulary:
         c = self.chosen_class[i] if i < len(self.chosen_class) else -1
         return int(c if c >= 0 else self.group_class[suffix_group(word)])
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Indices of frequent words (-1 for others), network inputs and classes; the end token is last."""
-        found = np.array(list(map(self.index.get, (*words, END), repeat(-1))), dtype=np.int64)
-        rare = np.flatnonzero(found < 0)
-        classes = self.classes[found] if len(self.classes) else np.zeros(len(found), dtype=np.int16)
-        if len(rare) and rare[-1] == len(words):
-            classes[-1], rare = CLASSES - 1, rare[:-1]
-        if len(rare):
-            endings = [words[i][-2:] for i in rare.tolist()]
-            classes[rare] = list(map(self.suffix.__getitem__, endings))
-        inputs = np.empty(len(found), dtype=np.int16)
+    def network_input(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Network inputs and classes of an encoded document, see :func:`encoded`."""
+        classes = self.group_class[np.clip(-1 - numbers, 0, SUFFIX_GROUPS - 1)]
+        known = numbers >= 0
+        classes[known] = self.classes[numbers[known]]
+        classes[numbers == UNKNOWN_END] = CLASSES - 1
+        classes = classes.astype(np.int16)
+        inputs = np.empty(len(numbers), dtype=np.int16)
+        own = numbers[:-1]
         inputs[0] = self.start
-        inputs[1:] = np.where(found < 0, INPUT_WORDS + classes, np.where(found < INPUT_WORDS, found, INPUT_WORDS + classes))[:-1]
-        return found, inputs, classes
+        inputs[1:] = np.where((own >= 0) & (own < INPUT_WORDS), own, INPUT_WORDS + classes[:-1])
+        return inputs, classes
 
 
 class Endings(dict):
-    """Class of the words that end in these two bytes."""
-
-    def __init__(self, group_class: np.ndarray):
-        self.group_class = group_class
+    """Number of the words that end in these two bytes and are not frequent: ``-1 - suffix group``."""
 
     def __missing__(self, ending: bytes) -> int:
-        self[ending] = found = int(self.group_class[suffix_group(ending)])
+        self[ending] = found = -1 - suffix_group(ending)
         return found
 
 
-class Units(dict):
-    """Number of each word's unit: its own if it is chosen, else that of its suffix group; at most ``HELD_WORDS`` are kept."""
-
-    def __init__(self, chosen: dict[bytes, int]):
-        super().__init__(chosen)
-        self.chosen = chosen
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-            self.update(self.chosen)
-        self[word] = found = CHOSEN_WORDS + suffix_group(word)
-        return found
+#: Columns of the table of encoded documents, and of the neighbour counts that lie in it, a row of them per task.
+ENCODED = "row long, id string, learnt boolean, numbers array<int>, words binary, cells array<int>, cell_counts array<long>"
 
 
-def neighbours(docs: DataFrame, text: str, index: dict[bytes, int]) -> np.ndarray:
-    """How often each frequent word stands before and after each unit, in all documents.
+def encoded(docs: DataFrame, key: str, text: str, index: dict[bytes, int]) -> DataFrame:
+    """Encoded documents, and how often each frequent word stands before and after each unit in those that are learnt from.
 
-    A task holds one table of ``UNITS`` rows and hands on its cells that are not zero.
+    ``numbers`` has a number per token, the end token last (``UNKNOWN_END`` where it was never counted); ``words`` are the words that are not
+    frequent, parted by blanks. A task holds one table of ``UNITS`` rows for the neighbours and hands on its cells that are not zero, in a row
+    without document.
     """
-    chosen = {w: i for w, i in index.items() if i < CHOSEN_WORDS and w != END}
+    end = index.get(END, UNKNOWN_END)
+    unit_of = np.arange(len(index) + SUFFIX_GROUPS)  # of a number; numbers below zero count from the end
+    unit_of[CHOSEN_WORDS : len(index)] = [CHOSEN_WORDS + suffix_group(w) for w, i in index.items() if i >= CHOSEN_WORDS]
+    unit_of[len(index) :] = CHOSEN_WORDS + np.arange(SUFFIX_GROUPS)[::-1]
     width = 2 * CONTEXTS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, table, pool = Units(chosen), np.zeros((UNITS + 1) * width, dtype=np.int64), []
+        endings, table, pool, waiting = Endings(), np.zeros(UNITS * width, dtype=np.int64), [], 0
         for rows in batches:
-            for t in rows["t"]:
-                pool += map(units.__getitem__, words_of(t))
-                pool.append(UNITS)  # no word is next to those of another document
-                if len(pool) >= POOL_TOKENS // 4:
-                    add(table, pool)
-                    pool = []
-        add(table, pool)
-        cells = np.flatnonzero(table[: UNITS * width])
-        yield pd.DataFrame({"cell": cells.astype(np.int32), "n": table[cells]})
-
-    def add(table: np.ndarray, pool: list[int]) -> None:
-        ids = np.array(pool, dtype=np.int32)
-        for a, b, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], CONTEXTS)):
-            near = np.flatnonzero(b < CONTEXTS)
-            table += np.bincount(a[near] * width + b[near] + shift, minlength=len(table))
-
-    counted = docs.select(field(text).alias("t")).mapInPandas(run, "cell int, n long")
-    found = counted.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most UNITS * width rows
-    table = np.zeros(UNITS * width)
-    table[found["cell"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
-    return table.reshape(UNITS, width)
+            numbers, words = [], []
+            for t, learnt in zip(rows["t"], rows["learnt"], strict=True):
+                own = words_of(t)
+                found = np.fromiter(map(index.get, own, repeat(-1)), dtype=np.int32, count=len(own))
+                at = np.flatnonzero(found < 0)
+                rare = [own[i] for i in at.tolist()]
+                found[at] = [endings[w[-2:]] for w in rare]
+                numbers.append(np.append(found, np.int32(end)))
+                words.append(b" ".join(rare))
+                if learnt:
+                    pool.append(numbers[-1])
+                    waiting += len(found)
+            if waiting >= POOL_TOKENS // 4:
+                add(table, pool)
+                pool, waiting = [], 0
+            out = rows[["row", "id", "learnt"]].assign(numbers=numbers, words=words)
+            yield out.assign(cells=None, cell_counts=None)
+        if pool:
+            add(table, pool)
+        cells = np.flatnonzero(table)
+        if len(cells):
+            yield pd.DataFrame(
+                {"row": [-1], "id": [None], "learnt": [False], "numbers": [None], "words": [None],
+                 "cells": [cells.astype(np.int32)], "cell_counts": [table[cells]]}
+            )
+
+    def add(table: np.ndarray, pool: list[np.ndarray]) -> None:
+        numbers = np.concatenate(pool)
+        inner = numbers != end  # no word is next to those of another document
+        units = unit_of[np.where(inner, numbers, 0)]
+        for a, b, shift in ((slice(1, None), slice(None, -1), 0), (slice(None, -1), slice(1, None), CONTEXTS)):
+            near = np.flatnonzero(inner[a] & inner[b] & (numbers[b] >= 0) & (numbers[b] < CONTEXTS))
+            table += np.bincount(units[a][near] * width + numbers[b][near] + shift, minlength=len(table))
+
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        field(key).cast("string").alias("id"),
+        (~held_out(field(key), FOLDS, HELD)).alias("learnt"),
+        field(text).alias("t"),
+    )
+    return stored(rows.mapInPandas(run, ENCODED), "encoded-documents")
+
+
+def neighbours(table: DataFrame) -> np.ndarray:
+    """The neighbour counts of all tasks, units by contexts."""
+    pairs = table.where("row < 0").select(F.explode(F.arrays_zip("cells", "cell_counts")).alias("p"))
+    found = pairs.groupBy("p.cells").agg(F.sum("p.cell_counts").alias("n")).toPandas()  # at most UNITS * 2 * CONTEXTS rows
+    counts = np.zeros(UNITS * 2 * CONTEXTS)
+    counts[found["cells"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
+    return counts.reshape(UNITS, 2 * CONTEXTS)
 
 
 def classes_of(table: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -390,9 +412,13 @@ def classes_of(table: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """What scoring needs: the vocabulary and network travel with the tasks, the counts stay a table."""
+    """What scoring needs: the vocabulary and network travel with the tasks, the counts stay a table.
+
+    ``documents`` are the encoded documents that it was trained from, held-out ones included.
+    """
 
     counts: DataFrame
+    documents: DataFrame
     tokens: int
     kinds: int
     vocabulary: Vocabulary
@@ -409,23 +435,34 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     head = sorted(((-r.n, bytes(r.word)) for r in frequent))
     index = {w: i for i, (_, w) in enumerate(head)}
 
-    ids = learnt.select(field(key).alias("id")).distinct().orderBy(sample_order(F.col("id")), "id").limit(SAMPLE_DOCUMENTS)
-    chosen = learnt.select(field(key).alias("id"), field(text).alias("t")).join(F.broadcast(ids), "id")
-    texts = chosen.where(F.length("t") <= SAMPLE_CHARACTERS).select("t").limit(SAMPLE_DOCUMENTS).collect()
-    sample = sorted(r.t for r in texts)
-    sample = [words_of(t) for t in sample]
-    chosen_class, group_class = classes_of(neighbours(learnt, text, index))
+    table = encoded(docs, key, text, index)
+    documents = table.where("row >= 0").drop("cells", "cell_counts")
+    chosen_class, group_class = classes_of(neighbours(table))
     vocabulary = Vocabulary(index, np.array([-n for n, _ in head], dtype=np.float64), chosen_class, group_class)
     vocabulary.log_total = class_totals(counts, vocabulary)
 
     network = Network(INPUT_WORDS + CLASSES + 1)
     shares = 10.0 ** vocabulary.log_total
     network.bias[:] = np.log(shares / shares.sum())
-    encoded, moments = [vocabulary.encode(words)[1:] for words in sample], {}
-    for i in range(WARM_PASSES if encoded else 0):
-        network.fit(encoded, WARM_RATE * (1 - i / (WARM_PASSES + 1)), moments)
-    network = averaged(learnt, text, vocabulary, network)
-    return Model(counts, int(tokens), int(kinds), vocabulary, network)
+    warm, moments = [vocabulary.network_input(numbers) for numbers in sample(documents)], {}
+    for i in range(WARM_PASSES if warm else 0):
+        network.fit(warm, WARM_RATE * (1 - i / (WARM_PASSES + 1)), moments)
+    network = averaged(documents, vocabulary, network)
+    return Model(counts, documents, int(tokens), int(kinds), vocabulary, network)
+
+
+def sample(documents: DataFrame) -> list[np.ndarray]:
+    """Numbers of ``SAMPLE_DOCUMENTS`` learnt documents, in a fixed order; of a longer one a window at a place fixed by its id."""
+    room = F.greatest(F.size("numbers") - SAMPLE_TOKENS, F.lit(0)) + 1
+    window = F.slice("numbers", (F.pmod(F.xxhash64("id"), room) + 1).cast("int"), F.lit(SAMPLE_TOKENS))
+    rows = documents.where("learnt").select(F.xxhash64(F.lit("warm-up"), "id").alias("o"), window.alias("numbers"))
+    # the places first: tasks hand on as many numbers as there are documents to choose, not as many windows
+    last = rows.select("o").orderBy("o").limit(SAMPLE_DOCUMENTS).agg(F.max("o")).first()[0]
+    if last is None:
+        return []
+    # ids that occur often could be more
+    chosen = rows.where(F.col("o") <= last).limit(SAMPLE_DOCUMENTS).collect()
+    return [np.array(r.numbers, dtype=np.int64) for r in sorted(chosen, key=lambda r: (r.o, r.numbers))]
 
 
 def class_totals(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -442,16 +479,16 @@ def class_totals(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return np.log10(totals)
 
 
-def averaged(docs: DataFrame, text: str, vocabulary: Vocabulary, network: Network) -> Network:
-    """Every document once, in each task from the same weights; the mean of the tasks' weights by tokens."""
+def averaged(documents: DataFrame, vocabulary: Vocabulary, network: Network) -> Network:
+    """Every learnt document once, in each task from the same weights; the mean of the tasks' weights by tokens."""
     before = network.weights()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, moments, pool, waiting, done = Network(network.n_inputs).load(before), {}, [], 0, 0
         for rows in batches:
-            for t in rows["t"]:
-                pool.append(vocabulary.encode(words_of(t))[1:])
-                waiting += len(pool[-1][0])
+            for numbers in rows["numbers"]:
+                pool.append(vocabulary.network_input(numbers))
+                waiting += len(numbers)
             if waiting >= POOL_TOKENS:
                 own.fit(pool, RATE, moments)
                 pool, waiting, done = [], 0, done + waiting
@@ -461,7 +498,7 @@ def averaged(docs: DataFrame, text: str, vocabulary: Vocabulary, network: Networ
         if done:
             yield pd.DataFrame({"tokens": [done], "weights": [own.weights().astype(np.float64) * done]})
 
-    learnt = docs.select(field(text).alias("t")).mapInPandas(run, "tokens long, weights array<double>")
+    learnt = documents.where("learnt").select("numbers").mapInPandas(run, "tokens long, weights array<double>")
     single = learnt.select("tokens", F.posexplode("weights").alias("at", "w"))
     # one row per weight, whatever the number of tasks
     sums = single.groupBy("at").agg(F.sum("w").alias("w"), F.sum("tokens").alias("n")).collect()
@@ -475,20 +512,28 @@ def averaged(docs: DataFrame, text: str, vocabulary: Vocabulary, network: Networ
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of tokens, the base score and the model's log10 probability of each whole document."""
+    table = encoded(docs, key, text, model.vocabulary.index)
+    return scored_documents(table.where("row >= 0"), model, key, docs.schema[key].dataType.simpleString())
+
+
+def score_own(model: Model, key: str, kind: str) -> DataFrame:
+    """As :func:`score` for the documents that the model was trained from, which are encoded already."""
+    return scored_documents(model.documents, model, key, kind)
+
+
+def scored_documents(documents: DataFrame, model: Model, key: str, kind: str) -> DataFrame:
     vocabulary, network = model.vocabulary, model.network
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pool, waiting = [], 0
         for rows in batches:
-            for row, key_text, t in zip(rows["row"], rows["id"], rows["t"], strict=True):
-                words = words_of(t)
-                found, inputs, classes = vocabulary.encode(words)
-                known = found[found >= 0]
-                rare = Counter(words[i] for i in np.flatnonzero(found[:-1] < 0).tolist())
+            for row, key_text, numbers in zip(rows["row"], rows["id"], rows["numbers"], strict=True):
+                inputs, classes = vocabulary.network_input(numbers)
+                known = numbers[numbers >= 0]
                 fixed = vocabulary.log_count[known].sum() if len(known) else 0.0
                 share = -vocabulary.log_total[classes].sum()
-                pool.append((row, key_text, len(found), len(known), fixed, share, rare, inputs, classes))
-                waiting += len(found)
+                pool.append((row, key_text, len(numbers), len(known), fixed, share, inputs, classes))
+                waiting += len(numbers)
             if waiting >= POOL_TOKENS:
                 yield finished(pool)
                 pool, waiting = [], 0
@@ -499,27 +544,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         logs = network.log_likelihoods([p[-2:] for p in pool]) / math.log(10)
         out = pd.DataFrame([p[:6] for p in pool], columns=["row", "id", "n_tokens", "known", "fixed", "share"])
         out["share"] += logs
-        out["words"] = [list(p[6]) for p in pool]
-        out["times"] = [list(p[6].values()) for p in pool]
         return out
 
-    kind = docs.schema[key].dataType
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), field(key).cast("string").alias("id"), field(text).alias("t")
-    )
-    schema = (
-        "row long, id string, n_tokens long, known long, fixed double, share double, words array<binary>, times array<long>"
-    )
-    rows = stored(rows.mapInPandas(run, schema), "document-scores")
-    pairs = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("p"))
-    pairs = pairs.select("row", F.col("p.words").alias("word"), F.col("p.times").alias("times"))
+    schema = "row long, id string, n_tokens long, known long, fixed double, share double"
+    rows = documents.select("row", "id", "numbers").mapInPandas(run, schema)
+    words = F.explode(F.split(F.col("words").cast("string"), " ")).alias("word")
+    pairs = documents.where(F.length("words") > 0).select("row", words).withColumn("word", F.col("word").cast("binary"))
     joined = pairs.join(model.counts, "word")  # a word without count adds log10(1) to both scores
     rare = joined.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare"), F.sum("times").alias("rare_known")
+        F.sum(F.log10(F.col("n") + 1.0)).alias("rare"), F.count(F.lit(1)).alias("rare_known")
     )
     total = F.col("fixed") + F.coalesce("rare", F.lit(0.0))
     spread = math.log10(model.tokens + model.kinds + 1)
-    out = rows.drop("words", "times").join(rare, "row", "left").withColumn("key", F.col("id").cast(kind))
+    out = rows.join(rare, "row", "left").withColumn("key", F.col("id").cast(kind))
     return out.select(
         F.col("key").alias(key),
         held_out(F.col("key"), FOLDS, HELD).alias("held_out"),

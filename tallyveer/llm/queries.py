@@ -56,7 +56,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_lm_scoring")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language.score(docs, language.train(docs))
+    return language.score_own(language.train(docs), "doc_id", docs.schema["doc_id"].dataType.simpleString())
 
 
 @query("op4_simhash")

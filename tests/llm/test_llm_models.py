@@ -57,13 +57,15 @@ def test_no_documents_and_no_training_documents(nothing, make_docs):
 
 
 def test_neighbours_of_all_training_documents_are_counted(make_docs, monkeypatch):
-    """Also of documents that the warm-up sample leaves out, and of long ones."""
-    monkeypatch.setattr(language, "SAMPLE_DOCUMENTS", 2)
-    monkeypatch.setattr(language, "SAMPLE_CHARACTERS", 40)
+    """Also of documents that the warm-up sample leaves out, and of long ones; not of held-out ones."""
     rng = random.Random(3)
     vocabulary = [f"w{i:02d}" for i in range(60)]
     texts = [" ".join(rng.choices(vocabulary, k=n)) for n in (5, 9, 3000, 1, 0, 400, 70, 12)] + [None, "w01 w02 rarely w01"]
-    docs = make_docs(list(enumerate(texts))).repartition(3)
+    held = [i for i in range(100, 300) if zlib.crc32(str(i).encode()) % 7 == 2]
+    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [*zip(learnt, texts, strict=False), (held[0], "w01 w02 w03"), (None, "w05 w06")]
+    texts.append("w05 w06")
+    docs = make_docs(rows).repartition(3)
     index = {w.encode(): i for i, w in enumerate(vocabulary)} | {language.END: 60}
     want = np.zeros((language.UNITS, 2 * language.CONTEXTS))
     unit = lambda w: index.get(w, language.CHOSEN_WORDS + language.suffix_group(w))
@@ -74,12 +76,45 @@ def test_neighbours_of_all_training_documents_are_counted(make_docs, monkeypatch
             if b in index:
                 want[unit(a), language.CONTEXTS + index[b]] += 1
     monkeypatch.setattr(language, "POOL_TOKENS", 400)
-    assert (language.neighbours(docs, "text", index) == want).all()
+    table = language.encoded(docs, "doc_id", "text", index)
+    assert (language.neighbours(table) == want).all()
+    assert table.where("row >= 0").count() == len(rows)
+
+
+def test_documents_are_encoded_whole(make_docs):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["the", "of", "Äpfel", f"x{rng.randint(0, 40)}"]) for _ in range(n)) for n in (0, 1, 5, 2000)]
+    index = {b"the": 0, language.END: 1, b"of": 2}
+    table = language.encoded(make_docs([*enumerate(texts), (None, None)]), "doc_id", "text", index).where("row >= 0")
+    got = {r.id: r for r in table.collect()}
+    for i, t in [*enumerate(texts), (None, "")]:
+        words = language.words_of(t)
+        row = got[None if i is None else str(i)]
+        assert row.numbers == [index.get(w, -1 - language.suffix_group(w)) for w in words] + [1]
+        assert bytes(row.words) == b" ".join(w for w in words if w not in index)
+
+
+def test_the_warm_up_takes_windows_of_long_documents(make_docs, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TOKENS", 50)
+    monkeypatch.setattr(language, "SAMPLE_DOCUMENTS", 30)
+    index = {b"a": 0, language.END: 1}
+    docs = make_docs([(i, "a " * (20 if i % 2 else 3000)) for i in range(80)])
+    table = language.encoded(docs, "doc_id", "text", index).where("row >= 0")
+    found = language.sample(table)
+    assert len(found) == 30 and {len(x) for x in found} == {21, 50} and all(x[:-1].sum() == 0 for x in found)
+    assert [list(x) for x in language.sample(table.repartition(3))] == [list(x) for x in found]
+
+
+def test_own_documents_score_as_any(sample):
+    model = language.train(sample)
+    own = {(r.doc_id, round(r.score, 4), round(r.base_score, 6), r.n_known) for r in language.score_own(model, "doc_id", "bigint").collect()}
+    assert own == {(r.doc_id, round(r.score, 4), round(r.base_score, 6), r.n_known) for r in language.score(sample, model).collect()}
 
 
 def test_classes_do_not_rest_on_the_sample(make_docs, monkeypatch):
-    """Words of long documents alone get classes by their company."""
-    monkeypatch.setattr(language, "SAMPLE_CHARACTERS", 100)
+    """Words of documents that the sample leaves out get classes by their company."""
+    monkeypatch.setattr(language, "SAMPLE_DOCUMENTS", 1)
+    monkeypatch.setattr(language, "SAMPLE_TOKENS", 2)
     rng = random.Random(5)
     long = [" ".join(f"the {rng.choice(['cat', 'dog'])} of {rng.choice(['red', 'tin'])}" for _ in range(200)) for _ in range(6)]
     model = language.train(make_docs([(i, t) for i, t in enumerate([*long, "ab"])]))
@@ -136,7 +171,8 @@ def test_probabilities_of_known_words_sum_to_less_than_one(sample):
     counts = {bytes(r.word): r.n for r in model.counts.collect()}
     mass = np.zeros(language.CLASSES)
     for w, n in counts.items():
-        c = voc.encode([w])[2][0] if w else language.CLASSES - 1
+        number = voc.index.get(w, -1 - language.suffix_group(w))
+        c = voc.network_input(np.array([number, voc.index[language.END]]))[1][0]
         mass[c] += (n + 1) / 10 ** voc.log_total[c]
     assert (mass <= 1 + 1e-9).all() and (mass[mass > 0] < 1).all()
 
