@@ -83,15 +83,13 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?\s*(?:[AaPp][Mm])?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?"
 NAME = r"([A-Za-z]{3})[a-z]*\.?"
 
-#: All shapes of dates in one pattern, and the groups of each: year first; eight digits; two numbers before a year of four or two
-#: digits, with what parts them; day and month's name; month's name and day.
-DATE = (
-    rf"^(?:(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){TIME}|((?:19|20)\d{{2}})(\d{{2}})(\d{{2}})"
-    rf"|(\d{{1,2}})([-/.])(\d{{1,2}})([-/.])(\d{{4}}|\d{{2}}){TIME}"
-    rf"|(\d{{1,2}})[-/ ]{NAME}[-/ ,]+(\d{{4}}){TIME}|{NAME}[-/ ](\d{{1,2}})[-/ ,]+(\d{{4}}){TIME})$"
-)
-GROUPS = 17
-#: Parts the groups of a matched date; texts that hold it are no dates.
+SEPARATORS = ("-", "/", ".")
+#: Shapes of dates. A look at the first characters tells which one a text can have, so one pattern is tried.
+YEAR_FIRST = rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){TIME}$"
+EIGHT_DIGITS = r"^((?:19|20)\d{2})(\d{2})(\d{2})$"
+NAME_FIRST = rf"^{NAME}[-/ ](\d{{1,2}})[-/ ,]+(\d{{4}}){TIME}$"
+NUMBER_FIRST = rf"^(\d{{1,2}})(?:([-/.])(\d{{1,2}})([-/.])(\d{{4}}|\d{{2}})|[-/ ]{NAME}[-/ ,]+(\d{{4}})){TIME}$"
+#: Parts the fields of a date; texts that hold it are no dates.
 BREAK = "\x01"
 
 #: How a column writes numbers parted by slashes or dashes, month before day (``m/d``) or day before month (``d/m``).
@@ -101,31 +99,50 @@ DEFAULT_ORDER = MONTH_FIRST
 
 
 def date_fields(value: Column) -> Column:
-    """The groups of :data:`DATE` in a text, ``1`` to ``GROUPS``, empty where they have no part; fewer for anything else.
+    """What stands where in a text that may be a date: its kind, then the groups of the kind's pattern.
 
-    One pattern is applied once to each value, whatever its shape.
+    Kinds are ``y`` (year, month, day), ``n`` (name, day, year) and ``d`` (first number, separators, second number, year; or name and year).
+    Other texts are returned as they are, as the only field.
     """
-    groups = "".join(f"{BREAK}${i}" for i in range(1, GROUPS + 1))
-    return F.split(F.regexp_replace(F.trim(value.cast("string")), DATE, groups), BREAK, GROUPS + 1)
+    text = F.trim(value.cast("string"))
+    second, third, fifth = (F.substring(text, i, 1) for i in (2, 3, 5))
+    parting = (*SEPARATORS, " ")
+
+    def read(pattern: str, *groups: str) -> Column:
+        return F.regexp_replace(text, pattern, BREAK.join(groups))
+
+    found = (
+        F.when(second.isin(*parting) | third.isin(*parting), read(NUMBER_FIRST, "d", "$1", "$2$4", "$3", "$5", "$6", "$7"))
+        .when(fifth.isin(*SEPARATORS), read(YEAR_FIRST, "y", "$1", "$2", "$3"))
+        .when(F.length(text) == 8, read(EIGHT_DIGITS, "y", "$1", "$2", "$3"))
+        .otherwise(read(NAME_FIRST, "n", "$1", "$2", "$3"))
+    )
+    return F.split(found, BREAK)
+
+
+def _field(f: Column, i: int) -> Column:
+    return F.get(f, F.lit(i))
 
 
 def _one_way(f: Column) -> tuple[Column, Column]:
     """Whether two numbers of a date can only be day and month, or only month and day."""
-    a, b = f[7].try_cast("int"), f[9].try_cast("int")
-    free = (F.size(f) == GROUPS + 1) & (f[7] != "") & (f[8] != ".") & (f[10] != ".")
+    # compared as text of two digits: a cast that fails costs an exception inside
+    a, b = (F.lpad(_field(f, i), 2, "0") for i in (1, 3))
+    free = (_field(f, 0) == "d") & (_field(f, 5) == "") & ~F.contains(_field(f, 2), F.lit("."))
     return (
-        free & (a > 12) & (a <= 31) & b.between(1, 12),
-        free & (b > 12) & (b <= 31) & a.between(1, 12),
+        free & a.between("13", "31") & b.between("01", "12"),
+        free & b.between("13", "31") & a.between("01", "12"),
     )
 
 
 def _read_date(f: Column, day_first: Column) -> Column:
-    """The date of the groups ``f``. Dots and the only possible reading come before the column's order."""
+    """The date of the fields ``f``. Dots and the only possible reading come before the column's order."""
     numbers = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS, 1) for x in (name, str(i))])
+    kind, one, two, three = (_field(f, i) for i in range(4))
     only_day, only_month = _one_way(f)
-    dotted = (f[8] == ".") | (f[10] == ".")
-    first_is_day = dotted | only_day | (day_first & ~only_month)
-    year = F.when(F.length(f[11]) == 4, f[11]).otherwise(F.concat(F.when(f[11] <= "68", "20").otherwise("19"), f[11]))
+    first_is_day = F.contains(two, F.lit(".")) | only_day | (day_first & ~only_month)
+    last = _field(f, 4)
+    year = F.when(F.length(last) == 4, last).otherwise(F.concat(F.when(last <= "68", "20").otherwise("19"), last))
 
     def iso(y: Column, m: Column, d: Column) -> Column:
         return F.concat(y, F.lit("-"), m, F.lit("-"), d)
@@ -134,13 +151,18 @@ def _read_date(f: Column, day_first: Column) -> Column:
         return F.try_element_at(numbers, F.lower(name))
 
     shape = (
-        F.when(f[1] != "", iso(f[1], f[2], f[3]))
-        .when(f[7] != "", iso(year, F.when(first_is_day, f[9]).otherwise(f[7]), F.when(first_is_day, f[7]).otherwise(f[9])))
-        .when(f[4] != "", iso(f[4], f[5], f[6]))
-        .when(f[12] != "", iso(f[14], month(f[13]), f[12]))
-        .otherwise(iso(f[17], month(f[15]), f[16]))
+        F.when(kind == "y", iso(one, two, three))
+        .when(kind == "n", iso(three, month(one), two))
+        .when((kind == "d") & (_field(f, 5) != ""), iso(_field(f, 6), month(_field(f, 5)), one))
+        .when(kind == "d", iso(year, F.when(first_is_day, three).otherwise(one), F.when(first_is_day, one).otherwise(three)))
     )
-    return F.when(F.size(f) == GROUPS + 1, shape).try_cast("date")
+    return shape.try_cast("date")
+
+
+def _plain_date(text: Column) -> Column:
+    """The date of the shape that most columns have, which needs no pattern."""
+    plain = (F.length(text) == 10) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
+    return F.when(plain, text.try_cast("date"))
 
 
 def parse_date(value: Column, order: str | Column = DEFAULT_ORDER) -> Column:
@@ -148,19 +170,33 @@ def parse_date(value: Column, order: str | Column = DEFAULT_ORDER) -> Column:
 
     ``order`` tells how two numbers parted by slashes or dashes are read where both readings are dates: see
     :func:`date_order` for the order of a column. Parted by dots, the day comes first. Two-digit years up to 68 belong to this century.
-    Numbers are not dates, but for eight digits that spell one. The reading is a lambda over the groups of one value, so its
-    branches do not swell the generated code of the stage beyond what the JVM compiles.
+    Numbers are not dates, but for eight digits that spell one.
     """
     day_first = F.lit(order) == DAY_FIRST if isinstance(order, str) else order == DAY_FIRST
-    parts = F.array(F.struct(date_fields(value).alias("f"), day_first.alias("day_first")))
+    return F.coalesce(_plain_date(value.cast("string")), _read_apart(date_fields(value), day_first))
+
+
+def _read_apart(f: Column, day_first: Column) -> Column:
+    """:func:`_read_date` as a lambda, so that its branches do not swell the generated code beyond what the JVM compiles."""
+    parts = F.array(F.struct(f.alias("f"), day_first.alias("day_first")))
     return F.get(F.transform(parts, lambda x: _read_date(x["f"], x["day_first"])), 0)
 
 
+def way_of(f: Column) -> Column:
+    """``d`` for a date that can only be read day first, ``m`` for one that can only be read month first, else null."""
+    day, month = _one_way(f)
+    return F.when(day, "d").when(month, "m")
+
+
+def with_fields(df: DataFrame, column: str, into: str) -> DataFrame:
+    """``df`` with the fields of a date column of text, null where its text is a plain date."""
+    plain = _plain_date(quoted(column)).isNotNull()
+    return df.withColumn(into, F.when(~plain, date_fields(quoted(column))))
+
+
 def order_votes(value: Column) -> tuple[Column, Column]:
-    """Aggregates: values that can only be read day first, and only month first."""
-    ways = F.transform(F.array(date_fields(value)), lambda f: F.struct(*[w.alias(n) for w, n in zip(_one_way(f), "dm", strict=True)]))
-    way = F.get(ways, 0)
-    return F.count_if(way["d"]), F.count_if(way["m"])
+    """Aggregates over a column of ways: values that can only be read day first, and only month first."""
+    return F.count_if(value == "d"), F.count_if(value == "m")
 
 
 def order_of(day: Column, month: Column) -> Column:
@@ -170,8 +206,9 @@ def order_of(day: Column, month: Column) -> Column:
 
 def date_order(df: DataFrame, column: str) -> Column:
     """How a column of text writes its dates, as one value for the whole column: a pass over that column."""
-    day, month = order_votes(quoted(column))
-    votes = df.agg(day.alias("day"), month.alias("month"))
+    day, month = order_votes(F.col("way"))
+    ways = with_fields(df.select(quoted(column)), column, "_f").select(way_of(F.col("_f")).alias("way"))
+    votes = ways.agg(day.alias("day"), month.alias("month"))
     return votes.select(order_of(F.col("day"), F.col("month")).alias("order")).scalar()
 
 
@@ -182,10 +219,16 @@ def with_date(df: DataFrame, column: str, into: str, order: str | None = None) -
         return df.withColumn(into, quoted(column))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return df.withColumn(into, quoted(column).cast("date"))
-    if not isinstance(kind, T.StringType) or order:
-        return df.withColumn(into, parse_date(quoted(column), order or DEFAULT_ORDER))
-    known = df.withColumn("_order", date_order(df, column))
-    return known.withColumn(into, parse_date(quoted(column), F.col("_order"))).drop("_order")
+    if not isinstance(kind, T.StringType):
+        return df.withColumn(into, parse_date(quoted(column)))
+    return read_fields(with_fields(df, column, "_f"), df, column, into, order).drop("_f")
+
+
+def read_fields(fielded: DataFrame, df: DataFrame, column: str, into: str, order: str | None = None) -> DataFrame:
+    """As :func:`with_date` on top of the fields in ``_f``; ``df`` is where the column's order is looked up."""
+    known = fielded.withColumn("_order", F.lit(order) if order else date_order(df, column))
+    read = _read_apart(F.col("_f"), F.col("_order") == DAY_FIRST)
+    return known.withColumn(into, F.coalesce(_plain_date(quoted(column)), read)).drop("_order")
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -336,6 +379,8 @@ def number_in(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, T.StringType):
         value = F.trim(value)
         written = ~F.lower(F.right(value, F.lit(1))).isin("d", "f") & ~F.contains(F.lower(value), F.lit("x"))
+        # a cast that fails costs an exception inside: leave out what does not begin like a number
+        value = F.when(F.substring(value, 1, 1).isin(*"0123456789+-."), value)
     number = value.try_cast("double")
     return F.when((F.abs(number) < TOO_LARGE) & written, number)  # not so for NaN
 
@@ -377,7 +422,7 @@ def quality_columns(df: DataFrame) -> dict[str, Column]:
         "last_date": F.max(day),
     }
     if "date" in full and isinstance(df.schema["date"].dataType, T.StringType):
-        only_day, only_month = order_votes(quoted("date"))
+        only_day, only_month = order_votes(F.col("_way"))
         counters["day_first_dates"], counters["month_first_dates"] = only_day, only_month
         counters["contradicted_dates"] = F.least(only_day, only_month)
     if MALFORMED in full:
@@ -397,10 +442,13 @@ def quality_columns(df: DataFrame) -> dict[str, Column]:
 
 
 def with_parsed_day(df: DataFrame) -> DataFrame:
-    """Parse the date once, for all counters to use."""
-    if "date" in df.columns:
+    """Read the date once, for all counters to use: ``_day``, and ``_way`` of a text that can be read in one order only."""
+    if "date" not in df.columns:
+        return df.withColumn("_day", F.lit(None).cast("date"))
+    if not isinstance(df.schema["date"].dataType, T.StringType):
         return with_date(df, "date", "_day")
-    return df.withColumn("_day", F.lit(None).cast("date"))
+    fielded = with_fields(df, "date", "_f")
+    return read_fields(fielded.withColumn("_way", way_of(F.col("_f"))), df, "date", "_day").drop("_f")
 
 
 def quality_report(df: DataFrame) -> DataFrame:
@@ -415,7 +463,7 @@ def observe_quality(df: DataFrame, observation) -> DataFrame:
     observed = with_parsed_day(df).observe(
         observation, *[expr.alias(name) for name, expr in counters.items()]
     )
-    return observed.drop("_day")
+    return observed.drop("_day", "_way")
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
