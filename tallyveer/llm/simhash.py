@@ -8,8 +8,8 @@ whatever the number of prints, as a block of 16 bits has 17 values within one bi
 memory, and whole fingerprints decide.
 
 Equal fingerprints are one print from the start, so copies never meet as pairs. A shard gives each print's smallest known
-partner instead of pairs. Shards over ``SHARD_CAP`` prints are dealt out as pairs of chunks, so a task holds two chunks whatever the shard. Trees come from a bounded sample of
-prints; wrong guesses there cost balance, never links.
+partner instead of pairs. Where more than ``SHARD_CAP`` prints live in a shard or visit it, both are dealt out in chunks of their own,
+so a task holds three chunks at most whatever the shard. Trees come from a bounded sample of prints; wrong guesses there cost balance, never links.
 
 Defined results: a text without words (null too) has fingerprint zero and is linked like any other; repeated rows share their
 component; a component without any id has a null component id; an empty table gives an empty result.
@@ -206,22 +206,25 @@ def pooled(batches: Iterator[pd.DataFrame], size: int = POOL) -> Iterator[np.nda
         yield np.concatenate(pool)
 
 
-def meetings(chunks: int, home: bool) -> Iterator[tuple[int, int, bool]]:
-    """Tasks (i, j) of a shard in chunks, and as what a print goes there: living in chunk i, or a guest from chunk j.
+def meetings(residents: int, visitors: int, chunk: int, home: bool) -> Iterator[tuple[int, int, bool]]:
+    """Tasks (i, j) of a leaf that a print of this chunk goes to, and whether it lives there (True) or is a guest.
 
-    Those that live in chunk i meet one another in (i, i), those of a later chunk j in (i, j), and the visitors of every chunk j in
-    (i, j). So a task holds two chunks, whatever the shard's size.
+    Residents and visitors are dealt into chunks of their own, by their own numbers. Residents of chunk i meet one another and the
+    first chunk of visitors in (i, i), residents of a later chunk j in (i, j), and visitors of a further chunk k in
+    (i, residents + k - 1). So a task holds two or three chunks, however many prints live in a leaf or visit it.
     """
-    for i in range(chunks):
-        for j in range(chunks):
-            if home:
-                yield i, j, True
-            if not home or j > i:
-                yield i, j, False
-
-
-def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column ``print``) that connect all pairs within ``bits``."""
+    if home:
+        for j in range(chunk, residents + visitors - 1):
+            yield chunk, j, True
+        for i in range(chunk):
+            yield i, chunk, False
+    else:
+        for i in range(residents):
+            yield i, i if chunk == 0 else residents + chunk - 1, False
+
+
+def dealt_prints(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
+    """``tree, leaf, i, j, print, home``: every print in each task it takes part in, as one that lives there or as a guest."""
     radius, total = bits // BLOCKS, prints.count()
     chosen = prints.orderBy(F.xxhash64("print"), "print").limit(SAMPLE_PRINTS).collect()  # at most SAMPLE_PRINTS longs
     sample = np.array([r[0] for r in chosen], dtype=np.int64).astype(np.uint64)
@@ -232,19 +235,19 @@ def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> Data
         trees.append(grow(block_of(sample, b), size, leaves))
         first = next(leaves)
 
-    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for signed in pooled(batches):
             values = signed.astype(np.uint64)
             found = [
-                (leaf, len(rows))
+                (leaf, home, len(rows))
                 for b, tree in enumerate(trees)
-                for leaf, rows, home in visits(tree, block_of(values, b), 0)
-                if home
+                for leaf, rows, home in visits(tree, block_of(values, b), radius)
             ]
-            yield pd.DataFrame(found, columns=["leaf", "n"])
+            yield pd.DataFrame(found, columns=["leaf", "home", "n"])
 
-    counted = prints.mapInPandas(homes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
-    chunks = {r.leaf: -(-r.n // SHARD_CAP) for r in counted.where(F.col("n") > SHARD_CAP).collect()}  # leaves only
+    counted = prints.mapInPandas(held, "leaf long, home boolean, n long").groupBy("leaf", "home").agg(F.sum("n").alias("n"))
+    large = counted.where(F.col("n") > SHARD_CAP).collect()  # leaves only
+    chunks = {(r.leaf, r.home): -(-r.n // SHARD_CAP) for r in large}
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for signed in pooled(batches):
@@ -253,16 +256,23 @@ def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> Data
             for b, tree in enumerate(trees):
                 out = []
                 for leaf, rows, home in visits(tree, block_of(values, b), radius):
-                    n = chunks.get(leaf, 1)
-                    own = (mixed[rows] % np.uint64(n)).astype(np.int64)
-                    for i, j, lives in meetings(n, home):
-                        here = rows[own == (i if lives else j)]
-                        place = np.broadcast_to(np.array([leaf, i, j]), (len(here), 3))
-                        out.append((place, here, np.full(len(here), lives)))
+                    n, guests = chunks.get((leaf, True), 1), chunks.get((leaf, False), 1)
+                    own = (mixed[rows] % np.uint64(n if home else guests)).astype(np.int64)
+                    for c in range(n if home else guests):
+                        here = rows[own == c]
+                        for i, j, lives in meetings(n, guests, c, home) if len(here) else ():
+                            out.append((np.broadcast_to(np.array([leaf, i, j]), (len(here), 3)), here, np.full(len(here), lives)))
                 places, rows, lives = (np.concatenate(x) for x in zip(*out, strict=True))
                 columns = dict(zip(("leaf", "i", "j"), places.T, strict=True))
                 yield pd.DataFrame({"tree": b, **columns, "print": signed[rows], "home": lives})
 
+    return prints.mapInPandas(deal, "tree int, leaf long, i int, j int, print long, home boolean")
+
+
+def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column ``print``) that connect all pairs within ``bits``."""
+    radius = bits // BLOCKS
+
     def match(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         values = part["print"].to_numpy(np.int64).astype(np.uint64)
         home = part["home"].to_numpy(bool)
@@ -271,7 +281,7 @@ def print_links(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> Data
         groups.search(blocks, np.flatnonzero(home), np.flatnonzero(~home), bits, radius, within=key[2] == key[3])
         return groups.links()
 
-    dealt = prints.mapInPandas(deal, "tree int, leaf long, i int, j int, print long, home boolean")
+    dealt = dealt_prints(prints, bits, shard)
     return dealt.groupBy("tree", "leaf", "i", "j").applyInPandas(match, "a long, b long")
 
 

@@ -120,6 +120,46 @@ def test_print_links_connect_what_brute_force_connects(spark, monkeypatch, shard
     assert got == {v: want[int(label[i])] for i, v in enumerate(signed.tolist())}
 
 
+def test_meetings_bring_everyone_together_once():
+    for residents in (1, 2, 5):
+        for guests in (1, 2, 4):
+            at: dict = {}
+            for home, n in ((True, residents), (False, guests)):
+                for c in range(n):
+                    for i, j, lives in simhash.meetings(residents, guests, c, home):
+                        at.setdefault((i, j), []).append((home, c, lives))
+            met = []
+            for (i, j), chunks in at.items():
+                own = [c for home, c, lives in chunks if lives]
+                assert own == [i] and len(chunks) <= 3
+                met += [(i, "r" if home else "v", c) for home, c, lives in chunks if not lives]
+                met += [(i, "r", i)] if i == j else []
+            want = [(i, "r", c) for c in range(residents) for i in range(c + 1)]
+            want += [(i, "v", c) for c in range(guests) for i in range(residents)]
+            assert sorted(met) == sorted(want)
+
+
+def test_a_block_that_half_of_the_prints_share(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    shared = rng.integers(0, 1 << 48, 3000).astype(np.uint64) << np.uint64(16) | np.uint64(0xBEEF)
+    near = shared[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    prints = np.unique(np.concatenate([shared, near, rng.integers(0, 1 << 63, 2500).astype(np.uint64)]))
+    monkeypatch.setattr(simhash, "SHARD_CAP", 100)
+    table = spark.createDataFrame([(int(v),) for v in prints.astype(np.int64)], "print long").repartition(4).cache()
+    sizes = simhash.dealt_prints(table, shard=64).groupBy("tree", "leaf", "i", "j").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 3 * 1.5 * 100
+    signed = prints.astype(np.int64)
+    got = components_of(signed.tolist(), [(r.a, r.b) for r in simhash.print_links(table, shard=64).collect()])
+    label = np.arange(len(prints))
+    for i, p in enumerate(prints):
+        close = np.flatnonzero(np.bitwise_count(prints ^ p) <= 4)
+        label = merged(label, np.full(len(close), i), close)
+    want: dict[int, int] = {}
+    for i, v in enumerate(signed.tolist()):
+        want[int(label[i])] = min(v, want.get(int(label[i]), v))
+    assert got == {v: want[int(label[i])] for i, v in enumerate(signed.tolist())}
+
+
 def test_every_near_pair_of_blocks_meets_in_a_leaf():
     rng = np.random.default_rng(8)
     values = rng.integers(0, 1 << 16, 3000).astype(np.uint64)
