@@ -271,6 +271,39 @@ def test_a_table_of_two_or_three_near_copies(spark):
         assert got_vectors(df) == plain_vectors([(i, np.array(v)) for i, v in rows[:n]]) == [(str(i + 1), n - 1, "1") for i in range(n)]
 
 
+@pytest.mark.parametrize(("shared", "cap"), [(1, 2048), (2, 2048), (2, 24), (3, 24)])
+def test_pairs_that_share_pivots_meet_once(spark, monkeypatch, shared, cap):
+    monkeypatch.setattr(embeddings, "LIST_CAP", cap)
+    monkeypatch.setattr(embeddings, "TOGETHER", 500)
+    table = cone(400, 0.33)
+    unit = np.array([v for _, v in table], dtype=float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    index = embeddings.Index(unit.mean(axis=0), embeddings.directions(unit[:50], unit.mean(axis=0)), 6, shared)
+    monkeypatch.setattr(embeddings, "fitted", lambda *_: (index, 0.0))
+    inside = np.zeros((400, 50))
+    np.put_along_axis(inside, index.describe(unit)[0], 1, axis=1)
+    near = (unit @ unit.T >= 0.9) & (inside @ inside.T >= shared)
+    df = spark.createDataFrame(table, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    assert got == {i: int(near[i].sum()) - 1 for i in range(400)}
+    assert 400 < sum(got.values()) < (unit @ unit.T >= 0.9).sum() - 400
+
+
+def test_prefixes_are_ordered_and_ties_go_to_the_earlier_pivot():
+    rng = np.random.default_rng(3)
+    rows, pivots = rng.integers(-2, 3, (200, 4)).astype(float), rng.integers(-2, 3, (30, 4)).astype(float)
+    want = np.argsort(-(rows @ pivots.T), axis=1, kind="stable")
+    for nearest in (1, 5, 29, 30):
+        assert (embeddings.prefixes(rows, pivots, nearest) == want[:, :nearest]).all()
+
+
+def test_work_grows_slower_than_the_table():
+    rows = np.random.default_rng(4).standard_normal((6000, 24))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    small, large = (embeddings.fitted(rows, n, 0.9)[1] for n in (50_000, 5_000_000))
+    assert small < 50_000 / 10 and large < 40 * small
+
+
 def test_one_missed_link_is_counted():
     rng = np.random.default_rng(13)
     axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
