@@ -2,11 +2,15 @@
 
 All templates go into one automaton over word ids. A document's words stream through it; at each word the automaton
 knows the longest run of words ending there that occurs in any template (the matching statistics). Long runs are chained
-per template, in order in both texts, and the share of the template that the best chain covers is its score. The automaton
-depends on the templates alone and its size is linear in theirs.
+per template, in order in both texts and cut where they would overlap in either. The share of the template that the best chain
+covers is its score; the stretches of the document in that chain are its covered spans. Where templates of two labels claim the same
+words (notices that differ in a version), the one with more of its words there has them. The automaton depends on the templates
+alone and its size is linear in theirs; ``templates`` takes more of them.
 
-Defined results: a null text counts as empty and has no words; a document without phrase or template has empty labels, null
-places and score 0; repeated rows are scanned alike.
+Defined results: a null text counts as empty and has no words; a document without phrase or template has empty labels and spans, null
+places and score 0; of several places where a template stands, its spans name one; ties between chains go to the earlier one, between
+templates to the first in the list; repeated rows are scanned alike; an empty table gives an empty result; only the id and the text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -57,6 +61,47 @@ TEMPLATES = (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met",
     ),
+    (
+        "mit",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ),
+    (
+        "apache-2",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
+        "specific language governing permissions and limitations under the License",
+    ),
+    (
+        "bsd",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "mpl-2",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    ),
+    (
+        "gpl-2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version",
+    ),
+    (
+        "lgpl-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version",
+    ),
 )
 
 #: A run of this many words is worth chaining; a label needs this share of one template.
@@ -164,26 +209,53 @@ class Scanner:
                 for template, end in self.automaton.ends[state]:
                     yield start + i - run + 1, end - run + 1, run, template
 
-    def chained(self, matches: list[tuple[int, int, int, int]]) -> dict[int, int]:
-        """Most template words that matches in order cover, per template."""
-        best: dict[int, int] = {}
+    def chained(self, matches: list[tuple[int, int, int, int]]) -> dict[int, tuple[int, list[tuple[int, int]]]]:
+        """Most template words that matches in order cover, and the stretches of words that do, per template."""
         per: dict[int, list[tuple[int, int, int]]] = {}
         for first, at, run, template in matches:
             per.setdefault(template, []).append((first, at, run))
-        for template, own in per.items():
-            # words covered so far, by the template word where a chain ends
-            size = len(self.templates[template][1])
-            reach = [0] * (size + 1)
-            for _, at, run in sorted(own):
-                total = reach[at] + run
-                for end in range(at + run, size + 1):
-                    if reach[end] >= total:
-                        break
-                    reach[end] = total
-            best[template] = reach[size]
-        return best
-
-    def scan(self, text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
+        return {t: self._best_chain(sorted(own), len(self.templates[t][1])) for t, own in per.items()}
+
+    @staticmethod
+    def _best_chain(own: list[tuple[int, int, int]], size: int) -> tuple[int, list[tuple[int, int]]]:
+        # by template word: words covered by the best chain so far that ends there or before, and its last stretch, where
+        # a stretch is (stretch before, first word, end)
+        reach: list[tuple[int, tuple | None]] = [(0, None)] * (size + 1)
+        for first, at, run in own:
+            total, chain = 0, None
+            for end in range(at, at + run):
+                covered, before = reach[end]
+                cut = max(end - at, before[2] - first if before else 0)
+                if cut < run and covered + run - cut > total:
+                    total, chain = covered + run - cut, (before, first + cut, first + run)
+            for end in range(at + run, size + 1):
+                if reach[end][0] >= total:
+                    break
+                reach[end] = total, chain
+        total, chain = reach[size]
+        spans: list[tuple[int, int]] = []
+        while chain:
+            before, start, end = chain
+            if spans and spans[-1][0] == end:  # went on in the next match
+                start, end = start, spans.pop()[1]
+            spans.append((start, end))
+            chain = before
+        return total, spans[::-1]
+
+    def covering(self, chains: dict[int, tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, str]]:
+        """Spans as (first word, end, label) of the templates that are covered enough and have most of their words to themselves."""
+        enough = [(t, n, spans) for t, (n, spans) in chains.items() if n >= self.covered * len(self.templates[t][1])]
+        owner: dict[int, str] = {}
+        out = set()
+        for t, n, spans in sorted(enough, key=lambda c: (-c[1], -c[1] / len(self.templates[c[0]][1]), c[0])):
+            label = self.templates[t][0]
+            words = [w for a, b in spans for w in range(a, b)]
+            if 2 * sum(owner.get(w, label) != label for w in words) <= n:
+                owner |= {w: owner.get(w, label) for w in words}
+                out |= {(a, b, label) for a, b in spans}
+        return sorted(out)
+
+    def scan(self, text: str) -> tuple[int, int, int | None, int | None, str, str, float, str]:
         words = words_of(text)
         places, base, matches = [], set(), []
         for start, ids in self.runs(words):
@@ -195,8 +267,9 @@ class Scanner:
                     places += hits
             if len(ids) >= self.run_words:
                 matches += self.matches(start, ids)
-        shares = {t: n / len(self.templates[t][1]) for t, n in self.chained(matches).items()}
-        labels = base | {self.templates[t][0] for t, share in shares.items() if share >= self.covered}
+        chains = self.chained(matches)
+        spans = self.covering(chains)
+        labels = base | {label for _, _, label in spans}
         return (
             len(words),
             len(places),
@@ -204,13 +277,15 @@ class Scanner:
             max(places, default=None),
             ",".join(sorted(base)),
             ",".join(sorted(labels)),
-            max(shares.values(), default=0.0),
+            max((n / len(self.templates[t][1]) for t, (n, _) in chains.items()), default=0.0),
+            ",".join(f"{label}:{a}:{b}" for a, b, label in spans),
         )
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """Words, places of the phrases, labels and the best covered share of each document."""
+    """Words, places of the phrases, labels, the best covered share and covered spans (label:first word:end) of each document."""
     fields = (
-        "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+        "n_words long, n_base long, first_word long, last_word long, base_labels string, "
+        "labels string, score double, spans string"
     )
     return scored(docs, per_text(lambda: Scanner(**settings).scan, fields), key, text)

@@ -145,6 +145,38 @@ def test_templates_are_covered_in_pieces():
     assert scan("The licence of the software is free of charge")[5] == ""
 
 
+def test_chains_do_not_overlap_and_cover_what_brute_force_covers():
+    rng = random.Random(5)
+    for _ in range(150):
+        template = " ".join(rng.choice("abc") for _ in range(rng.randint(4, 9)))
+        text = " ".join(rng.choice("abcd") for _ in range(rng.randint(4, 14)))
+        scanner = license_scan.Scanner(phrases=[("x", "y")], templates=[("l", template)], run_words=2, covered=0.0)
+        *_, score, spans = scanner.scan(text)
+        own, words = template.split(), text.split()
+        stretches = [tuple(map(int, span.split(":")[1:])) for span in spans.split(",") if span]
+        assert all(a < b for a, b in stretches) and all(x[1] <= y[0] for x, y in zip(stretches, stretches[1:], strict=False))
+        assert round(score * len(own)) == sum(b - a for a, b in stretches)
+        left = iter(own)  # the words stand in the template in this order
+        assert all(w in left for a, b in stretches for w in words[a:b])
+        runs = [n for n in range(2, len(own) + 1) for i in range(len(own) - n + 1) for j in range(len(words)) if own[i : i + n] == words[j : j + n]]
+        assert sum(b - a for a, b in stretches) >= max(runs, default=0)
+
+
+def test_spans_of_notices_that_differ_in_a_version():
+    scan = license_scan.Scanner().scan
+    notice = {label: t for label, t in license_scan.TEMPLATES if t.startswith(("This program", "This library"))}
+    n = {label: len(license_scan.words_of(t)) for label, t in notice.items()}
+    for label, text in notice.items():
+        row = scan("one two " + text + " three")
+        assert row[5] == label and row[7] == f"{label}:2:{2 + n[label]}"
+    both = scan(notice["gpl-2"] + " and " + notice["gpl-3"])
+    assert both[5] == "gpl-2,gpl-3" and both[7] == f"gpl-2:0:{n['gpl-2']},gpl-3:{n['gpl-2'] + 1}:{n['gpl-2'] + 1 + n['gpl-3']}"
+    warranty = next(t for label, t in license_scan.TEMPLATES if label == "mit" and t.startswith("THE SOFTWARE"))
+    assert scan(warranty.lower())[5] == "mit" and scan("nothing of the kind")[7] == ""
+    more = license_scan.Scanner(templates=[*license_scan.TEMPLATES, ("own", "you may read this but never print it")]).scan
+    assert more("So you may read this, but never print it!")[5:8:2] == ("own", "own:1:9")
+
+
 def plain_quality(t: str):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
