@@ -6,6 +6,8 @@ padding, where a bucket pads its documents to its longest one. Batches form insi
 budget allows at the bucket's length. A bucket is dealt into parts of bounded size, so no bucket meets in one task; each
 part orders its documents and cuts batches, and only its last batch may be short.
 
+A length is what ``length`` makes of the text: words between ASCII blanks, or, for scripts and data without blanks, ``by_bytes``.
+
 Defined results: a null or blank text has length 0 and is packed in the bucket that holds length 0; a document over the budget
 is a batch of its own; ties in length are ordered by id, equal ids by
 their place in the table; repeated rows are packed each; an empty table gives an empty result.
@@ -13,6 +15,7 @@ their place in the table; repeated rows are packed each; an empty table gives an
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +31,8 @@ EXACT = 1024
 PER_DOUBLING = 256
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
+#: UTF-8 bytes that count as a token where lengths go by bytes.
+BYTES_PER_TOKEN = 4
 #: Documents that one task orders, about.
 PART_ROWS = 4096
 
@@ -38,6 +43,11 @@ def length_of(text: Column) -> Column:
     return F.size(F.array_remove(F.split(plain, " "), "")).cast("long")
 
 
+def by_bytes(text: Column) -> Column:
+    """Every four UTF-8 bytes or part of them: a length that does not need blanks."""
+    return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / BYTES_PER_TOKEN).cast("long")
+
+
 def bin_of(length: Column) -> Column:
     """Number of the bin, growing with the length."""
     beyond = F.floor(F.log2(length / F.lit(EXACT)) * PER_DOUBLING).cast("long")
@@ -99,11 +109,12 @@ def pack(
     buckets: int = BUCKETS,
     budget: int = TOKEN_BUDGET,
     part_rows: int = PART_ROWS,
+    length: Callable[[Column], Column] = length_of,
 ) -> DataFrame:
     """Id, length, bucket, bucket length, padding, batch (unique in the table) and place in the batch of each document."""
     spark, kind = docs.sparkSession, docs.schema[key].dataType
     rows = docs.select(
-        field(key).alias("id"), length_of(field(text)).alias("n_tokens"), F.monotonically_increasing_id().alias("row")
+        field(key).alias("id"), length(field(text)).alias("n_tokens"), F.monotonically_increasing_id().alias("row")
     )
     rows = stored(rows.withColumn("bin", bin_of(F.col("n_tokens"))), "packing-lengths")
     bins = rows.groupBy("bin").agg(F.count(F.lit(1)), F.sum("n_tokens"), F.max("n_tokens")).collect()

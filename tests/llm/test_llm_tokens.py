@@ -114,3 +114,16 @@ def test_lengths_and_padding_of_the_table(sample):
         bins.setdefault(b, []).append(x)
     plan = packing.best_buckets([(b, len(v), sum(v), max(v)) for b, v in bins.items()])
     assert sum(r.padding for r in rows) == plan.padding
+
+
+def test_texts_without_blanks_are_packed_by_their_bytes(make_docs):
+    texts = ["漢字" * n for n in range(0, 3000, 50)] + ["x" * 40_000, None, "ab cd"]
+    rows = packing.pack(make_docs(list(enumerate(texts))), budget=4096, length=packing.by_bytes).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: -(-len((t or "").encode()) // 4) for i, t in enumerate(texts)}
+    batches: dict = {}
+    for r in rows:
+        batches.setdefault(r.batch_id, []).append(r)
+    assert all(len(b) == 1 or len(b) * b[0].bucket_length <= 4096 for b in batches.values())
+    assert [len(b) for b in batches.values() if b[0].n_tokens == 10_000] == [1]
+    words = packing.pack(make_docs(list(enumerate(texts))), budget=4096)
+    assert {r.n_tokens for r in words.collect()} == {0, 1, 2}
