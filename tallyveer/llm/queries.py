@@ -48,9 +48,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(docs))
 
 
+#: The phrases of the query's contract.
+LICENCE_PHRASES = (
+    ("mit", "under the mit license"),
+    ("apache-2", "apache license version 2"),
+    ("cc-by-nc", "cc by nc"),
+)
+
+
 @query("op2_license_scan")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), phrases=LICENCE_PHRASES)
 
 
 @query("op3_lm_scoring")

@@ -11,6 +11,7 @@ import numpy as np
 
 from tallyveer.llm import license_scan, pii, quality, secret_scan
 from tallyveer.llm.common import Taken
+from tallyveer.llm.queries import QUERIES
 
 
 def digest(spans, kinds) -> str:
@@ -114,6 +115,15 @@ def test_licence_base_on_edges_and_table(edges, sample, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+def test_licence_query_counts_the_phrases_of_its_contract(spark, make_docs, tmp_path):
+    texts = ["The MIT License", "under THE mit-license, the MIT License under the MIT License", "Apache license version 2 CC BY-NC", None]
+    make_docs(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op2_license_scan"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:6] for r in rows] == [
+        (3, 0, None, None, ""), (11, 2, 0, 7, "mit"), (7, 2, 0, 4, "apache-2,cc-by-nc"), (0, 0, None, None, "")
+    ]
+
+
 def test_automaton_statistics_match_brute_force():
     rng = random.Random(2)
     for _ in range(200):
