@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyveer.functions import attach, quoted
+from tallyveer.operators.order import PART, before_ranges, in_ranges
+from tallyveer.session import stored
 
 #: Distinct values are kept with a relative standard error of 1.04 / sqrt(2 ** DISTINCT_BITS), 1.6 %.
 DISTINCT_BITS = 12
@@ -98,14 +100,49 @@ def with_fences(quartiles: DataFrame, reach: float = REACH) -> DataFrame:
     return quartiles.withColumn("low_fence", F.col("q1") - spread).withColumn("high_fence", F.col("q3") + spread)
 
 
-def exact_fences(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), reach: float = REACH) -> DataFrame:
-    """Fences from exact quartiles, for tables whose distinct values fit the aggregation's memory."""
-    levels = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    aggs = [F.percentile(_number(df, c), F.lit(p)).alias(f"{q}_{i}") for i, c in enumerate(columns) for q, p in levels.items()]
-    rows = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{q}_{i}").alias(q) for q in levels]) for i, c in enumerate(columns)
+def _at(rank: Column) -> Column:
+    """The value that stands at ``rank``, from 0, among rows that hold ``_first`` to ``_end``."""
+    return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_end")), F.col("value")))
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], levels: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, column, *levels)``: exact quantiles, interpolated between neighbours; null where a column holds no number.
+
+    Equal numbers are counted first; the counts add up along ranges of the numbers, so no task holds all values of a column.
+    """
+    numbers = F.array(*[F.struct(F.lit(c).alias("column"), _number(df, c).alias("value")) for c in columns])
+    # one struct names the series, so groups by null meet themselves in the joins
+    keyed = df.select(F.struct(*by, F.lit(0).alias("_")).alias("_by"), F.inline(numbers))
+    keys = ["_by", "column"]
+    counts = keyed.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    fixed = in_ranges(counts, keys, [F.col("value")])
+    inside = F.sum("n").over(Window.partitionBy(PART, *keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = (
+        fixed.withColumn("_inside", inside)
+        .join(before_ranges(fixed, keys, {"_before": F.sum("n")}), [PART, *keys])
+        .join(fixed.groupBy(*keys).agg((F.sum("n") - 1).alias("_last")), keys)
+        .withColumn("_end", F.col("_before") + F.col("_inside"))
+        .withColumn("_first", F.col("_end") - F.col("n"))
+    )
+    ranks = {q: F.col("_last") * F.lit(p) for q, p in levels.items()}
+    ends = [_at(side(rank)).alias(f"{q}{name}") for q, rank in ranks.items() for name, side in (("_low", F.floor), ("_high", F.ceil))]
+    found = placed.groupBy(*keys).agg(F.first("_last").alias("_last"), *ends)
+    between = [
+        F.when(F.col(f"{q}_low") == F.col(f"{q}_high"), F.col(f"{q}_low"))
+        .otherwise((F.ceil(rank) - rank) * F.col(f"{q}_low") + (rank - F.floor(rank)) * F.col(f"{q}_high"))
+        .alias(q)
+        for q, rank in ranks.items()
     ]
-    return with_fences(df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*rows))), reach)
+    groups = df.groupBy(*by).agg(F.array(*[F.lit(c) for c in columns]).alias("column"))
+    groups = groups.select(F.struct(*by, F.lit(0).alias("_")).alias("_by"), F.explode("column").alias("column"))
+    out = groups.join(found.select(*keys, *between), keys, "left")
+    return out.select(*[F.col("_by").getField(c).alias(c) for c in by], "column", *levels)
+
+
+def exact_fences(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), reach: float = REACH) -> DataFrame:
+    """Fences from exact quartiles, for tables of any number of distinct values."""
+    quartiles = exact_quantiles(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    return stored(with_fences(quartiles, reach), "fences")
 
 
 def _beside_fences(df: DataFrame, fences: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -69,3 +69,25 @@ def test_empty_and_all_null(spark):
     row = {r["column"]: r for r in sk.profile(sk.sketches(nulls, ["v", "w"])).collect()}["v"]
     assert (row["nulls"], row["distinct_values"], row["q1"], row["low_fence"]) == (1, 0, None, None)
     assert sk.outliers(nulls, sk.exact_fences(nulls, ["v"]), ["v"]).first()["share"] == 0.0
+
+
+def test_exact_quantiles_match_sorted_values(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 7 == 0 else int(i % 3), float(rng.integers(0, 40)), float(rng.normal())) for i in range(3000)]
+    rows += [(1, None, math.nan), (9, None, math.inf), (None, -0.0, None)]
+    frame = spark.createDataFrame(rows, "g int, v double, w double").repartition(5)
+    levels = {"a": 0.0, "q1": 0.25, "median": 0.5, "z": 0.987, "b": 1.0}
+    got = {(r["g"], r["column"]): r for r in sk.exact_quantiles(frame, ["v", "w"], levels, ["g"]).collect()}
+    assert set(got) == {(g, c) for g in (None, 0, 1, 2, 9) for c in ("v", "w")}
+    for (g, name), r in got.items():
+        held = [x for x in (row[1 if name == "v" else 2] for row in rows if row[0] == g) if x is not None and math.isfinite(x)]
+        for level, p in levels.items():
+            assert r[level] == (pytest.approx(float(np.quantile(held, p))) if held else None), (g, name, level)
+
+
+def test_exact_fences_hold_no_column_in_one_task(spark, numbers, monkeypatch):
+    plans = []
+    kept = sk.stored
+    monkeypatch.setattr(sk, "stored", lambda df, purpose: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, purpose))
+    sk.exact_fences(numbers, COLUMNS)
+    assert plans and "percentile(" not in plans[0] and "Window" in plans[0]
