@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,13 +17,22 @@ from tallyveer.operators.rollup import exact_sum
 from tallyveer.operators.series import FactSource, eligible, series_window
 
 
+def _distinct_values(df: DataFrame) -> Callable[[Column], Column]:
+    """Exact numbers of distinct values as scalar subqueries: rows are not expanded, and only the column travels."""
+
+    def count(c: Column) -> Column:
+        return df.select(c.alias("value")).distinct().agg(F.count("value")).scalar()
+
+    return count
+
+
 def profile_columns(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     """One row per column: rows, nulls, distinct values, and number statistics.
 
     All columns are profiled in a single aggregation. Distinct counts are
-    approximate unless asked for, which costs one expansion per column.
+    approximate unless asked for, which costs one pass over each column alone.
     """
-    count_distinct = F.count_distinct if exact_distinct else F.approx_count_distinct
+    count_distinct = _distinct_values(df) if exact_distinct else F.approx_count_distinct
     records = []
     for field in df.schema.fields:
         c = quoted(field.name)
