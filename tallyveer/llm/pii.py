@@ -19,15 +19,17 @@ import hashlib
 import random
 import re
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field as member
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveer.llm.common import Taken, field, per_batch, sample_order, scored
+from tallyveer.llm.common import Taken, field, per_batch, scored, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds beside them.
@@ -47,6 +49,8 @@ GENERATORS = (
     (2, re.compile(r"(?<![0-9A-Za-z-])[0-9]{2,3}[\x20-][0-9]{2}[\x20-][0-9]{3,4}(?![0-9A-Za-z-])")),
     (3, re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")),
 )
+#: What every span of the first generator holds: without it the text need not be tried from each letter.
+AT = re.compile(r"[\[(]\s?at\s?[\])]", re.I)
 CUES = (
     ("mail", "e-mail", "contact", "correo", "courriel"),
     ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono"),
@@ -55,9 +59,12 @@ CUES = (
     ("version", "release", "isbn", "serial", "order", "invoice", "date", "price", "part"),
 )
 
-SAMPLE_DOCUMENTS = 20_000
-SAMPLE_CANDIDATES = 20_000
+CORPUS_WEIGHT = 20_000
 PRECISION = 0.98
+#: Probabilities are calibrated in steps of one part in so many.
+STEPS = 10_000
+#: Rows that a task takes together.
+POOL_ROWS = 1 << 16
 
 
 def luhn(digits: str) -> bool:
@@ -90,16 +97,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             digits = m.group().replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
                 found.append((m.start(), 2, m.end()))
-    if "+" in text:
-        for m in PHONE.finditer(text):
-            if 10 <= sum(c.isdigit() for c in m.group()) <= 15:
-                found.append((m.start(), 3, m.end()))
-    return found
+    return found + [(a, 3, b) for a, b in phones(text)]
+
+
+def phones(text: str) -> list[tuple[int, int]]:
+    if "+" not in text:
+        return []
+    return [m.span() for m in PHONE.finditer(text) if 10 <= sum(c.isdigit() for c in m.group()) <= 15]
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, generator, end) of what may be personal data."""
-    return [(m.start(), g, m.end()) for g, shape in GENERATORS for m in shape.finditer(text)]
+    return [(m.start(), g, m.end()) for g, shape in GENERATORS if g or AT.search(text) for m in shape.finditer(text)]
 
 
 def features(text: str, start: int, generator: int, end: int) -> list[float]:
@@ -179,65 +188,103 @@ def drawn_examples(seed: int = 11, each: int = 150) -> list[tuple[str, int, int,
 
 @dataclass
 class BoostedTrees:
-    """Logistic gradient boosting of depth-limited trees, second-order splits over feature thresholds."""
+    """Logistic gradient boosting of depth-limited trees, second-order splits over feature thresholds.
+
+    A tree is complete: node i has children 2i and 2i + 1, the root is 1; what is not split sends everything left. Rows are known by the
+    codes of their features, the numbers of thresholds below them.
+    """
 
     rounds: int = 60
     depth: int = 3
     rate: float = 0.2
     hold: float = 1.0
-    least: int = 5
-    trees: list = member(default_factory=list)
+    least: float = 5
     offset: float = 0.0
+    cuts: list[np.ndarray] = member(default_factory=list)
+    #: Per tree: feature and threshold of each inner node, and values of the leaves.
+    features: list[np.ndarray] = member(default_factory=list)
+    limits: list[np.ndarray] = member(default_factory=list)
+    leaves: list[np.ndarray] = member(default_factory=list)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(self.cuts)], axis=1).astype(np.uint8)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+        weight = np.ones(len(y))
+        self.cuts = [thresholds(*np.unique(column, return_counts=True)) for column in x.T]
+        codes = self.codes(x)
+        return self.learn(y.mean(), lambda tree: self.sums(tree, codes, y, weight))
+
+    def learn(self, share: float, sums) -> BoostedTrees:
+        """Trees from ``sums(tree so far)``, see :meth:`sums`; a tree so far has the features and limits of its upper levels."""
+        share = min(max(share, 1e-3), 1 - 1e-3)
         self.offset = float(np.log(share / (1 - share)))
-        total = np.full(len(y), self.offset)
-        cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.03, 0.97, 32))) for f in range(x.shape[1])]
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-total))
-            tree = self._grow(x, y - p, p * (1 - p), cuts, np.arange(len(y)), self.depth)
-            self.trees.append(tree)
-            total += self.rate * self._values(tree, x)
+            feature, limit = np.zeros(1 << self.depth, dtype=np.int64), np.full(1 << self.depth, 255, dtype=np.int64)
+            value = np.zeros(2 << self.depth)
+            for level in range(self.depth):
+                cells = sums((feature[: 1 << level], limit[: 1 << level]))
+                for node, own in enumerate(cells, 1 << level):
+                    self._split(node, own, feature, limit, value)
+            self.features.append(feature)
+            self.limits.append(limit)
+            self.leaves.append(self.rate * value[1 << self.depth :])
         return self
 
-    def _grow(self, x, slope, bend, cuts, rows, depth):
-        worth = lambda g, h: g * g / (h + self.hold)
-        g, h = slope[rows].sum(), bend[rows].sum()
-        best, split = 1e-6, None
-        if depth:
-            for f, values in enumerate(cuts):
-                column = x[rows, f]
-                for cut in values.tolist():
-                    left = column <= cut
-                    n = int(left.sum())
-                    if min(n, len(rows) - n) < self.least:
-                        continue
-                    gl, hl = slope[rows][left].sum(), bend[rows][left].sum()
-                    gain = worth(gl, hl) + worth(g - gl, h - hl) - worth(g, h)
-                    if gain > best:
-                        best, split = gain, (f, cut, rows[left], rows[~left])
-        if split is None:
-            return g / (h + self.hold)
-        f, cut, left, right = split
-        return (
-            f,
-            cut,
-            self._grow(x, slope, bend, cuts, left, depth - 1),
-            self._grow(x, slope, bend, cuts, right, depth - 1),
-        )
-
-    def _values(self, tree, x: np.ndarray) -> np.ndarray:
-        if not isinstance(tree, tuple):
-            return np.full(len(x), tree)
-        f, cut, left, right = tree
-        return np.where(x[:, f] <= cut, self._values(left, x), self._values(right, x))
+    def _split(self, node: int, own: np.ndarray, feature: np.ndarray, limit: np.ndarray, value: np.ndarray) -> None:
+        """The best split of a node from its sums (slope, bend, weight) by feature and code."""
+        worth = lambda s: s[..., 0] ** 2 / (s[..., 1] + self.hold)
+        whole = own[0].sum(axis=0)
+        left = np.cumsum(own, axis=1)[:, :-1]
+        right = whole - left
+        gain = worth(left) + worth(right) - worth(whole)
+        gain[np.minimum(left[..., 2], right[..., 2]) < self.least] = 0
+        best = gain.max(initial=0)
+        if best > 1e-6:
+            # sums may differ in their last digits from run to run, so nearly equal gains count as equal
+            f, c = np.argwhere(gain >= best * (1 - 1e-9))[0]
+            feature[node], limit[node] = f, c
+            parts = left[f, c], right[f, c]
+        else:
+            parts = whole, np.zeros(3)
+        value[2 * node : 2 * node + 2] = [g / (h + self.hold) for g, h, _ in parts]
+
+    def sums(self, tree: tuple[np.ndarray, np.ndarray], codes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Slope, bend and weight by node of the tree's next level, feature and code."""
+        feature, limit = tree
+        nodes, width = len(feature), max(map(len, self.cuts)) + 1
+        node = self._walk(codes, feature[None], limit[None], nodes.bit_length() - 1)[:, 0] - nodes
+        p = 1 / (1 + np.exp(-self.total(codes)))
+        cell = ((node[:, None] * codes.shape[1] + np.arange(codes.shape[1])) * width + codes).ravel()
+        size = nodes * codes.shape[1] * width
+        parts = [np.bincount(cell, np.repeat(v, codes.shape[1]), size) for v in (weight * (y - p), weight * p * (1 - p), weight)]
+        return np.stack(parts, axis=1).reshape(nodes, codes.shape[1], width, 3)
+
+    @staticmethod
+    def _walk(codes: np.ndarray, feature: np.ndarray, limit: np.ndarray, depth: int) -> np.ndarray:
+        """Node of each row in each tree after ``depth`` steps."""
+        node = np.ones((len(codes), len(feature)), dtype=np.int64)
+        rows, trees = np.arange(len(codes))[:, None], np.arange(len(feature))
+        for _ in range(depth):
+            node = 2 * node + (codes[rows, feature[trees, node]] > limit[trees, node])
+        return node
+
+    def total(self, codes: np.ndarray) -> np.ndarray:
+        if not self.leaves:
+            return np.full(len(codes), self.offset)
+        node = self._walk(codes, np.array(self.features), np.array(self.limits), self.depth) - (1 << self.depth)
+        return self.offset + np.array(self.leaves)[np.arange(len(self.leaves)), node].sum(axis=1)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        total = np.full(len(x), self.offset)
-        for tree in self.trees:
-            total += self.rate * self._values(tree, x)
-        return 1 / (1 + np.exp(-total))
+        return 1 / (1 + np.exp(-self.total(self.codes(x))))
+
+
+def thresholds(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """At most 32 thresholds of a feature, at evenly spaced shares of the weight."""
+    order = np.argsort(values)
+    upto = np.cumsum(weight[order])
+    at = np.searchsorted(upto, np.linspace(0.03, 0.97, 32) * upto[-1])
+    return np.unique(values[order][np.minimum(at, len(values) - 1)])
 
 
 @dataclass
@@ -265,45 +312,109 @@ class Selector:
         return sorted(base), sorted(spans)
 
 
-def calibrated(chance: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
-    """The smallest threshold from which on the share of positives stays at ``precision``; above one if none does."""
-    order = np.argsort(-chance, kind="stable")
-    share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(share >= precision)
-    return float(max(chance[order][good[-1]], 0.5)) if len(good) else 1.1
+def calibrated(step: np.ndarray, y: np.ndarray, weight: np.ndarray, precision: float = PRECISION) -> float:
+    """The smallest threshold from which on the share of positives is at least ``precision``; above one if none is.
 
+    Rows are the positives and weights of each step of the probability.
+    """
+    order = np.argsort(-step)
+    good = np.flatnonzero(np.cumsum(y[order]) >= precision * np.cumsum(weight[order]))
+    if not len(good):
+        return 1.1
+    below = step[order][good[-1] + 1 :]
+    return float(max((below[0] + 1) / STEPS if len(below) else 0, 0.5))
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Selector:
-    """Trees from candidates of the documents that come first by the hash of their id, and of the drawn examples."""
-    order = sample_order(field(key))
-    last = docs.select(order.alias("o")).orderBy("o").limit(SAMPLE_DOCUMENTS).agg(F.max("o")).first()[0]
-    chosen = docs.where(order <= last) if last is not None else docs.limit(0)
+
+def labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``fold, row, n``: how often a label and features stand in all documents; a quarter of the ids is the fold."""
 
     def describe(texts):
         for t in texts:
             t = t or ""
+            found = candidates(t)
             # a phone without its country sign looks like a local one; other overlaps with shapes say nothing
-            phones = sorted((s, e) for s, k, e in base_spans(t) if k == 3)
-            starts = [s for s, _ in phones]
+            ends = phones(t) if found else []
+            starts = [s for s, _ in ends]
 
             def label(a: int, b: int) -> int:
                 i = bisect_right(starts, a)
-                return int(i > 0 and b <= phones[i - 1][1])
-
-            rows = [[float(label(a, b)), *features(t, a, g, b)] for a, g, b in candidates(t)]
-            yield (rows,)
-
-    found = chosen.select(per_batch(lambda: describe, "rows array<array<double>>")(field(text))["rows"].alias("rows"))
-    found = found.select(F.explode("rows").alias("row")).orderBy(F.xxhash64("row")).limit(SAMPLE_CANDIDATES)
-    rows = [r[0] for r in found.collect()]  # at most SAMPLE_CANDIDATES short lists
-    rows += [[float(label), *features(t, a, g, b)] for t, a, g, b, label in drawn_examples()]
-    table = np.array(rows)
-    fold = np.arange(len(table)) % 4 == 0
-    trees = BoostedTrees().fit(table[~fold, 1:], table[~fold, 0])
-    kept = table[fold]
-    chance = trees.probability(kept[:, 1:])
-    kinds = [kept[:, 1] == g for g in range(len(GENERATORS))]
-    return Selector(trees, [calibrated(chance[k], kept[k, 0]) if k.any() else 1.1 for k in kinds])
+                return int(i > 0 and b <= ends[i - 1][1])
+
+            yield ([[float(label(a, b)), *features(t, a, g, b)] for a, g, b in found],)
+
+    rows = per_batch(lambda: describe, "rows array<array<double>>")(field(text))["rows"]
+    fold = (F.pmod(F.xxhash64(field(key)), F.lit(4)) == 0).alias("fold")
+    return docs.select(fold, rows.alias("rows")).select("fold", F.explode("rows").alias("row")).groupBy("fold", "row").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Selector:
+    """Trees and thresholds from the candidates of all documents and of the drawn examples."""
+    spark = docs.sparkSession
+    found = stored(labelled(docs, key, text), "candidates")
+    share = CORPUS_WEIGHT / max(found.agg(F.sum("n")).first()[0] or 0, CORPUS_WEIGHT)
+    # every fourth example of each generator and label belongs to the fold
+    drawn, places = [], defaultdict(count)
+    for t, a, g, b, label in drawn_examples():
+        drawn.append((next(places[g, label]) % 4 == 0, [float(label), *features(t, a, g, b)], 1.0))
+    rows = found.select("fold", "row", (F.col("n") * share).alias("w"))
+    rows = rows.union(spark.createDataFrame(drawn, "fold boolean, row array<double>, w double"))
+
+    # features are small whole numbers, so all their values are few; the label comes first
+    seen = rows.where("NOT fold").select(F.posexplode("row").alias("at", "value"), "w").groupBy("at", "value").agg(F.sum("w"))
+    counts = np.array(sorted(tuple(r) for r in seen.collect()))
+    label, *by_feature = [counts[counts[:, 0] == at, 1:] for at in range(int(counts[:, 0].max()) + 1)]
+    trees = BoostedTrees(cuts=[thresholds(c[:, 0], c[:, 1]) for c in by_feature])
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.stack(b["row"].to_list()) if len(b) else np.zeros((0, 1 + len(by_feature)))
+            out = pd.DataFrame({"fold": b["fold"], "y": x[:, 0], "g": x[:, 1].astype(np.int32), "w": b["w"]})
+            yield out.assign(codes=[c.tobytes() for c in trees.codes(x[:, 1:])])
+
+    coded = rows.mapInPandas(encode, "fold boolean, y double, g int, w double, codes binary")
+    coded = stored(coded.groupBy("fold", "y", "g", "codes").agg(F.sum("w").alias("w")), "coded-candidates")
+
+    def pooled(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        pool: list[pd.DataFrame] = []
+
+        def joined() -> tuple[pd.DataFrame, np.ndarray]:
+            whole = pd.concat(pool)
+            return whole, np.frombuffer(b"".join(whole["codes"]), dtype=np.uint8).reshape(len(whole), -1)
+
+        for b in batches:
+            pool.append(b)
+            if sum(map(len, pool)) >= POOL_ROWS:
+                yield joined()
+                pool = []
+        if sum(map(len, pool)):
+            yield joined()
+
+    learnt = coded.where("NOT fold").select("y", "w", "codes")
+
+    def sums(tree: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [trees.sums(tree, codes, b["y"].to_numpy(), b["w"].to_numpy()) for b, codes in pooled(batches)]
+            if parts:
+                yield pd.DataFrame({"sums": [np.sum(parts, axis=0).tobytes()]})
+
+        # a row per task, of at most 8 bytes for each node, feature, code and sum; tasks are as many as the coded rows' files need
+        found = [np.frombuffer(r.sums) for r in learnt.mapInPandas(run, "sums binary").collect()]
+        return np.sum(found, axis=0).reshape(len(tree[0]), len(by_feature), -1, 3)
+
+    trees.learn(float(label[:, 0] @ label[:, 1] / label[:, 1].sum()), sums)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, codes in pooled(batches):
+            step = np.floor(STEPS / (1 + np.exp(-trees.total(codes)))).astype(np.int64)
+            yield pd.DataFrame({"g": b["g"], "step": step, "y": b["y"] * b["w"], "w": b["w"]})
+
+    judged = coded.where("fold").mapInPandas(judge, "g int, step long, y double, w double")
+    held = judged.groupBy("g", "step").agg(F.sum("y"), F.sum("w")).collect()  # a row per kind and step at most
+    held = np.array(sorted(tuple(r) for r in held)).reshape(-1, 4)
+    kinds = [held[held[:, 0] == g] for g in range(len(GENERATORS))]
+    return Selector(trees, [calibrated(*k[:, 1:].T) for k in kinds])
 
 
 def named(spans: list[tuple[int, int, int]]) -> str:

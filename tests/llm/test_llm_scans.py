@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+from collections import defaultdict
 
 import numpy as np
 
@@ -262,6 +263,25 @@ def test_trees_accept_written_formats_and_leave_numbers(sample):
         assert kinds(plain) in ([], [0][: plain.count("[at]")])
 
 
+def test_trees_learn_from_the_candidates_of_every_document(make_docs, monkeypatch):
+    rows = [(i, f"call +1 555-{i:03d}-{7 * i:04d}, on 2024-{i % 12 + 1:02d}-11 or 212-555-{i:04d}") for i in range(40)]
+    docs = make_docs([*rows, (None, rows[3][1]), (7, rows[3][1]), (41, None)])
+    found = pii.labelled(docs, "doc_id", "text").collect()
+    assert sum(r.n for r in found) == sum(len(pii.candidates(t)) for _, t in [*rows, rows[3], rows[3]])
+    # no setting leaves a document out
+    for name in ("SAMPLE_DOCUMENTS", "SAMPLE_CANDIDATES"):
+        monkeypatch.setattr(pii, name, 1, raising=False)
+    weights = []
+    root = (np.zeros(1, dtype=int), np.full(1, 255))
+    monkeypatch.setattr(pii.BoostedTrees, "learn", lambda self, share, sums: weights.append(sums(root)) or self)
+    pii.train(docs)
+    drawn = defaultdict(int)
+    for *_, g, _, label in pii.drawn_examples():
+        drawn[g, label] += 1
+    learnt = sum(n - -(-n // 4) for n in drawn.values()) + sum(r.n for r in found if not r.fold)
+    assert weights[0][0, 0, :, 2].sum() == learnt
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))
