@@ -21,6 +21,15 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# Stored bytes of input per shuffle partition. Rows take two to three times that in a shuffle and far more when sorted and summed up.
+STORED_PER_PARTITION = 8 << 20
+
+# Upper limits of what adaptive execution reads in one task (joined partitions, and a hot key's partition before it is split).
+READ_PER_TASK = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20,
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 32 << 20,
+}
+
 
 def local_session(cores: int = 8, memory: str = "8g", app: str = "tallyveer") -> SparkSession:
     """Session for tests and benchmarks on one machine."""
@@ -56,6 +65,43 @@ def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def byte_count(text: str) -> int:
+    """Bytes of a setting such as ``64MB``, ``8m`` or ``1048576b``."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)i?b?", text.strip().lower()).groups()
+    return int(number) << 10 * (" kmgtp".index(unit) if unit else 0)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file, a folder or all that a pattern names, on whatever file system it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sum(system.getContentSummary(found.getPath()).getLength() for found in system.globStatus(target) or ())
+
+
+def sized_session(spark: SparkSession, size: int) -> SparkSession:
+    """Session for shuffles of ``size`` stored bytes whose tasks do not grow with that size.
+
+    The number of shuffle partitions follows the input, and adaptive execution joins them to small ones. These settings hold for what is read
+    through the session returned; the caller's session, whose other settings it takes over as they are now, keeps its own. Where the caller's
+    partitions and cores suffice, it is the caller's session itself.
+    """
+    wanted = -(-size // STORED_PER_PARTITION)
+    have = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if wanted <= min(have, spark.sparkContext.defaultParallelism):
+        return spark
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.shuffle.partitions", str(max(wanted, have)))
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if (set_to := spark.conf.get(initial, None)) is not None:
+        own.conf.set(initial, str(max(wanted, int(set_to))))
+    for name, limit in READ_PER_TASK.items():
+        own.conf.set(name, f"{min(limit, byte_count(spark.conf.get(name)))}b")
+    return own
+
+
 def share_package(spark: SparkSession) -> None:
     """Name this checkout to Python workers, for functions that run there.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyveer.operators.repair import holiday_flag, repair
 from tallyveer.schema import FACT_COLUMNS, HOLIDAYS, MONEY, UNKNOWN
+from tallyveer.session import sized_session, stored_bytes
 
 
 # Known schemas spare a footer-reading job per table.
@@ -39,9 +40,13 @@ SCHEMAS = {
 }
 
 
+def table_path(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/{name}.parquet"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
-    return reader.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return reader.parquet(table_path(folder, name))
 
 
 def star_fact(
@@ -53,8 +58,14 @@ def star_fact(
     tables onto orders first, so order lines are shuffled once per wide table.
     Strategies are left to Catalyst: tables under the broadcast threshold are
     broadcast, larger ones are sort-merged and split by AQE where a key is hot.
+    The shuffles of the fact, and of what is derived from it, have partitions by
+    the size of these tables, so that no task's sorts and sums grow with them.
     """
     wanted = set(columns)
+    joined = ["lineitem", "orders"]
+    joined += ["customer"] if wanted & {"region", "campaign"} else []
+    joined += ["part"] if wanted & {"product", "category"} else []
+    spark = sized_session(spark, sum(stored_bytes(spark, table_path(folder, t)) for t in joined))
     orders = table(spark, folder, "orders").select(
         "o_orderkey",
         "o_custkey",
